@@ -230,7 +230,7 @@ def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     out = benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), "longest_match", "match_at",
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

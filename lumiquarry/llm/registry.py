@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiquarry.llm import decontaminate
+from lumiquarry.llm import decontaminate, ngram_join
 
 LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -24,9 +24,22 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+OP1 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({LETTERS}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id))::BIGINT AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination}
+    return {"op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join, "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_benchmark_decontamination": OP10}
+    return {"op1_ngram_jaccard_join": OP1, "op10_benchmark_decontamination": OP10}
