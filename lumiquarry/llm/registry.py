@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiquarry.llm import decontaminate, ngram_join
+from lumiquarry.llm import decontaminate, ngram_join, quality, secrets, token_store
 
 LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -37,8 +37,18 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FRO
 """
 
 
+OPERATORS = (
+    ngram_join.op1_ngram_jaccard_join,
+    quality.op2_quality_classifier,
+    token_store.op4_token_id_binary_output,
+    secrets.op9_secret_scans,
+    decontaminate.op10_benchmark_decontamination,
+)
+
+
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join, "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination}
+    return {f.__name__: f for f in OPERATORS}
+
 
 
 def oracle_sql() -> dict[str, str]:
