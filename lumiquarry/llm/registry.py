@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiquarry.llm import decontaminate, ngram_join, quality, secrets, token_store
+from lumiquarry.llm import decontaminate, ngram_join, quality, secrets, token_store, warc_zip
 
 LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -37,9 +37,21 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FRO
 """
 
 
+#: Base 32 of a SHA-1, five bits at a time from its hexadecimal digits.
+OP3 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (SELECT page_id, n, h, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || h[i])::INTEGER), 4, '0')), '') AS b FROM p),
+k AS (SELECT page_id, n, h, array_to_string(list_transform(range(0, 32), lambda i:
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_reduce(list_transform(range(1, 6), lambda j: b[5 * i + j]::INTEGER), lambda x, y: 2 * x + y)]), '') AS d FROM bits)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> f THEN f END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM k)
+"""
+
 OPERATORS = (
     ngram_join.op1_ngram_jaccard_join,
     quality.op2_quality_classifier,
+    warc_zip.op3_warc,
     token_store.op4_token_id_binary_output,
     secrets.op9_secret_scans,
     decontaminate.op10_benchmark_decontamination,
@@ -52,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op10_benchmark_decontamination": OP10}
+    return {"op1_ngram_jaccard_join": OP1, "op3_warc": OP3, "op10_benchmark_decontamination": OP10}
