@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiquarry.llm import decontaminate, ngram_join, quality, secrets, token_store, warc_zip
+from lumiquarry.llm import decontaminate, ngram_join, pieces_codec, prefix_forest, quality, secrets, token_store, warc_zip
 
 LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -53,6 +53,8 @@ OPERATORS = (
     quality.op2_quality_classifier,
     warc_zip.op3_warc,
     token_store.op4_token_id_binary_output,
+    pieces_codec.op5_sentencepiece_codec,
+    prefix_forest.op7_approximate_nearest_neighbours,
     secrets.op9_secret_scans,
     decontaminate.op10_benchmark_decontamination,
 )
