@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumiquarry.llm import decontaminate, ngram_join, pieces_codec, prefix_forest, quality, secrets, token_store, warc_zip
+from lumiquarry.llm import decontaminate, licenses, maxent_lm, ngram_join, pieces_codec, prefix_forest, quality, secrets, token_store, warc_zip
 
 LETTERS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -48,13 +48,27 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_
 FROM (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM k)
 """
 
+OP8 = f"""
+WITH t(name, text) AS (VALUES {', '.join("('" + n + "', '" + x.replace("'", "''") + "')" for n, x in licenses.TEMPLATES)}),
+w AS (SELECT 'd' AS k, doc_id, '' AS name, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents
+      UNION ALL SELECT 't', NULL, name, regexp_extract_all(lower(text), '[a-z0-9]+') FROM t),
+s AS (SELECT DISTINCT k, doc_id, name, array_to_string(w[i:i+4], ' ') AS g
+      FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+n AS (SELECT name, count(*) AS n FROM s WHERE k = 't' GROUP BY 1)
+SELECT d.doc_id, t.name AS license_id, count(*) AS n_shared, any_value(n) AS n_shingles
+FROM s d JOIN s t ON d.g = t.g AND d.k = 'd' AND t.k = 't' JOIN n ON n.name = t.name
+GROUP BY 1, 2 HAVING count(*) * 100 >= any_value(n) * 80
+"""
+
 OPERATORS = (
     ngram_join.op1_ngram_jaccard_join,
     quality.op2_quality_classifier,
     warc_zip.op3_warc,
     token_store.op4_token_id_binary_output,
     pieces_codec.op5_sentencepiece_codec,
+    maxent_lm.op6_lm_scoring,
     prefix_forest.op7_approximate_nearest_neighbours,
+    licenses.op8_license_scans,
     secrets.op9_secret_scans,
     decontaminate.op10_benchmark_decontamination,
 )
@@ -66,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_warc": OP3, "op10_benchmark_decontamination": OP10}
+    return {"op1_ngram_jaccard_join": OP1, "op3_warc": OP3, "op8_license_scans": OP8, "op10_benchmark_decontamination": OP10}
