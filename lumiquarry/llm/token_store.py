@@ -7,83 +7,132 @@ let a reader skip stripes and row groups from metadata alone, and stripes are re
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumiquarry.llm.textbytes import pieces, spread
+from lumiquarry.llm.textbytes import hashes, pieces, spread, utf8
 from lumiquarry.session import shared_folder, table
 
-#: Texts of these characters alone, which all byte-level patterns class alike, may be cut before a space or line end that follows none.
-PLAIN = re.compile(r"[ \n!-~À-ÖØ-öø-ɏ]*")
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Chunks whose ids a task remembers at most.
-REMEMBER = 400_000
+#: Distinct chunks whose ids a worker remembers at most.
+REMEMBER = 800_000
 ORC = {"orc.compress": "ZSTD", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true"}
+#: Bytes that a plain text does not hold: controls but the line end, and what leads characters beyond U+024F or below U+00C0.
+ODD = np.ones(256, bool)
+ODD[10] = ODD[32:127] = ODD[0x80:0xC0] = ODD[0xC3:0xCA] = False
+BLANK = np.zeros(256, bool)
+BLANK[[10, 32]] = True
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 
 class Encoder:
-    """The tokenizers library's ids of texts, with the ids of chunks that recur remembered.
+    """The tokenizers library's ids of texts, with the ids of chunks that recur remembered by a 64-bit hash.
 
-    A byte-level pattern never joins a character that is no white space with white space after it, so a plain text's ids
-    are those of its chunks, end to end. Any other text, and one that holds an added token, is encoded as it stands.
+    A plain text holds ASCII, line ends and Latin letters up to U+024F alone, which byte-level patterns class alike
+    everywhere. Such a pattern never joins a letter with what is none after it, nor a character that is no white space
+    with white space after it. The text's ids are those of its chunks between these places, end to end. Any other text,
+    and one that holds an added token, is encoded as it stands. New chunks of a blank and a word are encoded in one text,
+    each after a line end, which is a token of its own there.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
         model = Tokenizer.from_file(path)
-        self.added = [t.content for t in model.get_added_tokens_decoder().values()]
-        self.plain = "ByteLevel" in type(model.pre_tokenizer).__name__ and model.normalizer is None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.begin, self.size, self.used = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBER:
-            self._forget()
-        ids = [e.ids for e in self.encode(chunks, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.concatenate([np.asarray(x, np.int32) for x in ids]) if len(ids) < 1000 else np.array([i for x in ids for i in x], np.int32)
-        at = len(self.known)
-        while len(self.begin) < at + len(ids):
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
-        while len(self.flat) < self.used + len(new):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(new)] = new
-        self.begin[at : at + len(ids)], self.size[at : at + len(ids)] = self.used + np.cumsum(size) - size, size
-        self.used += len(new)
-        self.known.update(zip(chunks, range(at, at + len(ids)), strict=True))
-
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.encode = model.encode_batch_fast
+        self.added = [t.content.encode() for t in model.get_added_tokens_decoder().values()]
+        self.line = self._ids(["\n"])[0]
+        self.plain = "ByteLevel" in type(model.pre_tokenizer).__name__ and model.normalizer is None and len(self.line) == 1
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.encode(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chunks in another order, which comes last: first their ids end to end, and how many each has."""
+        lined = np.fromiter((c[0] == " " and c[-1] not in " \n" and "\n" not in c for c in chunks), bool, len(chunks))
+        order = np.argsort(~lined, kind="stable")
+        words, rest = [chunks[k] for k in order[: lined.sum()]], [chunks[k] for k in order[lined.sum() :]]
+        flat, size = [], []
+        for k in range(0, len(words), 4096):
+            (ids,) = self._ids(["\n" + "\n".join(words[k : k + 4096])])
+            cut = np.flatnonzero(ids == self.line[0])
+            if len(cut) != len(words[k : k + 4096]):
+                raise ValueError("a line end is no token of its own")
+            flat.append(np.delete(ids, cut))
+            size.append(np.diff(np.append(cut, len(ids))) - 1)
+        own = self._ids(rest)
+        return np.concatenate([np.zeros(0, np.int32), *flat, *own]), np.concatenate([np.zeros(0, np.int64), *size, np.fromiter(map(len, own), np.int64, len(own))]), order
+
+    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
-        cut = [CHUNK.findall(t) if self.plain and PLAIN.fullmatch(t) and not any(a in t for a in self.added) else None for t in texts]
-        flat = [c for row in cut if row for c in row]
-        if new := set(flat) - self.known.keys():
-            if len(self.known) + len(new) > REMEMBER:
-                new = set(flat)
-            self._learn(sorted(new))
-        index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        size = self.size[index]
-        ids = self.flat[spread(self.begin[index], size)] if len(index) else np.zeros(0, np.int32)
-        chunks = np.array([len(row) if row else 0 for row in cut])
-        total = np.concatenate([[0], np.cumsum(size)])
-        ends = np.cumsum(chunks)
-        count = total[ends] - total[ends - chunks]
-        odd = [i for i, row in enumerate(cut) if row is None]
-        if not odd:
+        data, offsets = utf8(column)
+        odd = ODD[data]
+        for lead, low, high in ((0xC3, 0x97, 0x97), (0xC3, 0xB7, 0xB7), (0xC9, 0x90, 0xBF)):  # signs among the letters, letters beyond U+024F
+            at = np.flatnonzero(data[:-1] == lead)
+            odd[at] |= (data[at + 1] >= low) & (data[at + 1] <= high)
+        n = np.diff(offsets)
+        rough = np.zeros(len(n), bool)
+        full = np.flatnonzero(n)
+        if len(full):
+            rough[full] = np.logical_or.reduceat(odd, offsets[full]) if self.plain else True
+        for mark in self.added:
+            raw, at = data.tobytes(), -1
+            while (at := raw.find(mark, at + 1)) >= 0:
+                rough[np.searchsorted(offsets, at, "right") - 1] = True
+        blank = BLANK[data]
+        first = np.zeros(len(data), bool)
+        first[1:] = blank[1:] & ~blank[:-1]
+        letter = LETTER[data]
+        first[1:] |= letter[:-1] & ~letter[1:]
+        first[offsets[:-1][n > 0]] = True
+        begins = np.flatnonzero(first)
+        ends = np.append(begins[1:], len(data))
+        row = np.searchsorted(offsets, begins, "right") - 1
+        if rough.any():
+            begins, ends, row = (x[~rough[row]] for x in (begins, ends, row))
+        seen, where, inverse = np.unique(hashes(data, begins, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, seen)
+        held = np.zeros(len(seen), bool)
+        if len(self.hash):
+            held = self.hash[np.minimum(place, len(self.hash) - 1)] == seen
+        new = np.flatnonzero(~held)
+        raw = data.tobytes()
+        ids, size, order = self._chunks([raw[a:b].decode() for a, b in zip(begins[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        flat, sizes = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
+        start = np.cumsum(sizes) - sizes
+        slot = np.empty(len(seen), np.int64)
+        slot[held] = self.slot[place[held]]
+        new = new[order]
+        slot[new] = len(self.size) + np.arange(len(new))
+        if len(new) and len(self.hash) < REMEMBER:
+            self.flat, self.size = flat, sizes
+            both = np.concatenate([self.hash, seen[new]])
+            order = np.argsort(both, kind="stable")
+            self.hash, self.slot = both[order], np.concatenate([self.slot, slot[new]])[order]
+        slot = slot[inverse]
+        size = sizes[slot]
+        ids = flat[spread(start[slot], size)] if len(slot) else np.zeros(0, np.int32)
+        count = np.bincount(row, weights=size, minlength=len(n)).astype(np.int64)
+        if not rough.any():
             return ids, count
-        own = dict(zip(odd, (np.asarray(e.ids, np.int32) for e in self.encode([texts[i] for i in odd], add_special_tokens=False)), strict=True))
-        rows = [own[i] if i in own else ids[total[e - c] : total[e]] for i, (e, c) in enumerate(zip(ends, chunks, strict=True))]
-        return np.concatenate(rows), np.array([len(r) for r in rows])
+        whole = dict(zip(np.flatnonzero(rough).tolist(), self._ids([column[int(i)].as_py() for i in np.flatnonzero(rough)]), strict=True))
+        cut = np.cumsum(count)
+        rows = [whole[i] if i in whole else ids[cut[i] - count[i] : cut[i]] for i in range(len(n))]
+        return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, so that what it remembers serves them all."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, stripe_bytes: int = 64 << 20, stride: int = 1000) -> None:
@@ -100,9 +149,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
     schema = "doc_id long, part int, at long, n_tokens long, tokens array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = Encoder(tokenizer), 0
-        for batch in pieces(batches, "text", 8 << 20):
-            ids, count = encoder.batch(batch.column("text").to_pylist())
+        encoder, at = worker_encoder(tokenizer), 0
+        for batch in pieces(batches, "text"):
+            ids, count = encoder.batch(batch.column("text"))
             rows = np.arange(len(count))
             n = count + 1
             ends = np.cumsum(n)
