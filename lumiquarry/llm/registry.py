@@ -75,9 +75,13 @@ OPERATORS = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in OPERATORS}
+    import corpus_pipeline
 
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_warc": OP3, "op8_license_scans": OP8, "op10_benchmark_decontamination": OP10}
+    import corpus_pipeline
+
+    more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return more | {"op1_ngram_jaccard_join": OP1, "op3_warc": OP3, "op8_license_scans": OP8, "op10_benchmark_decontamination": OP10}
