@@ -4,9 +4,10 @@
 2. Vertices that could link are brought together without the product. Sets of sizes a and b link only if they differ in
    at most D = (a + b)(1 - s)/(1 + s) n-grams. The hash range is cut into more than D bins, so linked sets agree on all
    of some bin. A bin's content is its signature; sets of similar sizes share one binning. A common passage fills a bin
-   alone so rarely that it makes no large group by itself, unlike a single common n-gram. Each task packs signatures
-   into blobs and, of vertices that already agree there, sends one.
-3. Vertices that share signatures form blocks. Blocks are cut into tiles; for each pair of tiles the incidence matrices
+   alone so rarely that it makes no large group by itself, unlike a single common n-gram. Tasks pack signatures into
+   blobs. Pairs that share one must also pass a bound on part sizes: counted in BUCKETS ranges of the hash, two sets
+   differ at least by the sum of the differences of their counts, and pairs beyond D go.
+3. Vertices that such pairs connect form blocks. Blocks are cut into tiles; for each pair of tiles the incidence matrices
    are multiplied in slices of columns that both hold, overlap counts are accumulated, and pairs below the bound that
    their sizes give are discarded. A pair of tiles returns a spanning forest of its links and each vertex's links as a
    number, so output is linear in the block, whatever the number of links.
@@ -31,7 +32,13 @@ from lumiquarry.session import table, written
 #: Vertices in a tile of the product, and columns multiplied at once.
 TILE, COLUMNS = 512, 4096
 #: Signatures a task gathers before it packs them.
-FLUSH = 2 << 20
+FLUSH = 1 << 20
+#: Ranges of the hash in which a set's n-grams are counted, each up to 255.
+BUCKETS = 64
+#: Vertices of one signature beyond which a task, or the signature's own task, joins them in a star instead of comparing counts.
+LOCAL_GROUP, GROUP = 256, 4096
+#: Bits of the filter that says whose texts are read again: its size is fixed, so it can be broadcast; more members mean more texts read in vain.
+FILTER = 26
 PREFIX_TAG = np.uint64(0xA24BAED4963EE407)
 
 
@@ -98,33 +105,50 @@ def digest(grams_of_row: np.ndarray) -> bytes:
     return hashlib.blake2b(grams_of_row.tobytes(), digest_size=16).digest()
 
 
-def grouped(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs' distinct signatures, the first node of each, and edges (first, other) between nodes that share one."""
+def runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (sig, node) pairs, ascending, and the n + 1 places where signatures begin."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
-    other = np.flatnonzero(node != node[first])
-    edges = np.unique(np.stack([node[first[other]], node[other]], axis=1), axis=0) if len(other) else np.zeros((0, 2), np.int64)
-    return sig[new], node[new], edges
+    keep = np.ones(len(sig), bool)
+    keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node = sig[keep], node[keep]
+    return sig, node, np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig)) if len(sig) else np.zeros(1, np.int64)
 
 
-FOUND = "part int, sigs binary, id long, n int, digest binary, u long, v long"
+def stars(node: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (first, other) within groups of more than ``size`` nodes, and which entries are left: all but the others."""
+    n = np.diff(place)
+    big = np.flatnonzero(n > size)
+    other = spread(place[big] + 1, n[big] - 1)
+    keep = np.ones(len(node), bool)
+    keep[other] = False
+    edges = np.stack([np.repeat(node[place[big]], n[big] - 1), node[other]], axis=1)
+    return np.unique(edges, axis=0) if len(edges) else edges, keep
+
+
+FOUND = "part int, sigs binary, id long, n int, digest binary, counts binary, sig long, u long, v long"
+
+
+def counts(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many of each row's hashes fall in each of BUCKETS ranges."""
+    bucket = (flat >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64) + np.repeat(np.arange(len(place) - 1) * BUCKETS, np.diff(place))
+    return np.minimum(np.bincount(bucket, minlength=(len(place) - 1) * BUCKETS), 255).astype(np.uint8).reshape(-1, BUCKETS)
 
 
 def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
-    """Rows of three kinds: a document's id, n and digest; packed signatures of one part; an edge (u, v) found in the task."""
+    """Rows of three kinds: a document's id, n, digest and counts; a signature and one of the nodes that share it; an edge (u, v)."""
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
-        kinds = {"part": pa.int32(), "sigs": pa.binary(), "id": pa.int64(), "n": pa.int32(), "digest": pa.binary(), "u": pa.int64(), "v": pa.int64()}
+        kinds = {"part": pa.int32(), "sigs": pa.binary(), "id": pa.int64(), "n": pa.int32(), "digest": pa.binary(), "counts": pa.binary(), "sig": pa.int64(), "u": pa.int64(), "v": pa.int64()}
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
     def packed(sigs: list, nodes: list) -> Iterator[pa.RecordBatch]:
         if not sigs:
             return
-        sig, node, edges = grouped(np.concatenate(sigs), np.concatenate(nodes))
+        sig, node, place = runs(np.concatenate(sigs), np.concatenate(nodes))
+        edges, keep = stars(node, place, LOCAL_GROUP)
+        sig, node = sig[keep], node[keep]
         part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as sig is
         cut = np.searchsorted(part, np.arange(parts + 1))
         pairs = np.stack([sig.view(np.int64), node], axis=1)
@@ -134,13 +158,13 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
             yield rows(part=(mix(edges[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int32), u=edges[:, 0], v=edges[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes, seen, held = [], [], set(), 0
+        sigs, nodes, seen, held, dealt = [], [], set(), 0, 0
         for batch in pieces(batches, "text"):
+            dealt += batch.num_rows
             flat, place = grams(batch, size)
             marks = [digest(flat[a:b]) if b > a else None for a, b in zip(place[:-1], place[1:], strict=True)]
             id_ = batch.column("id")
-            part = [int.from_bytes(m[8:12], "little") % parts if m else k % parts for k, m in enumerate(marks)]
-            yield rows(part=part, id=id_, n=np.diff(place).astype(np.int32), digest=marks)
+            yield rows(part=(dealt + np.arange(len(marks))) % parts, id=id_, n=np.diff(place).astype(np.int32), digest=marks, counts=[x.tobytes() for x in counts(flat, place)])
             fresh = []
             for k, (m, i) in enumerate(zip(marks, id_.to_pylist(), strict=True)):
                 if m and i is not None and m not in seen:
@@ -170,13 +194,78 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
         if blobs:
             pairs = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
             del blobs
-            _, _, edges = grouped(pairs[:, 0].view(np.uint64), pairs[:, 1])
+            sig, node, place = runs(pairs[:, 0].view(np.uint64), pairs[:, 1])
+            edges, keep = stars(node, place, GROUP)
             if len(edges):
                 yield rows(u=edges[:, 0], v=edges[:, 1])
+            keep &= np.repeat((np.diff(place) > 1) & (np.diff(place) <= GROUP), np.diff(place))
+            if keep.any():
+                yield rows(sig=sig[keep].view(np.int64), v=node[keep])
 
     return docs.mapInArrow(run, FOUND).repartition(parts, "part").mapInArrow(meet, FOUND)
 
 
+def near_pairs(bounds: Bounds):
+    """Of rows (sig, node, n, counts), those of one signature in one task: edges between nodes that share one and pass the bounds on sizes.
+
+    Only a spanning forest of a large group's pairs is returned.
+    """
+
+    def passes(n: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        most = (n[i] + n[j]) * (100 - bounds.percent) // (100 + bounds.percent)
+        apart = np.concatenate([np.abs(c[i[k : k + 65536]] - c[j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
+        return (apart <= most) & (np.minimum(n[i], n[j]) * 100 >= bounds.percent * np.maximum(n[i], n[j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        known, at = np.unique(t["node"].to_numpy(), return_inverse=True)
+        sig, at, place = runs(t["sig"].to_numpy(), at)
+        _, first = np.unique(t["node"].to_numpy(), return_index=True)
+        n = t["n"].to_numpy()[first].astype(np.int64)
+        c = np.frombuffer(b"".join(t["counts"].take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        size, pairs = np.diff(place), []
+        for g in range(2, min(33, int(size.max()) + 1)):
+            of = at[spread(place[:-1][size == g], np.full((size == g).sum(), g))].reshape(-1, g)
+            i, j = np.triu_indices(g, 1)
+            pairs.append(np.stack([of[:, i].ravel(), of[:, j].ravel()], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        pairs = pairs[passes(n, c, pairs[:, 0], pairs[:, 1])]
+        root = np.arange(len(known))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        edges = []
+        for a, b in pairs.tolist():
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                edges.append((a, b))
+        for k in np.flatnonzero(size >= 33):
+            own = at[place[k] : place[k + 1]]
+            top = np.array([find(x) for x in own])
+            for x in range(len(own)):  # against all nodes after it that are not yet connected with it
+                rest = np.flatnonzero(top[x + 1 :] != top[x]) + x + 1
+                if len(rest) and (ok := rest[passes(n, c, np.full(len(rest), own[x]), own[rest])]).size:
+                    for y in ok:
+                        a, b = find(own[x]), find(own[y])
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
+                            edges.append((a, b))
+                    top = np.array([find(z) for z in top])
+        if edges:
+            e = known[np.array(edges)]
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["u", "v"])
+
+    return run
+
+
 def product(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], bounds: Bounds) -> np.ndarray:
     """Which rows of the tiles link: overlap counts from slices of the columns that both tiles hold, against the sizes' bound."""
     (fl, pl), (fr, pr) = left, right
@@ -244,10 +333,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = written(signed(base, size, bounds, parts), "ngrams")
-    sets = found.where("n is not null").select("id", "n", "digest")
-    vertex = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    edges = found.where("u is not null")
-    blocks = connected_components(edges, "u", "v")
+    sets = found.where("n is not null").select("id", "n", "digest", "counts")
+    vertex = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("counts").alias("counts"))
 
     # The first 8 bytes of a digest are the vertex in ``edges``; two sets that share them merely share a block.
     def node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,20 +342,37 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             nodes = np.frombuffer(b"".join(x[:8] for x in b.column("digest").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes)], names=[*b.schema.names, "node"])
 
-    numbered = vertex.mapInArrow(node, "digest binary, rep long, copies long, n int, node long")
+    numbered = vertex.mapInArrow(node, "digest binary, rep long, copies long, n int, counts binary, node long")
+    shared = found.where("sig is not null").select("sig", F.col("v").alias("node")).join(numbered.select("node", "n", "counts"), "node")
+    pairs = shared.repartition(parts, "sig").mapInArrow(near_pairs(bounds), "u long, v long")
+    blocks = connected_components(pairs.union(found.where("u is not null").select("u", "v")), "u", "v")
     members = written(numbered.join(blocks, "node").select("digest", "rep", "copies", F.col("component").alias("block")), "blocks")
     tiles = members.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
 
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER))
+
+    def bits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << 15, bool)
+        own[pdf["bit"].to_numpy() & 0x7FFF] = True
+        return pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(own).tobytes()]})
+
+    of = members.select(F.col("rep").alias("id")).select(bit.alias("bit")).withColumn("chunk", (F.col("bit") / (1 << 15)).cast("int"))
+    chosen = np.zeros((1 << (FILTER - 15), 1 << 12), np.uint8)
+    for chunk, own in of.groupBy("chunk").applyInPandas(bits, "chunk int, bits binary").toLocalIterator():
+        chosen[chunk] = np.frombuffer(own, np.uint8)
+    sent = spark.sparkContext.broadcast(chosen.ravel())
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            flat, place = grams(b, size)
-            own = [flat[x:y] for x, y in zip(place[:-1], place[1:], strict=True)]
-            same = pa.array([digest(s) == m for s, m in zip(own, b.column("digest").to_pylist(), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([b.column("block"), b.column("tiles"), b.column("rep"), b.column("copies"), pa.array([s.tobytes() for s in own], pa.binary())], names=["block", "tiles", "rep", "copies", "grams"])
-            yield out.filter(same)
-
-    texts = base.join(members.join(tiles, "block"), F.col("id") == F.col("rep")).select("block", "tiles", "rep", "copies", "digest", "text")
-    own = texts.mapInArrow(sets_of, "block long, tiles int, rep long, copies long, grams binary").dropDuplicates(["rep", "grams"])
+        for b in batches:
+            at = b.column("bit").to_numpy()
+            b = b.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            for part in pieces(iter([b]), "text"):
+                flat, place = grams(part, size)
+                own = [flat[x:y] for x, y in zip(place[:-1], place[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([digest(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["rep", "digest", "grams"])
+
+    texts = base.where("id is not null").withColumn("bit", bit).mapInArrow(sets_of, "rep long, digest binary, grams binary")
+    own = texts.join(members.join(tiles, "block"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
     mine = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     tiled = own.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("block", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "copies", "grams")
