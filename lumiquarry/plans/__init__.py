@@ -1 +1 @@
-
+"""Pipelines made of the operators, and the registered queries."""

@@ -1 +1 @@
-
+"""Reading media folders, side files and libraries."""

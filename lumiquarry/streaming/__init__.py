@@ -1 +1 @@
-
+"""Watching folders and windows over event streams."""
