@@ -174,19 +174,24 @@ def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[object, str]]
     yield block
 
 
-def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """What of each document stands verbatim in the benchmark.
 
     Words are runs of digits, letters a-z (A-Z lowered) and characters beyond ASCII. A window is ``window`` consecutive
     words of an item, or all words of a shorter one. Returns a row per row of ``docs``: ``id_col``, n_words, n_hit (words
     inside any occurrence of a window), items (ids as strings, sorted as strings), longest_match (words of the longest
-    verbatim stretch) and match_at (its first word, from 0; -1 without), and the columns of ``docs`` named in ``keep``.
+    verbatim stretch) and match_at (its first word, from 0; -1 without).
 
     Null texts and texts without words have n_words 0 and hit nothing; items without words, or with a null id or text,
     have no windows; equal ids of items count once; repeated documents are answered each. Further columns of either
     table are not read. A whole document is in one shard, so memory follows the longest text. The benchmark is broadcast
     in blocks of ``block_bytes`` at most; where it has several, each block's finds are written before the next.
     """
+    return _overlap(docs, benchmark, (), id_col, text_col, item_col, item_text, window, block_bytes).withColumnRenamed("id", id_col)
+
+
+def _overlap(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], id_col: str, text_col: str, item_col: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
+    """``benchmark_overlap`` with the id as "id" and columns ``keep`` of ``docs`` as "kept_" and their name."""
     spark = docs.sparkSession
     items = benchmark.select(item_col, item_text).where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull())
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
@@ -215,15 +220,15 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
 
         df = (written(df, "overlap") if k else df).mapInArrow(run, schema)
     return df.select(
-        F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.coalesce((F.octet_length("hits") / 8).cast("long"), F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("longest").alias("longest_match"), F.col("place").alias("match_at"), *[F.col(f"kept_{c}").alias(c) for c in keep],
+        "id", F.col("n_words").cast("long").alias("n_words"), F.coalesce((F.octet_length("hits") / 8).cast("long"), F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("longest").alias("longest_match"), F.col("place").alias("match_at"), *[f"kept_{c}" for c in keep],
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, that hold no window of the benchmark. See ``benchmark_overlap``."""
-    keep = tuple(c for c in docs.columns if c != how.get("id_col", "doc_id"))
-    return benchmark_overlap(docs, benchmark, keep=keep, **how).where("n_hit = 0").select(*docs.columns)
+    found = _overlap(docs, benchmark, tuple(docs.columns), id_col, text_col, item_col, item_text, window, block_bytes)
+    return found.where("n_hit = 0").select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
 
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

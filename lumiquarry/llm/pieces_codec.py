@@ -312,7 +312,10 @@ def encoded(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: st
             rest = [batch.column(c) for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*rest, tokens, pa.array(count.astype(np.int32)), pa.array(crc, pa.int64()), pa.array(same)], names=schema.names)
 
-    return base.mapInArrow(run, schema).withColumnsRenamed({"id": id_col} | {f"kept_{c}": c for c in keep})
+    if {*keep} & {id_col, "tokens", "n_tokens", "ids_crc32", "round_trip"}:
+        raise ValueError("a kept column has the name of a result")
+    names = [F.col("id").alias(id_col), *[F.col(f"kept_{c}").alias(c) for c in keep]]
+    return base.mapInArrow(run, schema).select(*names, "tokens", "n_tokens", "ids_crc32", "round_trip")
 
 
 def op5_sentencepiece_codec(spark, sf_dir: str) -> DataFrame:

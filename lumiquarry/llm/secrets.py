@@ -89,14 +89,14 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Secrets of each text: ``id_col``, secrets (array of kind, start, end; code points, end exclusive) and columns ``keep``.
+def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Secrets of each text: ``id_col`` and secrets (array of kind, start, end; code points, end exclusive).
 
     A row per row of ``docs``, in its partition. Null and empty texts have none; spans are by start, then by kind in the
     order of KINDS, and spans of different kinds may overlap; repeated rows are answered each; further columns are not
     read. Memory follows the longest text.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = base.select("*", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>").alias("secrets")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             spans = [[(KINDS[k], a, b) for a, k, b in scan(t, found)] if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in row] for row in spans], pa.list_(SPAN))], names=schema.names)
 
-    return base.mapInArrow(run, schema).select(F.col("id").alias(id_col), "secrets", *[F.col(f"kept_{c}").alias(c) for c in keep])
+    return base.mapInArrow(run, schema).select(F.col("id").alias(id_col), "secrets")
 
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:

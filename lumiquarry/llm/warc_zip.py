@@ -95,9 +95,9 @@ def directory(file, size: int) -> dict[str, Member]:
 
     tail_at = max(0, size - 22 - FULL16)
     tail = read(tail_at, size - tail_at)
-    end = tail.rfind(END)
+    end = tail.rfind(END, 0, max(0, len(tail) - 18))
     while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):  # the signature may stand in the comment
-        end = tail.rfind(END, 0, end)
+        end = tail.rfind(END, 0, end + 3)
     if end < 0:
         raise ValueError("no end of a ZIP directory")
     count, length, start = struct.unpack_from("<HII", tail, end + 10)
