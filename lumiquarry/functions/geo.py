@@ -15,12 +15,18 @@ def _half_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
 
 
+def _arc(a: Column) -> Column:
+    """asin of the root, the root at most 1; null stays null, which ``least`` would pass over."""
+    root = F.sqrt(a)
+    return F.asin(F.when(root > 1, 1.0).otherwise(root))
+
+
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(_half_chord(lat1, lon1, lat2, lon2))))
+    return 2 * EARTH_M * _arc(_half_chord(lat1, lon1, lat2, lon2))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(_half_chord(lat1, lon1, lat2, lon2))))
+    return 2 * EARTH_KM * _arc(_half_chord(lat1, lon1, lat2, lon2))
 
 
 def km_per_deg_lon(lat: Column) -> Column:

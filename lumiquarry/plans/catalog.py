@@ -408,7 +408,7 @@ def scene_islands(spark, d):
     return islands.scenes(p, ["user_id"], "at", "v", "photo_id", gap=3600, similar=0.05).select("photo_id", "scene")
 
 
-HAVERSINE = "2 * {r} * asin(least(1.0, sqrt(sin(radians({b} - {a}) / 2) ** 2 + cos(radians({a})) * cos(radians({b})) * sin(radians({d} - {c}) / 2) ** 2)))"
+HAVERSINE = "2 * {r} * asin(sqrt(sin(radians({b} - {a}) / 2) ** 2 + cos(radians({a})) * cos(radians({b})) * sin(radians({d} - {c}) / 2) ** 2))"
 
 
 @query("session_blocks", f"""WITH p AS (SELECT user_id, event_id, {SECONDS} AS pos, {LAT} AS lat, {LON} AS lon FROM events),
