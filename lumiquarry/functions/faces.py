@@ -21,11 +21,11 @@ def eye_extent(landmarks: Column, eye: Column) -> Column:
 
 def eyes_open(landmarks: Column, left: Column, right: Column) -> Column:
     mean = (eye_extent(landmarks, left) + eye_extent(landmarks, right)) / 2
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mean - CLOSED_RATIO) / (OPEN_RATIO - CLOSED_RATIO)))
+    return F.when(mean.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mean - CLOSED_RATIO) / (OPEN_RATIO - CLOSED_RATIO))))
 
 
 def _clip(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x))
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x)))
 
 
 def yaw(left: Column, right: Column, nose: Column) -> Column:

@@ -66,8 +66,8 @@ def softmax_first(a: Column, b: Column, *, scale: float = 112.33, bias: float =
 
 
 def frame_quality(blur: Column, exposure: Column) -> Column:
-    """M9."""
-    return 0.5 * F.least(F.lit(1.0), blur / 200) + 0.5 * exposure
+    """M9; null without a sharpness."""
+    return F.when(blur.isNotNull(), 0.5 * F.least(F.lit(1.0), blur / 200) + 0.5 * exposure)
 
 
 def frame_good(blur: Column, exposure: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiquarry.operators.rank import running_total
+
 
 def facet_counts(**facets: DataFrame) -> DataFrame:
     """A4: (facet, value, n): the counts of each frame's only column, nulls out."""
@@ -90,10 +92,9 @@ def best_faces(faces: DataFrame, person: str = "person_id", face: str = "face_id
 
 
 def rank_auc(df: DataFrame, label: Column, score: str) -> DataFrame:
-    """(auc,): by average ranks; null with one class. Ranks come from counts per distinct score, not from one sorted task's rows."""
-    per = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
-    low = F.sum("n").over(Window.orderBy(score)) - F.col("n")
-    ranked = per.select("n", "pos", (low + (F.col("n") + 1) / 2).alias("rank"))
+    """(auc,): by average ranks; null with one class. Ranks are running totals of counts per distinct score; rows without a score are out."""
+    per = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
+    ranked = running_total(per, [F.col(score)], F.col("n"), "to").select("n", "pos", (F.col("to") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
     return ranked.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("rank") * F.col("pos")).alias("ranks")).select(
         F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos"))).alias("auc")
     )

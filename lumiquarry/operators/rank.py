@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiquarry.session import written
+
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group; ``rank`` names a column for their place, from 1."""
@@ -50,13 +52,23 @@ def average_percent(value: str, by: Sequence[str] = ()) -> Column:
     return F.when(n > 1, average_rank(value, by) / (n - 1)).otherwise(1.0)
 
 
+def running_total(df: DataFrame, order: Sequence[Column], value: Column, total: str) -> DataFrame:
+    """Rows with ``total``: the sum of ``value`` over the rows up to and with this one, without a single task.
+
+    Rows are range-partitioned, summed up within their part, and written, so that parts are the same for both their
+    readers; each part is then offset by the sums of the parts before, one row a part.
+    """
+    keyed = df.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = written(keyed.withColumn("_sum", F.sum("_value").over(w)), "ranked")
+    sums = local.groupBy("_part").agg(F.sum("_value").alias("_all"))
+    before = sums.select("_part", (F.sum("_all").over(Window.orderBy("_part")) - F.col("_all")).alias("_before"))
+    return local.join(F.broadcast(before), "_part").withColumn(total, F.col("_before") + F.col("_sum")).drop("_part", "_value", "_sum", "_before")
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], rank: str) -> DataFrame:
-    """Numbers all rows from 0 in order without a single task: range-partitioned, numbered within, offset by the parts before."""
-    keyed = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = keyed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.max("_at").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return local.join(F.broadcast(before), "_part").withColumn(rank, F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
+    """Numbers all rows from 0 in order. See ``running_total``."""
+    return running_total(df, order, F.lit(1).cast("long"), rank).withColumn(rank, F.col(rank) - 1)
 
 
 def quota_then_best(df: DataFrame, by: str, score: Column, key: str, most: int) -> DataFrame:
