@@ -47,8 +47,13 @@ def degrees_apart(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Col
     return F.sqrt(F.pow(lat1 - lat2, F.lit(2)) + F.pow(lon1 - lon2, F.lit(2)))
 
 
-def svg_points(lat: Column, lon: Column, low_lat: Column, high_lat: Column, low_lon: Column, high_lon: Column, *, width: float = 600, height: float = 300, pad: float = 24) -> Column:
-    """A route point in the picture's plane, north up, one scale both ways; "x,y" with one digit."""
+def svg_xy(lat: Column, lon: Column, low_lat: Column, high_lat: Column, low_lon: Column, high_lon: Column, *, width: float = 600, height: float = 300, pad: float = 24) -> tuple[Column, Column]:
+    """A route point in the picture's plane, north up, one scale both ways."""
     span = F.greatest(high_lat - low_lat, high_lon - low_lon, F.lit(1e-6))
     scale = F.least(F.lit(width - 2 * pad), F.lit(height - 2 * pad)) / span
-    return F.format_string("%.1f,%.1f", pad + (lon - low_lon) * scale, height - pad - (lat - low_lat) * scale)
+    return pad + (lon - low_lon) * scale, height - pad - (lat - low_lat) * scale
+
+
+def svg_points(points: Column) -> Column:
+    """The ``points`` text of a line from an array of structs x, y."""
+    return F.array_join(F.transform(points, lambda p: F.format_string("%.1f,%.1f", p["x"], p["y"])), " ")

@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from lumiquarry.plans import catalog  # noqa: F401  registers on import
+    from lumiquarry.plans import catalog, catalog_more  # noqa: F401  they register on import

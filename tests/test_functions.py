@@ -24,6 +24,7 @@ def test_distances(spark):
     assert one(spark, geo.km_per_deg_lon(F.lit(34.0)))[0] == pytest.approx(92.29, abs=0.01)
     assert one(spark, geo.haversine_km(*p))[0] == pytest.approx(92.19, abs=0.05)
     assert one(spark, geo.degrees_apart(*p))[0] == 1.0
+    assert one(spark, geo.svg_points(F.array(F.struct(F.lit(1.0).alias("x"), F.lit(2.26).alias("y")), F.struct(F.lit(3.0).alias("x"), F.lit(4.0).alias("y")))))[0] == "1.0,2.3 3.0,4.0"
 
 
 def test_score_rules(spark):
