@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumiquarry.llm.textbytes import ALNUM, LOWER, hashes, pieces, spread, utf8, words
+from lumiquarry.llm.textbytes import ALNUM, LOWER, hashes, pieces, spread, tidy, utf8, words
 from lumiquarry.session import table, written
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: Benchmark text that is broadcast at once; a larger benchmark is searched for block by block.
 BLOCK_BYTES = 16 << 20
 
@@ -218,7 +218,7 @@ def _overlap(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], id_co
                 fixed = [batch.column(c) for c in base.names]
                 yield pa.RecordBatch.from_arrays([*fixed, pa.array(n, pa.int32()), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(place, pa.int32())], names=schema.names)
 
-        df = (written(df, "overlap") if k else df).mapInArrow(run, schema)
+        df = (written(df, "overlap") if k else df).mapInArrow(tidy(run), schema)
     return df.select(
         "id", F.col("n_words").cast("long").alias("n_words"), F.coalesce((F.octet_length("hits") / 8).cast("long"), F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("longest").alias("longest_match"), F.col("place").alias("match_at"), *[f"kept_{c}" for c in keep],

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumiquarry.llm.quality import fold
-from lumiquarry.llm.textbytes import LOWER, NOT_SPACE, hashes, mix, pieces, utf8, words
+from lumiquarry.llm.textbytes import LOWER, NOT_SPACE, hashes, mix, pieces, tidy, utf8, words
 from lumiquarry.session import table, written
 
 #: Words whose counts are broadcast, classes of one word, bands of words, rows of the weight table.
@@ -83,7 +83,7 @@ class Words:
         kind = np.arange(len(h))
         rest = count[SINGLE:]
         kind[SINGLE:] = SINGLE + np.minimum((np.cumsum(rest) - rest) * BANDS // max(1, int(rest.sum())), BANDS - 1)
-        mass = np.bincount(kind, weights=count + 0.5, minlength=CLASSES)
+        mass = np.bincount(kind, weights=count + 0.5, minlength=CLASSES).astype(float)  # of nothing it is whole numbers
         self.total, self.types = total, types
         mass[CLASSES - 1] = total - count.sum() + 0.5 * (types - len(h) + 1)
         self.mass = mass
@@ -172,7 +172,7 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
             best = np.lexsort((h, -n))[:TOP]
             yield rows(hash=h[best].view(np.int64), count=n[best])
 
-    return docs.mapInArrow(count, schema).repartition(parts, "part").mapInArrow(add, schema)
+    return docs.mapInArrow(tidy(count), schema).repartition(parts, "part").mapInArrow(tidy(add), schema)
 
 
 def learned(docs: DataFrame, known, weights: np.ndarray, blocks: int = 16) -> np.ndarray:
@@ -199,7 +199,7 @@ def learned(docs: DataFrame, known, weights: np.ndarray, blocks: int = 16) -> np
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(w / n).astype(np.float32).tobytes() for w, n in total.values()], pa.binary()), pa.array([n for _, n in total.values()], pa.int64())], names=["block", "weights", "seen"])
 
     schema = "block int, weights binary, seen long"
-    got = sorted((r["block"], bytes(r["weights"])) for r in docs.mapInArrow(steps, schema).repartition(blocks, "block").mapInArrow(average, schema).collect())
+    got = sorted((r["block"], bytes(r["weights"])) for r in docs.mapInArrow(tidy(steps), schema).repartition(blocks, "block").mapInArrow(tidy(average), schema).collect())
     return np.frombuffer(b"".join(w for _, w in got), np.float32).reshape(weights.shape) if got else weights
 
 
@@ -326,10 +326,10 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
             more, log = (np.where(held, x[at], 0) if len(row) else np.zeros(len(own), x.dtype) for x in (seen, logs))
             yield rows(batch, **{c: batch.column(c) for c in ("part", "row", "id", "held_out", "n_tokens")}, n_known=batch.column("n_known").to_numpy() + more, base_score=batch.column("base_score").to_numpy() + log, score=batch.column("score").to_numpy() + log)
 
-    first = numbered.select("row", "id", "held_out", "text").mapInArrow(score, schema)
+    first = numbered.select("row", "id", "held_out", "text").mapInArrow(tidy(score), schema)
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in ("part", "words")]
     shares = counts.where("words is not null").select("part", "words", *blank).select(*schema.names)
-    met = first.union(shares).repartition(parts, "part").mapInArrow(join, schema).repartition(parts, "part").mapInArrow(finish, schema)
+    met = first.union(shares).repartition(parts, "part").mapInArrow(tidy(join), schema).repartition(parts, "part").mapInArrow(tidy(finish), schema)
     return met.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

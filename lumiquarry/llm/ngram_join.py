@@ -22,19 +22,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumiquarry.llm.textbytes import LOWER, NOT_SPACE, hashes, mix, pieces, shingles, spread, utf8, words
+from lumiquarry.llm.textbytes import LOWER, NOT_SPACE, hashes, mix, pieces, shingles, spread, tidy, utf8, words
 from lumiquarry.operators.graph import connected_components
 from lumiquarry.session import table, written
 
-#: Vertices in a tile of the product, and columns multiplied at once.
-TILE, COLUMNS = 512, 4096
+#: Vertices in a tile of the product, n-grams of a tile, and columns multiplied at once.
+TILE, TILE_GRAMS, COLUMNS = 512, 1 << 20, 4096
 #: Signatures a task gathers before it packs them.
 FLUSH = 1 << 20
 #: Ranges of the hash in which a set's n-grams are counted, each up to 255.
 BUCKETS = 64
+#: Sets of more n-grams are also counted in ranges of about 12 n-grams: in BUCKETS ranges, large sets are alike by chance.
+FINE = 1000
 #: Vertices of one signature beyond which a task, or the signature's own task, joins them in a star instead of comparing counts.
 LOCAL_GROUP, GROUP = 256, 4096
 #: Bits of the filter that says whose texts are read again: its size is fixed, so it can be broadcast; more members mean more texts read in vain.
@@ -53,10 +56,27 @@ class Bounds:
             lo = max(lo + 1, lo * 5 // 4)
         self.lo = np.array(los, np.int64)
         most = np.append(self.lo[1:] - 1, longest)
-        #: Sets of a size class or of one below it differ in at most so many; the bins of each class; empty bins that a set may leave out.
+        #: Sets of a size class, and of those below it that may link with them, differ in at most so many.
         self.apart = 2 * most * (100 - percent) // (100 + percent)
-        self.slack = self.apart // 20 + 1
-        self.bins = self.apart + 1 + self.slack
+        solved = [self._bins(int(d), max(1, int(lo) * percent // 100)) for d, lo in zip(self.apart, self.lo, strict=True)]
+        #: Bins of each class, and the n-grams from which a bin is sent. Linked sets agree on more than ``slack`` bins.
+        self.bins, self.least = (np.array(x, np.int64) for x in zip(*solved, strict=True))
+        self.slack = self.bins - self.apart - 1
+
+    @staticmethod
+    def _bins(apart: int, size: int) -> tuple[int, int]:
+        """(bins, least): so many bins that sets of ``size`` or more seldom have more poorer bins than linked sets may leave out.
+
+        Bins of one n-gram are left out too where that takes few bins more: a frequent n-gram alone then never makes a group.
+        """
+        bins = apart + 1 + np.ceil((apart + 1) * np.linspace(0, 0.8, 161))
+        mean = size / bins
+        for least, most in ((2, 1.75), (1, 1.35)):
+            poor = np.exp(-mean) * (1 + (least - 1) * mean)
+            ok = np.flatnonzero((bins * poor + 3 * np.sqrt(bins * poor * (1 - poor)) <= bins - apart - 1) & (bins <= most * (apart + 1)))
+            if len(ok):
+                return int(bins[ok[0]]), least
+        return apart + 2 + apart // 20, 1
 
     def needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The overlap from which sets of sizes a and b link."""
@@ -81,10 +101,13 @@ class Bounds:
             new[1:] = (bin_[1:] != bin_[:-1]) | (inst[1:] != inst[:-1])
             at = np.flatnonzero(new)
             inst = inst[at]
-            sigs.append(mix(np.add.reduceat(mix(s), at) + mix(bin_[at] * np.uint64(1 << 20) + k[inst].astype(np.uint64))))
+            sig = mix(np.add.reduceat(mix(s), at) + mix(bin_[at] * np.uint64(1 << 20) + k[inst].astype(np.uint64)))
+            rich = np.diff(np.append(at, len(s))) >= self.least[k][inst]
+            sig, inst = sig[rich], inst[rich]
+            sigs.append(sig)
             rows.append(of[inst])
             lean[of] |= bins - np.bincount(inst, minlength=len(of)) > self.slack[k]
-        # Two rows that both leave many bins empty might agree on empty bins alone: those also share one of their first hashes.
+        # Two rows that both have more poor bins might agree on poor bins alone: those also share one of their first hashes.
         if len(of := np.flatnonzero(lean)):
             size = n[of] + (-self.percent * n[of]) // 100 + 1
             sigs.append(mix(flat[spread(place[of], size)] ^ PREFIX_TAG))
@@ -115,6 +138,26 @@ def runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig, node, np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig)) if len(sig) else np.zeros(1, np.int64)
 
 
+def squeezed(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Twelve bytes a pair: the high 48 bits of each. Signatures that agree so far are taken as one, which only adds candidates."""
+    out = np.empty((len(sig), 6), np.uint16)
+    for k in range(3):
+        out[:, k] = sig >> np.uint64(48 - 16 * k)
+        out[:, 3 + k] = node >> np.int64(32 - 16 * k)
+    return out
+
+
+def unsqueezed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.frombuffer(blob, np.uint16).reshape(-1, 6).astype(np.uint64)
+    sig, node = ((pairs[:, k] << np.uint64(32)) | (pairs[:, k + 1] << np.uint64(16)) | pairs[:, k + 2] for k in (0, 3))
+    return sig << np.uint64(16), node.view(np.int64)
+
+
+def vertices(digests: list[bytes]) -> np.ndarray:
+    """The first 48 bits of digests: the vertex in signatures and edges. Two sets that share them merely share a block."""
+    return np.frombuffer(b"".join(x[:6] + b"\0\0" for x in digests), np.int64)
+
+
 def stars(node: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (first, other) within groups of more than ``size`` nodes, and which entries are left: all but the others."""
     n = np.diff(place)
@@ -126,7 +169,7 @@ def stars(node: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, n
     return np.unique(edges, axis=0) if len(edges) else edges, keep
 
 
-FOUND = "part int, sigs binary, id long, n int, digest binary, counts binary, sig long, u long, v long"
+FOUND = "part int, sigs binary, id long, n int, digest binary, counts binary, fine binary, sig long, u long, v long"
 
 
 def counts(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -135,12 +178,27 @@ def counts(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(bucket, minlength=(len(place) - 1) * BUCKETS), 255).astype(np.uint8).reshape(-1, BUCKETS)
 
 
+def fine_counts(hashes_: np.ndarray) -> bytes | None:
+    """As ``counts``, of one large set, in a power of two of ranges."""
+    if len(hashes_) <= FINE:
+        return None
+    bits = (len(hashes_) // 12).bit_length()
+    return np.bincount((hashes_ >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+
+
+def apart_at_least(a: bytes, b: bytes) -> int:
+    """In how many n-grams two sets differ at least, by their fine counts."""
+    x, y = (np.frombuffer(z, np.uint16).astype(np.int64) for z in (a, b))
+    n = min(len(x), len(y))
+    return int(np.abs(x.reshape(n, -1).sum(axis=1) - y.reshape(n, -1).sum(axis=1)).sum())
+
+
 def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
     """Rows of three kinds: a document's id, n, digest and counts; a signature and one of the nodes that share it; an edge (u, v)."""
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
-        kinds = {"part": pa.int32(), "sigs": pa.binary(), "id": pa.int64(), "n": pa.int32(), "digest": pa.binary(), "counts": pa.binary(), "sig": pa.int64(), "u": pa.int64(), "v": pa.int64()}
+        kinds = {"part": pa.int32(), "sigs": pa.binary(), "id": pa.int64(), "n": pa.int32(), "digest": pa.binary(), "counts": pa.binary(), "fine": pa.binary(), "sig": pa.int64(), "u": pa.int64(), "v": pa.int64()}
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
     def packed(sigs: list, nodes: list) -> Iterator[pa.RecordBatch]:
@@ -151,7 +209,7 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
         sig, node = sig[keep], node[keep]
         part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as sig is
         cut = np.searchsorted(part, np.arange(parts + 1))
-        pairs = np.stack([sig.view(np.int64), node], axis=1)
+        pairs = squeezed(sig, node)
         full = np.flatnonzero(np.diff(cut))
         yield rows(part=full.astype(np.int32), sigs=[pairs[cut[p] : cut[p + 1]].tobytes() for p in full])
         if len(edges):
@@ -164,7 +222,7 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
             flat, place = grams(batch, size)
             marks = [digest(flat[a:b]) if b > a else None for a, b in zip(place[:-1], place[1:], strict=True)]
             id_ = batch.column("id")
-            yield rows(part=(dealt + np.arange(len(marks))) % parts, id=id_, n=np.diff(place).astype(np.int32), digest=marks, counts=[x.tobytes() for x in counts(flat, place)])
+            yield rows(part=(dealt + np.arange(len(marks))) % parts, id=id_, n=np.diff(place).astype(np.int32), digest=marks, counts=[x.tobytes() for x in counts(flat, place)], fine=[fine_counts(flat[a:b]) for a, b in zip(place[:-1], place[1:], strict=True)])
             fresh = []
             for k, (m, i) in enumerate(zip(marks, id_.to_pylist(), strict=True)):
                 if m and i is not None and m not in seen:
@@ -174,9 +232,8 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
             count = np.diff(place)[fresh]
             sig, row = bounds.signatures(flat[spread(place[fresh], count)] if len(fresh) else flat[:0], np.concatenate([[0], np.cumsum(count)]).astype(np.int64))
             if len(sig):
-                node = np.frombuffer(b"".join(marks[k][:8] for k in fresh), np.int64)
                 sigs.append(sig)
-                nodes.append(node[row])
+                nodes.append(vertices([marks[k] for k in fresh])[row])
                 held += len(sig)
             if held > FLUSH:
                 yield from packed(sigs, nodes)
@@ -192,9 +249,9 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
             if rest.num_rows:
                 yield rest
         if blobs:
-            pairs = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+            pairs = unsqueezed(b"".join(blobs))
             del blobs
-            sig, node, place = runs(pairs[:, 0].view(np.uint64), pairs[:, 1])
+            sig, node, place = runs(*pairs)
             edges, keep = stars(node, place, GROUP)
             if len(edges):
                 yield rows(u=edges[:, 0], v=edges[:, 1])
@@ -202,13 +259,13 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
             if keep.any():
                 yield rows(sig=sig[keep].view(np.int64), v=node[keep])
 
-    return docs.mapInArrow(run, FOUND).repartition(parts, "part").mapInArrow(meet, FOUND)
+    return docs.mapInArrow(tidy(run), FOUND).repartition(parts, "part").mapInArrow(tidy(meet), FOUND)
 
 
 def near_pairs(bounds: Bounds):
-    """Of rows (sig, node, n, counts), those of one signature in one task: edges between nodes that share one and pass the bounds on sizes.
+    """Of rows (sig, node, n, counts), those of one signature in one task: edges (u, v, fine) of nodes that share one and pass the bounds on sizes.
 
-    Only a spanning forest of a large group's pairs is returned.
+    Edges are a spanning forest, but for pairs of large sets in small groups, which are all there, for their fine counts.
     """
 
     def passes(n: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -233,6 +290,11 @@ def near_pairs(bounds: Bounds):
             pairs.append(np.stack([of[:, i].ravel(), of[:, j].ravel()], axis=1))
         pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
         pairs = pairs[passes(n, c, pairs[:, 0], pairs[:, 1])]
+        large = np.minimum(n[pairs[:, 0]], n[pairs[:, 1]]) > FINE
+        if large.any():
+            e = known[pairs[large]]
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(np.ones(len(e), bool))], names=["u", "v", "fine"])
+        pairs = pairs[~large]
         root = np.arange(len(known))
 
         def find(x: int) -> int:
@@ -261,7 +323,19 @@ def near_pairs(bounds: Bounds):
                     top = np.array([find(z) for z in top])
         if edges:
             e = known[np.array(edges)]
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(np.zeros(len(e), bool))], names=["u", "v", "fine"])
+
+    return run
+
+
+def fine_pairs(bounds: Bounds):
+    """Of rows (u, v, nu, nv, fu, fv) the pairs (u, v) whose fine counts do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (b.column("nu").to_numpy().astype(np.int64) + b.column("nv").to_numpy()) * (100 - bounds.percent) // (100 + bounds.percent)
+            ok = [apart_at_least(x, y) <= m for x, y, m in zip(b.column("fu").to_pylist(), b.column("fv").to_pylist(), most, strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -317,6 +391,30 @@ def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return out
 
 
+def id_bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << FILTER))
+
+
+def id_filter(ids: DataFrame):
+    """A broadcast bit for each hash of an id, set where one of the frame's only column has it: 8 MB whatever the frame."""
+
+    def bits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << 15, bool)
+        own[pdf["bit"].to_numpy() & 0x7FFF] = True
+        return pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(own).tobytes()]})
+
+    of = ids.select(id_bit(ids.columns[0]).alias("bit")).distinct().withColumn("chunk", F.shiftright("bit", 15).cast("int"))
+    chosen = np.zeros((1 << (FILTER - 15), 1 << 12), np.uint8)
+    for chunk, own in of.groupBy("chunk").applyInPandas(bits, "chunk int, bits binary").toLocalIterator():
+        chosen[chunk] = np.frombuffer(own, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(chosen.ravel())
+
+
+def may_hold(chosen: np.ndarray, bit: pa.Array) -> pa.Array:
+    at = bit.fill_null(0).to_numpy()
+    return pa.array(((chosen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1) & bit.is_valid().to_numpy(zero_copy_only=False))
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents by links of Jaccard similarity percent/100 or more between sets of ``size``-word n-grams.
 
@@ -333,45 +431,35 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = written(signed(base, size, bounds, parts), "ngrams")
-    sets = found.where("n is not null").select("id", "n", "digest", "counts")
-    vertex = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("counts").alias("counts"))
+    sets = found.where("n is not null").select("id", "n", "digest", "counts", "fine")
+    vertex = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine"))
 
-    # The first 8 bytes of a digest are the vertex in ``edges``; two sets that share them merely share a block.
     def node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes = np.frombuffer(b"".join(x[:8] for x in b.column("digest").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes)], names=[*b.schema.names, "node"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vertices(b.column("digest").to_pylist()))], names=[*b.schema.names, "node"])
 
-    numbered = vertex.mapInArrow(node, "digest binary, rep long, copies long, n int, counts binary, node long")
+    numbered = vertex.mapInArrow(tidy(node), "digest binary, rep long, copies long, n int, counts binary, fine binary, node long")
     shared = found.where("sig is not null").select("sig", F.col("v").alias("node")).join(numbered.select("node", "n", "counts"), "node")
-    pairs = shared.repartition(parts, "sig").mapInArrow(near_pairs(bounds), "u long, v long")
-    blocks = connected_components(pairs.union(found.where("u is not null").select("u", "v")), "u", "v")
-    members = written(numbered.join(blocks, "node").select("digest", "rep", "copies", F.col("component").alias("block")), "blocks")
-    tiles = members.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER))
-
-    def bits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(1 << 15, bool)
-        own[pdf["bit"].to_numpy() & 0x7FFF] = True
-        return pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(own).tobytes()]})
-
-    of = members.select(F.col("rep").alias("id")).select(bit.alias("bit")).withColumn("chunk", (F.col("bit") / (1 << 15)).cast("int"))
-    chosen = np.zeros((1 << (FILTER - 15), 1 << 12), np.uint8)
-    for chunk, own in of.groupBy("chunk").applyInPandas(bits, "chunk int, bits binary").toLocalIterator():
-        chosen[chunk] = np.frombuffer(own, np.uint8)
-    sent = spark.sparkContext.broadcast(chosen.ravel())
+    pairs = shared.repartition(parts, "sig").mapInArrow(tidy(near_pairs(bounds)), "u long, v long, fine boolean")
+    pairs = written(pairs.union(found.where("u is not null").select("u", "v", F.lit(False).alias("fine"))).distinct(), "pairs")
+    # Vertices that share 48 bits are two rows here: any of their pairs that passes keeps the edge.
+    fine = numbered.where("fine is not null").select("node", "n", "fine")
+    large = pairs.where("fine").join(fine.toDF("u", "nu", "fu"), "u").join(fine.toDF("v", "nv", "fv"), "v")
+    large = large.select("u", "v", "nu", "nv", "fu", "fv").mapInArrow(tidy(fine_pairs(bounds)), "u long, v long")
+    blocks = connected_components(pairs.where("not fine").select("u", "v").union(large), "u", "v")
+    members = written(numbered.join(blocks, "node").select("digest", "rep", "copies", "n", F.col("component").alias("block")), "blocks")
+    tiles = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"))
+
+    sent = id_filter(members.select("rep"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column("bit").to_numpy()
-            b = b.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
-            for part in pieces(iter([b]), "text"):
+            for part in pieces(iter([b.filter(may_hold(sent.value, b.column("bit")))]), "text"):
                 flat, place = grams(part, size)
                 own = [flat[x:y] for x, y in zip(place[:-1], place[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([digest(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["rep", "digest", "grams"])
 
-    texts = base.where("id is not null").withColumn("bit", bit).mapInArrow(sets_of, "rep long, digest binary, grams binary")
+    texts = base.where("id is not null").withColumn("bit", id_bit("id")).mapInArrow(tidy(sets_of), "rep long, digest binary, grams binary")
     own = texts.join(members.join(tiles, "block"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
     mine = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     tiled = own.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -410,8 +498,22 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
 
     Of rows that repeat the standing id, all stay; rows with a null id stay.
     """
-    dropped = jaccard_components(docs, id_col=id_col, **how).where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    classes = jaccard_components(docs, id_col=id_col, **how)
+    dropped = written(classes.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "dropped")
+    sent = id_filter(dropped)
+    marked = docs.withColumn("_bit", F.when(F.col(id_col).isNotNull(), id_bit(id_col)))
+
+    def held(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = may_hold(sent.value, b.column("_bit"))
+                yield b.filter(hit if wanted else pc.invert(hit)).drop_columns(["_bit"])
+
+        return run
+
+    # Only texts that the filter finds are shuffled to be held against the ids; the others stay where they are.
+    found = marked.mapInArrow(tidy(held(True)), docs.schema)
+    return marked.mapInArrow(tidy(held(False)), docs.schema).union(found.join(dropped, found[id_col] == dropped["id"], "left_anti"))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiquarry.llm.decontaminate import ranges, suffix_array
-from lumiquarry.llm.textbytes import hashes, pieces, spread, utf8
+from lumiquarry.llm.textbytes import hashes, pieces, spread, tidy, utf8
 from lumiquarry.session import table
 
 SPACE = "▁"
 #: Distinct chunks whose ids a worker remembers at most.
-REMEMBER = 1_500_000
+REMEMBER = 1_000_000
 
 
 class Codec:
@@ -293,7 +293,7 @@ def encoded(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = codec(model)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 4 << 20):
             column = batch.column("text")
             ids, count = tables.encode([t or "" for t in column.to_pylist()])
             data, n = tables.decode(ids, count)
@@ -315,7 +315,7 @@ def encoded(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: st
     if {*keep} & {id_col, "tokens", "n_tokens", "ids_crc32", "round_trip"}:
         raise ValueError("a kept column has the name of a result")
     names = [F.col("id").alias(id_col), *[F.col(f"kept_{c}").alias(c) for c in keep]]
-    return base.mapInArrow(run, schema).select(*names, "tokens", "n_tokens", "ids_crc32", "round_trip")
+    return base.mapInArrow(tidy(run), schema).select(*names, "tokens", "n_tokens", "ids_crc32", "round_trip")
 
 
 def op5_sentencepiece_codec(spark, sf_dir: str) -> DataFrame:

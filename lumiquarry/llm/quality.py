@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumiquarry.llm.textbytes import NOT_SPACE, hashes, pieces, spread, utf8, words
+from lumiquarry.llm.textbytes import NOT_SPACE, hashes, pieces, spread, tidy, utf8, words
 from lumiquarry.session import table
 
 BITS, DIM = 18, 8
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         weights, bias = train([(np.frombuffer(b, np.uint32), np.frombuffer(p, np.float32)) for _, b, p, _ in got], np.array([x[3] for x in got]))
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
-    one = rows.mapInArrow(count, "id string, label int, buckets binary, parts binary").repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    one = rows.mapInArrow(tidy(count), "id string, label int, buckets binary, parts binary").repartition(1).mapInArrow(tidy(learn), "weights binary, bias double").first()
     return (np.frombuffer(one["weights"], np.float32), one["bias"]) if one else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
@@ -149,7 +149,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str =
             z = np.clip(total / np.maximum(count, 1) + bias, -30, 30)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

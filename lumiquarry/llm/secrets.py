@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumiquarry.llm.textbytes import pieces
+from lumiquarry.llm.textbytes import pieces, tidy
 from lumiquarry.session import table
 
 #: Kinds in the order in which spans that begin together are listed.
@@ -105,7 +105,7 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             spans = [[(KINDS[k], a, b) for a, k, b in scan(t, found)] if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in row] for row in spans], pa.list_(SPAN))], names=schema.names)
 
-    return base.mapInArrow(run, schema).select(F.col("id").alias(id_col), "secrets")
+    return base.mapInArrow(tidy(run), schema).select(F.col("id").alias(id_col), "secrets")
 
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
@@ -140,7 +140,7 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", chars_col: str |
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(n, batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op9_secret_scans(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Lower case for A-Z alone.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -18,10 +20,33 @@ NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
+#: The session's setting of rows in an Arrow batch, its value where nobody set it, and the one for texts.
+BATCH_KEY, UNSET, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
 BASE, M1, M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow over texts: it gives freed memory back to the system at its end, as workers wait beside others that need it.
+
+    Unless the session says otherwise, an Arrow batch gets BATCH_ROWS rows instead of ten thousand: texts are long.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark and spark.conf.get(BATCH_KEY, UNSET) == UNSET:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
     x = x ^ (x >> np.uint64(30))
@@ -43,7 +68,7 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in turn, in slices of at most ``most`` bytes of text or of one row."""
     for batch in batches:
         _, offsets = utf8(batch.column(text))
@@ -82,14 +107,24 @@ def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
         return np.zeros(0, np.uint64)
     power, back = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    run = total[1:]  # all in place: this is eight times the text
+    run[:] = data
+    run += np.uint64(1)
+    run *= power[: len(data)]
+    np.cumsum(run, out=run)
     return mix((total[ends] - total[begins]) * back[begins] + (ends - begins).astype(np.uint64))
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All of starts[i], ..., starts[i] + lengths[i] - 1, one i after the other."""
+    starts, lengths = starts[lengths > 0], lengths[lengths > 0]
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+    out = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    if len(ends):
+        out[0] = starts[0]
+        out[ends[:-1]] = starts[1:] - starts[:-1] - lengths[:-1] + 1
+        np.cumsum(out, out=out)
+    return out
 
 
 def shingles(word: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

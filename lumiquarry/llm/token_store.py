@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumiquarry.llm.textbytes import hashes, pieces, spread, utf8
+from lumiquarry.llm.textbytes import hashes, pieces, spread, tidy, utf8
 from lumiquarry.session import shared_folder, table
 
 #: Distinct chunks whose ids a worker remembers at most.
@@ -161,7 +161,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(at + ends - n), pa.array(n), pa.ListArray.from_arrays(places, pa.array(out))], names=["doc_id", "part", "at", "n_tokens", "tokens"])
             at += int(ends[-1])
 
-    encoded = dealt.select("doc_id", "text", "part").mapInArrow(run, schema)
+    encoded = dealt.select("doc_id", "text", "part").mapInArrow(tidy(run), schema)
     encoded.write.options(**ORC, **{"orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(stride)}).orc(path)
 
 
@@ -189,7 +189,7 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b].data) for a, b in zip(places[:-1], places[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(crc, pa.int64())], names=[*rest, "ids_crc32"])
 
-    return tokens.mapInArrow(run, tokens.select(*rest, F.lit(0).cast("long").alias("ids_crc32")).schema)
+    return tokens.mapInArrow(tidy(run), tokens.select(*rest, F.lit(0).cast("long").alias("ids_crc32")).schema)
 
 
 def op4_token_id_binary_output(spark, sf_dir: str) -> DataFrame:

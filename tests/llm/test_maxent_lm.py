@@ -62,3 +62,9 @@ def test_edges(spark, edge_docs, no_docs):
     assert lm.scored(no_docs).count() == 0
     held = [(k, "only held out") for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 1]
     assert rows(lm.scored(spark.createDataFrame(held, "doc_id long, text string"))) == sorted(brute(held), key=repr)
+
+
+def test_without_training_texts_scores_are_finite(spark):
+    held = [(k, "only held out") for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 1]
+    out = lm.scored(spark.createDataFrame(held, "doc_id long, text string")).collect()
+    assert all(math.isfinite(r["score"]) and r["train_tokens"] == 0 for r in out)
