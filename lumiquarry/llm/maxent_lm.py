@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumiquarry.llm.quality import fold
 from lumiquarry.llm.textbytes import LOWER, NOT_SPACE, hashes, mix, pieces, tidy, utf8, words
@@ -230,19 +231,19 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     schema = numbered.select(F.lit(0).alias("part"), F.lit(b"").alias("words"), F.lit(b"").alias("tails"), "row", "id", "held_out", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
-    def rows(like: pa.RecordBatch, **columns) -> pa.RecordBatch:
+    kinds["id"] = to_arrow_type(schema["id"].dataType)
+
+    def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
-        of = lambda c, t: like.schema.field("id").type if t is None else t
-        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], of(c, t)) if c in columns else pa.nulls(n, of(c, t)) for c, t in kinds.items()], names=list(kinds))
+        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_, weights = known.value, sent.value
         size_all = np.log10(words_.total + 0.5 * (words_.types + 1))
         with np.errstate(divide="ignore"):
             size_of = np.log10(words_.mass)
-        keys, numbers, times, like = [], [], [], None
+        keys, numbers, times = [], [], []
         for batch in pieces(batches, "text"):
-            like = batch
             token, place = tokens(batch.column("text"))
             kind, count = words_.look(token)
             features = contexts(token, place)
@@ -256,7 +257,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
             n = np.diff(place)
             row = batch.column("row").to_numpy()
             yield rows(
-                batch, part=(mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int32), row=row, id=batch.column("id"), held_out=batch.column("held_out"),
+                part=(mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int32), row=row, id=batch.column("id"), held_out=batch.column("held_out"),
                 n_tokens=n, n_known=sums(held.astype(np.int64)), base_score=sums(own) - n * size_all, score=sums(np.log10(np.maximum(p, 1e-300)) + own - size_of[kind]),
             )
             at = np.flatnonzero(~held)
@@ -270,11 +271,11 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
                 times.append(np.diff(np.append(first, len(at))))
                 if sum(map(len, keys)) > FLUSH:
                     part, blob = packed(parts, np.concatenate(keys), np.concatenate(keys), np.concatenate(numbers), np.concatenate(times))
-                    yield rows(batch, part=part, tails=blob)
+                    yield rows(part=part, tails=blob)
                     keys, numbers, times = [], [], []
         if keys:
             part, blob = packed(parts, np.concatenate(keys), np.concatenate(keys), np.concatenate(numbers), np.concatenate(times))
-            yield rows(like, part=part, tails=blob)
+            yield rows(part=part, tails=blob)
 
     def blobs(batches: Iterator[pa.RecordBatch], column: str, other: list) -> Iterator[bytes]:
         for batch in batches:
@@ -287,7 +288,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: list = []
         tails = np.frombuffer(b"".join(blobs(batches, "tails", whole)), np.int64).reshape(-1, 3)
-        like, sizes = (whole[0] if whole else None), []
+        sizes = []
         for batch in whole:
             c = batch.column("words")
             sizes += c.drop_null().to_pylist()
@@ -309,9 +310,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
         cut = np.searchsorted(bucket[by], np.arange(parts + 1))
         table_ = np.stack([row, seen, logs.view(np.int64)], axis=1)[by]
         full = np.flatnonzero(np.diff(cut))
-        if like is None:
-            raise ValueError("a part without rows or counts")
-        yield rows(like, part=full.astype(np.int32), tails=[table_[cut[p] : cut[p + 1]].tobytes() for p in full])
+        yield rows(part=full.astype(np.int32), tails=[table_[cut[p] : cut[p + 1]].tobytes() for p in full])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: list = []
@@ -324,7 +323,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
             at = np.minimum(np.searchsorted(row, own), max(0, len(row) - 1))
             held = row[at] == own if len(row) else np.zeros(len(own), bool)
             more, log = (np.where(held, x[at], 0) if len(row) else np.zeros(len(own), x.dtype) for x in (seen, logs))
-            yield rows(batch, **{c: batch.column(c) for c in ("part", "row", "id", "held_out", "n_tokens")}, n_known=batch.column("n_known").to_numpy() + more, base_score=batch.column("base_score").to_numpy() + log, score=batch.column("score").to_numpy() + log)
+            yield rows(**{c: batch.column(c) for c in ("part", "row", "id", "held_out", "n_tokens")}, n_known=batch.column("n_known").to_numpy() + more, base_score=batch.column("base_score").to_numpy() + log, score=batch.column("score").to_numpy() + log)
 
     first = numbered.select("row", "id", "held_out", "text").mapInArrow(tidy(score), schema)
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in ("part", "words")]

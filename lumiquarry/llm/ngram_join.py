@@ -422,14 +422,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     reach, the row's own included) and n_links (rows linked with it directly, copies included). Words are what ASCII white
     space separates, A-Z lowered; a text of fewer words has its whole sequence as one n-gram.
 
-    Null texts and texts without words have an empty set and link with nothing. Rows with a null id link with nothing and
+    Ids are whole numbers. Null texts and texts without words have an empty set and link with nothing. Rows with a null id link with nothing and
     have component_id null. Rows that share an id are one vertex. Further columns are not read; an empty table gives no
     rows. Whole texts and all links between different sets count; equal sets are one vertex and never paired.
     """
     spark = docs.sparkSession
     bounds = Bounds(percent)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = written(signed(base, size, bounds, parts), "ngrams")
     sets = found.where("n is not null").select("id", "n", "digest", "counts", "fine")
     vertex = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine"))

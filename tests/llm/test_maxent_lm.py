@@ -68,3 +68,15 @@ def test_without_training_texts_scores_are_finite(spark):
     held = [(k, "only held out") for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 1]
     out = lm.scored(spark.createDataFrame(held, "doc_id long, text string")).collect()
     assert all(math.isfinite(r["score"]) and r["train_tokens"] == 0 for r in out)
+
+
+def test_parts_without_rows(spark):
+    """With more parts than rows or words, parts that hold one kind of row alone still meet their like."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        docs = [(1, "alpha beta gamma delta " * 3), (2, "alpha x")]
+        for own in (docs, docs[:1], [(k, t) for k, t in zip((11, 16), ("only held", "out"), strict=True)]):
+            assert rows(lm.scored(spark.createDataFrame(own, "doc_id long, text string"))) == sorted(brute(own), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
