@@ -14,7 +14,7 @@ JPEG = (".jpg", ".jpeg", ".png", ".webp", ".tif", ".tiff", ".bmp", ".gif")
 HEIC = (".heic", ".heif")
 RAW = (".dng", ".cr2", ".cr3", ".nef", ".arw", ".raf", ".orf", ".rw2", ".pef")
 VIDEO = (".mp4", ".mov", ".m4v", ".mkv")
-PASSED_OVER = (".selects", ".git", "__pycache__", "node_modules")
+PASSED_OVER = (".git", "__pycache__", "node_modules")
 EDGES = {"thumb": 256, "preview": 1024}
 
 
@@ -24,15 +24,15 @@ def kind(path: Column) -> Column:
     return F.when(ending.isin(list(JPEG)), "jpeg").when(ending.isin(list(HEIC)), "heic").when(ending.isin(list(RAW)), "raw").when(ending.isin(list(VIDEO)), "video")
 
 
-def listed(spark: SparkSession, root: str, parts: int = 8) -> DataFrame:
-    """(path, kind, size_bytes, mtime) of the media files below ``root``; names that begin with "_" or "." count, some folders don't.
+def listed(spark: SparkSession, root: str, parts: int = 8, state_folder: str = ".lumiquarry") -> DataFrame:
+    """(path, kind, size_bytes, mtime) of the media files below ``root``; names that begin with "_" or "." count, some folders and the library's own ``state_folder`` don't.
 
     Spark's own file sources hide such names, so the names are walked; the walk sends names alone.
     """
 
     def walk() -> Iterator[str]:
         for folder, below, names in os.walk(root):
-            below[:] = [d for d in below if d not in PASSED_OVER]
+            below[:] = [d for d in below if d not in PASSED_OVER and d != state_folder]
             yield from (os.path.join(folder, n) for n in names)
 
     return of_paths(spark, list(walk()), parts)

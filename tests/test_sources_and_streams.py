@@ -14,10 +14,10 @@ from lumiquarry.streaming import watch
 
 
 def test_listing(spark, tmp_path):
-    for name in ("a.JPG", "_DSC1.NEF", ".hidden.png", "sub/b.mp4", "node_modules/c.jpg", ".selects/d.jpg", "e.txt"):
+    for name in ("a.JPG", "_DSC1.NEF", ".hidden.png", "sub/b.mp4", "node_modules/c.jpg", ".state/d.jpg", "e.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"x")
-    got = {os.path.basename(r["path"]): r["kind"] for r in media.listed(spark, str(tmp_path)).collect()}
+    got = {os.path.basename(r["path"]): r["kind"] for r in media.listed(spark, str(tmp_path), state_folder=".state").collect()}
     assert got == {"a.JPG": "jpeg", "_DSC1.NEF": "raw", ".hidden.png": "jpeg", "b.mp4": "video"}
     paths = [str(tmp_path / "a.JPG"), str(tmp_path / "gone.jpg")]
     assert media.of_paths(spark, paths).count() == 1
