@@ -20,7 +20,10 @@ KEEP_SCORE = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that a classifier trained on the labels does not reject; without usable labels all stay."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, score_col="quality_score").where(F.col("quality_score") >= KEEP_SCORE).select(*docs.columns)
+    score = "quality_score"
+    while score in docs.columns:
+        score += "_"
+    return quality.scored(docs, model, score_col=score).where(F.col(score) >= KEEP_SCORE).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -392,7 +392,7 @@ def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
 
 
 def id_bit(column: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << FILTER))
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << FILTER))
 
 
 def id_filter(ids: DataFrame):
@@ -422,9 +422,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     reach, the row's own included) and n_links (rows linked with it directly, copies included). Words are what ASCII white
     space separates, A-Z lowered; a text of fewer words has its whole sequence as one n-gram.
 
-    Ids are whole numbers. Null texts and texts without words have an empty set and link with nothing. Rows with a null id link with nothing and
-    have component_id null. Rows that share an id are one vertex. Further columns are not read; an empty table gives no
-    rows. Whole texts and all links between different sets count; equal sets are one vertex and never paired.
+    Ids are whole numbers. Null texts and texts without words have an empty set and link with nothing. Rows with a null
+    id link with nothing and have component_id null. Rows that repeat an id with another text are each classed by their
+    text; classes that meet in an id which is the smallest of both are one. Further columns are not read; an empty table
+    gives no rows. Whole texts and all links between different sets count; equal sets are one vertex and never paired.
     """
     spark = docs.sparkSession
     bounds = Bounds(percent)
@@ -501,13 +502,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     classes = jaccard_components(docs, id_col=id_col, **how)
     dropped = written(classes.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "dropped")
     sent = id_filter(dropped)
-    marked = docs.withColumn("_bit", F.when(F.col(id_col).isNotNull(), id_bit(id_col)))
+    mark = "_bit"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.when(F.col(id_col).isNotNull(), id_bit(id_col)))
 
     def held(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                hit = may_hold(sent.value, b.column("_bit"))
-                yield b.filter(hit if wanted else pc.invert(hit)).drop_columns(["_bit"])
+                hit = may_hold(sent.value, b.column(mark))
+                yield b.filter(hit if wanted else pc.invert(hit)).drop_columns([mark])
 
         return run
 

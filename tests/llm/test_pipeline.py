@@ -42,7 +42,8 @@ def test_each_stage_against_brute_force(spark):
 
 
 def test_stages_bear_edges(spark, edge_docs, no_docs):
-    for frame in (edge_docs, no_docs):
+    clash = edge_docs.withColumnsRenamed({"id": "quality_score", "row": "_bit", "items": "n_words"})
+    for frame in (edge_docs, clash, no_docs):
         docs = frame
         for _, stage in cp.STAGES[:-1]:
             docs = stage(spark, docs, SF)
