@@ -69,3 +69,15 @@ def test_pixels():
     assert sum(pixels.histograms(noise)["luma"]) == 32 * 32 and len(pixels.histograms(noise)["r"]) == 64
     assert pixels.straighten_angle([(0, 0, 100, 10), (0, 0, 10, -1), (0, 0, 1, 50)]) == pytest.approx(5.71, abs=0.01)
     assert pixels.straighten_angle([]) == 0 and pixels.auto_tone(flat).shape == flat.shape
+
+
+def test_auto_tone():
+    r = np.random.default_rng(1)
+    dark = (r.random((40, 40, 1)) * np.array([0.30, 0.28, 0.26]) * 255).astype(np.uint8)
+    out = pixels.auto_tone(dark)
+    assert out.dtype == np.uint8 and out.shape == dark.shape
+    assert out.mean() > dark.mean() + 30 and out.max() > 200  # brighter, wider
+    gray_ = np.repeat(r.integers(0, 256, (30, 30, 1)), 3, axis=2).astype(np.uint8)
+    toned = pixels.auto_tone(gray_).astype(int)
+    assert (toned.max(axis=2) - toned.min(axis=2)).max() <= 1  # grey stays grey
+    assert (pixels.auto_tone(np.zeros((4, 4, 3), np.uint8)) < 60).all()
