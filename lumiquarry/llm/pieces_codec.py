@@ -28,7 +28,7 @@ from lumiquarry.session import table
 
 SPACE = "▁"
 #: Distinct chunks whose ids a worker remembers at most.
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 
 
 class Codec:
@@ -97,7 +97,7 @@ class Codec:
         self.raw_size = np.array([len(x) for x in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     @staticmethod
     def _merge(parts: list[int], symbol: list[str], rank: dict[str, int], below: int) -> list[int]:
@@ -219,7 +219,7 @@ class Codec:
         held = self.hash[np.minimum(place, len(self.hash) - 1)] == seen if len(self.hash) else np.zeros(len(seen), bool)
         new = np.flatnonzero(~held)
         ids, count = self._fresh(cp, code, begins[where[new]], ends[where[new]]) if len(new) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        flat, counts = np.concatenate([self.flat, ids]), np.concatenate([self.count, count])
+        flat, counts = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.count, count])
         start = np.cumsum(counts) - counts
         slot = np.empty(len(seen), np.int64)
         slot[held] = self.slot[place[held]]
@@ -231,7 +231,7 @@ class Codec:
             self.hash, self.slot = both[order], np.concatenate([self.slot, slot[new]])[order]
         slot = slot[inverse]
         size = counts[slot]
-        out = flat[spread(start[slot], size)] if len(slot) else np.zeros(0, np.int64)
+        out = flat[spread(start[slot], size)] if len(slot) else np.zeros(0, np.int32)
         total = np.bincount(row, weights=size, minlength=len(texts)).astype(np.int64)
         if self.runs:
             out, total = self._blanks(out, total)
@@ -255,7 +255,7 @@ class Codec:
         out, at, more = [], 0, np.ones(len(ids), np.int64)
         for a, z in zip(heads[long].tolist(), stop[long].tolist(), strict=True):
             parts = self.run(z - a)
-            out += [ids[at:a], np.array(parts, np.int64)]
+            out += [ids[at:a], np.array(parts, np.int32)]
             more[a:z] = 0
             more[a], at = len(parts), z
         return np.concatenate([*out, ids[at:]]), np.bincount(row, weights=more, minlength=len(count)).astype(np.int64)
@@ -293,7 +293,7 @@ def encoded(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = codec(model)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text"):
             column = batch.column("text")
             ids, count = tables.encode([t or "" for t in column.to_pylist()])
             data, n = tables.decode(ids, count)
