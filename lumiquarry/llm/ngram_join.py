@@ -39,6 +39,7 @@ BUCKETS = 64
 #: Sets of more n-grams are also counted in ranges of about 12 n-grams: in BUCKETS ranges, large sets are alike by chance.
 FINE = 1000
 #: Vertices of one signature beyond which a task, or the signature's own task, joins them in a star instead of comparing counts.
+#: A signature that any task has starred is starred as a whole: that task sends one vertex for all, which may be far from what its others link with.
 LOCAL_GROUP, GROUP = 256, 4096
 #: Bits of the filter that says whose texts are read again: its size is fixed, so it can be broadcast; more members mean more texts read in vain.
 FILTER = 26
@@ -158,10 +159,10 @@ def vertices(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(x[:6] + b"\0\0" for x in digests), np.int64)
 
 
-def stars(node: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (first, other) within groups of more than ``size`` nodes, and which entries are left: all but the others."""
+def stars(node: np.ndarray, place: np.ndarray, size: int, marked: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (first, other) within groups of more than ``size`` nodes or ``marked`` ones, and which entries are left: all but the others."""
     n = np.diff(place)
-    big = np.flatnonzero(n > size)
+    big = np.flatnonzero((n > size) | marked)
     other = spread(place[big] + 1, n[big] - 1)
     keep = np.ones(len(node), bool)
     keep[other] = False
@@ -194,24 +195,33 @@ def apart_at_least(a: bytes, b: bytes) -> int:
 
 
 def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
-    """Rows of three kinds: a document's id, n, digest and counts; a signature and one of the nodes that share it; an edge (u, v)."""
+    """Rows of three kinds: a document's id, n, digest and counts; a signature and one of the nodes that share it; an edge (u, v).
+
+    Between the two steps, a row of a signature alone says that a task has joined its nodes in a star.
+    """
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
         kinds = {"part": pa.int32(), "sigs": pa.binary(), "id": pa.int64(), "n": pa.int32(), "digest": pa.binary(), "counts": pa.binary(), "fine": pa.binary(), "sig": pa.int64(), "u": pa.int64(), "v": pa.int64()}
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
+    def own_part(sig: np.ndarray) -> np.ndarray:
+        return ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
     def packed(sigs: list, nodes: list) -> Iterator[pa.RecordBatch]:
         if not sigs:
             return
         sig, node, place = runs(np.concatenate(sigs), np.concatenate(nodes))
         edges, keep = stars(node, place, LOCAL_GROUP)
+        starred = sig[place[:-1][np.diff(place) > LOCAL_GROUP]]
         sig, node = sig[keep], node[keep]
-        part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as sig is
+        part = own_part(sig)  # ascending, as sig is
         cut = np.searchsorted(part, np.arange(parts + 1))
         pairs = squeezed(sig, node)
         full = np.flatnonzero(np.diff(cut))
         yield rows(part=full.astype(np.int32), sigs=[pairs[cut[p] : cut[p + 1]].tobytes() for p in full])
+        if len(starred):
+            yield rows(part=own_part(starred).astype(np.int32), sig=starred.view(np.int64))
         if len(edges):
             yield rows(part=(mix(edges[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int32), u=edges[:, 0], v=edges[:, 1])
 
@@ -241,21 +251,23 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
         yield from packed(sigs, nodes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
+        blobs, starred = [], [np.zeros(0, np.int64)]
         for batch in batches:
-            sigs = batch.column("sigs")
+            sigs, marks = batch.column("sigs"), batch.column("sig")
             blobs += [x.as_py() for x in sigs.drop_null()]
-            rest = batch.filter(sigs.is_null())
+            starred.append(marks.drop_null().to_numpy())
+            rest = batch.filter(pc.and_(sigs.is_null(), marks.is_null()))
             if rest.num_rows:
                 yield rest
         if blobs:
             pairs = unsqueezed(b"".join(blobs))
             del blobs
             sig, node, place = runs(*pairs)
-            edges, keep = stars(node, place, GROUP)
+            marked = np.isin(sig[place[:-1]] >> np.uint64(16), np.concatenate(starred).view(np.uint64) >> np.uint64(16))
+            edges, keep = stars(node, place, GROUP, marked)
             if len(edges):
                 yield rows(u=edges[:, 0], v=edges[:, 1])
-            keep &= np.repeat((np.diff(place) > 1) & (np.diff(place) <= GROUP), np.diff(place))
+            keep &= np.repeat((np.diff(place) > 1) & (np.diff(place) <= GROUP) & ~marked, np.diff(place))
             if keep.any():
                 yield rows(sig=sig[keep].view(np.int64), v=node[keep])
 

@@ -104,3 +104,13 @@ def test_long_texts(spark):
             docs.append((3 * k + c, " ".join(copy)))
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in nj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs, 5, 80)
+
+
+def test_stars_of_one_task_lose_no_link(spark, monkeypatch):
+    """Short texts of 60 templates with a word of their own, and of each template one again in another partition with a word appended."""
+    monkeypatch.setattr(nj, "LOCAL_GROUP", 2)
+    docs = [(6 * t + k, " ".join([f"t{t}_{x}" for x in range(13)] + [f"own{t}_{k}"])) for t in range(60) for k in range(6)]
+    docs += [(360 + t, f"{docs[6 * t + 1][1]} more") for t in range(60)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 7), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in nj.jaccard_components(df, size=4, percent=85).collect()}
+    assert got == brute(docs, 4, 85)
