@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumiquarry.functions import faces, geo, scores, texts, vec
 from lumiquarry.operators import aggregate, cluster, islands, joins, rank
 from lumiquarry.plans import export, stories
-from lumiquarry.plans.catalog import LAT, LON, SECONDS, VISITS, events, photos, visits
+from lumiquarry.plans.catalog import LAT, LON, SECONDS, VISITS, early_visits, events, photos, visits
 from lumiquarry.plans.registry import query
 from lumiquarry.session import table
 
@@ -171,7 +171,7 @@ def planned_seconds(spark, d):
 @query("top_locations", f"WITH v AS ({VISITS}), p AS (SELECT event_id, {SECONDS} AS pos FROM events), f AS (SELECT event_id, arg_min(name, (arrived, visit_id)) AS place FROM p JOIN v ON pos BETWEEN arrived AND departed GROUP BY 1) SELECT place, count(*) AS n FROM f GROUP BY 1 HAVING count(*) >= 10 ORDER BY n DESC, place LIMIT 12")
 def top_locations(spark, d):
     """Photos by the first visit in time that holds them, the twelve fullest places."""
-    of = joins.first_interval(photos(spark, d).select("photo_id", "at"), visits(spark, d), "at", "arrived", "departed", 1800, "photo_id", ["arrived", "visit_id"], "name")
+    of = joins.first_interval(photos(spark, d).select("photo_id", "at"), early_visits(spark, d), "at", "arrived", "departed", 1800, "photo_id", ["arrived", "visit_id"], "name")
     return of.groupBy(F.col("name").alias("place")).agg(F.count("*").alias("n")).where("n >= 10").orderBy(F.desc("n"), "place").limit(12)
 
 
