@@ -28,6 +28,14 @@ def picks(spark, name):
     return out
 
 
+def test_day_stories_are_of_all_photos(spark, photos):
+    want = strongest(photos[photos["value"] >= 3], "day")
+    got = picks(spark, "day_stories")
+    assert set(got) == {day for day, ids in want.items() if len(ids) >= 3}
+    assert all(ids <= want[day] for day, ids in got.items())
+    assert any(i % 10 for ids in got.values() for i in ids)
+
+
 def test_place_stories_are_of_all_visits(spark, photos):
     orders = pd.read_parquet(f"{SF}/orders.parquet", columns=["o_orderkey", "o_orderpriority"])
     place_of = dict(zip(orders["o_orderkey"], orders["o_orderpriority"], strict=True))
