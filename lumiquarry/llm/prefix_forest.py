@@ -19,7 +19,7 @@ from lumiquarry.session import table, written
 
 SHARD, TREES = 8192, 64
 #: A query ascends until the trees' ranges hold this share of a shard's rows, counted in every tree, and at least ENOUGH.
-SHARE, ENOUGH = 0.8, 6144
+SHARE, ENOUGH = 1.2, 6144
 #: Queries that are broadcast at once.
 QUERIES = 16384
 

@@ -52,3 +52,10 @@ def test_empty(spark):
     assert pf.nearest_neighbours(none, none).count() == 0
     some = spark.createDataFrame([(1, [1.0], 0, 0, 0), (2, [2.0], 0, 0, 0)], SCHEMA)
     assert pf.nearest_neighbours(some, none).count() == 0
+
+
+def test_full_shards_are_ascended_as_far_as_smaller_ones():
+    v = np.random.default_rng(2).normal(size=(pf.SHARD, 16))
+    hashed = pf.strings(np.concatenate([v[:50], np.zeros((50, 1))], axis=1), pf.planes(16)).T.copy()
+    lo, hi = pf.Forest(np.arange(len(v)), v).ranges(hashed)
+    assert ((hi - lo).sum(axis=0) >= 1.2 * len(v)).all()
