@@ -180,3 +180,10 @@ def test_taste(spark):
     assert aggregate.rank_auc(scored, F.col("decision") == "keep", "taste").first()["auc"] > 0.9
     with pytest.raises(ValueError):
         taste.train_taste(lab.limit(60))
+
+
+def test_report_of_a_library_beyond_the_cap(spark):
+    rows = [(k, str(k), 0.5, 10, [1.0, 0.001 * k] if k < 3 else [0.0, 1.0] if k == 3 else [-1.0, float(k)]) for k in range(5)]
+    p = spark.createDataFrame(rows, "photo_id long, sha256 string, iqa double, size_bytes long, embedding array<double>")
+    report = lambda most: {x["kind"]: x["photos"] for x in dedup.report(p, most=most).collect()}
+    assert report(4) == {} and report(None) == {"near": 5}
