@@ -15,6 +15,25 @@ def star(photos: DataFrame, *sides: DataFrame, on: str = "photo_id") -> DataFram
     return photos
 
 
+def hub_join(rows: DataFrame, values: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``values`` (a row per key; ``count``: how many rows have it, ``total``: all rows).
+
+    Adaptive execution does not split a skewed key where one side is an aggregate of the same stage. Here the keys that
+    have more rows than a task's share of ``total`` are broadcast, fewer of them than there are shuffle partitions; the
+    rows of all other keys are shuffled. Null keys match nothing.
+    """
+    limit = max(1, total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    added = [c for c in values.columns if c not in (key, count)]
+    held = F.struct(*added)
+    hub = "_hub"
+    while hub in rows.columns or hub in added:
+        hub += "_"
+    marked = rows.join(F.broadcast(values.where(F.col(count) > limit).select(key, held.alias(hub))), key, "left")
+    large = marked.where(F.col(hub).isNotNull()).select(*rows.columns, *[F.col(hub)[c].alias(c) for c in added])
+    rest = marked.where(F.col(hub).isNull()).select(*rows.columns).join(values.where(F.col(count) <= limit).drop(count), key)
+    return large.union(rest.select(*rows.columns, *added))
+
+
 def collapsed(photos: DataFrame, members: DataFrame, on: str = "photo_id") -> DataFrame:
     """Photos of no stack, and the primary of each stack. ``members`` has (on, moment_id, primary_photo_id)."""
     return photos.join(members.select(on, "moment_id", "primary_photo_id"), on, "left").where(F.col("primary_photo_id").isNull() | (F.col("primary_photo_id") == F.col(on)))

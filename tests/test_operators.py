@@ -28,6 +28,20 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_hubs_stay_where_they_are(spark):
+    """Three quarters of the rows have one key: it is broadcast, and no task of the shuffled join reads over its share."""
+    rows = spark.range(8000).select(F.when(F.col("id") % 4 < 3, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    sums = rows.groupBy("k").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    got = joins.hub_join(rows, sums, "k", "n", 8000)
+    assert got.columns == ["k", "v", "m"]
+    assert got.count() == 8000 and got.where("m = 0").count() == 6000 and got.where("k <> -1 and m <> v").count() == 0
+    assert sums.where(f"n > {8000 // int(spark.conf.get('spark.sql.shuffle.partitions'))}").count() == 1
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    star = spark.range(1, 3000).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).union(spark.range(3000, 3100).select(F.col("id"), F.lit(9999).cast("long")))
+    out = connected_components(star)
+    assert out.where("component = 0").count() == 3000 and out.where("component = 3000").count() == 101 and out.count() == 3101
+
+
 def test_band_and_intervals(spark):
     r = random.Random(2)
     t = [(k, r.choice([0.0, 5.0, 12.0, 12.5]) + 12 * r.randrange(40)) for k in range(200)]
