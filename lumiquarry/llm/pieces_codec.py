@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumiquarry.llm.decontaminate import ranges, suffix_array
-from lumiquarry.llm.textbytes import hashes, pieces, spread, tidy, utf8
+from lumiquarry.llm.textbytes import Memo, distinct, pieces, spread, tidy, utf8
 from lumiquarry.session import table
 
 SPACE = "▁"
@@ -96,7 +96,7 @@ class Codec:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.array([len(x) for x in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
-        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.memo = Memo(REMEMBER)
         self.flat, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     @staticmethod
@@ -214,21 +214,16 @@ class Codec:
         begins = np.flatnonzero(first)
         ends = np.append(begins[1:], len(cp))
         row = np.searchsorted(offsets, begins, "right") - 1
-        seen, where, inverse = np.unique(hashes(cp, begins, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hash, seen)
-        held = self.hash[np.minimum(place, len(self.hash) - 1)] == seen if len(self.hash) else np.zeros(len(seen), bool)
-        new = np.flatnonzero(~held)
+        raw, from_, to = cp.view(np.uint8), begins * 4, ends * 4
+        seen, where, inverse = distinct(raw, from_, to)
+        slot = self.memo.find(seen, raw, from_[where], to[where])
+        new = np.flatnonzero(slot < 0)
         ids, count = self._fresh(cp, code, begins[where[new]], ends[where[new]]) if len(new) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         flat, counts = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.count, count])
         start = np.cumsum(counts) - counts
-        slot = np.empty(len(seen), np.int64)
-        slot[held] = self.slot[place[held]]
         slot[new] = len(self.count) + np.arange(len(new))
-        if len(new) and len(self.hash) < REMEMBER:
+        if self.memo.add(seen[new], raw, from_[where[new]], to[where[new]]):
             self.flat, self.count = flat, counts
-            both = np.concatenate([self.hash, seen[new]])
-            order = np.argsort(both, kind="stable")
-            self.hash, self.slot = both[order], np.concatenate([self.slot, slot[new]])[order]
         slot = slot[inverse]
         size = counts[slot]
         out = flat[spread(start[slot], size)] if len(slot) else np.zeros(0, np.int32)

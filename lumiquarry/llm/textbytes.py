@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,8 +24,11 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 #: The session's setting of rows in an Arrow batch, its value where nobody set it, and the one for texts.
 BATCH_KEY, UNSET, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
-BASE, M1, M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+STEP, M1, M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Words of more bytes are hashed one by one.
+LONG = 256
+#: What is left of eight bytes of which so many count.
+PART = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -57,17 +61,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """BASE and its inverse modulo 2**64 to the powers from 0 to n - 1 at least."""
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        for k, b in enumerate((int(BASE), pow(int(BASE), -1, 1 << 64))):
-            steps = np.full(n, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
-
-
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in turn, in slices of at most ``most`` bytes of text or of one row."""
     for batch in batches:
@@ -101,18 +94,105 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return begins, ends, np.searchsorted(begins, offsets)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number, zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: differences of one running polynomial, so that no word is handled alone."""
-    if not len(begins):
-        return np.zeros(0, np.uint64)
-    power, back = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    run = total[1:]  # all in place: this is eight times the text
-    run[:] = data
-    run += np.uint64(1)
-    run *= power[: len(data)]
-    np.cumsum(run, out=run)
-    return mix((total[ends] - total[begins]) * back[begins] + (ends - begins).astype(np.uint64))
+    """A 64-bit hash of each word's bytes, eight bytes of all words at a time; words beyond LONG bytes by BLAKE2.
+
+    Steps are nonlinear, so words do not collide by a pattern of their bytes; of words of up to eight bytes, those of one
+    length never do.
+    """
+    n = ends - begins
+    at = eights(data)
+    out = mix((n + 1).astype(np.uint64) * STEP)
+    short = n <= LONG
+    live = np.flatnonzero(short & (n > 0))
+    k = 0
+    while len(live):
+        out[live] = mix(out[live] ^ (at[begins[live] + k] & PART[np.minimum(n[live] - k, 8)]))
+        k += 8
+        live = live[n[live] > k]
+    for i in np.flatnonzero(~short):
+        out[i] = int.from_bytes(hashlib.blake2b(data[begins[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(a: np.ndarray, a_begins: np.ndarray, b: np.ndarray, b_begins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n[i] bytes of ``a`` from a_begins[i] on are those of ``b`` from b_begins[i] on."""
+    x, y = eights(a), eights(b)
+    out = np.ones(len(n), bool)
+    live, k = np.flatnonzero(n > 0), 0
+    while len(live) and k < LONG:
+        out[live] = (x[a_begins[live] + k] ^ y[b_begins[live] + k]) & PART[np.minimum(n[live] - k, 8)] == 0
+        k += 8
+        live = live[out[live] & (n[live] > k)]
+    for i in live:
+        out[i] = a[a_begins[i] + k : a_begins[i] + n[i]].tobytes() == b[b_begins[i] + k : b_begins[i] + n[i]].tobytes()
+    return out
+
+
+def distinct(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct word its hash, ascending, and one place in ``begins``; and of each word which of them it is. Told apart by bytes."""
+    hash_, where, inverse = np.unique(hashes(data, begins, ends), return_index=True, return_inverse=True)
+    n, first = ends - begins, where[inverse]
+    odd = n != n[first]
+    odd[~odd] = ~same_bytes(data, begins[~odd], data, begins[first[~odd]], n[~odd])
+    if not odd.any():
+        return hash_, where, inverse
+    more: dict[bytes, int] = {}  # words whose hash another word has too
+    new = len(hash_)
+    for i in np.flatnonzero(odd):
+        inverse[i] = more.setdefault(data[begins[i] : ends[i]].tobytes(), new + len(more))
+    own = inverse[odd]
+    _, at = np.unique(own, return_index=True)
+    where = np.concatenate([where, np.flatnonzero(odd)[at]])
+    hash_ = np.concatenate([hash_, hash_[np.searchsorted(hash_, hashes(data, begins[where[new:]], ends[where[new:]]))]])
+    order = np.argsort(hash_, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return hash_[order], where[order], back[inverse]
+
+
+class Memo:
+    """What words became, remembered by their bytes: a 64-bit hash finds a word, its bytes decide."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.data, self.begins, self.sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, hash_: np.ndarray, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The slot of each word, -1 where it is not held."""
+        out = np.full(len(hash_), -1, np.int64)
+        if len(self.hash):
+            place = np.minimum(np.searchsorted(self.hash, hash_), len(self.hash) - 1)
+            near = np.flatnonzero(self.hash[place] == hash_)
+            slot = self.slot[place[near]]
+            ok = self.sizes[slot] == (ends - begins)[near]
+            near, slot = near[ok], slot[ok]
+            ok = same_bytes(data, begins[near], self.data, self.begins[slot], self.sizes[slot])
+            out[near[ok]] = slot[ok]
+        return out
+
+    def add(self, hash_: np.ndarray, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> bool:
+        """Gives the words the next slots in turn, unless the memo is full. Of words with one hash the first is found again."""
+        if not len(hash_) or len(self.sizes) >= self.most:
+            return False
+        n = ends - begins
+        slots = len(self.sizes) + np.arange(len(n))
+        self.begins = np.concatenate([self.begins, len(self.data) + np.cumsum(n) - n])
+        self.data, self.sizes = np.concatenate([self.data, data[spread(begins, n)]]), np.concatenate([self.sizes, n])
+        both, slots = np.concatenate([self.hash, hash_]), np.concatenate([self.slot, slots])
+        order = np.argsort(both, kind="stable")
+        both, slots = both[order], slots[order]
+        keep = np.append(True, both[1:] != both[:-1])
+        self.hash, self.slot = both[keep], slots[keep]
+        return True
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

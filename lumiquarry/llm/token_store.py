@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumiquarry.llm.textbytes import hashes, pieces, spread, tidy, utf8
+from lumiquarry.llm.textbytes import Memo, distinct, pieces, spread, tidy, utf8
 from lumiquarry.session import shared_folder, table
 
 #: Distinct chunks whose ids a worker remembers at most.
@@ -32,7 +32,7 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 
 class Encoder:
-    """The tokenizers library's ids of texts, with the ids of chunks that recur remembered by a 64-bit hash.
+    """The tokenizers library's ids of texts, with the ids of chunks that recur remembered by their bytes.
 
     A plain text holds ASCII, line ends and Latin letters up to U+024F alone, which byte-level patterns class alike
     everywhere. Such a pattern never joins a letter with what is none after it, nor a character that is no white space
@@ -49,7 +49,7 @@ class Encoder:
         self.added = [t.content.encode() for t in model.get_added_tokens_decoder().values()]
         self.line = self._ids(["\n"])[0]
         self.plain = "ByteLevel" in type(model.pre_tokenizer).__name__ and model.normalizer is None and len(self.line) == 1
-        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.memo = Memo(REMEMBER)
         self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -98,25 +98,17 @@ class Encoder:
         row = np.searchsorted(offsets, begins, "right") - 1
         if rough.any():
             begins, ends, row = (x[~rough[row]] for x in (begins, ends, row))
-        seen, where, inverse = np.unique(hashes(data, begins, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hash, seen)
-        held = np.zeros(len(seen), bool)
-        if len(self.hash):
-            held = self.hash[np.minimum(place, len(self.hash) - 1)] == seen
-        new = np.flatnonzero(~held)
+        seen, where, inverse = distinct(data, begins, ends)
+        slot = self.memo.find(seen, data, begins[where], ends[where])
+        new = np.flatnonzero(slot < 0)
         raw = data.tobytes()
         ids, size, order = self._chunks([raw[a:b].decode() for a, b in zip(begins[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
         flat, sizes = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
         start = np.cumsum(sizes) - sizes
-        slot = np.empty(len(seen), np.int64)
-        slot[held] = self.slot[place[held]]
         new = new[order]
         slot[new] = len(self.size) + np.arange(len(new))
-        if len(new) and len(self.hash) < REMEMBER:
+        if self.memo.add(seen[new], data, begins[where[new]], ends[where[new]]):
             self.flat, self.size = flat, sizes
-            both = np.concatenate([self.hash, seen[new]])
-            order = np.argsort(both, kind="stable")
-            self.hash, self.slot = both[order], np.concatenate([self.slot, slot[new]])[order]
         slot = slot[inverse]
         size = sizes[slot]
         ids = flat[spread(start[slot], size)] if len(slot) else np.zeros(0, np.int32)

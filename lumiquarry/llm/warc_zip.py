@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumiquarry.llm.textbytes import pieces, utf8
+from lumiquarry.operators.joins import hub_join
 from lumiquarry.session import shared_folder, table, written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -176,13 +177,15 @@ def write_packages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
 
     Of rows with equal payloads of ``smallest`` bytes or more, that with the smallest id is a response (rows that repeat
     it too) and the others are revisits; rows with a null id are responses. A null payload is empty; a null url is left
-    out; further columns are not read. Duplicates are found on (id, digest) rows: payloads are not shuffled for them,
-    and a payload that a third of the pages share is a skewed join key of narrow rows.
+    out; further columns are not read. Duplicates are found on (id, digest) rows: a digest that more than a task's share
+    of the pages have is broadcast, so its pages are not gathered. Pages are then shuffled once, by id and digest, to meet
+    what they refer to and to fill packages evenly.
     """
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")).withColumn("sha1", F.sha1("payload"))
     slim = base.where(F.octet_length("payload") >= smallest).select("id", "sha1")
-    first = slim.groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    revisits = slim.join(first, "sha1").where(F.col("id") > F.col("first")).distinct()
+    slim = written(slim, "digests")
+    first = slim.groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    revisits = hub_join(slim, first, "sha1", "n", slim.count()).where(F.col("id") > F.col("first")).distinct()
     dealt = base.join(revisits, ["id", "sha1"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

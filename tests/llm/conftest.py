@@ -2,6 +2,19 @@ import random
 
 import pytest
 
+
+
+def thue_morse() -> list[str]:
+    """Words over a and b, and their complements, that any polynomial hash modulo a power of two confuses."""
+    out = []
+    for k in (10, 11, 12):
+        word = "a"
+        for _ in range(k):
+            word += word.translate(str.maketrans("ab", "ba"))
+        out += [word, word.translate(str.maketrans("ab", "ba"))]
+    return out
+
+
 EDGE = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, row int, tokens string, secrets string, part int, items string, component string, name string, key string, node string, digest string"
 
 

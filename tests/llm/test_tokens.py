@@ -7,8 +7,9 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from lumiquarry.llm import pieces_codec, token_store
+from lumiquarry.llm import pieces_codec, textbytes, token_store
 from lumiquarry.session import shared_folder
+from tests.llm.conftest import thue_morse
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -49,13 +50,27 @@ def test_token_files_edges(spark, edge_docs, no_docs):
 
 
 def test_encoder_remembers_across_batches(monkeypatch):
-    own, enc = Tokenizer.from_file(BPE), token_store.Encoder(BPE)
     monkeypatch.setattr(token_store, "REMEMBER", 4)
+    own, enc = Tokenizer.from_file(BPE), token_store.Encoder(BPE)
     for _ in range(3):
         ids, n = enc.batch(pa.array(TEXTS))
         assert ids.tolist() == [i for t in TEXTS for i in own.encode(t or "", add_special_tokens=False).ids]
 
 
+def test_memos_tell_chunks_apart_by_bytes(monkeypatch):
+    """Both codecs stay right where nearly all chunks share a hash, and on words that polynomial hashes confuse."""
+    words = thue_morse()
+    texts = TEXTS + [" ".join(words), *words]
+    real = textbytes.hashes
+    for hash_ in (real, lambda d, b, e: real(d, b, e) % np.uint64(3)):
+        monkeypatch.setattr(textbytes, "hashes", hash_)
+        own, enc = Tokenizer.from_file(BPE), token_store.Encoder(BPE)
+        pieces, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces_codec.Codec(PIECES)
+        for _ in range(2):
+            assert enc.batch(pa.array(texts))[0].tolist() == [i for t in texts for i in own.encode(t or "", add_special_tokens=False).ids]
+            assert codec.encode([t or "" for t in texts])[0].tolist() == [i for t in texts for i in pieces.encode(t or "")]
+
+
 def test_pieces_equal_the_library():
     own = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     codec = pieces_codec.Codec(PIECES)
