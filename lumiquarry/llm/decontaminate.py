@@ -1,9 +1,12 @@
 """Benchmark decontamination: suffix arrays over the training words, searched for every suffix of the benchmark.
 
-The documents of a task are cut into shards of about ``shard_bytes`` of text. Each shard numbers its distinct words and
+The documents of a task are cut into shards of about SHARD_BYTES of text. Each shard numbers its distinct words and
 sorts all its word positions by the words that follow, to at least ``window`` words deep; every benchmark suffix that can
 open a window is then located by binary search, all of them in step, which gives the range of all its verbatim
 occurrences. No row leaves its task: nothing is shuffled, and a hot passage is a long range and no more.
+
+The benchmark has a suffix array too, sorted in full. Equal windows stand together in it; and where a verbatim stretch
+begins in a document, its words narrow a range of that array until none is left: the depth is the longest match there.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from lumiquarry.session import table, written
 
 SHARD_BYTES = 4 << 20
 #: Benchmark text that is broadcast at once; a larger benchmark is searched for block by block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -63,70 +66,108 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def narrowed(order: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of the ranges [lo, hi) of ``order`` whose suffixes have the id ``want`` at ``depth``; they agree up to there."""
+    n = len(ids)
+
+    def bound(above: bool) -> np.ndarray:
+        a, b = lo.copy(), hi.copy()
+        while len(go := np.flatnonzero(a < b)):
+            mid = (a[go] + b[go]) >> 1
+            place = order[mid] + depth
+            have = np.where(place < n, ids[np.minimum(place, n - 1)], -1)
+            right = (have < want[go]) | (above & (have == want[go]))
+            a[go], b[go] = np.where(right, mid + 1, a[go]), np.where(right, b[go], mid)
+        return a
+
+    return bound(False), bound(True)
+
+
 def ranges(order: np.ndarray, ids: np.ndarray, queries: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where in ``order`` the positions lie that begin with each query (a row of ``queries``, as long as ``lengths`` says)."""
     lo, hi = np.zeros(len(queries), np.int64), np.full(len(queries), len(order), np.int64)
-    n = len(ids)
     for depth in range(queries.shape[1]):
         live = np.flatnonzero((lengths > depth) & (lo < hi))
         if not len(live):
             break
-        want = queries[live, depth]
-
-        def bound(above: bool, live=live, want=want, depth=depth) -> np.ndarray:
-            a, b = lo[live], hi[live]
-            while len(go := np.flatnonzero(a < b)):
-                mid = (a[go] + b[go]) >> 1
-                place = order[mid] + depth
-                have = np.where(place < n, ids[np.minimum(place, n - 1)], -1)
-                right = (have < want[go]) | (above & (have == want[go]))
-                a[go], b[go] = np.where(right, mid + 1, a[go]), np.where(right, b[go], mid)
-            return a
-
-        lo[live], hi[live] = bound(False), bound(True)
+        lo[live], hi[live] = narrowed(order, ids, lo[live], hi[live], depth, queries[live, depth])
     return lo, hi
 
 
 class Windows:
-    """The distinct windows of one block of benchmark items, with the items that hold each and the windows that may follow it."""
+    """One block of benchmark items: its suffix array, its distinct windows and the items that hold each.
+
+    ``seq`` holds the items' words as numbers from 1 on in the order of their hashes, a 0 after each item.
+    """
 
     def __init__(self, items: list[tuple[object, str]], window: int):
-        column = pa.array([x for _, x in items], pa.string())
-        data, offsets = utf8(column)
+        data, offsets = utf8(pa.array([x for _, x in items], pa.string()))
         data = LOWER[data]
         begins, ends, first = words(data, offsets, ALNUM)
-        word = hashes(data, begins, ends)
-        self.width, ids, self.items, after = window, {}, [], set()
-        rows: list[np.ndarray] = []
-        for k, (item, _) in enumerate(items):
-            seq = word[first[k] : first[k + 1]]
-            last = None
-            for at in range(min(len(seq), 1) if len(seq) < window else len(seq) - window + 1):
-                row = seq[at : at + window]
-                w = ids.setdefault(row.tobytes(), len(ids))
-                if w == len(rows):
-                    rows.append(row)
-                    self.items.append(set())
-                self.items[w].add(str(item))
-                if last is not None:
-                    after.add((last, w))
-                last = w
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.words = np.zeros((len(rows), window), np.uint64)
-        for k, r in enumerate(rows):
-            self.words[k, : len(r)] = r
-        self.after = np.sort(np.array([a * len(rows) + b for a, b in after], np.int64))
+        self.width, self.names = window, np.array([str(i) for i, _ in items], object)
+        self.vocabulary, ids = np.unique(hashes(data, begins, ends), return_inverse=True)
+        size = np.diff(first)
+        item = np.repeat(np.arange(len(size)), size)
+        self.seq = np.zeros(len(ids) + len(size), np.int64)
+        self.seq[np.arange(len(ids)) + item] = ids + 1
+        self.order = suffix_array(self.seq, max(window, int(size.max(initial=0)) + 1))
+        base, of = first[:-1] + np.arange(len(size)), np.repeat(np.arange(len(size)), size + 1)
+        # A window opens wherever ``window`` words are left of the item, and where a shorter item begins.
+        left = base[of] + size[of] - np.arange(len(self.seq))
+        opens = (left >= window) | ((size[of] < window) & (left == size[of]) & (left > 0))
+        at = self.order[opens[self.order]]  # equal windows are neighbours, but for those of items that end in between
+        deep = np.minimum(left[at], window)
+        new = np.arange(len(at)) == 0
+        for d in range(window if len(at) else 0):
+            word = self.seq[np.minimum(at + d, len(self.seq) - 1)]
+            new[1:] |= (word[1:] != word[:-1]) & (np.maximum(deep[1:], deep[:-1]) > d)
+        kind = np.cumsum(new) - 1
+        self.lengths, self.starts = deep[new], at[new]
+        held = np.unique(np.stack([kind, of[at]], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        self.held, self.held_at = held[:, 1], np.searchsorted(held[:, 0], np.arange(len(self.lengths) + 1))
+        #: How often each window occurs, and how often one does right after another.
+        self.times = np.bincount(kind, minlength=len(self.lengths))
+        window_at = np.full(len(self.seq) + 1, -1)
+        window_at[at[deep == window]] = kind[deep == window]
+        a, b = window_at[:-1], window_at[1:]
+        self.after, self.after_times = np.unique((a * len(self.lengths) + b)[(a >= 0) & (b >= 0)], return_counts=True)
 
     def find(self, order: np.ndarray, ids: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (position, window) of the shard where a window begins."""
+        """All (position, window) of the shard where a window begins. ``vocabulary``: the hashes of the shard's words, ascending."""
         if not len(self.lengths) or not len(vocabulary):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(vocabulary, self.words), len(vocabulary) - 1)
-        used = np.arange(self.width) < self.lengths[:, None]
-        can = np.flatnonzero(((vocabulary[place] == self.words) | ~used).all(axis=1))
-        lo, hi = ranges(order, ids, place[can] + 1, self.lengths[can])
+        place = np.minimum(np.searchsorted(vocabulary, self.vocabulary), len(vocabulary) - 1)
+        number = np.concatenate([[-1], np.where(vocabulary[place] == self.vocabulary, place + 1, 0)])  # of a benchmark word in the shard
+        can = np.arange(len(self.starts))
+        for d in range(self.width):  # few windows have all their words in the shard
+            can = can[(self.lengths[can] <= d) | (number[self.seq[np.minimum(self.starts[can] + d, len(self.seq) - 1)]] > 0)]
+        rows = number[self.seq[np.minimum(self.starts[can, None] + np.arange(self.width), len(self.seq) - 1)]]
+        lo, hi = ranges(order, ids, rows, self.lengths[can])
         return order[spread(lo, hi - lo)], np.repeat(can, hi - lo)
 
+    def begins(self, at: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Which of the finds, ordered by position, may begin a longest match: those that not every occurrence continues from the word before."""
+        first = np.searchsorted(at, at)  # finds of one position stand together
+        before = np.searchsorted(at, at - 1)
+        code = window[np.minimum(before, max(0, len(at) - 1))] * len(self.lengths) + window
+        k = np.minimum(np.searchsorted(self.after, code), max(0, len(self.after) - 1))
+        known = (self.after[k] == code) if len(self.after) else np.zeros(len(at), bool)
+        alone = (before + 1 == first) & (at[np.minimum(before, max(0, len(at) - 1))] == at - 1)  # one find at the word before
+        return ~(alone & known & (np.where(known, self.after_times[k] if len(self.after) else 0, 0) == self.times[window]))
+
+    def longest(self, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """How many words from each position on stand verbatim in some item. ``ids``: the document's words as benchmark numbers, below 0 for others."""
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
+        out, live, depth = np.zeros(len(at), np.int64), np.arange(len(at)), 0
+        while len(live):
+            place = at[live] + depth
+            want = np.where(place < len(ids), ids[np.minimum(place, len(ids) - 1)], -1)
+            lo[live], hi[live] = narrowed(self.order, self.seq, lo[live], hi[live], depth, want)
+            live = live[(lo[live] < hi[live]) & (want > 0)]
+            depth += 1
+            out[live] = depth
+        return out
+
 
 def search(batch: pa.RecordBatch, found: Windows) -> Iterator[tuple[int, np.ndarray, set, int, int]]:
     """For each row: its words, the sorted word positions that are hit, the items, the longest verbatim match and where it begins."""
@@ -144,23 +185,22 @@ def search(batch: pa.RecordBatch, found: Windows) -> Iterator[tuple[int, np.ndar
     np.add.at(hit, at, 1)
     np.add.at(hit, at + found.lengths[window], -1)
     hit = np.cumsum(hit)[:-1] > 0
-    by = np.argsort(at, kind="stable")
+    by = np.lexsort((window, at))
     at, window = at[by], window[by]
-    where = np.searchsorted(at, base)
+    starts = np.unique(at[found.begins(at, window)])
+    place = np.minimum(np.searchsorted(found.vocabulary, vocabulary), max(0, len(found.vocabulary) - 1))
+    known = np.where(found.vocabulary[place] == vocabulary, place + 1, -1) if len(found.vocabulary) else np.full(len(vocabulary), -1)
+    deep = found.longest(starts, np.concatenate([[-1], known])[seq])
+    where, start_at = np.searchsorted(at, base), np.searchsorted(starts, base)
     for i in range(n):
         if where[i] == where[i + 1]:
             yield int(first[i + 1] - first[i]), np.zeros(0, np.int64), set(), 0, -1
             continue
-        p, w = at[where[i] : where[i + 1]], window[where[i] : where[i + 1]]
-        items = set().union(*(found.items[k] for k in np.unique(w)))
-        step = np.zeros(len(p), bool)  # the match goes on: the next position holds a window that follows this one
-        code = w[:-1] * len(found.lengths) + w[1:]
-        if len(found.after) and len(p) > 1:
-            step[1:] = (np.diff(p) == 1) & (found.after[np.minimum(np.searchsorted(found.after, code), len(found.after) - 1)] == code)
-        run = np.flatnonzero(~step)
-        long = np.diff([*run, len(p)]) - 1 + found.lengths[w[run]]
-        best = int(np.argmax(long))
-        yield int(first[i + 1] - first[i]), np.flatnonzero(hit[base[i] : base[i + 1]]), items, int(long[best]), int(p[run[best]] - base[i])
+        kinds = np.unique(window[where[i] : where[i + 1]])
+        items = set(found.names[np.unique(found.held[spread(found.held_at[kinds], np.diff(found.held_at)[kinds])])])
+        own = deep[start_at[i] : start_at[i + 1]]
+        best = int(np.argmax(own))
+        yield int(first[i + 1] - first[i]), np.flatnonzero(hit[base[i] : base[i + 1]]), items, int(own[best]), int(starts[start_at[i] + best] - base[i])
 
 
 def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[object, str]]]:
@@ -179,8 +219,9 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
 
     Words are runs of digits, letters a-z (A-Z lowered) and characters beyond ASCII. A window is ``window`` consecutive
     words of an item, or all words of a shorter one. Returns a row per row of ``docs``: ``id_col``, n_words, n_hit (words
-    inside any occurrence of a window), items (ids as strings, sorted as strings), longest_match (words of the longest
-    verbatim stretch) and match_at (its first word, from 0; -1 without).
+    inside any occurrence of a window), items (ids as strings, sorted as strings), longest_match (of the stretches that
+    begin with a window, the most words that stand verbatim in one item; 0 without) and match_at (its first word, from 0,
+    the first of several; -1 without).
 
     Null texts and texts without words have n_words 0 and hit nothing; items without words, or with a null id or text,
     have no windows; equal ids of items count once; repeated documents are answered each. Further columns of either
@@ -209,7 +250,7 @@ def _overlap(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], id_co
                     if h is not None:
                         at = np.union1d(at, np.frombuffer(h, np.int64))
                         own |= set(i)
-                        long, begin = max((long, begin), (m, p), key=lambda x: x[0])
+                        long, begin = max((long, begin), (m, p), key=lambda x: (x[0], -x[1]))
                     n.append(count)
                     hits.append(at.astype(np.int64).tobytes() if len(at) else None)
                     names.append(sorted(own) if own else None)

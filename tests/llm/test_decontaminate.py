@@ -71,6 +71,45 @@ def test_longest_match(spark):
     assert (r["n_hit"], r["longest_match"], r["match_at"]) == (25, 25, 2)
 
 
+def brute_longest(docs, items, window=10):
+    """(longest, at): the longest verbatim stretch that begins with a window, by trying all places of all items."""
+    out = {}
+    for d, t in docs:
+        w, best = words(t), (0, -1)
+        for p in range(len(w)):
+            for _, x in items:
+                b = words(x)
+                for q in range(len(b)):
+                    k = 0
+                    while p + k < len(w) and q + k < len(b) and w[p + k] == b[q + k]:
+                        k += 1
+                    full = k >= window or (q == 0 and k == len(b) < window)
+                    opens = full or any(w[p : p + len(words(y))] == words(y) for _, y in items if 0 < len(words(y)) < window)
+                    if opens and k > best[0]:
+                        best = (k, p)
+        out[d] = best
+    return out
+
+
+def longest(df):
+    return {r["doc_id"]: (r["longest_match"], r["match_at"]) for r in df.collect()}
+
+
+def test_longest_matches_are_of_one_item(spark):
+    item = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    two = frame([(1, item(0, 11)), (2, item(1, 12))], "item_id")
+    assert longest(dc.benchmark_overlap(frame([(1, item(0, 12))], "doc_id"), two)) == {1: (11, 0)}
+    inside = frame([(1, item(0, 30)), (2, "w5 w6 w7")], "item_id")
+    assert longest(dc.benchmark_overlap(frame([(1, item(0, 25))], "doc_id"), inside)) == {1: (25, 0)}
+    r = random.Random(5)
+    items = [(k, " ".join(r.choice("ab") for _ in range(r.choice([3, 8, 12, 25])))) for k in range(6)]
+    docs = [(k, " ".join(r.choice("abz" if k % 2 else "ab") for _ in range(60)) + " " + items[k % 6][1]) for k in range(12)]
+    want = brute_longest(docs, items, 7)
+    for more in ({}, {"block_bytes": 20}):
+        assert longest(dc.benchmark_overlap(frame(docs, "doc_id"), frame(items, "item_id"), window=7, **more)) == want
+
+
 def test_edges(spark, edge_docs, no_docs):
     b = spark.createDataFrame([(1, "a b c d e f g h"), (2, None)], "item_id long, text string")
     out = dc.benchmark_overlap(edge_docs, b).collect()
