@@ -1,8 +1,11 @@
 """Approximate nearest neighbours by inner product: a forest of sorted hash prefixes (LSH Forest).
 
 The rows are dealt into shards of about SHARD vectors. A shard has TREES sorted arrays of 64-bit hash strings, each bit
-the side of a random hyperplane. A query descends every tree to its longest matching prefix and then ascends all trees in
-step, one bit at a time, until the rows under the prefixes are enough; those are scored exactly in double precision.
+the side of a random hyperplane. A query descends every tree to its longest matching prefixes and then ascends all trees
+in step, one bit at a time. The rows under the prefixes are scored exactly in double precision. It stops where a row as
+near as the k-th best found would be under none of the prefixes with a chance of MISS at most: at angle A two strings
+agree in a bit with p = 1 - A/pi, so that chance is (1 - p**bits)**TREES. Near neighbours end the ascent after few rows;
+where all rows are about equally far, as in random vectors, no short list holds the nearest, and it goes on to many.
 Vectors of different lengths are lifted to one length first, so that the angle orders rows as the inner product does.
 """
 
@@ -15,19 +18,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiquarry.llm.textbytes import spread
 from lumiquarry.session import table, written
 
 SHARD, TREES = 8192, 64
-#: A query ascends until the trees' ranges hold this share of a shard's rows, counted in every tree, and at least ENOUGH.
-SHARE, ENOUGH = 1.2, 6144
-#: Queries that are broadcast at once.
-QUERIES = 16384
+#: The chance to miss a neighbour at which a query stops ascending, and the rows for each asked for from which it tests that.
+MISS, FIRST = 0.1, 16
+#: Queries, and bytes of their vectors, that are broadcast at once; queries that a task works on together.
+QUERIES, QUERY_BYTES, TOGETHER = 16384, 32 << 20, 1024
 
 
 def planes(dim: int) -> np.ndarray:
     return np.random.default_rng(20_240_607).standard_normal((dim + 1, TREES * 64)).astype(np.float32)
 
 
+def unit(vectors: np.ndarray, whole: bool = False) -> np.ndarray:
+    """The vectors by their own lengths or, ``whole``, all by that of the longest; none overflows on the way."""
+    v = vectors / (np.abs(vectors).max(initial=1e-300) if whole else np.abs(vectors).max(axis=1, keepdims=True, initial=1e-300))
+    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return (v / (size.max(initial=1e-300) if whole else np.maximum(size, 1e-300))).astype(np.float32)
+
+
 def strings(vectors: np.ndarray, side: np.ndarray) -> np.ndarray:
     """The hash strings of each vector in each tree: (rows, TREES) of 64 bits, the first plane the highest."""
     bits = vectors.astype(np.float32) @ side > 0
@@ -39,9 +50,9 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        size = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
-        lift = np.sqrt(np.maximum(size.max() ** 2 - size**2, 0))
-        keys = strings(np.concatenate([vectors, lift[:, None]], axis=1), planes(vectors.shape[1]))
+        v = unit(vectors, whole=True)
+        lift = np.sqrt(np.maximum(1 - (v * v).sum(axis=1, keepdims=True), 0))
+        keys = strings(np.concatenate([v, lift], axis=1), planes(vectors.shape[1]))
         self.order = np.argsort(keys, axis=0, kind="stable").T.astype(np.int32)
         self.keys = np.take_along_axis(keys.T, self.order.astype(np.int64), axis=1)
 
@@ -58,50 +69,63 @@ class Forest:
         out.keys = np.frombuffer(keys, np.uint64).reshape(TREES, n)
         return out
 
-    def ranges(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For strings (TREES, queries): where in each tree the rows lie that share the prefix at which each query stops ascending."""
-        n, q = len(self.ids), hashed.shape[1]
-        enough = min(TREES * n, max(SHARE * n, ENOUGH))
-        lo, hi = np.zeros((TREES, q), np.int64), np.full((TREES, q), n, np.int64)
-        longest = np.zeros(q, np.int64)
+    def ranges(self, hashed: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in each tree the rows lie that share the first ``level`` bits of each query's strings (TREES, queries)."""
+        low = np.where(level > 0, (np.uint64(1) << (64 - np.maximum(level, 1)).astype(np.uint64)) - np.uint64(1), np.uint64(2**64 - 1))
+        a, b = np.empty(hashed.shape, np.int64), np.empty(hashed.shape, np.int64)
         for t in range(TREES):
-            at = np.searchsorted(self.keys[t], hashed[t])
-            for near in (np.maximum(at - 1, 0), np.minimum(at, n - 1)):
-                apart = self.keys[t][near] ^ hashed[t]
-                same = 64 - np.where(apart == 0, 0, np.floor(np.log2(np.maximum(apart, 1).astype(np.float64))) + 1).astype(np.int64)
-                longest = np.maximum(longest, same)
-        for level in range(int(longest.max(initial=0)), 0, -1):
-            live = np.flatnonzero(longest >= 0)
-            live = live[longest[live] >= level]
-            if not len(live):
-                continue
-            low = np.uint64((1 << (64 - level)) - 1)
-            a, b = np.empty((TREES, len(live)), np.int64), np.empty((TREES, len(live)), np.int64)
-            for t in range(TREES):
-                h = hashed[t, live]
-                a[t], b[t] = np.searchsorted(self.keys[t], h & ~low), np.searchsorted(self.keys[t], h | low, "right")
-            done = (b - a).sum(axis=0) >= enough
-            lo[:, live[done]], hi[:, live[done]] = a[:, done], b[:, done]
-            longest[live[done]] = -1
-        return lo, hi
+            a[t], b[t] = np.searchsorted(self.keys[t], hashed[t] & ~low), np.searchsorted(self.keys[t], hashed[t] | low, "right")
+        return a, b
+
+    def descended(self, hashed: np.ndarray, enough: int) -> np.ndarray:
+        """The longest prefix of each query that ``enough`` rows share, counted over the trees; 0 where there are too few."""
+        lo, hi = np.zeros(hashed.shape[1], np.int64), np.full(hashed.shape[1], 64)
+        while (open_ := lo < hi).any():
+            mid = (lo + hi + 1) >> 1
+            a, b = self.ranges(hashed, mid)
+            ok = (b - a).sum(axis=0) >= enough
+            lo, hi = np.where(open_ & ok, mid, lo), np.where(open_ & ~ok, mid - 1, hi)
+        return lo
 
     def nearest(self, ids: np.ndarray, vectors: np.ndarray, hashed: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and scores of its k best candidates, without the row of its own id."""
-        lo, hi = self.ranges(hashed)
-        mark = np.zeros(len(self.ids), bool)
-        for q in range(len(ids)):
-            mark[:] = False
-            for t in np.flatnonzero(hi[:, q] > lo[:, q]):
-                mark[self.order[t, lo[t, q] : hi[t, q]]] = True
-            mark &= self.ids != ids[q]
-            at = np.flatnonzero(mark)
+        for at in range(0, len(ids), TOGETHER):
+            yield from self._nearest(ids[at : at + TOGETHER], vectors[at : at + TOGETHER], hashed[:, at : at + TOGETHER], k)
+
+    def _nearest(self, ids: np.ndarray, vectors: np.ndarray, hashed: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, flat, first = len(self.ids), self.order.ravel(), np.arange(TREES) * len(self.ids)
+        # To stop by, scores are against the longest row, so those of rough are cosines after lifting; what counts is scored in double precision.
+        rough, asked = unit(self.vectors, whole=True), unit(vectors)
+        unseen = self.ids[None, :] != ids[:, None]
+        rows, scores = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0, np.float32)] * len(ids)
+        level, live = self.descended(hashed, FIRST * k), np.arange(len(ids))
+        while len(live):
+            lo, hi = self.ranges(hashed[:, live], level[live])
+            kth = np.full(len(live), -np.inf)
+            for x, q in enumerate(live):
+                new = np.zeros(n, bool)
+                new[flat[spread(first + lo[:, x], hi[:, x] - lo[:, x])]] = True
+                new &= unseen[q]
+                at = np.flatnonzero(new)
+                unseen[q, at] = False
+                # Rows about as near as the k-th stay in until exact scores and ids decide.
+                at, score = np.concatenate([rows[q], at]), np.concatenate([scores[q], rough.take(at, axis=0) @ asked[q]])
+                if len(at) >= k:
+                    kth[x] = np.partition(score, len(score) - k)[len(score) - k]
+                    near = score >= kth[x] - 1e-5
+                    at, score = at[near], score[near]
+                rows[q], scores[q] = at, score
+            same = 1 - np.arccos(np.clip(kth, -1, 1)) / np.pi
+            with np.errstate(divide="ignore"):
+                done = (level[live] == 0) | ((kth > -np.inf) & (TREES * np.log1p(-(same ** level[live])) <= np.log(MISS)))
+            live = live[~done]
+            level[live] -= 1
+        out = []
+        for q, at in enumerate(rows):
             score = (self.vectors[at] * vectors[q]).sum(axis=1)
-            if len(at) > k:  # all that tie with the k-th stay in until ids decide
-                at_least = np.partition(score, len(score) - k)[len(score) - k]
-                keep = score >= at_least
-                at, score = at[keep], score[keep]
             best = np.lexsort((self.ids[at], -score))[:k]
-            yield self.ids[at[best]], score[best]
+            out.append((self.ids[at[best]], score[best]))
+        return out
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -112,7 +136,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, i
     Rows of a table that share an id are one, with the least vector. A query's own id is no candidate; ties go to the
     smaller id; with fewer than ``k`` candidates all are returned. An empty table gives no rows.
 
-    Every row is indexed, in the shared folder. Queries go to the shards in blocks of QUERIES, each broadcast.
+    Every row is indexed, in the shared folder. Queries go to the shards in blocks of QUERIES rows and QUERY_BYTES at most,
+    each broadcast.
     """
     spark = vectors.sparkSession
 
@@ -143,7 +168,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, i
     dealt = one(rows).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     index = written(dealt.repartition(shards, "shard").mapInArrow(plant, "ids binary, vectors binary, order binary, keys binary"), "forest")
     asked = one(usable(queries))
-    blocks = -(-asked.count() // QUERIES)
+    blocks = -(-asked.count() // max(1, min(QUERIES, QUERY_BYTES // (8 * dim))))
     asked = written(asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, blocks)))), "queries")
 
     def search(block: int) -> DataFrame:
@@ -153,7 +178,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, i
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors = sent.value
-            hashed = strings(np.concatenate([vectors, np.zeros((len(ids), 1))], axis=1), planes(dim)).T.copy()
+            hashed = strings(np.concatenate([unit(vectors), np.zeros((len(ids), 1))], axis=1), planes(dim)).T.copy()
             for batch in batches:
                 for row in range(batch.num_rows):
                     forest = Forest.unpacked(*(batch.column(c)[row].as_py() for c in ("ids", "vectors", "order", "keys")))
