@@ -4,11 +4,13 @@ Words are lower-cased (A-Z) runs without ASCII white space; an end follows each
 summed by hash in packed blobs. The commonest TOP words are broadcast (a fixed bound); every other word's count is
 joined to the texts that hold it by a shuffle of packed (hash, row) pairs, so that no count is dropped.
 
-The model factors a word into its class and the word in its class. A class is one of the commonest words, a band of
-words of like frequency, or all rarer words. The class has a softmax whose weights are rows of a hashed table, one for
-each of: the word before, the word two before, the word three before, the pair of the two before. The word in its class
-has its smoothed share there. Each task of a training round takes gradient steps from the shared weights over all its
-training texts; the tasks' weights are averaged block by block.
+The model factors a word into its class, its slot in the class and its share of the slot. The commonest words are classes
+of their own, those next to them fill classes of WIDTH words, a slot each; further broadcast words lie in bands of like
+frequency and all rarer ones in a last class, whose slots they share by hash. Class and slot each have a softmax whose
+weights are rows of a hashed table, one for each of: the word before, the word two before, the pair of these; the slots' rows are of feature and class together, and their table grows with the tokens learned
+from. The share of a word in its slot is its smoothed count there. Each task of a training round takes gradient steps from
+the shared weights over all its training texts; rows of the tasks' tables are averaged by how often each task met them,
+a few tasks at a time, in a tree.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +29,16 @@ from lumiquarry.llm.quality import fold
 from lumiquarry.llm.textbytes import LOWER, NOT_SPACE, hashes, mix, pieces, tidy, utf8, words
 from lumiquarry.session import table, written
 
-#: Words whose counts are broadcast, classes of one word, bands of words, rows of the weight table.
-TOP, SINGLE, BANDS, BITS = 1 << 19, 20, 11, 14
-CLASSES = SINGLE + BANDS + 1
+#: Words whose counts are broadcast; classes of one word, of WIDTH words, of bands; slots of a class.
+TOP, SINGLE, FULL, BANDS, WIDTH = 1 << 19, 12, 12, 7, 32
+CLASSES = SINGLE + FULL + BANDS + 1
+#: Rows of the classes' table, and of the slots' at most, as powers of two: indices of 16 bits are sorted by radix.
+BITS, INNER = 14, 16
 RATE, STEP = 0.15, 8192
+#: Rows of a table in a block, and tasks' blocks that are averaged at once.
+BLOCK, FAN = 2048, 16
 END = np.uint64(0x5851F42D4C957F2D)
-FEATURES = 4
+FEATURES = 3
 #: Distinct words a task gathers before it sends their counts.
 FLUSH = 2 << 20
 
@@ -49,72 +56,126 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(token: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The weight rows of each token's features, (FEATURES, tokens)."""
+    """The hashes of each token's features, (FEATURES, tokens)."""
     before = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         h = np.zeros(len(token), np.uint64)
         h[k:] = token[:-k]
         for j in range(k):
             at = place[:-1] + j
             h[at[at < place[1:]]] = 0  # what was before the text began
         before.append(h)
-    a, b, c = before
-    shift = np.uint64(64 - BITS)
-    return np.stack([(mix(h + np.uint64(k + 1)) >> shift).astype(np.int32) for k, h in enumerate((a, b, c, a * np.uint64(3) + mix(b)))])
+    a, b = before
+    return np.stack([mix(h + np.uint64(k + 1)) for k, h in enumerate((a, b, a * np.uint64(3) + mix(b)))])
+
+
+def table_rows(feature: np.ndarray, bits: int, kind: np.ndarray | None = None) -> np.ndarray:
+    """The table's row of each feature, or of feature and class."""
+    if kind is not None:
+        feature = mix(feature + (kind + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return (feature >> np.uint64(64 - bits)).astype(np.uint16)
 
 
 def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]] + bias
+    """Probabilities from the sums of ``rows`` (FEATURES, n) of the table and the bias, one for all or one each."""
+    z = weights.take(rows[0], axis=0)
+    z += bias
     for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
+        z += weights.take(r, axis=0)
+    np.minimum(z, 60, out=z)  # far beyond what training reaches
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= np.maximum(z @ np.ones(z.shape[1], z.dtype), 1e-30)[:, None]
     return z
 
 
 class Words:
-    """The broadcast words: ascending hashes with count and class; sizes of the rest; bias and smoothed size of each class."""
+    """The broadcast words: ascending hashes with count, class and slot; bias and smoothed size of each class and slot.
+
+    ``slots`` (2, WIDTH) holds the counts and the number of all training words whose hash gives each slot.
+    """
 
-    def __init__(self, top: list[tuple[int, int]], total: int, types: int):
+    def __init__(self, top: list[tuple[int, int]], total: int, types: int, slots: np.ndarray):
         h = np.array([x for x, _ in top], np.int64).view(np.uint64)
         count = np.array([c for _, c in top], np.int64)
         order = np.lexsort((h, -count))
         h, count = h[order], count[order]
-        kind = np.arange(len(h))
-        rest = count[SINGLE:]
-        kind[SINGLE:] = SINGLE + np.minimum((np.cumsum(rest) - rest) * BANDS // max(1, int(rest.sum())), BANDS - 1)
-        mass = np.bincount(kind, weights=count + 0.5, minlength=CLASSES).astype(float)  # of nothing it is whole numbers
+        rank = np.arange(len(h))
+        own = SINGLE + FULL * WIDTH
+        rest = count[own:]
+        kind = np.where(rank < SINGLE, rank, SINGLE + (rank - SINGLE) // WIDTH)
+        kind[own:] = SINGLE + FULL + np.minimum((np.cumsum(rest) - rest) * BANDS // max(1, int(rest.sum())), BANDS - 1)
+        slot = np.where(rank < SINGLE, 0, (rank - SINGLE) % WIDTH)
+        slot[own:] = self.hashed(h[own:])
         self.total, self.types = total, types
-        mass[CLASSES - 1] = total - count.sum() + 0.5 * (types - len(h) + 1)
+        mass = np.bincount(kind * WIDTH + slot, weights=count + 0.5, minlength=CLASSES * WIDTH).astype(float).reshape(CLASSES, WIDTH)
+        all_ = self.hashed(h)
+        # The last class holds the words that are not broadcast, and an unknown one in each slot.
+        mass[-1] = slots[0] - np.bincount(all_, weights=count, minlength=WIDTH) + 0.5 * (slots[1] - np.bincount(all_, minlength=WIDTH) + 1)
         self.mass = mass
-        with np.errstate(divide="ignore"):
-            self.bias = np.log(mass / mass.sum()).astype(np.float32)  # a class without words has none
+        whole = mass.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.bias = np.log(whole / whole.sum()).astype(np.float32)  # a class without words has none
+            self.slot_bias = np.where(whole[:, None] > 0, np.log(mass / whole[:, None]), 0).astype(np.float32)
         order = np.argsort(h)
-        self.hash, self.count, self.kind = h[order], count[order], kind[order].astype(np.int32)
+        self.hash, self.count, self.kind, self.slot = h[order], count[order], kind[order].astype(np.int32), slot[order].astype(np.int32)
+
+    @staticmethod
+    def hashed(h: np.ndarray) -> np.ndarray:
+        return (mix(h) % np.uint64(WIDTH)).astype(np.int32)
 
-    def look(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each token and its count, -1 where it is not among the broadcast words."""
+    def look(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class and slot of each token, and its count, -1 where it is not among the broadcast words."""
         if not len(self.hash):
-            return np.full(len(token), CLASSES - 1, np.int32), np.full(len(token), -1)
+            return np.full(len(token), CLASSES - 1, np.int32), self.hashed(token), np.full(len(token), -1)
         at = np.minimum(np.searchsorted(self.hash, token), len(self.hash) - 1)
         held = self.hash[at] == token
-        return np.where(held, self.kind[at], CLASSES - 1).astype(np.int32), np.where(held, self.count[at], -1)
-
-
-def train(weights: np.ndarray, bias: np.ndarray, past: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> None:
-    """Gradient steps of STEP tokens each on ``weights`` in place; ``past`` sums the squares of each row's gradients."""
-    for at in range(0, len(kind), STEP):
-        own, y = rows[:, at : at + STEP], kind[at : at + STEP]
-        g = softmax(weights, bias, own)
-        g[np.arange(len(y)), y] -= 1
-        for r in own:
-            order = np.argsort(r, kind="stable")
-            r = r[order]
-            first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-            step, r = np.add.reduceat(g[order], first, axis=0), r[first]
-            past[r] += (step * step).mean(axis=1)
-            weights[r] -= RATE * step / np.sqrt(past[r])[:, None]
+        return np.where(held, self.kind[at], CLASSES - 1).astype(np.int32), np.where(held, self.slot[at], self.hashed(token)), np.where(held, self.count[at], -1)
+
+
+class Model:
+    """The tables of weights: ``outer`` for classes, ``inner`` for slots. Both know how often their rows were met while training."""
+
+    def __init__(self, bits: int, step: int):
+        self.bits, self.step = bits, step
+        self.tables = [np.zeros((1 << BITS, CLASSES), np.float32), np.zeros((1 << bits, WIDTH), np.float32)]
+
+    def begin(self) -> Model:
+        """A copy to train: sums of squares of each row's gradients, and counts of its tokens."""
+        out = Model(self.bits, self.step)
+        out.tables = [t.copy() for t in self.tables]
+        out.past = [np.full(len(t), 1e-2, np.float32) for t in self.tables]
+        out.met = [np.zeros(len(t)) for t in self.tables]
+        return out
+
+    def steps(self, words_: Words, feature: np.ndarray, kind: np.ndarray, slot: np.ndarray, learn: bool = False) -> np.ndarray:
+        """The natural log-probability of each token's class and slot; with ``learn``, gradient steps of ``step`` tokens each."""
+        out = np.zeros(len(kind))
+        for at in range(0, len(kind), self.step):
+            x, y, z = feature[:, at : at + self.step], kind[at : at + self.step], slot[at : at + self.step]
+            out[at : at + self.step] = self._step(0, words_.bias, table_rows(x, BITS), y, learn)
+            many = np.flatnonzero(y >= SINGLE)  # a class of one word has one slot
+            if len(many):
+                out[at + many] += self._step(1, words_.slot_bias[y[many]], table_rows(x[:, many], self.bits, y[many]), z[many], learn)
+        return out
+
+    def _step(self, which: int, bias: np.ndarray, rows: np.ndarray, y: np.ndarray, learn: bool) -> np.ndarray:
+        table_ = self.tables[which]
+        g = softmax(table_, bias, rows)
+        at = np.arange(len(y))
+        log = np.log(np.maximum(g[at, y], 1e-30))
+        if learn:
+            g[at, y] -= 1
+            across = np.ascontiguousarray(g.T)
+            past, met = self.past[which], self.met[which]
+            for r in rows:
+                order = np.argsort(r, kind="stable")
+                r = r[order]
+                first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                step, r = np.add.reduceat(across.take(order, axis=1), first, axis=1).T, r[first]
+                past[r] += np.einsum("ij,ij->i", step, step) / step.shape[1]
+                table_[r] -= step * (RATE / np.sqrt(past[r]))[:, None]
+                met[r] += np.diff(np.append(first, len(order)))
+        return log
 
 
 def packed(parts: int, key: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -127,12 +188,12 @@ def packed(parts: int, key: np.ndarray, *columns: np.ndarray) -> tuple[list[int]
 
 
 def counted(docs: DataFrame, parts: int) -> DataFrame:
-    """The training words' counts: a row per part with a blob of (hash, count), and rows (hash, count) of the part's commonest TOP words."""
-    schema = "part int, words binary, types long, total long, hash long, count long"
+    """The training words' counts: a row per part with a blob of (hash, count) and the sums of each slot, and rows (hash, count) of the part's commonest TOP words."""
+    schema = "part int, words binary, types long, total long, slots binary, hash long, count long"
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
-        kinds = {"part": pa.int32(), "words": pa.binary(), "types": pa.int64(), "total": pa.int64(), "hash": pa.int64(), "count": pa.int64()}
+        kinds = {"part": pa.int32(), "words": pa.binary(), "types": pa.int64(), "total": pa.int64(), "slots": pa.binary(), "hash": pa.int64(), "count": pa.int64()}
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
     def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,39 +230,60 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
         for part in sorted({p for p, _ in blobs}):
             pairs = np.frombuffer(b"".join(w for p, w in blobs if p == part), np.int64).reshape(-1, 2)
             h, n = summed(pairs[:, 0].view(np.uint64), pairs[:, 1])
-            yield rows(part=[part], words=[np.stack([h.view(np.int64), n], axis=1).tobytes()], types=[len(h)], total=[int(n.sum())])
+            yield rows(part=[part], words=[np.stack([h.view(np.int64), n], axis=1).tobytes()], types=[len(h)], total=[int(n.sum())], slots=[np.stack([np.bincount(Words.hashed(h), n, WIDTH), np.bincount(Words.hashed(h), minlength=WIDTH)]).astype(np.int64).tobytes()])
             best = np.lexsort((h, -n))[:TOP]
             yield rows(hash=h[best].view(np.int64), count=n[best])
 
     return docs.mapInArrow(tidy(count), schema).repartition(parts, "part").mapInArrow(tidy(add), schema)
 
 
-def learned(docs: DataFrame, known, weights: np.ndarray, blocks: int = 16) -> np.ndarray:
-    """The average of the tasks' weights after each has gone over its training texts once from the shared ``weights``."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+def learned(docs: DataFrame, known, model: Model) -> Model:
+    """The average of the tasks' tables after each has gone over its training texts once from the shared ``model``.
+
+    Tables travel in blocks of BLOCK rows; FAN tasks' blocks meet in one place, then FAN of those averages, and so on.
+    """
+    spark = docs.sparkSession
+    sent, cuts = spark.sparkContext.broadcast(model), [(k, at) for k, t in enumerate(model.tables) for at in range(0, len(t), BLOCK)]
+    schema = "block int, team int, weights binary, met binary"
+
+    def rows(block: list[int], team: list[int], weights: list[bytes], met: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(team, pa.int32()), pa.array(weights, pa.binary()), pa.array(met, pa.binary())], names=["block", "team", "weights", "met"])
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, past, seen, words_ = sent.value.copy(), np.full(1 << BITS, 1e-2, np.float32), 0, known.value
+        own, words_ = None, known.value
         for batch in pieces(batches, "text"):
+            own = own or sent.value.begin()
             token, place = tokens(batch.column("text"))
-            kind, _ = words_.look(token)
-            train(own, words_.bias, past, contexts(token, place), kind)
-            seen += len(token)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in np.split(own, blocks)], pa.binary()), pa.array([seen] * blocks, pa.int64())], names=["block", "weights", "seen"])
+            kind, slot, _ = words_.look(token)
+            own.steps(words_, contexts(token, place), kind, slot, learn=True)
+        team = TaskContext.get().partitionId() // FAN
+        for block, (k, at) in enumerate(cuts if own else []):
+            met = own.met[k][at : at + BLOCK]
+            if met.any():
+                yield rows([block], [team], [own.tables[k][at : at + BLOCK].tobytes()], [met.astype(np.float64).tobytes()])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+        total: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for block, blob, seen in zip(*(batch.column(c).to_pylist() for c in ("block", "weights", "seen")), strict=True):
-                part = total.setdefault(block, [0.0, 0])
-                part[0], part[1] = part[0] + np.frombuffer(blob, np.float32).astype(np.float64) * seen, part[1] + seen
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(w / n).astype(np.float32).tobytes() for w, n in total.values()], pa.binary()), pa.array([n for _, n in total.values()], pa.int64())], names=["block", "weights", "seen"])
-
-    schema = "block int, weights binary, seen long"
-    got = sorted((r["block"], bytes(r["weights"])) for r in docs.mapInArrow(tidy(steps), schema).repartition(blocks, "block").mapInArrow(tidy(average), schema).collect())
-    return np.frombuffer(b"".join(w for _, w in got), np.float32).reshape(weights.shape) if got else weights
+            for block, team, weights, met in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = np.frombuffer(met, np.float64)
+                w = np.frombuffer(weights, np.float32).reshape(len(n), -1) * n[:, None]
+                part = total.setdefault((block, team), [0.0, 0.0])
+                part[0], part[1] = part[0] + w, part[1] + n
+        for (block, team), (w, n) in total.items():
+            yield rows([block], [team // FAN], [(w / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()], [n.tobytes()])
+
+    got = docs.mapInArrow(tidy(steps), schema)
+    teams, most = -(-docs.rdd.getNumPartitions() // FAN), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while teams:
+        got = got.repartition(max(1, min(most, teams * len(cuts))), "block", "team").mapInArrow(tidy(average), schema)
+        teams = -(-teams // FAN) if teams > 1 else 0
+    out = model.begin()
+    for block, _, weights, met in got.toLocalIterator():
+        k, at = cuts[block]
+        seen = np.frombuffer(met, np.float64) > 0
+        out.tables[k][at : at + BLOCK][seen] = np.frombuffer(weights, np.float32).reshape(len(seen), -1)[seen]  # rows that no task met stay
+    return out
 
 
 def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
@@ -217,14 +299,16 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(fold(F.col(id_col)) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     learn = base.where(~F.col("held_out")).select("text")
     counts = written(counted(learn, parts), "counts")
+    sums = counts.where("slots is not null").select("slots")
+    slots = sum((np.frombuffer(r["slots"], np.int64).reshape(2, WIDTH) for r in sums.toLocalIterator()), np.zeros((2, WIDTH), np.int64))
     size = counts.agg(F.sum("total").alias("total"), F.sum("types").alias("types")).first()
     total, types = size["total"] or 0, size["types"] or 0
     top = counts.where("hash is not null").select("hash", "count").orderBy(F.desc("count"), "hash").limit(TOP).toArrow()
-    known = spark.sparkContext.broadcast(Words(list(zip(top["hash"].to_pylist(), top["count"].to_pylist(), strict=True)), total, types))
-    weights = np.zeros((1 << BITS, CLASSES), np.float32)
+    known = spark.sparkContext.broadcast(Words(list(zip(top["hash"].to_pylist(), top["count"].to_pylist(), strict=True)), total, types, slots))
+    model = Model(min(INNER, max(10, total.bit_length() - 8)), STEP)
     for _ in range(rounds if total else 0):
-        weights = learned(learn, known, weights)
-    sent = spark.sparkContext.broadcast(weights)
+        model = learned(learn, known, model)
+    sent = spark.sparkContext.broadcast(model)
 
     kinds = {"part": pa.int32(), "words": pa.binary(), "tails": pa.binary(), "row": pa.int64(), "id": None, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
     numbered = base.withColumn("row", F.monotonically_increasing_id())
@@ -238,19 +322,15 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
         return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, weights = known.value, sent.value
+        words_, model = known.value, sent.value
         size_all = np.log10(words_.total + 0.5 * (words_.types + 1))
         with np.errstate(divide="ignore"):
             size_of = np.log10(words_.mass)
         keys, numbers, times = [], [], []
         for batch in pieces(batches, "text"):
             token, place = tokens(batch.column("text"))
-            kind, count = words_.look(token)
-            features = contexts(token, place)
-            p = np.empty(len(token))
-            for at in range(0, len(token), STEP):
-                y = kind[at : at + STEP]
-                p[at : at + STEP] = softmax(weights, words_.bias, features[:, at : at + STEP])[np.arange(len(y)), y]
+            kind, slot, count = words_.look(token)
+            log = model.steps(words_, contexts(token, place), kind, slot) / np.log(10)
             held = count >= 0
             own = np.where(held, np.log10(count + 0.5, where=held, out=np.zeros(len(count))), 0.0)
             sums = lambda x: np.add.reduceat(x, place[:-1])  # noqa: E731  every row has its end
@@ -258,7 +338,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
             row = batch.column("row").to_numpy()
             yield rows(
                 part=(mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int32), row=row, id=batch.column("id"), held_out=batch.column("held_out"),
-                n_tokens=n, n_known=sums(held.astype(np.int64)), base_score=sums(own) - n * size_all, score=sums(np.log10(np.maximum(p, 1e-300)) + own - size_of[kind]),
+                n_tokens=n, n_known=sums(held.astype(np.int64)), base_score=sums(own) - n * size_all, score=sums(log + own - size_of[kind, slot]),
             )
             at = np.flatnonzero(~held)
             if len(at):

@@ -1,9 +1,12 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from lumiquarry.llm import maxent_lm as lm
 
@@ -37,18 +40,114 @@ def test_scores_do_not_depend_on_what_is_broadcast_but_for_classes(spark):
 
 
 def test_the_model_is_a_distribution():
-    """Class probabilities sum to one, and so do the words' shares of each class with one unknown word."""
+    """Class and slot probabilities sum to one, and so do the words' shares of each slot, with an unknown word in those of the last class."""
     r = np.random.default_rng(1)
-    top = [(int(h), int(c)) for h, c in zip(r.integers(-(2**62), 2**62, 500), r.integers(1, 900, 500), strict=True)]
-    total, types = sum(c for _, c in top) + 40, 525
-    w = lm.Words(top, total, types)
-    weights = r.normal(size=(1 << lm.BITS, lm.CLASSES)).astype(np.float32)
-    p = lm.softmax(weights, w.bias, r.integers(0, 1 << lm.BITS, (lm.FEATURES, 50)))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    top = [(int(h), int(c)) for h, c in zip(r.integers(-(2**62), 2**62, 900), r.integers(1, 900, 900), strict=True)]
+    rare = r.integers(-(2**62), 2**62, 25).view(np.uint64)
+    every, count = np.concatenate([np.array([h for h, _ in top]).view(np.uint64), rare]), np.array([c for _, c in top] + [2] * 25)
+    slots = np.stack([np.bincount(lm.Words.hashed(every), count, lm.WIDTH), np.bincount(lm.Words.hashed(every), minlength=lm.WIDTH)])
+    w = lm.Words(top, int(count.sum()), 925, slots)
+    for bias, wide in ((w.bias, lm.CLASSES), (w.slot_bias[r.integers(0, lm.CLASSES, 50)], lm.WIDTH)):
+        p = lm.softmax(r.normal(size=(1 << 12, wide)).astype(np.float32), bias, r.integers(0, 1 << 12, (lm.FEATURES, 50)))
+        assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
     for k in range(lm.CLASSES - 1):
-        own = w.kind == k
-        assert not own.any() or np.isclose(((w.count[own] + 0.5) / w.mass[k]).sum(), 1)
-    assert np.isclose(w.mass[-1], 40 + 0.5 * 26)
+        for s in range(lm.WIDTH):
+            own = (w.kind == k) & (w.slot == s)
+            assert np.isclose(w.mass[k, s], (w.count[own] + 0.5).sum())
+            assert w.mass[k, s] > 0 or w.slot_bias[k, s] == -np.inf
+    assert np.allclose(w.mass[-1], 2.5 * np.bincount(lm.Words.hashed(rare), minlength=lm.WIDTH) + 0.5)
+
+
+def brute_scores(docs, step):
+    """The model's scores of one task's rows, learned from dictionaries a token at a time; feature rows and slots are the operator's."""
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs]
+    own = [lm.tokens(pa.array([t])) for _, t in docs]
+    count = Counter(h for (tok, _), out in zip(own, held, strict=True) if not out for h in tok.tolist())
+    total, types = sum(count.values()), len(count)
+    ranked = sorted(count, key=lambda h: (-count[h], h))
+    place, mass = {}, Counter()
+    for rank, h in enumerate(ranked):
+        if rank < lm.SINGLE:
+            place[h] = (rank, 0)
+        else:
+            assert rank < lm.SINGLE + lm.FULL * lm.WIDTH
+            place[h] = (lm.SINGLE + (rank - lm.SINGLE) // lm.WIDTH, (rank - lm.SINGLE) % lm.WIDTH)
+        mass[place[h]] += count[h] + 0.5
+    last = lm.CLASSES - 1
+    for s in range(lm.WIDTH):
+        mass[(last, s)] += 0.5
+    whole = Counter()
+    for (k, _), m in mass.items():
+        whole[k] += m
+    all_ = sum(whole.values())
+    tables = [{}, {}]
+    past = [{}, {}]
+    bits = max(10, total.bit_length() - 8)
+
+    def spot(h):
+        return place.get(h) or (last, int(lm.Words.hashed(np.array([h], np.uint64))[0]))
+
+    def probabilities(which, rows, k):
+        units = range(lm.CLASSES) if which == 0 else range(lm.WIDTH)
+        prior = [whole[u] / all_ for u in units] if which == 0 else [mass[(k, u)] / whole[k] for u in units]
+        z = [p * math.exp(sum(tables[which].get(r, [0.0] * len(prior))[u] for r in rows)) for u, p in zip(units, prior, strict=True)]
+        return [x / sum(z) for x in z]
+
+    def batch(feature, hashes_, learn):
+        logs = []
+        for which in (0, 1):
+            grads, out = {}, []
+            for n, h in enumerate(hashes_):
+                k, s = spot(h)
+                if which and k < lm.SINGLE:
+                    out.append(0.0)
+                    continue
+                own = feature[:, n : n + 1]
+                rows = [int(x[0]) for x in (lm.table_rows(own, bits, np.array([k])) if which else lm.table_rows(own, lm.BITS))]
+                p = probabilities(which, rows, k)
+                out.append(math.log10(p[s if which else k]))
+                p[s if which else k] -= 1
+                for f, r in enumerate(rows):
+                    g = grads.setdefault((f, r), [0.0] * len(p))
+                    for u, x in enumerate(p):
+                        g[u] += x
+            for (_, r), g in sorted(grads.items()) if learn else ():
+                past[which][r] = past[which].get(r, 1e-2) + sum(x * x for x in g) / len(g)
+                w = tables[which].setdefault(r, [0.0] * len(g))
+                for u, x in enumerate(g):
+                    w[u] -= lm.RATE * x / math.sqrt(past[which][r])
+            logs.append(out)
+        return [a + b for a, b in zip(*logs, strict=True)]
+
+    learned = [t for (t, _), out in zip(own, held, strict=True) if not out]
+    tok = np.concatenate(learned)
+    feature = lm.contexts(tok, np.concatenate([[0], np.cumsum([len(t) for t in learned])]))
+    for at in range(0, len(tok), step):
+        batch(feature[:, at : at + step], tok[at : at + step].tolist(), True)
+    out = {}
+    for (i, _), (t, at) in zip(docs, own, strict=True):
+        logs = batch(lm.contexts(t, at), t.tolist(), False)
+        out[i] = sum(x + math.log10((count[h] + 0.5) / mass[spot(h)]) for x, h in zip(logs, t.tolist(), strict=True))
+    return out
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEP", 64)
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(90)]
+    docs = [(k, " ".join(words[min(89, int(r.expovariate(0.06)))] for _ in range(r.choice([0, 5, 30]))) + " end " * (k % 3)) for k in range(40)]
+    out = lm.scored(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    want = brute_scores(docs, 64)
+    assert {r["doc_id"]: r["score"] for r in out.collect()} == pytest.approx(want, abs=2e-3, rel=1e-4)
+
+
+def test_many_tasks_average_in_a_tree(spark, copies, monkeypatch):
+    """More teams than one: the average of all tasks' rows by how often each met them, whatever the tree."""
+    monkeypatch.setattr(lm, "FAN", 2)
+    docs = spark.createDataFrame(copies, "doc_id long, text string").repartition(7)
+    two = {r["doc_id"]: r["score"] for r in lm.scored(docs).collect()}
+    monkeypatch.setattr(lm, "FAN", 16)
+    assert {r["doc_id"]: r["score"] for r in lm.scored(docs).collect()} == pytest.approx(two, rel=1e-4)
 
 
 def test_training_beats_the_base_on_held_out_rows(spark):
