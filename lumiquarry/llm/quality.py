@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words, whether each repeats the word before it, and its runs of three and four bytes
-(characters, where they are ASCII), case kept and white space included, each hashed to one of 2**BITS learned vectors. A document is the average of its features' vectors;
-a softmax over two classes reads it. Training is stochastic gradient descent in numpy, one document a step, in a single
-task on a bounded sample of labelled rows. As the average and the logit are linear, the trained vectors fold into one
-number a bucket, which is all that is broadcast (1 MB whatever the input) to score whole texts where they lie.
+A text's features are its words, its pairs of neighbouring words, and its runs of three and four characters, case kept
+and white space included, each hashed to one of 2**BITS learned vectors. The hash of a pair is the exclusive or of its
+words' hashes, so that pairs of equal words, whatever the word, share a vector. A document is the average of its features'
+vectors; a softmax over two classes reads it. Training is stochastic gradient descent in numpy, one document a step, in a
+single task on a bounded sample of labelled rows. As the average and the logit are linear, the trained vectors fold into
+one number a bucket, which is all that is broadcast (1 MB whatever the input) to score whole texts where they lie.
 """
 
 from __future__ import annotations
@@ -16,37 +17,49 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumiquarry.llm.textbytes import NOT_SPACE, hashes, pieces, spread, tidy, utf8, words
+from lumiquarry.llm.textbytes import M1, M2, NOT_SPACE, STEP, hashes, pieces, spread, tidy, utf8, words
 from lumiquarry.session import table
 
 BITS, DIM = 18, 8
-SHIFT = np.uint32(32 - BITS)
+SHIFT = np.uint64(64 - BITS)
 #: Labelled rows that training takes at most: the first by a hash of the id.
 SAMPLE = 8000
+#: Bytes of their features that it takes at most, in the order of that hash.
+SAMPLE_BYTES = 512 << 20
 EPOCHS, RATE = 6, 4.0
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all rows end to end, as 64-bit numbers, and the n + 1 places where rows begin."""
+    if not len(data) or data.max() < 128:
+        return data.astype(np.uint64), offsets
+    place = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=place[1:])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64), place[offsets]
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words, repeats, 3-byte and 4-byte runs: the buckets of all rows end to end, and the n + 1 places where rows begin."""
+    """For words, pairs of words, 3- and 4-character runs: the buckets of all rows end to end, and the n + 1 places where rows begin."""
+
+    def kind(hash_: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of runs of ``size``: ``hash_`` has one for each place, of which the last of a row are of no run."""
+        count = np.maximum(np.diff(begins) - size + 1, 0)
+        return (hash_ >> SHIFT).astype(np.uint32)[spread(begins[:-1], count)], np.concatenate([[0], np.cumsum(count)])
+
     begins, ends, first = words(data, offsets, NOT_SPACE)
     word = hashes(data, begins, ends)
-    repeat = np.zeros(len(word), np.uint32)  # bucket 1 for a word that stands twice in a row, else 0
-    repeat[1:] = word[1:] == word[:-1]
-    repeat[first[:-1][np.diff(first) > 0]] = 0
-    out = [((word >> np.uint64(64 - BITS)).astype(np.uint32), first), (repeat, first)]
-    n = np.diff(offsets)
-    x = data.astype(np.uint32)
-    key = np.zeros(len(x), np.uint32)
-    key[: max(0, len(x) - 2)] = x[: len(x) - 2] | (x[1 : len(x) - 1] << np.uint32(8)) | (x[2:] << np.uint32(16)) if len(x) > 2 else 0
-    for size, odd in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
-        if size == 4 and len(x) > 3:
-            key[:-3] |= x[3:] << np.uint32(24)
-        h = key * np.uint32(odd)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        count = np.maximum(n - size + 1, 0)
-        place = np.concatenate([[0], np.cumsum(count)])
-        out.append(((h >> SHIFT)[spread(offsets[:-1], count)], place))
+    pair = word.copy()
+    pair[:-1] ^= word[1:]
+    out = [kind(word, first, 1), kind(pair, first, 2)]
+    x, place = characters(data, offsets)
+    run = x.copy()  # 21 bits a character
+    for k in (1, 2):
+        run[:-k] |= x[k:] << np.uint64(21 * k)
+    out.append(kind(run * STEP, place, 3))
+    run *= M1
+    run[:-3] += x[3:] * M2
+    run ^= run >> np.uint64(29)
+    out.append(kind(run * STEP, place, 4))
     return out
 
 
@@ -100,7 +113,7 @@ def fold(id_: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """A model of ``label_col`` from at most ``sample`` labelled ids, all outside fold 0.
+    """A model of ``label_col`` from at most ``sample`` labelled ids and SAMPLE_BYTES of their features, all outside fold 0.
 
     An id with several labels has the one that most of its rows say, 0 on a tie; rows with a null id or label are out.
     Without any usable row every text scores 0.5.
@@ -116,13 +129,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([p.tobytes() for _, p in got], pa.binary())], names=["id", "label", "buckets", "parts"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((r["id"], r["buckets"], r["parts"], r["label"]) for b in batches for r in b.to_pylist())
+        got, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "buckets", "parts", "label")), strict=True):
+                size += len(row[1]) + len(row[2])
+                if size <= SAMPLE_BYTES or not got:
+                    got.append(row)
         if not got:
             return
+        got.sort()
         weights, bias = train([(np.frombuffer(b, np.uint32), np.frombuffer(p, np.float32)) for _, b, p, _ in got], np.array([x[3] for x in got]))
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
-    one = rows.mapInArrow(tidy(count), "id string, label int, buckets binary, parts binary").repartition(1).mapInArrow(tidy(learn), "weights binary, bias double").first()
+    one = rows.mapInArrow(tidy(count), "id string, label int, buckets binary, parts binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(tidy(learn), "weights binary, bias double").first()
     return (np.frombuffer(one["weights"], np.float32), one["bias"]) if one else (np.zeros(1 << BITS, np.float32), 0.0)
 
 

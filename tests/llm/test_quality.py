@@ -1,4 +1,8 @@
+import re
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumiquarry.llm import quality as q
@@ -13,6 +17,35 @@ def test_held_out_rows_are_told_apart(spark):
     assert auc > 0.95 and np.mean([r["predicted"] == r["quality"] for r in out]) > 0.95
 
 
+def test_rows_of_the_query(spark):
+    """A row for each document; held_out and predicted are what the contract says, counted in plain Python."""
+    docs = [r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
+    out = q.op2_quality_classifier(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in out)
+
+
+def plain_features(text):
+    """How often each kind of feature comes, from Python's own words and characters."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    return [words, list(zip(words[:-1], words[1:], strict=True)), [text[i : i + 3] for i in range(len(text) - 2)], [text[i : i + 4] for i in range(len(text) - 3)]]
+
+
+def test_features_are_of_words_and_characters():
+    texts = ["naïve Ärger Ärger", "", "ab", "你好世界 你好", "x x y", " \U0001f642\U0001f642a"]
+    data, offsets = q.utf8(pa.array(texts))
+    for kind, (bucket, place) in enumerate(q.features(data, offsets)):
+        seen = {}
+        for k, t in enumerate(texts):
+            own, want = bucket[place[k] : place[k + 1]].tolist(), plain_features(t)[kind]
+            assert len(own) == len(want)
+            for b, f in zip(own, want, strict=True):
+                f = "same" if kind == 1 and f[0] == f[1] else f
+                assert seen.setdefault(f, b) == b
+        assert len(set(seen.values())) >= len(seen) - 1
+    assert q.features(data, offsets)[1][0][1] == 0  # a pair of equal words
+
+
 def test_only_texts_and_training_labels_matter(spark):
     docs = spark.createDataFrame([(k, f"good words {k} here" if k % 2 else f"bad### text### {k}###") for k in range(200)], "doc_id long, text string")
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
