@@ -1,9 +1,10 @@
 """License scans in DataFrame operations alone.
 
 Overlapping windows of a text's five-word shingles, as long as the templates are (in powers of two), are sketched by
-MinHash; each hash is a band, and a window that shares a band with a template retrieves it. A window that shares no
-shingle with any template cannot share a minimum with one, so only windows around shared shingles are sketched. What is
-retrieved counts if the text holds enough of the template's shingles, counted exactly.
+MinHash; each hash is a band, and a window that shares a band with a template retrieves it. To share a band, a window
+must hold the very shingle that is the template's minimum there, so only windows around those shingles are sketched: that
+retrieves what sketches of all windows would. What is retrieved counts if the text holds enough of the template's
+shingles, counted exactly.
 
 A window of the grid holds three quarters of a contained template at least, so their similarity is 0.4 or more even where
 a fifth of the template is changed; with 32 bands of one row it is missed with a probability below 1e-7.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from lumiquarry.session import table
 
 WORDS, BANDS, PERCENT = 5, 32, 80
-#: Shingles that all templates have together at most: they are a constant of the plan.
+#: Shingles of the templates that one pass over the texts looks for: they are a constant of its plan. More templates take more passes.
 MOST = 20_000
 
 # Notices and opening paragraphs of common licences.
@@ -59,29 +60,40 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
 
     n_shingles counts the template's distinct runs of five words, n_shared those that the whole text holds. Null, empty
     and shorter texts match nothing; repeated rows are answered each; an empty table gives no rows; further columns are
-    not read. Templates need different names and five words at least.
+    not read. Templates need different names and five words at least; there may be any number of any length, in blocks
+    of MOST shingles that each read the texts once.
     """
     spark: SparkSession = docs.sparkSession
     if len({n for n, _ in templates}) < len(templates):
         raise ValueError("two templates share a name")
+    least = lambda b: F.array_min(F.transform("sh", lambda x: F.struct(F.xxhash64(x, b), x.alias("sh"))))["sh"]
     own = with_shingles(spark.createDataFrame(list(templates), "name string, text string"), F.col("text"), F.col("name")).select("name", F.array_distinct("sh").alias("sh"))
-    got = [(r["name"], r["sh"]) for r in own.collect()]
-    if any(not sh for _, sh in got):
+    own = own.select("name", "sh", F.transform(F.sequence(F.lit(1), F.lit(BANDS)), least).alias("minima"))
+    got = [(r["name"], r["sh"], r["minima"]) for r in own.collect()]
+    if any(not sh for _, sh, _ in got):
         raise ValueError(f"a template has fewer than {WORDS} words")
-    every = sorted({x for _, sh in got for x in sh})
-    if len(every) > MOST:
-        raise ValueError(f"templates have more than {MOST} shingles")
-    class_of = {name: 1 << (len(sh) - 1).bit_length() for name, sh in got}
+    text = with_shingles(docs, F.col(text_col), F.col(id_col).alias("id"))
+    out, block, size = None, [], 0
+    for k, template in enumerate(got):
+        block, size = [*block, template], size + len(template[1])
+        if k == len(got) - 1 or size + len(got[k + 1][1]) > MOST:
+            found = _matches(text, own, block, percent)
+            out, block, size = found if out is None else out.union(found), [], 0
+    return out.select(F.col("id").alias(id_col), "license_id", "n_shared", "n_shingles")
+
+
+def _matches(text: DataFrame, own: DataFrame, block: list[tuple[str, list[int], list[int]]], percent: int) -> DataFrame:
+    """The matches of the block's templates (name, shingles, shingles that are minima of the bands)."""
+    every, minima = (F.array(*[F.lit(x).cast("bigint") for x in sorted({x for t in block for x in t[k]})]) for k in (1, 2))
+    sizes = {name: 1 << (len(sh) - 1).bit_length() for name, sh, _ in block}
     keys = None
-    for size in sorted(set(class_of.values())):
-        of = own.where(F.col("name").isin([n for n, s in class_of.items() if s == size])).select("name", F.col("sh").alias("template"), F.explode(bands(size, F.col("sh"))).alias("key"))
+    for size in sorted(set(sizes.values())):
+        of = own.where(F.col("name").isin([n for n, s in sizes.items() if s == size])).select("name", F.col("sh").alias("template"), F.explode(bands(size, F.col("sh"))).alias("key"))
         keys = of if keys is None else keys.union(of)
 
-    constant = F.array(*[F.lit(x).cast("bigint") for x in every])
-    text = with_shingles(docs, F.col(text_col), F.col(id_col).alias("id"))
-    text = text.where(F.arrays_overlap("sh", constant))
-    text = text.select("id", "row", "sh", F.array_intersect("sh", constant).alias("shared"))
-    hits = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: F.array_contains("shared", F.get("sh", i)))
+    text = text.where(F.arrays_overlap("sh", minima))
+    text = text.select("id", "row", "sh", F.array_intersect("sh", every).alias("shared"), F.array_intersect("sh", minima).alias("minima"))
+    hits = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: F.array_contains("minima", F.get("sh", i)))
     text = text.select("id", "row", "sh", "shared", hits.alias("hits"))
 
     def windows(size: int) -> Column:
@@ -91,11 +103,11 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
         starts = F.array_distinct(F.flatten(F.transform("hits", around)))
         return F.flatten(F.transform(starts, lambda at: bands(size, F.slice("sh", at + 1, F.lit(size)))))
 
-    sketched = text.select("id", "row", "shared", F.explode(F.array_distinct(F.concat(*[windows(s) for s in sorted(set(class_of.values()))]))).alias("key"))
+    sketched = text.select("id", "row", "shared", F.explode(F.array_distinct(F.concat(*[windows(s) for s in sorted(set(sizes.values()))]))).alias("key"))
     found = sketched.join(F.broadcast(keys), "key").groupBy("row", "name").agg(F.first("id").alias("id"), F.first("shared").alias("shared"), F.first("template").alias("template"))
     shared = F.size(F.array_intersect("shared", "template"))
     return found.where(shared * 100 >= F.size("template") * percent).select(
-        F.col("id").alias(id_col), F.col("name").alias("license_id"), shared.cast("long").alias("n_shared"), F.size("template").cast("long").alias("n_shingles")
+        "id", F.col("name").alias("license_id"), shared.cast("long").alias("n_shared"), F.size("template").cast("long").alias("n_shingles")
     )
 
 
