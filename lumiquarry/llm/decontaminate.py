@@ -273,11 +273,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str =
 
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document. Null texts have no words."""
     out = benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
-
-
-

@@ -112,4 +112,5 @@ def _matches(text: DataFrame, own: DataFrame, block: list[tuple[str, list[int],
 
 
 def op8_license_scans(spark, sf_dir: str) -> DataFrame:
+    """doc_id, license_id, n_shared, n_shingles of every document and notice of which it holds four fifths. Null texts match nothing."""
     return license_matches(table(spark, sf_dir, "documents"))

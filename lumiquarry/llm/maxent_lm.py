@@ -413,4 +413,5 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """The scores of every document, learned from all outside fold 1. See ``scored`` for nulls and repeats."""
     return scored(table(spark, sf_dir, "documents"))

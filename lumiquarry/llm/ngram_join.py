@@ -533,4 +533,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: classes by 4-word shingles and a similarity of 0.85. See ``jaccard_components`` for nulls and repeats."""
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")

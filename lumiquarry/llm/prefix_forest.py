@@ -197,5 +197,6 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, i
 
 
 def op7_approximate_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector, among all. See ``nearest_neighbours`` for what takes no part."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest_neighbours(rows, rows.where("vec_id % 20 = 0"))

@@ -172,6 +172,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str =
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, learned outside fold 0. A null or empty text scores the bias; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     out = scored(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -144,10 +144,9 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", chars_col: str |
 
 
 def op9_secret_scans(spark, sf_dir: str) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256 and spans of every document. Null texts are empty: no spans."""
     found = secret_spans(table(spark, sf_dir, "documents"))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(text(base), 256).alias("base_sha256"), text("secrets").alias("spans"))
-
-

@@ -185,6 +185,7 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
 
 
 def op4_token_id_binary_output(spark, sf_dir: str) -> DataFrame:
+    """Every document's ids through ORC files and back: doc_id, start, n_tokens, ids_crc32. Null texts are empty: the end id alone."""
     import public_tokenizers
 
     path = shared_folder(spark, "tokens")

@@ -283,5 +283,6 @@ def read_packages(spark: SparkSession, packages: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page through packages and back: page_id, payload_bytes, payload_digest, record_type, refers_to. Null payloads are empty; see ``write_packages``."""
     packages = write_packages(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
     return read_packages(spark, packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

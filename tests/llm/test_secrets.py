@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from lumiquarry.llm import secrets as s
@@ -29,6 +30,24 @@ def test_checksums():
     assert [x[1] for x in s.scan(f"see {good}, not {bad} npm_{body}{s.checksum(body)}", found)] == [3, 4]
 
 
+def test_rows_of_the_query(spark, tmp_path):
+    """The query's own columns against plain loops, over texts, nulls and the test tables' documents."""
+    body = "a1B2" * 7 + "zz"
+    texts = TEXTS + [f"see ghp_{body}{s.checksum(body)} and token=npm_{body}{s.checksum(body)}"]
+    spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        text_of = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        rows = s.op9_secret_scans(spark, folder).collect()
+        assert sorted(r["doc_id"] for r in rows) == sorted(text_of)
+        for r in rows:
+            t = text_of[r["doc_id"]] or ""
+            base = brute(t)
+            more = [(m.start(), k, m.end()) for k, lead in ((3, "gh[pousr]"), (4, "npm")) for m in re.finditer(lead + r"_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])", t) if s.checksum(m[1]) == m[2]]
+            assert [r[f"n_{k}"] for k in s.BASE_KINDS] == [sum(x[1] == i for x in base) for i in range(3)]
+            assert r["base_sha256"] == hashlib.sha256(",".join(f"{s.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+            assert r["spans"] == ",".join(f"{s.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
+
+
 def test_query_and_redaction(spark, edge_docs, no_docs):
     rows = [(k, t, len(t or "")) for k, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")

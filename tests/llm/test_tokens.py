@@ -5,6 +5,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumiquarry.llm import pieces_codec, textbytes, token_store
@@ -38,6 +39,33 @@ def test_token_files(spark, edge_docs):
     assert plan.count() == 1
 
 
+def scanned_rows(df):
+    """How many rows the scans of an executed plan gave."""
+    node, seen = df._jdf.queryExecution().executedPlan(), 0
+    todo = [node.finalPhysicalPlan() if node.nodeName() == "AdaptiveSparkPlan" else node]
+    while todo:
+        n = todo.pop()
+        if n.nodeName().startswith("Scan"):
+            seen += n.metrics().apply("numOutputRows").value()
+        kids = n.children()
+        todo += [kids.apply(k) for k in range(kids.size())]
+        if n.nodeName().endswith("QueryStage"):
+            todo.append(n.plan())
+    return seen
+
+
+def test_one_document_is_read_from_metadata(spark):
+    """A filter on the id reads the row group that may hold it, and nothing where no Bloom filter has it."""
+    docs = spark.range(8000).select((F.col("id") * 2).alias("doc_id"), F.format_string("text %d", "id").alias("text"))
+    path = shared_folder(spark, "t")
+    token_store.write_tokens(docs.coalesce(1), path, BPE, stride=1000)
+    stored = spark.read.schema("doc_id long, part int, at long, n_tokens long, tokens array<int>").orc(path)
+    for id_, found, most in ((4002, 1, 1000), (4003, 0, 1000), (99_999, 0, 0)):
+        one = stored.where(f"doc_id = {id_}")
+        assert len(one.collect()) == found and scanned_rows(one) <= most
+    assert token_store.read_tokens(spark, path).where("doc_id = 4002").first()["tokens"] == Tokenizer.from_file(BPE).encode("text 2001").ids + [0]
+
+
 def test_token_files_edges(spark, edge_docs, no_docs):
     path = shared_folder(spark, "t")
     token_store.write_tokens(edge_docs, path, BPE)
