@@ -38,11 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new path under the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset, as in local tests, a temporary
-    folder of this machine is set in its place and removed at exit.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset and the session is local, as in
+    tests, a temporary folder of this machine is set in its place and removed at exit; a cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{(made := tempfile.mkdtemp(prefix='lumiquarry-'))}"
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
