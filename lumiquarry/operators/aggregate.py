@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumiquarry.operators.rank import running_total
+from lumiquarry.operators.rank import running_total, top_per_group
 
 
 def facet_counts(**facets: DataFrame) -> DataFrame:
@@ -39,11 +39,8 @@ def pearson(x: Column, y: Column) -> Column:
     """Over the rows that have both; 0 where one does not vary."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    n = F.count(x)
-    cov = F.sum(x * y) - F.sum(x) * F.sum(y) / F.nullif(n, F.lit(0))
-    spread = lambda v: F.sum(v * v) - F.sum(v) * F.sum(v) / F.nullif(n, F.lit(0))
     flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return F.when(flat | (n == 0), 0.0).otherwise(cov / F.nullif(F.sqrt(spread(x)) * F.sqrt(spread(y)), F.lit(0.0)))
+    return F.when(flat | (F.count(x) == 0), 0.0).otherwise(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def mean_vectors(df: DataFrame, by: Sequence[str], vector: str, *, unit: bool = True) -> DataFrame:
@@ -77,12 +74,16 @@ def trip_kind(photos: Column, counts: Column) -> Column:
 
 
 def clusters(photos: DataFrame, tags: DataFrame, *, key: str = "photo_id", tag: str = "tag", score: str = "score", quality: str = "iqa", least: int = 1) -> DataFrame:
-    """(tag, n, samples): photos by their best tag, with the best four of each; those without any are "uncategorized"."""
+    """(tag, n, samples, cover): photos by their best tag, with the best four of each, the best as cover; those without any are "uncategorized".
+
+    The four are picked in the tasks before the shuffle, so a hot tag is a count and no sorted group.
+    """
     best = tags.groupBy(key).agg(F.min_by(tag, F.struct(-F.col(score), F.col(tag))).alias("tag"))
     rows = photos.select(key, quality).join(best, key, "left").withColumn("tag", F.coalesce("tag", F.lit("uncategorized")))
-    ranked = rows.withColumn("_at", F.row_number().over(Window.partitionBy("tag").orderBy(F.col(quality).desc_nulls_last(), key)))
-    sample = F.transform(F.array_sort(F.collect_list(F.when(F.col("_at") <= 4, F.struct("_at", key)))), lambda s: s[key])
-    return ranked.groupBy("tag").agg(F.count("*").alias("n"), sample.alias("samples")).where(F.col("n") >= least)
+    four = top_per_group(rows, ["tag"], [F.col(quality).desc_nulls_last(), F.col(key)], 4, rank="_at")
+    four = four.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", key))), lambda s: s[key]).alias("samples"))
+    counts = rows.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counts.join(four, "tag").select("tag", "n", "samples", F.get("samples", F.lit(0)).alias("cover"))
 
 
 def best_faces(faces: DataFrame, person: str = "person_id", face: str = "face_id", *, least_confidence: float = 0.0, least_px: int = 0) -> DataFrame:

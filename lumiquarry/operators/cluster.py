@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumiquarry.functions.geo import KM_PER_DEG_EQUATOR, KM_PER_DEG_LAT
+from lumiquarry.functions.geo import KM_PER_DEG_EQUATOR, KM_PER_DEG_LAT, equirect_km
 from lumiquarry.operators.graph import connected_components
 
 
@@ -230,6 +230,21 @@ def _apart(a: pd.Series, b: pd.Series) -> float:
     return float(np.hypot((a["lat"] - b["lat"]) * KM_PER_DEG_LAT, (a["lon"] - b["lon"]) * KM_PER_DEG_EQUATOR * np.cos(mean)))
 
 
+def numbered_per_day(visits: DataFrame, *, by: Sequence[str] = ("day",), km: float = 2.0) -> DataFrame:
+    """W14 within days: (visit_id, name): where two visits of one name and day lie over ``km`` apart, all of that name but the earliest get their number by arrival.
+
+    The greatest distance is looked for between pairs of one name and day only; a null place is near everything.
+    """
+    keys = [*by, "name"]
+    v = visits.select("visit_id", *keys, "lat", "lon", "arrived_at")
+    other = v.select(*keys, F.col("visit_id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    far = equirect_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) > km
+    apart = v.join(other, keys).where((F.col("visit_id") < F.col("_id")) & far).select(*keys).distinct().withColumn("_far", F.lit(True))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("arrived_at", "visit_id"))
+    rows = v.join(apart, keys, "left").withColumn("_at", at)
+    return rows.select("visit_id", F.when(F.col("_far") & (F.col("_at") > 1), F.concat("name", F.lit(" ("), F.col("_at").cast("string"), F.lit(")"))).otherwise(F.col("name")).alias("name"))
+
+
 def numbered_places(visits: DataFrame, *, km: float = 2.0) -> DataFrame:
     """(visit_id, name): places of one name that lie apart get numbers by arrival, a place that is near an earlier one its number."""
     based = visits.withColumn("base", F.regexp_replace("name", r"\s*\(\d+\)$", ""))
@@ -250,15 +265,40 @@ def numbered_places(visits: DataFrame, *, km: float = 2.0) -> DataFrame:
     return based.select("visit_id", "base", "lat", "lon", "arrived_at").groupBy("base").applyInPandas(number, "visit_id long, name string")
 
 
-def merged_names(places: dict[str, tuple[float, float]], photos: dict[str, int], *, km: float = 5.0, words: Sequence[str] = ("Monastery", "Stupa", "Tso", "Pass", "Dunes", "Valley")) -> dict[str, str]:
-    """For each place name the one it goes by: of two within ``km``, in order of names, that with a landmark word, more photos, or a longer name. Names already replaced are passed over. Some dozens of names, on the driver."""
-    score = lambda n: (any(w in n for w in words), photos.get(n, 0), len(n))
-    out = {n: n for n in sorted(places)}
-    for a in out:
-        for b in out:
-            if a < b and out[a] == a and out[b] == b:
-                (alat, alon), (blat, blon) = places[a], places[b]
-                if np.hypot((alon - blon) * np.cos(np.radians((alat + blat) / 2)), alat - blat) * KM_PER_DEG_LAT <= km:
-                    winner, loser = (a, b) if score(a) >= score(b) else (b, a)
-                    out[loser] = winner
-    return out
+# The words that make a name a landmark's.
+LANDMARK_WORDS = ("Monastery", "Stupa", "Tso", "Pass", "Dunes", "Valley")
+
+
+def merged_names(places: DataFrame, *, km: float = 5.0, words: Sequence[str] = LANDMARK_WORDS) -> DataFrame:
+    """(name, merged): the name that each place goes by. ``places``: name (once each), lat, lon, photos.
+
+    Names within ``km`` contest pair by pair, in the order of names; a name that has lost contests no more. The one with
+    a landmark word wins, then the one of more photos, of the longer name, the first. Pairs come from an equi-join on
+    cells; only names that pairs connect meet in one task, as a later contest depends on earlier ones. A name without a
+    place is its own.
+    """
+    strength = F.struct(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains("name", w)).alias("mark"), F.coalesce(F.col("photos").cast("long"), F.lit(0)).alias("photos"), F.length("name").alias("size"))
+    p = places.select("name", "lat", "lon", strength.alias("strength"))
+    step = km / KM_PER_DEG_LAT
+    # Degrees of longitude shorten towards the poles: the cells of a row are as wide as ``km`` is one row nearer the pole.
+    row = F.floor(F.col("lat") / step).cast("long")
+    wide = lambda r: step / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), (F.greatest(F.abs(r), F.abs(r + 1)) + 1) * step))))
+    around = p.withColumn("_y", F.explode(F.array(row - 1, row, row + 1)))
+    around = around.withColumn("_x", F.explode(F.array(*[F.floor(F.col("lon") / wide(F.col("_y"))).cast("long") + k for k in (-1, 0, 1)])))
+    own = p.withColumn("_y", row).withColumn("_x", F.floor(F.col("lon") / wide(F.col("_y"))).cast("long"))
+    b = own.select("_y", "_x", F.col("name").alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), F.col("strength").alias("bs"))
+    pairs = around.select("_y", "_x", F.col("name").alias("a"), "lat", "lon", F.col("strength").alias("as_")).join(b, ["_y", "_x"]).where(F.col("a") < F.col("b"))
+    flat = KM_PER_DEG_LAT * F.hypot(F.col("lat") - F.col("blat"), (F.col("lon") - F.col("blon")) * F.cos(F.radians((F.col("lat") + F.col("blat")) / 2)))
+    contests = pairs.where(flat <= km).select("a", "b", (F.col("as_") >= F.col("bs")).alias("first_wins"))
+    contests = contests.join(connected_components(contests, "a", "b"), F.col("a") == F.col("node"))
+
+    def contest(pdf: pd.DataFrame) -> pd.DataFrame:
+        to: dict[str, str] = {}
+        for a, b, first_wins in pdf.sort_values(["a", "b"])[["a", "b", "first_wins"]].itertuples(index=False):
+            if a not in to and b not in to:
+                winner, loser = (a, b) if first_wins else (b, a)
+                to[loser] = winner
+        return pd.DataFrame({"name": list(to), "merged": list(to.values())}, dtype="object")
+
+    lost = contests.groupBy("component").applyInPandas(contest, "name string, merged string")
+    return places.select("name").join(lost, "name", "left").select("name", F.coalesce("merged", "name").alias("merged"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumiquarry.functions.geo import haversine_km, haversine_m
 from lumiquarry.functions.vec import cosine
+from lumiquarry.session import written
 
 
 def numbered_islands(df: DataFrame, by: Sequence[str], order: Sequence[Column], new: Column, name: str) -> DataFrame:
@@ -41,6 +42,17 @@ def route_km(df: DataFrame, by: Sequence[str], order: Sequence[str], lat: str, l
     return df.withColumn("_leg", leg).groupBy(*by).agg(F.sum("_leg").alias("km"))
 
 
+def whole_route_km(df: DataFrame, order: Sequence[str], lat: str, lon: str) -> DataFrame:
+    """W9 of one route, however long: (km,). Ranges of the order are measured on their own; the gaps between them have a row a range."""
+    cut = written(df.select(*order, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "route")
+    inner = route_km(cut, ["_part"], order, "_lat", "_lon").agg(F.sum("km").alias("km"), F.count("km").alias("_legs"))
+    place, at = F.struct("_lat", "_lon"), F.struct(*order)
+    ends = cut.groupBy("_part").agg(F.min_by(place, at).alias("a"), F.max_by(place, at).alias("b"))
+    before = F.lag("b").over(Window.orderBy("_part"))
+    gaps = ends.select(haversine_km(before["_lat"], before["_lon"], F.col("a")["_lat"], F.col("a")["_lon"]).alias("g")).agg(F.sum("g").alias("g"))
+    return inner.join(gaps, F.lit(True)).select(F.when((F.col("_legs") > 0) | F.col("g").isNotNull(), F.coalesce("km", F.lit(0.0)) + F.coalesce("g", F.lit(0.0))).alias("km"))
+
+
 def good_runs(df: DataFrame, by: Sequence[str], at: str, good: str, least: int = 2) -> DataFrame:
     """(by, start, end, frames) of each run of ``least`` good frames or more, times to three digits."""
     every, own = Window.partitionBy(*by).orderBy(at), Window.partitionBy(*by, good).orderBy(at)

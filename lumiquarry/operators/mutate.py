@@ -55,7 +55,7 @@ def primary_set(members: DataFrame, chosen: DataFrame) -> DataFrame:
     """K7: in each stack of ``chosen`` (moment_id, photo_id) that photo has rank 0 and the others keep their order; other stacks stay."""
     c = chosen.select("moment_id", F.col("photo_id").alias("_chosen"))
     order = [(F.col("photo_id") != F.coalesce("_chosen", F.lit(-1))).cast("int"), F.col("rank"), F.col("photo_id")]
-    return members.join(F.broadcast(c), "moment_id", "left").withColumn("rank", F.row_number().over(Window.partitionBy("moment_id").orderBy(*order)) - 1).drop("_chosen")
+    return members.join(c, "moment_id", "left").withColumn("rank", F.row_number().over(Window.partitionBy("moment_id").orderBy(*order)) - 1).drop("_chosen")
 
 
 def label_renamed(stories: DataFrame, old: str, new: str) -> DataFrame:

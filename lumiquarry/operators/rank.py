@@ -71,6 +71,29 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank: str) -> DataFrame:
     return running_total(df, order, F.lit(1).cast("long"), rank).withColumn(rank, F.col(rank) - 1)
 
 
+def whole_percentile(df: DataFrame, value: Column, percent: float, name: str = "percentile") -> DataFrame:
+    """A5, A7 of a whole table: one row (name); null without values.
+
+    Values are counted per distinct value, counts are summed up by ranges, and the two values that hold the wanted places
+    are read off: no task sees all of them, as the exact aggregate of one group would.
+    """
+    per = df.select(value.cast("double").alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count("*").alias("_c"))
+    upto = running_total(per, [F.col("_v")], F.col("_c"), "_to")
+    place = (F.col("_n") - 1) * (percent / 100)
+    ends = upto.join(F.broadcast(upto.agg(F.sum("_c").alias("_n"))), F.lit(True)).withColumn("_at", place)
+    at = lambda k: F.min(F.when(F.col("_to") > k, F.col("_v")))  # noqa: E731  the value at place k from 0
+    low, high, part = at(F.floor("_at")), at(F.ceil("_at")), F.max(F.col("_at") - F.floor("_at"))
+    return ends.agg((low + (high - low) * part).alias(name))
+
+
+def agreement(df: DataFrame, order: Sequence[Column], key: str, liked: DataFrame) -> DataFrame:
+    """(median_percent, n): the median place in percent, by one model's order of all rows, of the ``liked`` ones (key)."""
+    n = df.agg(F.count("*").alias("_n"))
+    ranked = global_rank(df, order, "_r").join(F.broadcast(n), F.lit(True)).withColumn("_p", F.col("_r") / F.greatest(F.lit(1), F.col("_n") - 1) * 100)
+    own = ranked.join(liked.select(key), key, "left_semi")
+    return whole_percentile(own, F.col("_p"), 50, "median_percent").join(own.agg(F.count("*").alias("n")), F.lit(True))
+
+
 def quota_then_best(df: DataFrame, by: str, score: Column, key: str, most: int) -> DataFrame:
     """max(1, most div groups) best rows of each group, then the best leftovers up to ``most``."""
     groups = df.agg(F.count_distinct(by).alias("groups"))

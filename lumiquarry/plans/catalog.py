@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from lumiquarry.functions import geo, scores, texts, vec
 from lumiquarry.operators import aggregate, cluster, islands, joins, mutate, rank
-from lumiquarry.operators.graph import connected_components
 from lumiquarry.plans import curate as curation
 from lumiquarry.plans import dedup, export, moments, search, stories, taste
 from lumiquarry.plans.registry import query
@@ -37,6 +36,14 @@ def photos(spark, d):
     )
 
 
+def with_vectors(spark, d, unit=True):
+    """Photos with ``v``, the vector whose id is theirs modulo the number of vectors: every vector is some photo's."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.count("*").alias("_n"))
+    v = e.select("vec_id", (vec.unit(F.col("embedding"), floor=1e-6) if unit else F.col("embedding")).alias("v"))
+    return photos(spark, d).join(F.broadcast(n), F.lit(True)).withColumn("vec_id", F.col("photo_id") % F.col("_n")).drop("_n").join(v, "vec_id")
+
+
 @query("tag_counts", "SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1")
 def tag_counts(spark, d):
     """A1."""
@@ -135,18 +142,18 @@ def date_filters(spark, d):
     return e.where(stories.at_hour(F.col("ts"), "golden hour")).groupBy(texts.day(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("include_exclude", "SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'purchase') AND event_type NOT IN ('view') AND event_id % 10 = 3")
+@query("include_exclude", "SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'purchase') AND event_type NOT IN ('view')")
 def include_exclude(spark, d):
     """P10, P13."""
     tag = F.coalesce("event_type", F.lit(""))
-    return events(spark, d).where(tag.isin("click", "view", "purchase") & ~tag.isin("view") & (F.col("event_id") % 10 == 3)).select("event_id")
+    return events(spark, d).where(tag.isin("click", "view", "purchase") & ~tag.isin("view")).select("event_id")
 
 
-@query("tag_join_duplicates", "SELECT o_orderkey, l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND o_orderkey % 50 = 0")
+@query("tag_join_duplicates", "SELECT o_orderkey, l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'")
 def tag_join_duplicates(spark, d):
     """A photo comes once per matching tag row."""
     tags = table(spark, d, "lineitem").where("l_returnflag = 'R'")
-    return table(spark, d, "orders").where("o_orderkey % 50 = 0").join(tags, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_returnflag")
+    return table(spark, d, "orders").join(tags, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_returnflag")
 
 
 @query("collapsed_list", "WITH m AS (SELECT l_orderkey AS photo_id, max(l_partkey) AS moment_id, min(l_orderkey) FILTER (l_linenumber = 1) AS p FROM lineitem GROUP BY 1) SELECT o_orderkey AS photo_id, moment_id FROM orders LEFT JOIN m ON o_orderkey = photo_id WHERE p IS NULL OR p = o_orderkey")
@@ -181,7 +188,7 @@ def uncategorized(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
 
 
-VISITS = f"SELECT o_orderkey AS visit_id, o_orderpriority AS name, 1704067200 + o_orderkey * 600 AS arrived, 1704067200 + o_orderkey * 600 + 900 + o_orderkey % 7 * 60 AS departed FROM orders WHERE o_orderkey < 4000"
+VISITS = f"SELECT o_orderkey AS visit_id, o_orderpriority AS name, 1704067200 + o_orderkey * 600 AS arrived, 1704067200 + o_orderkey * 600 + 900 + o_orderkey % 7 * 60 AS departed FROM orders"
 
 
 def visits(spark, d):
@@ -189,21 +196,16 @@ def visits(spark, d):
     return table(spark, d, "orders").select(k.alias("visit_id"), F.col("o_orderpriority").alias("name"), (1_704_067_200 + k * 600).alias("arrived"), (1_704_067_200 + k * 600 + 900 + k % 7 * 60).alias("departed"))
 
 
-def early_visits(spark, d):
-    """The visits of VISITS: queries that are held against it read no others."""
-    return visits(spark, d).where("visit_id < 4000")
-
-
 @query("place_interval", f"WITH v AS ({VISITS}), p AS (SELECT event_id, {SECONDS} AS pos FROM events) SELECT event_id AS photo_id, arg_min(name, visit_id) AS place FROM p JOIN v ON pos BETWEEN arrived AND departed GROUP BY 1")
 def place_interval(spark, d):
     """The first visit whose time holds the photo."""
-    return joins.first_interval(photos(spark, d).select("photo_id", "at"), early_visits(spark, d), "at", "arrived", "departed", 1800, "photo_id", ["visit_id"], "name").withColumnRenamed("name", "place")
+    return joins.first_interval(photos(spark, d).select("photo_id", "at"), visits(spark, d), "at", "arrived", "departed", 1800, "photo_id", ["visit_id"], "name").withColumnRenamed("name", "place")
 
 
 @query("place_photos", f"WITH v AS ({VISITS}) SELECT DISTINCT event_id AS photo_id FROM events JOIN v ON {SECONDS} BETWEEN arrived AND departed WHERE name = '1-URGENT'")
 def place_photos(spark, d):
     """J11."""
-    return joins.in_interval(photos(spark, d).select("photo_id", "at"), early_visits(spark, d).where("name = '1-URGENT'"), "at", "arrived", "departed", 1800).select("photo_id").distinct()
+    return joins.in_interval(photos(spark, d).select("photo_id", "at"), visits(spark, d).where("name = '1-URGENT'"), "at", "arrived", "departed", 1800).select("photo_id").distinct()
 
 
 PAIRS = f"SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 12 SECOND AND (b.ts > a.ts OR a.event_id < b.event_id)"
@@ -215,26 +217,38 @@ def burst_pairs(spark, d):
     return joins.band_pairs(photos(spark, d).select("photo_id", "at"), "at", "photo_id", 12).select(F.col("photo_id_a").alias("a"), F.col("photo_id_b").alias("b"))
 
 
-BURSTS = f"""WITH RECURSIVE e AS ({PAIRS}), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+#: Every photo has a vector; every fifth a place; every third no face, the others one of two.
+GATED = f"""SELECT a.event_id AS a, b.event_id AS b FROM (SELECT event_id AS a0, ts AS t0 FROM events) JOIN events b ON b.ts >= t0 AND b.ts <= t0 + INTERVAL 12 SECOND AND (b.ts > t0 OR a0 < b.event_id) JOIN events a ON a.event_id = a0
+ JOIN embeddings va ON va.vec_id = a.event_id % (SELECT count(*) FROM embeddings) JOIN embeddings vb ON vb.vec_id = b.event_id % (SELECT count(*) FROM embeddings)
+ WHERE list_cosine_similarity(va.embedding::DOUBLE[], vb.embedding::DOUBLE[]) >= -0.05
+ AND (a.event_id % 5 > 0 OR b.event_id % 5 > 0 OR sqrt(((a.event_id % 97 - b.event_id % 97) * 0.001) ** 2 + ((a.event_id % 89 - b.event_id % 89) * 0.001) ** 2) <= 0.0002)
+ AND CASE WHEN a.event_id % 3 = 0 AND b.event_id % 3 = 0 THEN true WHEN a.event_id % 3 = 0 OR b.event_id % 3 = 0 THEN false ELSE a.event_id % 2 = b.event_id % 2 END"""
+BURSTS = f"""WITH RECURSIVE e AS ({GATED}), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
 c AS (SELECT a AS photo_id, least(a, min(b)) AS moment_id FROM r GROUP BY 1)
 SELECT moment_id, photo_id, row_number() OVER (PARTITION BY moment_id ORDER BY 0.6 * (event_id % 11)::DOUBLE + 0.4 * least(value * 10 / 1000, 1.0) DESC, ts, photo_id) - 1 AS rank FROM c JOIN events ON event_id = photo_id"""
 
 
+def bursts(spark, d):
+    """Burst members, by time, place, vector and faces."""
+    i = F.col("photo_id")
+    place = lambda c: F.when(i % 5 == 0, F.col(c)).alias(c)
+    none = F.array().cast("array<array<double>>")
+    faces = F.when(i % 3 == 0, none).otherwise(F.array(F.array(*[F.when(i % 2 == k, 1.0).otherwise(0.0) for k in (0, 1)]))).alias("faces")
+    p = with_vectors(spark, d).select("photo_id", "at", place("lat"), place("lon"), "v", faces, F.col("nima").alias("iqa"), "blur")
+    return moments.burst_members(p, moments.burst_edges(p, similar=-0.05))
+
+
 @query("burst_members", BURSTS)
 def burst_members(spark, d):
-    """C1, C3, W11."""
-    p = photos(spark, d)
-    pairs = joins.band_pairs(p.select("photo_id", "at"), "at", "photo_id", 12).select(F.col("photo_id_a").alias("a"), F.col("photo_id_b").alias("b"))
-    return moments.burst_members(p.withColumn("iqa", F.col("nima")), pairs).select("moment_id", "photo_id", "rank")
+    """C1, C3, J12, J13, W11."""
+    return bursts(spark, d).select("moment_id", "photo_id", "rank")
 
 
 @query("burst_moments", f"WITH m AS ({BURSTS}) SELECT moment_id, arg_min(photo_id, rank) AS primary_photo_id, min({SECONDS}) AS started_at, max({SECONDS}) AS ended_at, count(*) AS size FROM m JOIN events ON event_id = photo_id GROUP BY 1".replace("WITH m AS (WITH RECURSIVE", "WITH RECURSIVE m AS (WITH RECURSIVE"))
 def burst_moments(spark, d):
     """A14."""
-    p = photos(spark, d)
-    pairs = joins.band_pairs(p.select("photo_id", "at"), "at", "photo_id", 12).select(F.col("photo_id_a").alias("a"), F.col("photo_id_b").alias("b"))
-    return moments.burst_moments(moments.burst_members(p.withColumn("iqa", F.col("nima")), pairs))
+    return moments.burst_moments(bursts(spark, d))
 
 
 @query("face_identity", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE CASE WHEN a.vec_id % 4 = 0 AND b.vec_id % 4 = 0 THEN true WHEN a.vec_id % 4 = 0 OR b.vec_id % 4 = 0 THEN false ELSE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.05 END")
@@ -245,10 +259,15 @@ def face_identity(spark, d):
     return e.join(b, F.col("vec_id") == F.col("a")).where(joins.shares_identity(F.col("faces"), F.col("other"), 0.05)).select("a", "b")
 
 
-@query("near_dup_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35")
+LOOK = """p AS (SELECT *, embedding::DOUBLE[] AS v, [vec_id % 7, label, vec_id % 3, 5.5]::DOUBLE[] AS look FROM embeddings), c AS (SELECT *, list_transform(look, lambda x: x - list_avg(look)) AS centred FROM p)"""
+
+
+@query("near_dup_pairs", f"WITH {LOOK} SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.2 AND list_cosine_similarity(a.centred, b.centred) >= 0.93")
 def near_dup_pairs(spark, d):
-    """J14."""
-    return dedup.near_pairs(table(spark, d, "embeddings"), 0.35, key="vec_id", most=None).withColumn("similarity", F.round("similarity", 6))
+    """Alike as vectors and in appearance."""
+    e, i = table(spark, d, "embeddings"), F.col("vec_id")
+    look = F.array(*[c.cast("double") for c in (i % 7, F.col("label"), i % 3, F.lit(5.5))])
+    return dedup.near_pairs(e.withColumn("look", look), 0.2, key="vec_id", appearance="look", most=None).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("nearest_place", f"""WITH c AS (SELECT n_nationkey AS id, n_name AS name, 34 + n_nationkey * 0.004 AS plat, 77 + n_nationkey * 0.0035 AS plon FROM nation),
@@ -285,10 +304,10 @@ def id_union(spark, d):
     return table(spark, d, "labels").join(long, "doc_id", "full").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@query("nested_members", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS orders_ FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1")
+@query("nested_members", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS orders_ FROM orders GROUP BY 1")
 def nested_members(spark, d):
     """One grouped join instead of a query per parent."""
-    o = table(spark, d, "orders").where("o_custkey % 5 = 0").groupBy("o_custkey")
+    o = table(spark, d, "orders").groupBy("o_custkey")
     return o.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda s: s["o_orderkey"].cast("string")), ",").alias("orders_"))
 
 
@@ -326,11 +345,18 @@ def exact_dups(spark, d):
     return aggregate.exact_duplicates(table(spark, d, "documents").withColumn("sha256", F.sha2("text", 256)), "sha256", "doc_id", F.lit(None).cast("double"), F.col("n_chars"))
 
 
-@query("dup_report", "SELECT 'exact' AS kind, count(*) AS groups, sum(n)::BIGINT AS photos, sum(r)::BIGINT AS reclaimable FROM (SELECT count(*) AS n, sum(n_chars) - max(n_chars) AS r FROM documents GROUP BY text HAVING count(*) >= 2)")
+@query("dup_report", """WITH RECURSIVE p AS (SELECT doc_id, sha256(text) AS h, n_chars, embedding::DOUBLE[] AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+ x AS (SELECT h, count(*) AS n, sum(n_chars) - max(n_chars) AS r FROM p GROUP BY 1 HAVING count(*) >= 2),
+ k AS (SELECT * FROM p WHERE v IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x WHERE x.h = p.h)),
+ e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.doc_id < b.doc_id WHERE list_cosine_similarity(a.v, b.v) >= 0.4), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a), c AS (SELECT a AS doc_id, least(a, min(b)) AS g FROM r GROUP BY 1),
+ g AS (SELECT g, count(*) AS n, sum(n_chars) - max(n_chars) AS r FROM c JOIN p USING (doc_id) GROUP BY 1)
+ SELECT kind, count(*) AS groups, sum(n)::BIGINT AS photos, sum(r)::BIGINT AS reclaimable FROM (SELECT 'exact' AS kind, n, r FROM x UNION ALL SELECT 'near', n, r FROM g) GROUP BY 1""")
 def dup_report(spark, d):
-    """A12."""
-    groups = exact_dups(spark, d)
-    return groups.groupBy(F.lit("exact").alias("kind")).agg(F.count("*").alias("groups"), F.sum("n").alias("photos"), F.sum("reclaimable").alias("reclaimable"))
+    """Exact and near groups; a document's vector is that of its id."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.lit(None).cast("double").alias("iqa"), F.col("n_chars").alias("size_bytes"))
+    return dedup.report(docs.join(e, "doc_id", "left"), 0.4, key="doc_id", most=None)
 
 
 NEAR = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4"
@@ -338,15 +364,12 @@ NEAR = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b
 
 @query("near_groups", f"""WITH RECURSIVE e AS ({NEAR}), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
  c AS (SELECT a AS vec_id, least(a, min(b)) AS group_id FROM r GROUP BY 1)
- SELECT group_id, count(*) AS n, arg_max(vec_id, (label, -vec_id)) AS keeper, (sum(vec_id % 1000) - arg_max(vec_id % 1000, (label, -vec_id)))::BIGINT AS reclaimable FROM c JOIN embeddings USING (vec_id) GROUP BY 1""")
+ SELECT group_id, count(*) AS n, arg_max(vec_id, (label, vec_id % 1000, -vec_id)) AS keeper, (sum(vec_id % 1000) - arg_max(vec_id % 1000, (label, vec_id % 1000, -vec_id)))::BIGINT AS reclaimable FROM c JOIN embeddings USING (vec_id) GROUP BY 1""")
 def near_groups(spark, d):
     """Groups of like vectors, label as quality."""
     e = table(spark, d, "embeddings")
-    p = e.select(F.col("vec_id").alias("photo_id"), F.struct(F.col("label")).alias("x"), F.col("label").cast("double").alias("iqa"), (F.col("vec_id") % 1000).alias("size_bytes"))
-    out = dedup.near_pairs(e, 0.4, key="vec_id", most=None)
-    members = connected_components(out, "a", "b").select(F.col("node").alias("photo_id"), F.col("component").alias("group_id"))
-    place = F.struct("iqa", -F.col("photo_id"))
-    return p.join(members, "photo_id").groupBy("group_id").agg(F.count("*").alias("n"), F.max_by("photo_id", place).alias("keeper"), (F.sum("size_bytes") - F.max_by("size_bytes", place)).alias("reclaimable"))
+    p = e.select("vec_id", F.col("label").cast("double").alias("iqa"), (F.col("vec_id") % 1000).alias("size_bytes"))
+    return dedup.near_groups(p, dedup.near_pairs(e, 0.4, key="vec_id", most=None), key="vec_id")
 
 
 @query("primary_tag", "SELECT l_orderkey, l_returnflag AS tag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1")
@@ -402,14 +425,12 @@ def extremes(spark, d):
     return low.select(F.lit("low").alias("side"), "event_id").union(high.select(F.lit("high"), "event_id"))
 
 
-@query("scene_islands", f"""WITH p AS (SELECT user_id, event_id, {SECONDS} AS pos, embedding::DOUBLE[] AS v FROM events JOIN embeddings ON vec_id = event_id % 500),
+@query("scene_islands", f"""WITH p AS (SELECT user_id, event_id, {SECONDS} AS pos, embedding::DOUBLE[] AS v FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)),
  f AS (SELECT *, coalesce(pos - lag(pos) OVER w > 3600 AND list_cosine_similarity(v, lag(v) OVER w) < 0.05, false)::INT AS new FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos, event_id))
  SELECT event_id AS photo_id, (sum(new) OVER (PARTITION BY user_id ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS scene FROM f""")
 def scene_islands(spark, d):
     """W7."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("v"))
-    p = photos(spark, d).withColumn("vec_id", F.col("photo_id") % 500).join(e, "vec_id")
-    return islands.scenes(p, ["user_id"], "at", "v", "photo_id", gap=3600, similar=0.05).select("photo_id", "scene")
+    return islands.scenes(with_vectors(spark, d, unit=False), ["user_id"], "at", "v", "photo_id", gap=3600, similar=0.05).select("photo_id", "scene")
 
 
 HAVERSINE = "2 * {r} * asin(sqrt(sin(radians({b} - {a}) / 2) ** 2 + cos(radians({a})) * cos(radians({b})) * sin(radians({d} - {c}) / 2) ** 2))"
@@ -466,7 +487,7 @@ def trip_kind(spark, d):
 
 @query("cluster_list", """WITH best AS (SELECT l_orderkey, arg_min(l_returnflag || l_linestatus, (-l_extendedprice, l_returnflag || l_linestatus)) AS tag FROM lineitem GROUP BY 1),
  r AS (SELECT coalesce(tag, 'uncategorized') AS tag, o_orderkey, row_number() OVER (PARTITION BY coalesce(tag, 'uncategorized') ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS pos FROM orders LEFT JOIN best ON l_orderkey = o_orderkey)
- SELECT tag, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY pos) FILTER (pos <= 4) AS samples FROM r GROUP BY 1""")
+ SELECT tag, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY pos) FILTER (pos <= 4) AS samples, min(o_orderkey) FILTER (pos = 1) AS cover FROM r GROUP BY 1""")
 def cluster_list(spark, d):
     """A28."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("photo_id"), F.col("o_totalprice").alias("iqa"))
@@ -474,10 +495,10 @@ def cluster_list(spark, d):
     return aggregate.clusters(o, tags).withColumn("samples", F.array_join(F.transform("samples", lambda x: x.cast("string")), ","))
 
 
-@query("tags_by_source", "SELECT l_orderkey, coalesce(nullif(l_returnflag, 'N'), 'legacy') AS source, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_extendedprice DESC, l_linenumber) AS tags FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2")
+@query("tags_by_source", "SELECT l_orderkey, coalesce(nullif(l_returnflag, 'N'), 'legacy') AS source, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_extendedprice DESC, l_linenumber) AS tags FROM lineitem GROUP BY 1, 2")
 def tags_by_source(spark, d):
     """A32."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+    li = table(spark, d, "lineitem")
     source = F.coalesce(F.nullif("l_returnflag", F.lit("N")), F.lit("legacy")).alias("source")
     tags = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("s"), "l_linenumber"))), lambda s: s["l_linenumber"].cast("string"))
     return li.groupBy("l_orderkey", source).agg(F.array_join(tags, ",").alias("tags"))
@@ -525,12 +546,12 @@ def stories_like(spark, d):
     return search.stories_like(e, QUERY, key="vec_id", least=0.25).withColumns({c: F.round(c, 6) for c in ("similarity", "best")})
 
 
-@query("quota_spill", f"""WITH p AS (SELECT {DAY} AS day, event_id, value, row_number() OVER (PARTITION BY {DAY} ORDER BY value DESC, event_id) AS r FROM events WHERE event_id % 7 = 0), q AS (SELECT greatest(1, 40 // count(DISTINCT day)) AS q FROM p),
+@query("quota_spill", f"""WITH p AS (SELECT {DAY} AS day, event_id, value, row_number() OVER (PARTITION BY {DAY} ORDER BY value DESC, event_id) AS r FROM events), q AS (SELECT greatest(1, 40 // count(DISTINCT day)) AS q FROM p),
  t AS (SELECT day, event_id FROM p, q WHERE r <= q), l AS (SELECT day, event_id, row_number() OVER (ORDER BY value DESC, event_id) AS pos FROM p, q WHERE r > q)
  SELECT day, event_id FROM t UNION ALL SELECT day, event_id FROM l WHERE pos <= 40 - (SELECT count(*) FROM t)""")
 def quota_spill(spark, d):
     """T8."""
-    p = photos(spark, d).where("photo_id % 7 = 0")
+    p = photos(spark, d)
     return rank.quota_then_best(p, "day", F.col("ap25"), "photo_id", 40).select("day", F.col("photo_id").alias("event_id"))
 
 
@@ -583,18 +604,18 @@ def update_columns(spark, d):
     return mutate.columns_updated(old, table(spark, d, "labels"), "doc_id", ["quality"])
 
 
-@query("merge_persons", """WITH m AS (SELECT l_orderkey AS photo_id, CASE WHEN l_suppkey IN (1, 2, 3) THEN 0 ELSE l_suppkey END AS person_id, l_linenumber AS f, l_extendedprice AS c, (l_suppkey = 0)::INT AS own FROM lineitem WHERE l_suppkey < 8)
+@query("merge_persons", """WITH m AS (SELECT l_orderkey AS photo_id, CASE WHEN l_suppkey IN (1, 2, 3) THEN 0 ELSE l_suppkey END AS person_id, l_linenumber AS f, l_extendedprice AS c, (l_suppkey = 0)::INT AS own FROM lineitem)
  SELECT person_id, count(DISTINCT photo_id) AS photo_count FROM m GROUP BY 1""")
 def merge_persons(spark, d):
     """K6."""
-    links = table(spark, d, "lineitem").where("l_suppkey < 8").select(F.col("l_orderkey").alias("photo_id"), F.col("l_suppkey").alias("person_id"), F.col("l_linenumber").alias("face_embedding_id"), F.col("l_extendedprice").alias("confidence"))
+    links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("photo_id"), F.col("l_suppkey").alias("person_id"), F.col("l_linenumber").alias("face_embedding_id"), F.col("l_extendedprice").alias("confidence"))
     return mutate.merged_persons(links, [1, 2, 3], 0)[1]
 
 
-@query("set_primary", "SELECT l_orderkey AS moment_id, l_linenumber AS photo_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber <> 3)::INT, l_extendedprice, l_linenumber) - 1 AS rank FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_extendedprice) WHERE l_orderkey % 10 = 0")
+@query("set_primary", "SELECT l_orderkey AS moment_id, l_linenumber AS photo_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber <> 3)::INT, l_extendedprice, l_linenumber) - 1 AS rank FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_extendedprice)")
 def set_primary(spark, d):
     """K7."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("moment_id"), F.col("l_linenumber").alias("photo_id")).agg(F.min("l_extendedprice").alias("rank"))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("moment_id"), F.col("l_linenumber").alias("photo_id")).agg(F.min("l_extendedprice").alias("rank"))
     return mutate.primary_set(li, li.select("moment_id").distinct().withColumn("photo_id", F.lit(3)))
 
 
@@ -605,10 +626,10 @@ def rename_label(spark, d):
     return mutate.label_renamed(table(spark, d, "orders").select("o_orderkey", day.alias("day"), F.lit("").alias("title")), "HIGH", "Alice").select("o_orderkey", "day")
 
 
-@query("export_plan", f"SELECT event_id AS photo_id, {DAY} || '/' || printf('%03d_%s', event_id % 40, event_type || '.jpg') AS target FROM events WHERE event_id % 25 = 0")
+@query("export_plan", f"SELECT event_id AS photo_id, {DAY} || '/' || printf('%03d_%s', event_id % 40, event_type || '.jpg') AS target FROM events")
 def export_plan(spark, d):
     """K10, K12, K13, X3."""
-    e = events(spark, d).where("event_id % 25 = 0")
+    e = events(spark, d)
     items = e.select(F.col("event_id").alias("photo_id"), F.concat(F.lit("/lib/"), "event_type", F.lit(".jpg")).alias("path"), texts.day(F.col("ts")).alias("day"), (F.col("event_id") % 40).alias("rank"))
     return export.export_plan(items, by_day=True).select("photo_id", "target")
 
@@ -659,12 +680,12 @@ def score_functions(spark, d):
     return events(spark, d).select("event_id", F.round(scores.sigmoid((F.col("value") - 50) / 10), 9).alias("sig"), scores.taste_weight(F.col("value") * 10).alias("ramp"), F.round(scores.frame_quality(blur, exposure), 9).alias("quality"), scores.frame_good(blur, exposure).alias("good"))
 
 
-@query("box_overlap", "SELECT l_orderkey, l_linenumber, round(i / (l_quantity * 20 + 400 - i), 9) AS iou FROM (SELECT *, greatest(0, least(l_discount * 100 + l_quantity, 25) - greatest(l_discount * 100, 5)) * greatest(0, least(l_tax * 100 + 20, 25) - greatest(l_tax * 100, 5)) AS i FROM lineitem WHERE l_orderkey % 15 = 0)")
+@query("box_overlap", "SELECT l_orderkey, l_linenumber, round(i / (l_quantity * 20 + 400 - i), 9) AS iou FROM (SELECT *, greatest(0, least(l_discount * 100 + l_quantity, 25) - greatest(l_discount * 100, 5)) * greatest(0, least(l_tax * 100 + 20, 25) - greatest(l_tax * 100, 5)) AS i FROM lineitem)")
 def box_overlap(spark, d):
     """M8."""
     v = lambda x: F.lit(float(x))
     i = vec.iou(F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_quantity"), v(20), v(5), v(5), v(20), v(20))
-    return table(spark, d, "lineitem").where("l_orderkey % 15 = 0").select("l_orderkey", "l_linenumber", F.round(i, 9).alias("iou"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(i, 9).alias("iou"))
 
 
 @query("face_penalties", """WITH f AS (SELECT l_orderkey AS photo_id, l_discount * 10 AS eyes, (l_quantity - 25) * 2 AS yaw, l_tax / 8 AS area FROM lineitem),
@@ -697,9 +718,8 @@ def visit_rollup(spark, d):
 def agreement(spark, d):
     """A23, W4."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    n = docs.agg(F.count("*").alias("n"))
-    ranked = rank.global_rank(docs, [F.col("n_chars"), F.col("doc_id")], "r").join(F.broadcast(n), F.lit(True)).withColumn("p", F.col("r") / F.greatest(F.lit(1), F.col("n") - 1) * 100)
-    return ranked.join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").agg(F.round(F.median("p"), 6).alias("median_percent"), F.count("*").alias("n"))
+    liked = table(spark, d, "labels").where("quality = 1")
+    return rank.agreement(docs, [F.col("n_chars"), F.col("doc_id")], "doc_id", liked).withColumn("median_percent", F.round("median_percent", 6))
 
 
 @query("retrained", f"""WITH u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
@@ -721,7 +741,7 @@ def taste_scores(spark, d):
     return taste.taste_scores(e.select("photo_id", "embedding"), w.tolist(), b)
 
 
-@query("dbscan_day", f"""WITH RECURSIVE p AS (SELECT {DAY} AS day, event_id, 34 + (event_id * 7919 % 1009) * 0.0005 AS x, 77 + (event_id * 104729 % 1013) * 0.0005 AS y FROM events WHERE event_id < 3000),
+@query("dbscan_day", f"""WITH RECURSIVE p AS (SELECT {DAY} AS day, event_id, 34 + (event_id * 7919 % 1009) * 0.0005 AS x, 77 + (event_id * 104729 % 1013) * 0.0005 AS y FROM events),
  n AS (SELECT a.event_id AS a, b.event_id AS b FROM p a JOIN p b ON a.day = b.day AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.0252),
  c AS (SELECT a FROM n GROUP BY 1 HAVING count(*) >= 3), e AS (SELECT a, b FROM n WHERE a IN (SELECT a FROM c) AND b IN (SELECT a FROM c)),
  r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), l AS (SELECT a, min(b) AS cluster FROM r GROUP BY 1)
@@ -729,7 +749,7 @@ def taste_scores(spark, d):
 def dbscan_day(spark, d):
     """C4, per day."""
     i = F.col("event_id")
-    p = events(spark, d).where("event_id < 3000").select(texts.day(F.col("ts")).alias("day"), i.alias("photo_id"), (34 + (i * 7919 % 1009) * 0.0005).alias("lat"), (77 + (i * 104729 % 1013) * 0.0005).alias("lon"))
+    p = events(spark, d).select(texts.day(F.col("ts")).alias("day"), i.alias("photo_id"), (34 + (i * 7919 % 1009) * 0.0005).alias("lat"), (77 + (i * 104729 % 1013) * 0.0005).alias("lon"))
     return cluster.dbscan(p, by=["day"], eps=0.0252)
 
 
@@ -757,8 +777,7 @@ def smart_clusters(spark, d):
 @query("day_stories")
 def day_stories(spark, d):
     """Representatives of the scenes of each day."""
-    e = table(spark, d, "embeddings").select("vec_id", vec.unit(F.col("embedding"), floor=1e-6).alias("v"))
-    p = photos(spark, d).withColumn("vec_id", F.col("photo_id") % 500).join(e, "vec_id")
+    p = with_vectors(spark, d)
     return stories.day_stories(p.select("photo_id", "taken_at", "v", (F.col("ap25") / 500).alias("iqa"), "blur", F.lit(0.0).alias("face"), (F.col("ap25") < 3).alias("auto_reject")))
 
 
@@ -773,10 +792,10 @@ def composed_story(spark, d):
     return stories.compose(request, rows, links, p.select("photo_id", "tag"), visits(spark, d)).withColumn("score", F.round("score", 9))
 
 
-@query("frame_sampling", "SELECT event_id, list_distinct(list_transform(range(0, least(12, event_id + 1)), lambda k: round_even(k * CASE WHEN event_id > 0 THEN event_id / (least(12, event_id + 1) - 1) ELSE 0 END, 0)::INT)).list_sort() AS frames FROM events WHERE event_id < 200")
+@query("frame_sampling", "SELECT event_id, list_distinct(list_transform(range(0, least(12, event_id + 1)), lambda k: round_even(k * CASE WHEN event_id > 0 THEN event_id / (least(12, event_id + 1) - 1) ELSE 0 END, 0)::INT)).list_sort() AS frames FROM events")
 def frame_sampling(spark, d):
     """S8."""
-    return events(spark, d).where("event_id < 200").select("event_id", F.sort_array(media.frame_indices((F.col("event_id") + 1).cast("int"), F.lit(24.0))).alias("frames"))
+    return events(spark, d).select("event_id", F.sort_array(media.frame_indices((F.col("event_id") + 1).cast("int"), F.lit(24.0))).alias("frames"))
 
 
 @query("file_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE doc_id % 6 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'heic' WHEN 2 THEN 'raw' WHEN 3 THEN 'video' WHEN 4 THEN 'jpeg' END AS kind FROM documents) WHERE kind IS NOT NULL GROUP BY 1")

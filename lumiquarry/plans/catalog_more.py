@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 
 from lumiquarry.functions import faces, geo, scores, texts, vec
 from lumiquarry.operators import aggregate, cluster, islands, joins, rank
-from lumiquarry.plans import export, stories
-from lumiquarry.plans.catalog import LAT, LON, SECONDS, VISITS, early_visits, events, photos, visits
+from lumiquarry.plans import export, stories, taste
+from lumiquarry.plans.catalog import LAT, LON, SECONDS, VISITS, events, photos, visits, with_vectors
 from lumiquarry.plans.registry import query
 from lumiquarry.session import table
 
 
-@query("photo_cards", "SELECT event_id AS id, '/api/thumb/' || event_type || '-' || event_id AS thumb_url, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS taken_at, CASE WHEN event_id % 4 > 0 THEN value END AS iqa FROM events WHERE event_id % 9 = 0")
+@query("photo_cards", "SELECT event_id AS id, '/api/thumb/' || event_type || '-' || event_id AS thumb_url, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS taken_at, CASE WHEN event_id % 4 > 0 THEN value END AS iqa FROM events")
 def photo_cards(spark, d):
     """The card of the list, optional columns left joined."""
     side = events(spark, d).where("event_id % 4 > 0").select(F.col("event_id").alias("id"), F.col("value").alias("iqa"))
-    e = events(spark, d).where("event_id % 9 = 0")
+    e = events(spark, d)
     cards = e.select(F.col("event_id").alias("id"), F.concat(F.lit("/api/thumb/"), "event_type", F.lit("-"), F.col("event_id").cast("string")).alias("thumb_url"), texts.iso(F.col("ts")).alias("taken_at"))
     return joins.star(cards, side, on="id")
 
@@ -45,20 +45,20 @@ def known_hashes(spark, d):
  l AS (SELECT 2 * 6371.0088 * asin(sqrt(sin(radians(lat - lag(lat) OVER w) / 2) ** 2 + cos(radians(lag(lat) OVER w)) * cos(radians(lat)) * sin(radians(lon - lag(lon) OVER w) / 2) ** 2)) AS leg FROM k WINDOW w AS (ORDER BY ts, event_id))
  SELECT (SELECT count(DISTINCT event_id) FROM k) AS kept, (SELECT count(*) FROM events) AS taken, (SELECT count(DISTINCT strftime(ts, '%Y-%m-%d')) FROM k) AS days, round(sum(leg), 5) AS km FROM l""")
 def recap_stats(spark, d):
-    """A trip's numbers. A trip is one route, so its visits are ordered together."""
+    """A trip's numbers. A trip is one route, measured by ranges of its time."""
     p = photos(spark, d)
     kept = p.where("ap25 > 150")
-    km = islands.route_km(kept.withColumn("trip", F.lit(1)), ["trip"], ["taken_at", "photo_id"], "lat", "lon")
+    km = islands.whole_route_km(kept, ["taken_at", "photo_id"], "lat", "lon")
     stats = kept.agg(F.count_distinct("photo_id").alias("kept"), F.count_distinct("day").alias("days"))
     return stats.join(km.select(F.round("km", 5).alias("km")), F.lit(True)).join(p.agg(F.count("*").alias("taken")), F.lit(True))
 
 
-@query("route_points", f"""WITH p AS (SELECT user_id, event_id, {LAT} AS lat, {LON} AS lon FROM events WHERE user_id < 20),
+@query("route_points", f"""WITH p AS (SELECT user_id, event_id, {LAT} AS lat, {LON} AS lon FROM events),
  b AS (SELECT user_id, min(lat) AS la, max(lat) AS lb, min(lon) AS oa, max(lon) AS ob FROM p GROUP BY 1)
  SELECT event_id, round(24 + (lon - oa) * 252.0 / greatest(lb - la, ob - oa, 1e-6), 5) AS x, round(300 - 24 - (lat - la) * 252.0 / greatest(lb - la, ob - oa, 1e-6), 5) AS y FROM p JOIN b USING (user_id)""")
 def route_points(spark, d):
     """A route's points in its picture."""
-    p = photos(spark, d).where("user_id < 20")
+    p = photos(spark, d)
     b = p.groupBy("user_id").agg(F.min("lat").alias("la"), F.max("lat").alias("lb"), F.min("lon").alias("oa"), F.max("lon").alias("ob"))
     x, y = geo.svg_xy(*[F.col(c) for c in ("lat", "lon", "la", "lb", "oa", "ob")])
     return p.join(b, "user_id").select(F.col("photo_id").alias("event_id"), F.round(x, 5).alias("x"), F.round(y, 5).alias("y"))
@@ -80,12 +80,12 @@ def array_picks(spark, d):
     return g.select("l_orderkey", vec.argmax(F.col("items"), lambda x: x["l_extendedprice"])["l_linenumber"].alias("best"), F.sort_array(F.array_distinct(F.transform("items", lambda x: x["l_returnflag"]))).alias("flags"))
 
 
-@query("video_order", "SELECT event_id, pos FROM (SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 3 > 0 THEN ts END ASC NULLS LAST, event_type, event_id) AS pos FROM events) WHERE pos <= 50")
+@query("video_order", "SELECT event_id, pos FROM (SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 3 > 0 THEN ts END ASC NULLS LAST, event_type, event_id) AS pos FROM events)")
 def video_order(spark, d):
     """Rows without a time last, then by path."""
     e = events(spark, d).select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("ts")).alias("at"), "event_type")
     order = [F.col("at").asc_nulls_last(), F.col("event_type"), F.col("event_id")]
-    return rank.global_rank(e.orderBy(*order).limit(50), order, "pos").select("event_id", (F.col("pos") + 1).alias("pos"))
+    return rank.global_rank(e, order, "pos").select("event_id", (F.col("pos") + 1).alias("pos"))
 
 
 @query("strongest_in_time", f"SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rank FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 30)")
@@ -106,9 +106,7 @@ def people_stories(spark, d):
 
 
 def _with_vectors(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", vec.unit(F.col("embedding"), floor=1e-6).alias("v"))
-    p = photos(spark, d).withColumn("vec_id", F.col("photo_id") % 500).join(e, "vec_id")
-    return p.select("photo_id", "at", "v", (F.col("ap25") / 500).alias("iqa"), "blur", F.lit(0.0).alias("face"), "tag")
+    return with_vectors(spark, d).select("photo_id", "at", "v", (F.col("ap25") / 500).alias("iqa"), "blur", F.lit(0.0).alias("face"), "tag")
 
 
 @query("place_stories")
@@ -133,6 +131,33 @@ def numbered_places(spark, d):
     return cluster.numbered_places(rows)
 
 
+@query("numbered_per_day", """WITH v AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, 'Place' || (user_id % 9) AS name, 34 + (event_id % 97) * 0.001 AS lat, 77 + (event_id % 89) * 0.001 AS lon, ts FROM events),
+ f AS (SELECT a.day, a.name FROM v a JOIN v b ON a.day = b.day AND a.name = b.name AND a.event_id < b.event_id
+       WHERE sqrt(((a.lat - b.lat) * 111.0) ** 2 + ((a.lon - b.lon) * 111.32 * cos(radians((a.lat + b.lat) / 2))) ** 2) > 2 GROUP BY 1, 2),
+ n AS (SELECT v.*, row_number() OVER (PARTITION BY day, name ORDER BY ts, event_id) AS pos FROM v)
+ SELECT event_id AS visit_id, CASE WHEN pos > 1 AND (day, name) IN (SELECT (day, name) FROM f) THEN name || ' (' || pos || ')' ELSE name END AS name FROM n""")
+def numbered_per_day(spark, d):
+    """W14 within days."""
+    p = photos(spark, d).select(F.col("photo_id").alias("visit_id"), "day", F.concat(F.lit("Place"), (F.col("user_id") % 9).cast("string")).alias("name"), "lat", "lon", F.col("taken_at").alias("arrived_at"))
+    return cluster.numbered_per_day(p)
+
+
+@query("merged_names")
+def merged_names(spark, d):
+    """Nations as places, some with landmark words, a few kilometres apart."""
+    k = F.col("n_nationkey")
+    name = F.concat("n_name", F.when(k % 4 == 0, " Pass").when(k % 7 == 0, " Tso").otherwise(""))
+    return cluster.merged_names(table(spark, d, "nation").select(name.alias("name"), (34 + k * 0.03).alias("lat"), (77 + k % 3 * 0.02).alias("lon"), (k * 37 % 11).alias("photos")))
+
+
+@query("taste_report")
+def taste_report(spark, d):
+    """C11: samples, AUC on a held-out fifth of each class, weight, and the model."""
+    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "photo_id")
+    swipes = e.select("photo_id", F.when(F.col("label") < 5, "keep").otherwise("reject").alias("decision"))
+    return taste.taste_report(taste.labelled(e.select("photo_id", "embedding"), swipes))
+
+
 @query("story_export", f"SELECT event_id AS photo_id, printf('%02d_%s', event_id % 60, event_type || '.jpg') AS target FROM events WHERE user_id = 7")
 def story_export(spark, d):
     """A story's files with two-digit ranks."""
@@ -148,18 +173,15 @@ def face_rollups(spark, d):
     return faces.rollup(f)
 
 
-@query("best_overlap", """WITH s AS (SELECT l_orderkey AS p, l_linenumber AS s, l_discount * 100 AS x, l_tax * 100 AS y FROM lineitem WHERE l_orderkey % 40 = 0),
- i AS (SELECT a.p, a.s, b.s AS t, greatest(0, least(a.x, b.x) + 8 - greatest(a.x, b.x)) * greatest(0, least(a.y, b.y) + 8 - greatest(a.y, b.y)) AS i FROM s a JOIN s b ON a.p = b.p AND a.s < b.s)
- SELECT p AS photo_id, s AS stored_id, arg_max(t, (round(i / (128 - i), 9), -t)) AS found_id FROM i WHERE i / (128 - i) >= 0.3 GROUP BY 1, 2""")
+@query("best_overlap", """WITH s AS (SELECT l_orderkey AS p, l_linenumber AS s, round(l_discount * 100) AS x, round(l_tax * 100) AS y FROM lineitem),
+ i AS (SELECT a.p, a.s, b.s AS t, greatest(0, least(a.x, b.x) + 8 - greatest(a.x, b.x)) * greatest(0, least(a.y, b.y) + 8 - greatest(a.y, b.y)) AS i FROM s a JOIN s b ON a.p = b.p AND a.s % 2 = 0 AND b.s % 2 = 1)
+ SELECT p AS photo_id, s AS stored_id, arg_max(t, (i / (128 - i), -t)) AS found_id, round(max(i / (128 - i)), 9) AS iou FROM i WHERE i / (128 - i) >= 0.3 GROUP BY 1, 2""")
 def best_overlap(spark, d):
-    """Boxes of one photo against its later ones."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 40 = 0")
-    box = [F.round(F.col("l_discount") * 100, 6).alias("bbox_x"), F.round(F.col("l_tax") * 100, 6).alias("bbox_y"), F.lit(8.0).alias("bbox_w"), F.lit(8.0).alias("bbox_h")]
-    a = li.select(F.col("l_orderkey").alias("photo_id"), F.col("l_linenumber").alias("stored_id"), *box)
-    b = li.select(F.col("l_orderkey").alias("photo_id"), F.col("l_linenumber").alias("found_id"), *box)
-    boxes = [F.col(f"a.bbox_{c}") for c in "xywh"] + [F.col(f"b.bbox_{c}") for c in "xywh"]
-    pairs = a.alias("a").join(b.alias("b"), F.col("a.photo_id") == F.col("b.photo_id")).where("stored_id < found_id").withColumn("iou", F.round(vec.iou(*boxes), 9)).where("iou >= 0.3")
-    return pairs.groupBy(F.col("a.photo_id").alias("photo_id"), "stored_id").agg(F.max_by("found_id", F.struct("iou", -F.col("found_id"))).alias("found_id"))
+    """A photo's boxes with even numbers are stored, the others found."""
+    box = [F.round(F.col("l_discount") * 100).alias("bbox_x"), F.round(F.col("l_tax") * 100).alias("bbox_y"), F.lit(8.0).alias("bbox_w"), F.lit(8.0).alias("bbox_h")]
+    boxes = lambda odd, name: table(spark, d, "lineitem").where(F.col("l_linenumber") % 2 == odd).select(F.col("l_orderkey").alias("photo_id"), F.col("l_linenumber").alias(name), *box)
+    out = joins.best_overlap(boxes(0, "stored_id"), boxes(1, "found_id"), "photo_id", "stored_id", "found_id")
+    return out.withColumn("iou", F.round("iou", 9))
 
 
 @query("planned_seconds", "SELECT l_suppkey, round(count(*) * (0.03 + 0.12 + 0.9 + 0.5 + 0.02), 6) AS seconds FROM lineitem GROUP BY 1")
@@ -171,7 +193,7 @@ def planned_seconds(spark, d):
 @query("top_locations", f"WITH v AS ({VISITS}), p AS (SELECT event_id, {SECONDS} AS pos FROM events), f AS (SELECT event_id, arg_min(name, (arrived, visit_id)) AS place FROM p JOIN v ON pos BETWEEN arrived AND departed GROUP BY 1) SELECT place, count(*) AS n FROM f GROUP BY 1 HAVING count(*) >= 10 ORDER BY n DESC, place LIMIT 12")
 def top_locations(spark, d):
     """Photos by the first visit in time that holds them, the twelve fullest places."""
-    of = joins.first_interval(photos(spark, d).select("photo_id", "at"), early_visits(spark, d), "at", "arrived", "departed", 1800, "photo_id", ["arrived", "visit_id"], "name")
+    of = joins.first_interval(photos(spark, d).select("photo_id", "at"), visits(spark, d), "at", "arrived", "departed", 1800, "photo_id", ["arrived", "visit_id"], "name")
     return of.groupBy(F.col("name").alias("place")).agg(F.count("*").alias("n")).where("n >= 10").orderBy(F.desc("n"), "place").limit(12)
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiquarry.functions.scores import AP_WEIGHT, NIMA_WEIGHT, blend, taste_weight
-from lumiquarry.operators.rank import average_percent, linear_percentile, top_per_group
+from lumiquarry.operators.rank import average_percent, linear_percentile, top_per_group, whole_percentile
 
 
 def library_floor(photos: DataFrame, percent: float, *, ap_weight: float = AP_WEIGHT, nima_weight: float = NIMA_WEIGHT) -> DataFrame:
     """A5: one row (floor): the library's percentile of the blended scores; null without scored photos."""
-    return photos.agg(linear_percentile(blend(F.col("ap25"), F.col("nima"), ap_weight, nima_weight), percent).alias("floor"))
+    return whole_percentile(photos, blend(F.col("ap25"), F.col("nima"), ap_weight, nima_weight), percent, "floor")
 
 
 def curate(
@@ -33,7 +33,10 @@ def curate(
     df = scope.withColumn("combined", blend(F.col("ap25"), F.col("nima"), ap_weight, nima_weight)).where(F.col("combined").isNotNull())
     if not by:
         df = df.withColumn("_scope", F.lit(0))
-    cuts = df.groupBy(*scopes).agg(F.count("*").alias("_n"), linear_percentile(F.col("combined"), percent).alias("_cut"))
+    if by:
+        cuts = df.groupBy(*scopes).agg(F.count("*").alias("_n"), linear_percentile(F.col("combined"), percent).alias("_cut"))
+    else:  # one scope may be the whole library
+        cuts = df.groupBy("_scope").agg(F.count("*").alias("_n")).join(whole_percentile(df, F.col("combined"), percent, "_cut"), F.lit(True))
     cut = F.when(F.col("_n") > max(1, min_keep), F.col("_cut")).otherwise(F.lit(float("-inf")))
     if library_percent is not None:
         floor = library_floor(library, library_percent, ap_weight=ap_weight, nima_weight=nima_weight)

@@ -67,10 +67,10 @@ def near_groups(photos: DataFrame, pairs: DataFrame, *, key: str = "photo_id") -
     return rows.groupBy("group_id").agg(F.count("*").alias("n"), F.max_by(key, place).alias("keeper"), (F.sum(size) - F.max_by(size, place)).alias("reclaimable"))
 
 
-def report(photos: DataFrame, threshold: float = 0.97, *, key: str = "photo_id", by: Sequence[str] = (), most: int | None = MOST) -> DataFrame:
+def report(photos: DataFrame, threshold: float = 0.97, *, key: str = "photo_id", appearance: str | None = None, by: Sequence[str] = (), most: int | None = MOST) -> DataFrame:
     """(kind, groups, photos, reclaimable) of exact and near groups; members of exact groups are no candidates for near ones. ``most`` is that of ``near_pairs``."""
     exact = exact_duplicates(photos, "sha256", key, F.col("iqa"), F.col("size_bytes"))
     rest = photos.join(exact.select("sha256"), "sha256", "left_anti")
-    near = near_groups(rest, near_pairs(rest, threshold, key=key, by=by, most=most), key=key)
+    near = near_groups(rest, near_pairs(rest, threshold, key=key, appearance=appearance, by=by, most=most), key=key)
     both = exact.select(F.lit("exact").alias("kind"), "n", "reclaimable").union(near.select(F.lit("near"), "n", "reclaimable"))
     return both.groupBy("kind").agg(F.count("*").alias("groups"), F.sum("n").alias("photos"), F.sum("reclaimable").alias("reclaimable"))

@@ -59,5 +59,6 @@ def hybrid(photos: DataFrame, tags: DataFrame, words: Sequence[str], vector: Seq
 def stories_like(items: DataFrame, vector: Sequence[float], *, story: str = "story_id", key: str = "photo_id", embedding: str = "embedding", least: float = 0.03) -> DataFrame:
     """Items of stories of which one is like the vector by ``least``: (story, key, similarity, best); no vector is -1."""
     near = F.coalesce(cosine(F.col(embedding), query_vector(vector)), F.lit(-1.0))
-    out = items.select(story, key, near.alias("similarity")).withColumn("best", F.max("similarity").over(Window.partitionBy(story)))
-    return out.where(F.col("best") >= least)
+    out = items.select(story, key, near.alias("similarity"))
+    best = out.groupBy(story).agg(F.max("similarity").alias("best")).where(F.col("best") >= least)
+    return out.join(best, story)

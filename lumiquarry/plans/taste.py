@@ -6,12 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumiquarry.functions.scores import sigmoid
+from lumiquarry.functions.scores import sigmoid, taste_weight
 from lumiquarry.functions.vec import dot, unit
-from lumiquarry.operators.aggregate import mean_vectors
+from lumiquarry.operators.aggregate import mean_vectors, rank_auc
+from lumiquarry.session import written
 
 # Steps, rate, penalty; labels needed in all and of each class; held-out share and its seed.
 STEPS, RATE, PENALTY, LEAST, LEAST_EACH, SHARE, SEED = 500, 1.0, 0.01, 100, 10, 0.2, 1152
@@ -42,24 +43,24 @@ def gradient(rows: DataFrame, w: np.ndarray, b: float, weight: dict[int, float])
     return g[:-1], float(g[-1])
 
 
-def train_taste(rows: DataFrame, *, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY, local_rows: int = 200_000) -> tuple[np.ndarray, float]:
+def train_taste(rows: DataFrame, *, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY, local_bytes: int = 64 << 20) -> tuple[np.ndarray, float]:
     """C11: weights and bias of a logistic regression by full gradient steps from zero, classes weighted alike, bias unpenalised.
 
-    Labels are people's swipes, so they are few: up to ``local_rows`` rows are taken to the driver; beyond that each step
-    is a distributed sum of gradients. Raises ValueError below 100 labels or 10 of a class.
+    Labels are people's swipes, so they are few: up to ``local_bytes`` of vectors are taken to the driver; more are written
+    to the shared folder once and each step is a distributed sum of gradients. Raises ValueError below 100 labels or 10 of
+    a class.
     """
     count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n = sum(count.values())
     if n < LEAST or min(count.get(0, 0), count.get(1, 0)) < LEAST_EACH:
         raise ValueError("too few labels")
     weight = {y: 1 / (2 * count[y]) for y in (0, 1)}  # all weights sum to 1
-    local = None
-    if n <= local_rows:
+    local, w = None, np.zeros(rows.select(F.size("v")).first()[0])
+    if n * len(w) * 8 <= local_bytes:
         got = rows.select("v", "y").toPandas()
         local = np.stack(got["v"]).astype(np.float64), got["y"].to_numpy()
-        w = np.zeros(local[0].shape[1])
     else:
-        w = np.zeros(rows.select(F.size("v")).first()[0])
+        rows = written(rows.select("v", "y"), "labelled")
     b = 0.0
     for _ in range(steps):
         if local is not None:
@@ -72,6 +73,26 @@ def train_taste(rows: DataFrame, *, steps: int = STEPS, rate: float = RATE, pena
     return w, b
 
 
+def held_out(rows: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
+    """``rows`` with held_out: of each class the first ``share`` by a seeded hash of the id, rounded, one at least."""
+    size = rows.groupBy("y").agg(F.greatest(F.lit(1), F.round(F.count("*") * share).cast("int")).alias("_k"))
+    at = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("photo_id", F.lit(seed)), "photo_id"))
+    return rows.withColumn("_at", at).join(F.broadcast(size), "y").withColumn("held_out", F.col("_at") <= F.col("_k")).drop("_at", "_k")
+
+
+def taste_report(rows: DataFrame, **how) -> DataFrame:
+    """C11: one row (n_samples, auc, weight, w, b): the model of all labels, and the AUC that one without the held-out fifth of each class has on it.
+
+    The saved model is this row, written by the caller as a table.
+    """
+    split = written(held_out(rows), "labelled")
+    w, b = train_taste(split.where("not held_out"), **how)
+    auc = rank_auc(split.where("held_out").withColumn("score", sigmoid(dot(F.col("v"), F.array(*[F.lit(float(x)) for x in w])) + b)), F.col("y") == 1, "score")
+    w, b = train_taste(split, **how)
+    n = split.agg(F.count("*").alias("n_samples"))
+    return n.join(auc, F.lit(True)).select("n_samples", "auc", taste_weight(F.col("n_samples")).alias("weight"), F.array(*[F.lit(float(x)) for x in w]).alias("w"), F.lit(float(b)).alias("b"))
+
+
 def taste_scores(embeddings: DataFrame, w: Sequence[float], b: float) -> DataFrame:
     """(photo_id, taste)."""
     return embeddings.select("photo_id", sigmoid(dot(unit(F.col("embedding")), F.array(*[F.lit(float(x)) for x in w])) + b).alias("taste"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumiquarry.functions.texts import geo_key
+from lumiquarry.session import written
+
+log = logging.getLogger(__name__)
 
 
 def keyword_map(text: str | None, default: dict[str, list[str]]) -> dict[str, list[str]]:
@@ -47,12 +51,16 @@ def geocoded(points: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def libraries(spark: SparkSession, registry: list[dict], read: Callable[[SparkSession, str], DataFrame], schema: str) -> DataFrame:
-    """The rows of all libraries with library_id; one that cannot be read has none."""
+    """The rows of all libraries with library_id; one that cannot be read, to its last row, has none.
+
+    Reading is lazy and a fault may lie anywhere, so each library is copied to the shared folder once. Whatever fails then,
+    a missing column or a broken file, leaves that library out and logs its id.
+    """
     parts = [spark.createDataFrame([], f"library_id string, {schema}")]
     for lib in registry:
         try:
-            rows = read(spark, lib["path"])
-        except AnalysisException:
-            continue
-        parts.append(rows.select(F.lit(lib["id"]).alias("library_id"), *[c for c in parts[0].columns if c != "library_id"]))
+            rows = read(spark, lib["path"]).select(F.lit(lib["id"]).alias("library_id"), *[c for c in parts[0].columns if c != "library_id"])
+            parts.append(written(rows, "library"))
+        except Exception:  # a scan of many libraries outlives any one of them
+            log.warning("library %s cannot be read", lib["id"], exc_info=True)
     return reduce(DataFrame.unionByName, parts)

@@ -71,6 +71,13 @@ def test_ranks(spark):
     assert df.agg(rank.nearest_rank(F.col("v"), 50).alias("x"), rank.upper_median(F.col("v")).alias("m")).first() == (1.0, 2.0)
     flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (None, 1.0)], "a double, b double")
     assert flat.agg(aggregate.pearson(F.col("a"), F.col("b")).alias("c")).first()["c"] == 0
+    far = spark.range(1, 200).select((1e9 + F.col("id") / 1000).alias("a"), (1e9 + 2 * F.col("id") / 1000).alias("b"))
+    assert far.agg(aggregate.pearson(F.col("a"), F.col("b")).alias("c")).first()["c"] == pytest.approx(1, abs=1e-6)
+    values = [5.0, 1.0, 1.0, None, 9.0, 2.5]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for p in (0, 10, 25, 50, 75, 100):
+        assert rank.whole_percentile(frame, F.col("v"), p).first()[0] == pytest.approx(np.percentile([v for v in values if v is not None], p))
+    assert rank.whole_percentile(frame.where("v is null"), F.col("v"), 50).first()[0] is None
     assert aggregate.rank_auc(spark.createDataFrame([(1, 2.0), (0, 1.0), (0, 2.0)], "y int, s double"), F.col("y") == 1, "s").first()["auc"] == 0.75
     assert aggregate.rank_auc(spark.createDataFrame([(1, 2.0)], "y int, s double"), F.col("y") == 1, "s").first()["auc"] is None
 
@@ -159,7 +166,20 @@ def test_places(spark):
     rows = [(1, "Leh", 34.0, 77.0, 1), (2, "Leh (2)", 34.1, 77.0, 2), (3, "Leh", 34.001, 77.0, 3), (4, "Nubra", 34.0, 77.0, 4)]
     got = {x["visit_id"]: x["name"] for x in cluster.numbered_places(spark.createDataFrame(rows, "visit_id long, name string, lat double, lon double, arrived_at int")).collect()}
     assert got == {1: "Leh", 2: "Leh (2)", 3: "Leh", 4: "Nubra"}
-    assert cluster.merged_names({"A Tso": (34.0, 77.0), "B": (34.01, 77.0), "C": (35.0, 77.0)}, {"B": 9}) == {"A Tso": "A Tso", "B": "A Tso", "C": "C"}
+    few = [("A Tso", 34.0, 77.0, 0), ("B", 34.01, 77.0, 9), ("C", 35.0, 77.0, None), ("D", None, 77.0, 1)]
+    schema = "name string, lat double, lon double, photos long"
+    assert {x["name"]: x["merged"] for x in cluster.merged_names(spark.createDataFrame(few, schema)).collect()} == {"A Tso": "A Tso", "B": "A Tso", "C": "C", "D": "D"}
+    r = random.Random(7)
+    many = [(f"P{k:02d}" + r.choice(["", "", " Valley"]), r.choice([0.0, 34.0, -71.0]) + r.uniform(0, 0.25), 77 + r.uniform(0, 0.25), r.randrange(4)) for k in range(60)]
+    to = {}
+    for a, alat, alon, an in sorted(many):  # every pair in the order of names; a name that has lost is out
+        for b, blat, blon, bn in sorted(many):
+            km = 111.0 * np.hypot(alat - blat, (alon - blon) * np.cos(np.radians((alat + blat) / 2)))
+            if a < b and a not in to and b not in to and km <= 5:
+                first = (" Valley" in a, an, len(a)) >= (" Valley" in b, bn, len(b))
+                to[b if first else a] = a if first else b
+    got = {x["name"]: x["merged"] for x in cluster.merged_names(spark.createDataFrame(many, schema)).collect()}
+    assert got == {n: to.get(n, n) for n, *_ in many} and len(to) > 10
 
 
 def test_mutations(spark):
@@ -187,13 +207,17 @@ def test_taste(spark):
     df = spark.createDataFrame(rows, "photo_id long, embedding array<double>, decision string")
     lab = taste.labelled(df.select("photo_id", "embedding"), df.select("photo_id", "decision"))
     w, b = taste.train_taste(lab)
-    far, c = taste.train_taste(lab, steps=3, local_rows=0)
+    far, c = taste.train_taste(lab, steps=3, local_bytes=0)
     near, e = taste.train_taste(lab, steps=3)
     assert np.allclose(far, near) and c == pytest.approx(e)  # the distributed sum of gradients
     scored = taste.taste_scores(df.select("photo_id", "embedding"), w, b).join(df, "photo_id")
     assert aggregate.rank_auc(scored, F.col("decision") == "keep", "taste").first()["auc"] > 0.9
     with pytest.raises(ValueError):
         taste.train_taste(lab.limit(60))
+    split = {x["photo_id"]: x["held_out"] for x in taste.held_out(lab).collect()}
+    assert [sum(h for i, h in split.items() if i % 2 == y) for y in (0, 1)] == [16, 16] and len(split) == 160
+    said = taste.taste_report(lab, steps=60).first()
+    assert said["n_samples"] == 160 and said["auc"] > 0.9 and said["weight"] == pytest.approx(0.4 * 60 / 900) and len(said["w"]) == 16
 
 
 def test_report_of_a_library_beyond_the_cap(spark):

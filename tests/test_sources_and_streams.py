@@ -50,7 +50,16 @@ def test_side_files(spark, tmp_path):
     assert [r["name"] for r in side_files.landmarks(spark, str(tmp_path / "l.json")).collect()] == ["A"]
     assert side_files.landmarks(spark, str(tmp_path / "none.json")).count() == 0
     spark.range(3).selectExpr("id as photo_id").write.parquet(str(tmp_path / "one"))
-    libs = [{"id": "x", "path": str(tmp_path / "one")}, {"id": "y", "path": str(tmp_path / "gone")}]
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_bytes(b"no parquet at all")
+    half = tmp_path / "half"
+    spark.range(5000).selectExpr("id as photo_id").coalesce(1).write.parquet(str(half))
+    (part,) = half.glob("*.parquet")
+    whole = part.read_bytes()
+    part.write_bytes(whole[:4] + b"\0" * (len(whole) // 2) + whole[4 + len(whole) // 2 :])  # the footer is whole, the pages are not
+    (half / f".{part.name}.crc").unlink(missing_ok=True)
+    spark.range(2).selectExpr("id as other").write.parquet(str(tmp_path / "other"))
+    libs = [{"id": n, "path": str(tmp_path / n)} for n in ("one", "gone", "broken", "half", "other")]
     assert side_files.libraries(spark, libs, lambda s, p: s.read.parquet(p), "photo_id long").count() == 3
 
 
