@@ -10,7 +10,8 @@
 3. Vertices that such pairs connect form blocks. Blocks are cut into tiles; for each pair of tiles the incidence matrices
    are multiplied in slices of columns that both hold, overlap counts are accumulated, and pairs below the bound that
    their sizes give are discarded. A pair of tiles returns a spanning forest of its links and each vertex's links as a
-   number, so output is linear in the block, whatever the number of links.
+   number, so output is linear in the block, whatever the number of links. Where links need not be counted, tiles of a
+   class already found are not paired: a large group of near copies takes its tiles and some heads, not all their pairs.
 4. Components of the forests are the classes.
 """
 
@@ -403,6 +404,70 @@ def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return out
 
 
+def tiled(sets: DataFrame, side: Column | None = None) -> DataFrame:
+    """``sets`` (block, rep, copies, grams) with ``mine``, the tile of each in its block, and ``meets``, the tiles whose products it is in: all.
+
+    With ``side`` (boolean) the sets where it is false have tiles of their own, and no tile of those where it holds meets another of them.
+    """
+    kind = F.lit(False) if side is None else side
+    sets = sets.withColumn("_side", kind)
+    need = F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.octet_length("grams") / 8) / TILE_GRAMS)).cast("int")
+    tiles = sets.groupBy("block", "_side").agg(need.alias("_n")).groupBy("block").agg(F.sum(F.when(F.col("_side"), F.col("_n")).otherwise(0)).cast("int").alias("_a"), F.sum(F.when(~F.col("_side"), F.col("_n")).otherwise(0)).cast("int").alias("_b"))
+    at = F.pmod(F.xxhash64("rep"), F.when(F.col("_side"), F.col("_a")).otherwise(F.col("_b"))).cast("int")
+    rest = F.when(F.col("_b") > 0, F.sequence(F.col("_a"), F.col("_a") + F.col("_b") - 1)).otherwise(F.array().cast("array<int>"))
+    every = F.sequence(F.lit(0), F.col("_a") + F.col("_b") - 1)
+    out = sets.join(tiles, "block").withColumn("mine", F.when(F.col("_side"), at).otherwise(F.col("_a") + at)).withColumn("meets", F.when(F.col("_side"), rest).otherwise(every))
+    return out.select("block", "rep", "copies", "grams", "mine", "meets", (F.col("_a") + F.col("_b")).alias("tiles"))
+
+
+def products(sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """Of sets with ``mine`` and ``meets``: edges (u, v) that span the links of each pair of tiles that meet, and (u, links) of each set there."""
+
+    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        sides = []
+        for t in {i: 0, j: 1}:
+            part = pdf[pdf["mine"] == t]
+            place = np.concatenate([[0], np.cumsum([len(x) // 8 for x in part["grams"]])]).astype(np.int64)
+            sides.append((part["rep"].to_numpy(), part["copies"].to_numpy(), (np.frombuffer(b"".join(part["grams"]), np.uint64), place)))
+        (a, na, ga), (b, nb, gb) = sides[0], sides[-1]
+        links = product(ga, gb, bounds)
+        if i == j:
+            np.fill_diagonal(links, False)
+        edges = forest(links, a, b)
+        degrees = list(zip(a.tolist(), (links @ nb).tolist(), strict=True)) + ([] if i == j else list(zip(b.tolist(), (links.T @ na).tolist(), strict=True)))
+        return pd.DataFrame({"u": [x for x, _ in edges] + [x for x, d in degrees if d], "v": [y for _, y in edges] + [None for _, d in degrees if d], "links": [None for _ in edges] + [d for _, d in degrees if d]}).astype("Int64")
+
+    pairs = sets.withColumn("_other", F.explode("meets")).select("block", F.least("mine", "_other").alias("i"), F.greatest("mine", "_other").alias("j"), "mine", "rep", "copies", "grams")
+    return pairs.groupBy("block", "i", "j").applyInPandas(multiply, "u long, v long, links long")
+
+
+def spanned(sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """Edges (u, v) that connect what the links of ``sets`` (block, rep, copies, grams) connect, without all pairs of a class.
+
+    1. Each tile alone. 2. In blocks of several tiles, one set of each class of each tile, against each other. 3. Whatever
+    is not in the block's largest class by then, against all sets of the block. What is never compared is within that
+    class, where further links connect nothing new.
+    """
+    own = written(tiled(sets), "tiles")
+    edges = lambda df, what: written(products(df, bounds).where("v is not null"), what)
+    found = edges(own.withColumn("meets", F.array("mine")), "links")
+    large = own.where("tiles > 1")
+    if large.isEmpty():
+        return found
+
+    def classed(done: DataFrame) -> DataFrame:
+        classes = connected_components(done, "u", "v").select(F.col("node").alias("rep"), "component")
+        return large.select("block", "rep", "copies", "grams", "mine").join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    heads = classed(found).groupBy("block", "mine", "component").agg(F.min_by(F.struct("rep", "copies", "grams"), "rep").alias("h"))
+    found = found.union(edges(tiled(heads.select("block", "h.rep", "h.copies", "h.grams")), "links"))
+    now = written(classed(found), "classed")
+    most = now.groupBy("block", "component").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("classes"))
+    now = now.join(most.where("classes > 1").drop("classes"), "block")
+    return found.union(edges(tiled(now.drop("mine"), side=F.col("component") == F.col("most")), "links"))
+
+
 def id_bit(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << FILTER))
 
@@ -427,12 +492,13 @@ def may_hold(chosen: np.ndarray, bit: pa.Array) -> pa.Array:
     return pa.array(((chosen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1) & bit.is_valid().to_numpy(zero_copy_only=False))
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
     """Classes of documents by links of Jaccard similarity percent/100 or more between sets of ``size``-word n-grams.
 
     Returns a row per row of ``docs``: ``id_col``, n_shingles (size of the set), component_id (the smallest id that links
     reach, the row's own included) and n_links (rows linked with it directly, copies included). Words are what ASCII white
-    space separates, A-Z lowered; a text of fewer words has its whole sequence as one n-gram.
+    space separates, A-Z lowered; a text of fewer words has its whole sequence as one n-gram. Counting links takes all
+    pairs of tiles of a block; without ``links`` n_links is null, and pairs within a class already found are spared.
 
     Ids are whole numbers. Null texts and texts without words have an empty set and link with nothing. Rows with a null
     id link with nothing and have component_id null. Rows that repeat an id with another text are each classed by their
@@ -461,8 +527,6 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     large = large.select("u", "v", "nu", "nv", "fu", "fv").mapInArrow(tidy(fine_pairs(bounds)), "u long, v long")
     blocks = connected_components(pairs.where("not fine").select("u", "v").union(large), "u", "v")
     members = written(numbered.join(blocks, "node").select("digest", "rep", "copies", "n", F.col("component").alias("block")), "blocks")
-    tiles = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"))
-
     sent = id_filter(members.select("rep"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,36 +537,20 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([digest(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["rep", "digest", "grams"])
 
     texts = base.where("id is not null").withColumn("bit", id_bit("id")).mapInArrow(tidy(sets_of), "rep long, digest binary, grams binary")
-    own = texts.join(members.join(tiles, "block"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
-    mine = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    tiled = own.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("block", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "copies", "grams")
-
-    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        sides = []
-        for t in {i: 0, j: 1}:
-            part = pdf[pdf["mine"] == t]
-            place = np.concatenate([[0], np.cumsum([len(x) // 8 for x in part["grams"]])]).astype(np.int64)
-            sides.append((part["rep"].to_numpy(), part["copies"].to_numpy(), (np.frombuffer(b"".join(part["grams"]), np.uint64), place)))
-        (a, na, ga), (b, nb, gb) = sides[0], sides[-1]
-        links = product(ga, gb, bounds)
-        if i == j:
-            np.fill_diagonal(links, False)
-        edges = forest(links, a, b)
-        degrees = list(zip(a.tolist(), (links @ nb).tolist(), strict=True)) + ([] if i == j else list(zip(b.tolist(), (links.T @ na).tolist(), strict=True)))
-        return pd.DataFrame({"u": [x for x, _ in edges] + [x for x, d in degrees if d], "v": [y for _, y in edges] + [None for _, d in degrees if d], "links": [None for _ in edges] + [d for _, d in degrees if d]}).astype("Int64")
-
-    done = written(tiled.groupBy("block", "i", "j").applyInPandas(multiply, "u long, v long, links long"), "links")
+    own = texts.join(members, ["rep", "digest"]).dropDuplicates(["rep", "digest"]).select("block", "rep", "copies", "grams")
+    if links:
+        done = written(products(tiled(own), bounds), "links")
+    else:
+        done = spanned(written(own, "sets"), bounds)
     classes = connected_components(done.where("v is not null"), "u", "v").select(F.col("node").alias("rep"), "component")
-    degree = done.where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
+    degree = (done if links else done.withColumn("links", F.lit(None).cast("long"))).where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     by_set = vertex.join(classes, "rep", "left").join(degree, "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     )
     return sets.join(by_set, "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-        F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(F.lit(links), F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0)).cast("long").alias("n_links"),
     )
 
 
@@ -511,7 +559,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
 
     Of rows that repeat the standing id, all stay; rows with a null id stay.
     """
-    classes = jaccard_components(docs, id_col=id_col, **how)
+    classes = jaccard_components(docs, id_col=id_col, links=False, **how)
     dropped = written(classes.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "dropped")
     sent = id_filter(dropped)
     mark = "_bit"
@@ -534,4 +582,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: classes by 4-word shingles and a similarity of 0.85. See ``jaccard_components`` for nulls and repeats."""
-    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85, links=False).select("doc_id", "n_shingles", "component_id")

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -69,6 +70,23 @@ def test_tiles_and_stars_give_the_same(spark, copies, monkeypatch):
     assert (got == want).all()
 
 
+@pytest.mark.parametrize("tile", [2, 16, 512])
+def test_classes_without_links(spark, copies, monkeypatch, tile):
+    """Blocks of many tiles: a hub of near copies, chains whose ends do not link, and strangers that share its passage."""
+    monkeypatch.setattr(nj, "TILE", tile)
+    r = random.Random(6)
+    chain = [f"c{k}" for k in range(60)]
+    docs = list(copies)
+    for k in range(40):  # each text links with the next few only
+        chain[(3 * k) % 60] = f"d{k}"
+        docs.append((10_000 + k * 7 % 40, " ".join(chain)))
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = nj.jaccard_components(df, size=4, percent=60, links=False).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows} == {i: x[:2] for i, x in brute(docs, 4, 60).items()}
+    assert all(x["n_links"] is None for x in rows)
+
+
 def test_edges(spark, edge_docs, no_docs):
     rows = nj.jaccard_components(edge_docs, size=4, percent=85).collect()
     assert len(rows) == edge_docs.count()
