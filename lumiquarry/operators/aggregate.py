@@ -92,6 +92,19 @@ def best_faces(faces: DataFrame, person: str = "person_id", face: str = "face_id
     return best.where((F.col("f.confidence") >= least_confidence) & (F.least("f.bbox_w", "f.bbox_h") >= least_px)).select(person, f"f.{face}", "f.confidence")
 
 
+def person_tables(faces: DataFrame, *, person: str = "person_id", photo: str = "photo_id", face: str = "face_id", least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Persons (person, cover_face_id, photo_count) on ``least`` photos or more, and their photos (photo, person, face, confidence).
+
+    The cover is a person's surest face, and a photo's face the surest of that person in it; the lesser id on ties. Rows
+    without a person are out, a null confidence is the least.
+    """
+    sure = F.struct(F.coalesce(F.col("confidence").cast("double"), F.lit(float("-inf"))), -F.col(face))
+    own = faces.where(F.col(person).isNotNull())
+    per = own.groupBy(photo, person).agg(F.max_by(F.struct(face, "confidence"), sure).alias("f")).select(photo, person, f"f.{face}", "f.confidence")
+    persons = per.groupBy(person).agg(F.max_by(face, sure).alias("cover_face_id"), F.count("*").alias("photo_count")).where(F.col("photo_count") >= least)
+    return persons, per.join(persons.select(person), person, "left_semi").select(photo, person, face, "confidence")
+
+
 def rank_auc(df: DataFrame, label: Column, score: str) -> DataFrame:
     """(auc,): by average ranks; null with one class. Ranks are running totals of counts per distinct score; rows without a score are out."""
     per = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))

@@ -158,6 +158,25 @@ def taste_report(spark, d):
     return taste.taste_report(taste.labelled(e.select("photo_id", "embedding"), swipes))
 
 
+def _linked_faces(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("person_id"), (F.col("l_orderkey") % 500).alias("photo_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("face_id"), F.col("l_extendedprice").alias("confidence"))
+
+
+LINKED = "f AS (SELECT l_suppkey AS person_id, l_orderkey % 500 AS photo_id, l_orderkey * 10 + l_linenumber AS face_id, l_extendedprice AS confidence FROM lineitem)"
+
+
+@query("person_list", f"WITH {LINKED} SELECT person_id, arg_max(face_id, (confidence, -face_id)) AS cover_face_id, count(DISTINCT photo_id) AS photo_count FROM f GROUP BY 1 HAVING count(DISTINCT photo_id) >= 2")
+def person_list(spark, d):
+    """Persons with cover and number of photos."""
+    return aggregate.person_tables(_linked_faces(spark, d))[0]
+
+
+@query("person_photos", f"WITH {LINKED} SELECT photo_id, person_id, arg_max(face_id, (confidence, -face_id)) AS face_id, max(confidence) AS confidence FROM f WHERE person_id IN (SELECT person_id FROM f GROUP BY 1 HAVING count(DISTINCT photo_id) >= 2) GROUP BY 1, 2")
+def person_photos(spark, d):
+    """The surest face of each person in each photo."""
+    return aggregate.person_tables(_linked_faces(spark, d))[1]
+
+
 @query("story_export", f"SELECT event_id AS photo_id, printf('%02d_%s', event_id % 60, event_type || '.jpg') AS target FROM events WHERE user_id = 7")
 def story_export(spark, d):
     """A story's files with two-digit ranks."""

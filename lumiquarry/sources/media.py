@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import stat
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,33 +29,65 @@ def kind(path: Column) -> Column:
 def listed(spark: SparkSession, root: str, parts: int = 8, state_folder: str = ".lumiquarry") -> DataFrame:
     """(path, kind, size_bytes, mtime) of the media files below ``root``; names that begin with "_" or "." count, some folders and the library's own ``state_folder`` don't.
 
-    Spark's own file sources hide such names, so the names are walked; the walk sends names alone.
+    Spark's own file sources hide such names, so folders that all machines mount are walked: the driver lists ``root``
+    itself, tasks walk the folders in it. Folders that cannot be read, and names that go while they are read, are left out.
     """
 
-    def walk() -> Iterator[str]:
-        for folder, below, names in os.walk(root):
-            below[:] = [d for d in below if d not in PASSED_OVER and d != state_folder]
-            yield from (os.path.join(folder, n) for n in names)
+    def below(names: list[str]) -> list[str]:
+        return [d for d in names if d not in PASSED_OVER and d != state_folder]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for top, deep in zip(b["folder"], b["deep"], strict=True):
+                for folder, folders, names in os.walk(top):
+                    folders[:] = below(folders) if deep else []
+                    for at in range(0, len(names), 10_000):
+                        yield _stats([os.path.join(folder, n) for n in names[at : at + 10_000]])
+
+    first = below(next(os.walk(root), (root, [], []))[1])
+    folders = [(os.path.join(root, d), True) for d in sorted(first)]
+    found = spark.createDataFrame([(root, False), *folders], "folder string, deep boolean").repartition(parts).mapInPandas(walk, FILES)
+    return found.withColumn("kind", kind(F.col("path"))).where("kind is not null")
+
+
+FILES = "path string, size_bytes long, mtime double"
 
-    return of_paths(spark, list(walk()), parts)
+
+def _stats(paths: list[str]) -> pd.DataFrame:
+    """(path, size_bytes, mtime) of the paths that are files."""
+    rows = []
+    for p in paths:
+        try:
+            s = os.stat(p)
+        except OSError:
+            continue
+        if stat.S_ISREG(s.st_mode):
+            rows.append((p, s.st_size, s.st_mtime))
+    return pd.DataFrame({"path": pd.Series([r[0] for r in rows], dtype="object"), "size_bytes": pd.Series([r[1] for r in rows], dtype="int64"), "mtime": pd.Series([r[2] for r in rows], dtype="float64")})
 
 
 def of_paths(spark: SparkSession, paths: list[str], parts: int = 8) -> DataFrame:
     """(path, kind, size_bytes, mtime) of those paths that are media files; a path that is no file is dropped."""
 
-    def stat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            there = b[[os.path.isfile(p) for p in b["path"]]]
-            s = [os.stat(p) for p in there["path"]]
-            yield pd.DataFrame({"path": there["path"], "size_bytes": pd.Series([x.st_size for x in s], dtype="int64", index=there.index), "mtime": pd.Series([x.st_mtime for x in s], dtype="float64", index=there.index)})
-
     names = spark.createDataFrame([(p,) for p in paths], "path string").repartition(parts).withColumn("kind", kind(F.col("path"))).where("kind is not null").select("path")
-    return names.mapInPandas(stat, "path string, size_bytes long, mtime double").withColumn("kind", kind(F.col("path")))
+    return names.mapInPandas(lambda batches: (_stats(b["path"].tolist()) for b in batches), FILES).withColumn("kind", kind(F.col("path")))
+
+
+def hashed(files: DataFrame, piece: int = 1 << 20) -> DataFrame:
+    """``files`` (path, ...) with sha256, read in pieces of a fixed size, so that a video of any length has its hash; null where it cannot be read."""
 
+    def digest(path: str) -> str | None:
+        own = hashlib.sha256()
+        try:
+            with open(path, "rb") as f:
+                while part := f.read(piece):
+                    own.update(part)
+        except OSError:
+            return None
+        return own.hexdigest()
 
-def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, modificationTime, length, sha256) of files that Spark lists by name."""
-    return spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length", F.sha2("content", 256).alias("sha256"))
+    schema = files.drop("sha256").select("*", F.lit(None).cast("string").alias("sha256")).schema
+    return files.drop("sha256").mapInPandas(lambda batches: (b.assign(sha256=pd.Series([digest(p) for p in b["path"]], dtype="object", index=b.index)) for b in batches), schema)
 
 
 def frame_indices(count: Column, fps: Column, n: int = 12) -> Column:

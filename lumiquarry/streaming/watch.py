@@ -20,17 +20,14 @@ def candidates(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(k, "path", "left").where(F.col("_mtime").isNull() | (F.abs(F.col("mtime") - F.col("_mtime")) > 1e-6)).drop("_mtime")
 
 
-def debounced(polls: DataFrame, forget: int = 3_600_000) -> DataFrame:
+def debounced(polls: DataFrame) -> DataFrame:
     """(poll, path) of a stream of polls (poll, path, size, mtime): a path comes out when two polls in a row agree on it.
 
-    A path that a poll misses is forgotten: the state holds the number of the poll that saw it last, and is removed when
-    ``forget`` milliseconds have passed without a poll that has the path.
+    A path that a poll misses is forgotten: the state holds the number of the poll that saw it last. The state keeps three
+    numbers for every path ever seen: polls carry no time by which it could be removed.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(batches)).sort_values("poll")
         last = state.get if state.exists else None
         out = []
@@ -39,11 +36,10 @@ def debounced(polls: DataFrame, forget: int = 3_600_000) -> DataFrame:
                 out.append(r.poll)
             last = (r.poll, r.size, r.mtime)
         state.update(last)
-        state.setTimeoutDuration(forget)
         yield pd.DataFrame({"poll": pd.Series(out, dtype="int64"), "path": [key[0]] * len(out)})
 
     polls = polls.select("poll", "path", "size", "mtime")
-    return polls.groupBy("path").applyInPandasWithState(step, "poll long, path string", "poll long, size long, mtime double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return polls.groupBy("path").applyInPandasWithState(step, "poll long, path string", "poll long, size long, mtime double", "append", GroupStateTimeout.NoTimeout)
 
 
 def each_batch(stream: DataFrame, index: Callable[[DataFrame], int], stages: Iterable[Callable[[], None]], checkpoint: str) -> StreamingQuery:

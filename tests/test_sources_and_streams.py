@@ -21,7 +21,10 @@ def test_listing(spark, tmp_path):
     assert got == {"a.JPG": "jpeg", "_DSC1.NEF": "raw", ".hidden.png": "jpeg", "b.mp4": "video"}
     paths = [str(tmp_path / "a.JPG"), str(tmp_path / "gone.jpg")]
     assert media.of_paths(spark, paths).count() == 1
-    assert media.contents(spark, paths[:1]).first()["sha256"] == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+    one = {os.path.basename(r["path"]): r["sha256"] for r in media.hashed(media.of_paths(spark, paths), piece=1).collect()}
+    assert one == {"a.JPG": "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"}
+    assert media.hashed(spark.createDataFrame([("/gone.jpg",)], "path string")).first()["sha256"] is None
+    assert media.listed(spark, str(tmp_path / "nowhere")).count() == 0
 
 
 def test_sampling_and_previews(spark):
