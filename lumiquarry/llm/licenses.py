@@ -92,9 +92,10 @@ def _matches(text: DataFrame, own: DataFrame, block: list[tuple[str, list[int],
         keys = of if keys is None else keys.union(of)
 
     text = text.where(F.arrays_overlap("sh", minima))
-    text = text.select("id", "row", "sh", F.array_intersect("sh", every).alias("shared"), F.array_intersect("sh", minima).alias("minima"))
+    # ``kept`` is as ``row`` is: with it, what is computed here is not computed again for every shingle below.
+    text = text.select("id", "row", "sh", F.array_intersect("sh", every).alias("shared"), F.array_intersect("sh", minima).alias("minima"), F.monotonically_increasing_id().alias("kept"))
     hits = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: F.array_contains("minima", F.get("sh", i)))
-    text = text.select("id", "row", "sh", "shared", hits.alias("hits"))
+    text = text.select("id", "row", "kept", "sh", "shared", hits.alias("hits"))
 
     def windows(size: int) -> Column:
         """The keys of the grid's windows of ``size`` shingles that hold a hit."""
@@ -103,8 +104,8 @@ def _matches(text: DataFrame, own: DataFrame, block: list[tuple[str, list[int],
         starts = F.array_distinct(F.flatten(F.transform("hits", around)))
         return F.flatten(F.transform(starts, lambda at: bands(size, F.slice("sh", at + 1, F.lit(size)))))
 
-    sketched = text.select("id", "row", "shared", F.explode(F.array_distinct(F.concat(*[windows(s) for s in sorted(set(sizes.values()))]))).alias("key"))
-    found = sketched.join(F.broadcast(keys), "key").groupBy("row", "name").agg(F.first("id").alias("id"), F.first("shared").alias("shared"), F.first("template").alias("template"))
+    sketched = text.select("id", "row", "kept", "shared", F.explode(F.array_distinct(F.concat(*[windows(s) for s in sorted(set(sizes.values()))]))).alias("key"))
+    found = sketched.join(F.broadcast(keys), "key").groupBy("row", "kept", "name").agg(F.first("id").alias("id"), F.first("shared").alias("shared"), F.first("template").alias("template"))
     shared = F.size(F.array_intersect("shared", "template"))
     return found.where(shared * 100 >= F.size("template") * percent).select(
         "id", F.col("name").alias("license_id"), shared.cast("long").alias("n_shared"), F.size("template").cast("long").alias("n_shingles")
