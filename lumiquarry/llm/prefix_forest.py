@@ -4,7 +4,8 @@ The rows are dealt into shards of about SHARD vectors. A shard has TREES sorted
 the side of a random hyperplane. A query descends every tree to its longest matching prefixes and then ascends all trees
 in step, one bit at a time. The rows under the prefixes are scored exactly in double precision. It stops where a row as
 near as the k-th best found would be under none of the prefixes with a chance of MISS at most: at angle A two strings
-agree in a bit with p = 1 - A/pi, so that chance is (1 - p**bits)**TREES. Near neighbours end the ascent after few rows;
+agree in a bit with p = 1 - A/pi, so that chance is (1 - p**bits)**TREES. The k-th best is that of all shards: a first
+pass scores the rows under the longest prefixes of every shard, and the second stops by the best of those. Near neighbours end the ascent after few rows;
 where all rows are about equally far, as in random vectors, no short list holds the nearest, and it goes on to many.
 Vectors of different lengths are lifted to one length first, so that the angle orders rows as the inner product does.
 """
@@ -39,6 +40,12 @@ def unit(vectors: np.ndarray, whole: bool = False) -> np.ndarray:
     return (v / (size.max(initial=1e-300) if whole else np.maximum(size, 1e-300))).astype(np.float32)
 
 
+def length(vectors: np.ndarray) -> np.ndarray:
+    """The vectors' lengths, by way of their greatest components, so that none overflows."""
+    most = np.abs(vectors).max(axis=1, initial=1e-300)
+    return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(axis=1))
+
+
 def strings(vectors: np.ndarray, side: np.ndarray) -> np.ndarray:
     """The hash strings of each vector in each tree: (rows, TREES) of 64 bits, the first plane the highest."""
     bits = vectors.astype(np.float32) @ side > 0
@@ -87,18 +94,23 @@ class Forest:
             lo, hi = np.where(open_ & ok, mid, lo), np.where(open_ & ~ok, mid - 1, hi)
         return lo
 
-    def nearest(self, ids: np.ndarray, vectors: np.ndarray, hashed: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the ids and scores of its k best candidates, without the row of its own id."""
+    def nearest(self, ids: np.ndarray, vectors: np.ndarray, hashed: np.ndarray, k: int, floor: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of its k best candidates, without the row of its own id.
+
+        ``floor`` has the k-th best score known of each query, -inf without one. Without ``floor`` nothing ascends.
+        """
         for at in range(0, len(ids), TOGETHER):
-            yield from self._nearest(ids[at : at + TOGETHER], vectors[at : at + TOGETHER], hashed[:, at : at + TOGETHER], k)
+            to = at + TOGETHER
+            yield from self._nearest(ids[at:to], vectors[at:to], hashed[:, at:to], k, None if floor is None else floor[at:to])
 
-    def _nearest(self, ids: np.ndarray, vectors: np.ndarray, hashed: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _nearest(self, ids: np.ndarray, vectors: np.ndarray, hashed: np.ndarray, k: int, floor: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
         n, flat, first = len(self.ids), self.order.ravel(), np.arange(TREES) * len(self.ids)
         # To stop by, scores are against the longest row, so those of rough are cosines after lifting; what counts is scored in double precision.
         rough, asked = unit(self.vectors, whole=True), unit(vectors)
         unseen = self.ids[None, :] != ids[:, None]
         rows, scores = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0, np.float32)] * len(ids)
         level, live = self.descended(hashed, FIRST * k), np.arange(len(ids))
+        known = np.full(len(ids), np.inf) if floor is None else floor / (length(vectors) * length(self.vectors).max())
         while len(live):
             lo, hi = self.ranges(hashed[:, live], level[live])
             kth = np.full(len(live), -np.inf)
@@ -115,6 +127,7 @@ class Forest:
                     near = score >= kth[x] - 1e-5
                     at, score = at[near], score[near]
                 rows[q], scores[q] = at, score
+            kth = np.maximum(kth, known[live])
             same = 1 - np.arccos(np.clip(kth, -1, 1)) / np.pi
             with np.errstate(divide="ignore"):
                 done = (level[live] == 0) | ((kth > -np.inf) & (TREES * np.log1p(-(same ** level[live])) <= np.log(MISS)))
@@ -172,27 +185,33 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, i
     asked = written(asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, blocks)))), "queries")
 
     def search(block: int) -> DataFrame:
-        own = asked.where(F.col("block") == block).select("id", "v").toArrow()
+        own = asked.where(F.col("block") == block).select("id", "v").orderBy("id").toArrow()
         ids = own["id"].to_numpy()
         sent = spark.sparkContext.broadcast((ids, own["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), dim)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], floor=None) -> Iterator[pa.RecordBatch]:
             ids, vectors = sent.value
             hashed = strings(np.concatenate([unit(vectors), np.zeros((len(ids), 1))], axis=1), planes(dim)).T.copy()
             for batch in batches:
                 for row in range(batch.num_rows):
                     forest = Forest.unpacked(*(batch.column(c)[row].as_py() for c in ("ids", "vectors", "order", "keys")))
-                    found = list(forest.nearest(ids, vectors, hashed, k))
+                    found = list(forest.nearest(ids, vectors, hashed, k, floor and floor.value))
                     n = [len(x) for x, _ in found]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([x for x, _ in found]) if found else ids[:0]), pa.array(np.concatenate([x for _, x in found]) if found else np.zeros(0))], names=["query_id", "id", "score"])
 
         # A shard is some megabytes in one row: a task takes few.
-        return index.repartition(min(shards, 4096)).mapInArrow(run, "query_id long, id long, score double")
+        found, schema = index.repartition(min(shards, 4096)), "query_id long, id long, score double"
+        first = found.mapInArrow(run, schema).withColumn("rank", rank).where(F.col("rank") <= k)
+        kth = first.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", "score").toArrow()
+        floor = np.full(len(ids), -np.inf)
+        floor[np.searchsorted(ids, kth["query_id"].to_numpy())] = kth["score"].to_numpy()
+        bound = spark.sparkContext.broadcast(floor)
+        return found.mapInArrow(lambda batches: run(batches, bound), schema)
 
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     found = search(0)
     for block in range(1, blocks):
         found = written(found.union(search(block)), "nearest")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

@@ -54,6 +54,20 @@ def test_empty(spark):
     assert pf.nearest_neighbours(some, none).count() == 0
 
 
+def test_other_shards_end_the_ascent(monkeypatch):
+    """A shard without near rows is left early where another has them."""
+    r = np.random.default_rng(6)
+    v, q = r.normal(size=(2000, 32)), r.normal(size=(40, 32))
+    hashed = pf.strings(np.concatenate([pf.unit(q), np.zeros((40, 1))], axis=1), pf.planes(32)).T.copy()
+    forest, seen, real = pf.Forest(np.arange(2000), v), [], pf.Forest.ranges
+    monkeypatch.setattr(pf.Forest, "ranges", lambda self, h, level: seen.append(int(level.min())) or real(self, h, level))
+    alone = list(forest.nearest(np.arange(9000, 9040), q, hashed, 20, np.full(40, -np.inf)))
+    deep = seen[-1]  # the last level that any query reached
+    seen.clear()
+    list(forest.nearest(np.arange(9000, 9040), q, hashed, 20, np.full(40, 0.95 * (pf.length(q) * pf.length(v).max()).min())))
+    assert seen[-1] > deep and all(len(i) == 20 for i, _ in alone)
+
+
 def forest_recall(v, queries=60, k=20):
     """Recall of the k nearest within one shard, and the share of the shard that a query's candidates were."""
     ids = np.arange(len(v))
@@ -62,7 +76,9 @@ def forest_recall(v, queries=60, k=20):
     score = v[:queries] @ v.T
     score[np.arange(queries), np.arange(queries)] = -np.inf
     want = np.argsort(-score, axis=1)[:, :k]
-    got = forest.nearest(ids[:queries], v[:queries], hashed, k)
+    probe = forest.nearest(ids[:queries], v[:queries], hashed, k)
+    floor = np.array([s[k - 1] if len(s) == k else -np.inf for _, s in probe])
+    got = forest.nearest(ids[:queries], v[:queries], hashed, k, floor)
     return np.mean([len(set(i) & set(w)) / k for (i, _), w in zip(got, want, strict=True)])
 
 
