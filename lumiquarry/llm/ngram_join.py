@@ -537,10 +537,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([digest(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["rep", "digest", "grams"])
 
     texts = base.where("id is not null").withColumn("bit", id_bit("id")).mapInArrow(tidy(sets_of), "rep long, digest binary, grams binary")
-    own = texts.join(members, ["rep", "digest"]).dropDuplicates(["rep", "digest"]).select("block", "rep", "copies", "grams")
-    if links:
-        done = written(products(tiled(own), bounds), "links")
+    if links:  # the tiles are counted on the narrow members, so that texts are read again once
+        tiles = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"))
+        own = texts.join(members.join(tiles, "block"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
+        own = own.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("meets", F.sequence(F.lit(0), F.col("tiles") - 1))
+        done = written(products(own, bounds), "links")
     else:
+        own = texts.join(members, ["rep", "digest"]).dropDuplicates(["rep", "digest"]).select("block", "rep", "copies", "grams")
         done = spanned(written(own, "sets"), bounds)
     classes = connected_components(done.where("v is not null"), "u", "v").select(F.col("node").alias("rep"), "component")
     degree = (done if links else done.withColumn("links", F.lit(None).cast("long"))).where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
