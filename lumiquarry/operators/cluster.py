@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiquarry.functions.geo import KM_PER_DEG_EQUATOR, KM_PER_DEG_LAT, equirect_km
+from lumiquarry.operators.aggregate import mean_vectors
 from lumiquarry.operators.graph import connected_components
+from lumiquarry.operators.pivots import near_rows
+from lumiquarry.session import written
 
 
 def dbscan(points: DataFrame, *, by: Sequence[str] = (), key: str = "photo_id", x: str = "lat", y: str = "lon", eps: float = 0.0025, least: int = 3) -> DataFrame:
@@ -38,155 +41,91 @@ def dbscan(points: DataFrame, *, by: Sequence[str] = (), key: str = "photo_id",
     )
 
 
-def complete_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:
-    """Labels of the agglomeration of unit vectors while the farthest members of two clusters are ``distance`` (1 - cosine) apart at most."""
+def complete_linkage(vectors: np.ndarray, distance: float, *, held: int = 1 << 25) -> np.ndarray:
+    """Labels, the least place in it, of the agglomeration of unit vectors while the farthest members of two clusters are ``distance`` (1 - cosine) apart at most.
+
+    A chain of nearest neighbours: each cluster on it is followed by its nearest, and two that are nearest to each other
+    merge, which never brings others nearer. A cluster whose nearest is too far is done. Time is quadratic, memory linear:
+    of each cluster on the chain its least likeness to every row, ``held`` numbers in all; those given up are worked again.
+    """
     n = len(vectors)
-    d = 1 - vectors @ vectors.T
-    np.fill_diagonal(d, np.inf)
-    label, alive = np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if not d[i, j] <= distance:
-            break
-        i, j = min(i, j), max(i, j)
-        d[i] = np.maximum(d[i], d[j])
-        d[:, i] = d[i]
-        d[i, i] = d[j, :] = d[:, j] = np.inf
-        alive[j] = False
-        label[label == j] = i
+    label, members = np.arange(n), {k: np.array([k]) for k in range(n)}
+    least = 1 - distance
+    open_, chain, profile = set(range(n)), [], {}
+    rest = iter(range(n))
+
+    def likeness(c: int) -> np.ndarray:
+        """The least cosine of any member of cluster ``c`` with each row."""
+        if c not in profile:
+            while profile and (len(profile) + 1) * n > held:
+                profile.pop(next(iter(profile)))
+            own, out = members[c], np.full(n, np.inf)
+            for k in range(0, len(own), 64):
+                np.minimum(out, (vectors @ vectors[own[k : k + 64]].T).min(axis=1), out=out)
+            profile[c] = out
+        return profile[c]
+
+    while open_:
+        if not chain:
+            chain.append(next(k for k in rest if k in open_))
+        tip = chain[-1]
+        near = np.full(n, np.inf)
+        np.minimum.at(near, label, likeness(tip))  # by cluster: of its least alike member
+        near[tip] = -np.inf
+        near[np.isinf(near)] = -np.inf
+        best = int(np.argmax(near))
+        if len(chain) > 1 and near[chain[-2]] == near[best]:
+            best = chain[-2]
+        if not near[best] >= least:
+            chain.pop()
+            open_.discard(tip)
+        elif len(chain) > 1 and best == chain[-2]:
+            both = np.minimum(likeness(tip), likeness(best))
+            a, b = min(tip, best), max(tip, best)
+            del chain[-2:]
+            profile.pop(a, None), profile.pop(b, None)
+            members[a] = np.concatenate([members[a], members.pop(b)])
+            label[members[a]] = a
+            open_.discard(b)
+            profile[a] = both
+            if not chain:
+                chain.append(a)
+        else:
+            chain.append(best)
     return label
 
 
-def persons(faces: DataFrame, *, key: str = "face_id", photo: str = "photo_id", vector: str = "embedding", distance: float = 0.55, merge: float = 0.65, least: int = 2, most: int = 20_000) -> DataFrame:
-    """(key, person): complete linkage of faces, then of the clusters' centroids, keeping persons on ``least`` photos.
+def persons(faces: DataFrame, *, key: str = "face_id", photo: str = "photo_id", vector: str = "embedding", distance: float = 0.55, merge: float = 0.65, least: int = 2) -> DataFrame:
+    """(key, person): complete linkage of faces, then of the clusters' centroids, keeping persons on ``least`` photos; a person is named by its least key.
 
-    Complete-linkage clusters never leave a component of the graph of pairs within ``distance``, so each component is an
-    own group of rows. A component of more than ``most`` faces raises: linkage needs all its pairs.
+    No cluster leaves a component of the graph of pairs within its distance: faces are linked per component of pairs within
+    ``distance``, the centroids of what comes of it per component of pairs within ``merge``. Pairs are found tile by tile
+    (``pivots``); a component is worked in one task, in memory linear in its rows. Null and zero vectors take no part.
     """
     from lumiquarry.functions.vec import unit
-    from lumiquarry.plans.dedup import near_pairs
-
-    rows = faces.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(photo).alias("photo"), unit(F.col(vector)).alias("v"))
-    bound = max(distance, merge)
-    pairs = near_pairs(rows, 1 - bound, key="id", vector="v", most=None)
-    block = rows.join(connected_components(pairs, "a", "b").withColumnRenamed("node", "id"), "id", "left").withColumn("block", F.coalesce("component", "id")).drop("component")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"{len(pdf)} faces in one component")
-        pdf = pdf.sort_values("id", ignore_index=True)
-        v = np.stack(pdf["v"])
-        first = complete_linkage(v, distance)
-        names = np.unique(first)
-        centre = np.stack([v[first == c].mean(axis=0) for c in names])
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-6)
-        second = complete_linkage(centre, merge)
-        label = second[np.searchsorted(names, first)]
-        person = pdf.groupby(label)["id"].transform("min")
-        return pd.DataFrame({"id": pdf["id"], "photo": pdf["photo"], "person": person})
-
-    out = block.groupBy("block").applyInPandas(link, "id long, photo long, person long")
-    kept = out.groupBy("person").agg(F.count_distinct("photo").alias("n")).where(F.col("n") >= least)
-    return out.join(kept, "person", "left_semi").select(F.col("id").alias(key), "person")
-
 
-def density_tree(vectors: np.ndarray, least: int) -> np.ndarray:
-    """Labels (-1 noise) from the mutual-reachability spanning tree, cut where stability over its splits is greatest.
+    base = faces.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(photo).alias("photo"), unit(F.col(vector)).alias("v"))
+    base = written(base.where(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > 0.5), "faces")
+    first = written(linked(base.select("id", "v"), distance), "linked")
+    centres = mean_vectors(first.join(base.select("id", "v"), "id"), ["cluster"], "v").select(F.col("cluster").alias("id"), F.col("centroid").alias("v"))
+    second = linked(written(centres, "centres"), merge).select(F.col("id").alias("cluster"), F.col("cluster").alias("merged"))
+    of_face = first.join(second, "cluster").select("id", "merged").join(base.select("id", "photo"), "id")
+    name = of_face.groupBy("merged").agg(F.min("id").alias("person"), F.count_distinct("photo").alias("n")).where(F.col("n") >= least)
+    return of_face.join(name, "merged").select(F.col("id").alias(key), "person")
 
-    Stands in for a learned projection and hierarchical density clustering, which cannot be repeated elsewhere digit for digit.
-    """
-    n = len(vectors)
-    if n < 2 * least:
-        return np.zeros(n, int)
-    d = np.sqrt(np.maximum(2 - 2 * (vectors @ vectors.T), 0))
-    core = np.sort(d, axis=1)[:, min(least, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core))
-    inside, best, frm = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        inside[at] = True
-        closer = (reach[at] < best) & ~inside
-        best[closer], frm[closer] = reach[at][closer], at
-        at = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((best[at], frm[at], at))
-    parent: dict[int, tuple[int, int, float]] = {}
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    node, name = list(range(n)), n
-    members = {k: [k] for k in range(n)}
-    for w, a, b in sorted(edges):
-        a, b = find(a), find(b)
-        parent[name] = (node[a], node[b], w)
-        members[name] = members[node[a]] + members[node[b]]
-        root[b], node[a] = a, name
-        name += 1
-
-    def cut(top: int, born: float) -> tuple[float, list[int]]:
-        """The stability of a cluster born at 1/distance ``born``, and the clusters chosen in it."""
-        score, now = 0.0, top
-        while now >= n:
-            a, b, w = parent[now]
-            level = 1 / max(w, 1e-9)
-            big = [c for c in (a, b) if len(members[c]) >= least]
-            if len(big) == 2:
-                score += len(members[now]) * (level - born)
-                parts = [cut(c, level) for c in big]
-                below = sum(s for s, _ in parts)
-                return (score, [top]) if score >= below else (below, [x for _, p in parts for x in p])
-            score += sum(len(members[c]) for c in (a, b) if c not in big) * (level - born)
-            if not big:
-                break
-            now = big[0]
-        return score, [top]
-
-    label = np.full(n, -1)
-    a, b, w = parent[name - 1]
-    parts = [c for c in (a, b) if len(members[c]) >= least]
-    chosen = [x for c in parts for x in cut(c, 1 / max(w, 1e-9))[1]] if len(parts) == 2 else cut(name - 1, 0.0)[1]
-    for k, c in enumerate(chosen):
-        label[members[c]] = k
-    return label
 
+def linked(rows: DataFrame, distance: float) -> DataFrame:
+    """(id, cluster): complete linkage of unit vectors (id, v) within ``distance``; a cluster is named by its least id."""
+    pairs = near_rows(rows, 1 - distance)
+    block = rows.join(connected_components(pairs, "a", "b").withColumnRenamed("node", "id"), "id", "left")
 
-def smart_clusters(rows: DataFrame, by: str, *, key: str = "photo_id", vector: str = "v", least: int = 5, most: int = 20_000) -> DataFrame:
-    """(by, key, cluster) of unit vectors per block; outliers go to the nearest centroid, small blocks are one cluster."""
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        label = complete_linkage(np.stack(pdf["v"]), distance)
+        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["id"].to_numpy()[label]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"{len(pdf)} rows in one block")
-        pdf = pdf.sort_values(key, ignore_index=True)
-        v = np.stack(pdf[vector]).astype(float)
-        label = density_tree(v, least)
-        names = np.unique(label[label >= 0])
-        if len(names):
-            centre = np.stack([v[label == c].mean(axis=0) for c in names])
-            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-6)
-            out = label < 0
-            label[out] = names[np.argmax(v[out] @ centre.T, axis=1)] if out.any() else label[out]
-        else:
-            label[:] = 0
-        return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": label.astype("int32")})
-
-    kind = rows.schema[by].dataType.simpleString()
-    return rows.groupBy(by).applyInPandas(run, f"{by} {kind}, {key} long, cluster int")
-
-
-def named_clusters(centroids: dict[int, Sequence[float]], sizes: dict[int, int], vocabulary: dict[str, Sequence[float]]) -> dict[int, str]:
-    """The largest cluster takes its best label, each next one its best that is free; when none is, the best with its number. A few clusters, on the driver."""
-    labels = list(vocabulary)
-    words = np.stack([np.asarray(vocabulary[w], float) for w in labels])
-    out: dict[int, str] = {}
-    for c in sorted(centroids, key=lambda c: (-sizes[c], c)):
-        order = np.argsort(-(words @ np.asarray(centroids[c], float)), kind="stable")
-        free = [labels[k] for k in order if labels[k] not in out.values()]
-        out[c] = free[0] if free else f"{labels[order[0]]} {c}"
-    return out
+    alone = block.where(F.col("component").isNull()).select("id", F.col("id").alias("cluster"))
+    return alone.unionByName(block.where(F.col("component").isNotNull()).groupBy("component").applyInPandas(link, "id long, cluster long"))
 
 
 # Picks by scene size, weights of quality, gain and likeness, the likeness that rules a photo out.

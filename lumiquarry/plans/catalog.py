@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumiquarry.functions import geo, scores, texts, vec
-from lumiquarry.operators import aggregate, cluster, islands, joins, mutate, rank
+from lumiquarry.operators import aggregate, cluster, density, islands, joins, mutate, rank
 from lumiquarry.plans import curate as curation
 from lumiquarry.plans import dedup, export, moments, search, stories, taste
 from lumiquarry.plans.registry import query
@@ -771,7 +771,32 @@ def persons_linkage(spark, d):
 def smart_clusters(spark, d):
     """C7, C9."""
     e = table(spark, d, "embeddings").select((F.col("label") % 2).alias("block"), F.col("vec_id").alias("photo_id"), vec.unit(F.col("embedding"), floor=1e-6).alias("v"))
-    return cluster.smart_clusters(e, "block")
+    return density.density_clusters(e, "block")
+
+
+def _vocabulary() -> dict[str, list[float]]:
+    """Twelve labels for vectors of 64 numbers: each likes every twelfth of them."""
+    return {f"theme {k}": [1.0 if x % 12 == k else -0.05 for x in range(64)] for k in range(12)}
+
+
+@query("lookback_clusters")
+def lookback_clusters(spark, d):
+    """The look-back pass, over all vectors at once."""
+    return density.density_clusters(table(spark, d, "embeddings").select(F.col("vec_id").alias("photo_id"), vec.unit(F.col("embedding"), floor=1e-6).alias("v")), least=20)
+
+
+@query("cluster_names", """WITH RECURSIVE e AS (SELECT label AS cluster, generate_subscripts(embedding, 1) AS k, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
+ m AS (SELECT cluster, k, avg(x) AS x, count(*) AS n FROM e GROUP BY 1, 2), z AS (SELECT cluster, sqrt(sum(x * x)) AS size FROM m GROUP BY 1),
+ s AS (SELECT cluster, t, max(n) AS n, sum(x / size * CASE WHEN (k - 1) % 12 = t THEN 1.0 ELSE -0.05 END) AS sim FROM m JOIN z USING (cluster), range(12) v(t) GROUP BY 1, 2),
+ o AS (SELECT cluster, row_number() OVER (ORDER BY max(n) DESC, cluster) AS place FROM s GROUP BY 1),
+ g AS (SELECT 0::BIGINT AS place, NULL::BIGINT AS cluster, NULL::BIGINT AS t, []::BIGINT[] AS used
+       UNION ALL SELECT g.place + 1, o.cluster, p.t, list_append(g.used, p.t) FROM g JOIN o ON o.place = g.place + 1,
+       LATERAL (SELECT t FROM s WHERE s.cluster = o.cluster AND NOT list_contains(g.used, s.t) ORDER BY sim DESC, t LIMIT 1) p)
+ SELECT cluster, 'theme ' || t AS name FROM g WHERE place > 0""")
+def cluster_names(spark, d):
+    """The clusters are the labels of the vectors."""
+    e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("cluster"), "embedding")
+    return density.cluster_names(aggregate.mean_vectors(e, ["cluster"], "embedding"), _vocabulary())
 
 
 @query("day_stories")

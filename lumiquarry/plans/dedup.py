@@ -10,47 +10,26 @@ from pyspark.sql import functions as F
 from lumiquarry.functions.vec import unit
 from lumiquarry.operators.aggregate import exact_duplicates
 from lumiquarry.operators.graph import connected_components
+from lumiquarry.operators.pivots import TILE, near_rows
 
 #: The similarity from which photos are near duplicates, whatever greater threshold is asked for; that of appearance; photos of a library.
 CEILING, APPEARANCE, MOST = 0.92, 0.93, 4000
 
 
-def near_pairs(photos: DataFrame, threshold: float = 0.97, *, key: str = "photo_id", vector: str = "embedding", appearance: str | None = None, by: Sequence[str] = (), most: int | None = MOST, block: int = 2000) -> DataFrame:
+def near_pairs(photos: DataFrame, threshold: float = 0.97, *, key: str = "photo_id", vector: str = "embedding", appearance: str | None = None, by: Sequence[str] = (), most: int | None = MOST, block: int = TILE) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of one library with a cosine of min(threshold, 0.92) or more, and an appearance correlation of 0.93.
 
     Libraries of more than ``most`` photos are skipped, as the all-pairs rule is meant for small ones; ``most=None`` takes
-    all. Rows are cut into blocks by hash and each pair of blocks is a task's work; no pair of rows is made that fails.
+    all. Rows are tiled around pivots, and tiles that the triangle inequality keeps apart are not multiplied: see
+    ``pivots.near_rows``. Null and zero vectors, and rows of no library, are in no pair.
     """
-    by = list(by)
-    cut = min(threshold, CEILING)
-    rows = photos.where(F.col(vector).isNotNull()).select(*by, F.col(key).alias("id"), unit(F.col(vector)).alias("v"), (unit(_centred(F.col(appearance))) if appearance else F.lit(None).cast("array<double>")).alias("look"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")) if by else rows.agg(F.count("*").alias("_n"))
-    rows = rows.join(sizes, by) if by else rows.join(F.broadcast(sizes), F.lit(True))
+    groups = [f"by{k}" for k in range(len(by))]
+    look = unit(_centred(F.col(appearance))) if appearance else F.lit(None).cast("array<double>")
+    rows = photos.where(F.col(vector).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], F.col(key).alias("id"), unit(F.col(vector)).alias("v"), look.alias("look"))
     if most is not None:
-        rows = rows.where(F.col("_n") <= most)
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    rows = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
-
-    import numpy as np
-    import pandas as pd
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
-        a, b = pdf[pdf["_own"] == i], pdf[pdf["_own"] == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64"})
-        near = np.stack(a["v"]) @ np.stack(b["v"]).T
-        ok = near >= cut
-        if a["look"].notna().all() and b["look"].notna().all():
-            ok &= np.stack(a["look"]) @ np.stack(b["look"]).T >= APPEARANCE
-        x, y = np.nonzero(ok)
-        one, two = a["id"].to_numpy()[x], b["id"].to_numpy()[y]
-        keep = one < two if i == j else one != two
-        return pd.DataFrame({"a": np.minimum(one, two)[keep], "b": np.maximum(one, two)[keep], "similarity": near[x, y][keep]})
-
-    return rows.groupBy(*by, "_i", "_j").applyInPandas(compare, "a long, b long, similarity double")
+        n = F.count("*").alias("n")
+        rows = (rows.join(rows.groupBy(*groups).agg(n), groups) if groups else rows.join(F.broadcast(rows.agg(n)), F.lit(True))).where(F.col("n") <= most).drop("n")
+    return near_rows(rows, min(threshold, CEILING), by=groups, look="look", alike=APPEARANCE, size=block)
 
 
 def _centred(v):

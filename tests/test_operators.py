@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumiquarry.operators import aggregate, cluster, islands, joins, mutate, rank
+from lumiquarry.operators import aggregate, cluster, density, islands, joins, mutate, rank
 from lumiquarry.operators.graph import connected_components
 from lumiquarry.plans import curate, dedup, moments, search, stories, taste
 
@@ -156,10 +156,15 @@ def test_density_clusters():
     r = np.random.default_rng(4)
     v = np.concatenate([np.eye(8)[c] + 0.02 * r.normal(size=(30, 8)) for c in range(3)])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    label = cluster.density_tree(v, 5)
+    label = density.density_tree(v, 5)
     assert [len(set(label[30 * c : 30 * c + 30]) - {-1}) for c in range(3)] == [1, 1, 1] and len(set(label) - {-1}) == 3
-    assert (cluster.density_tree(v[:6], 5) == 0).all()
-    assert cluster.named_clusters({0: [1, 0], 1: [1, 0.1], 2: [1, 0]}, {0: 5, 1: 9, 2: 1}, {"sea": [1, 0], "sky": [0, 1]}) == {1: "sea", 0: "sky", 2: "sea 2"}
+    assert (density.density_tree(v[:6], 5) == 0).all()
+
+
+def test_names_of_clusters(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0], 5), (1, [1.0, 0.1], 9), (2, [1.0, 0.0], 1)], "cluster long, centroid array<double>, n long")
+    got = density.cluster_names(rows, {"sea": [1, 0], "sky": [0, 1]}).collect()
+    assert {r["cluster"]: r["name"] for r in got} == {1: "sea", 0: "sky", 2: "sea 2"}
 
 
 def test_places(spark):
