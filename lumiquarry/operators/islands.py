@@ -9,30 +9,24 @@ from pyspark.sql import functions as F
 
 from lumiquarry.functions.geo import haversine_km, haversine_m
 from lumiquarry.functions.vec import cosine
+from lumiquarry.operators.scan import Prev, numbered
 from lumiquarry.session import written
 
 
-def numbered_islands(df: DataFrame, by: Sequence[str], order: Sequence[Column], new: Column, name: str) -> DataFrame:
-    """Rows with ``name``, the number (from 0) of their island; ``new`` says whether a row begins one and may look back with lag."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    flagged = df.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int"))
-    return flagged.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
 def scenes(df: DataFrame, by: Sequence[str], at: str, vector: str, key: str, *, gap: float = 600, similar: float = 0.75, name: str = "scene") -> DataFrame:
     """A new scene where more than ``gap`` seconds lie between neighbours and they are less than ``similar``, both."""
-    w = Window.partitionBy(*by).orderBy(at, key)
-    late = F.col(at) - F.lag(at).over(w) > gap
-    return numbered_islands(df, by, [F.col(at), F.col(key)], late & (cosine(F.col(vector), F.lag(vector).over(w), add=0.0) < similar), name)
+    new = lambda prev: (F.col(at) - prev(at) > gap) & (cosine(F.col(vector), prev(vector), add=0.0) < similar)
+    return numbered(df, by, at, key, [at, vector], new, name)
 
 
 def sessions(df: DataFrame, by: Sequence[str], at: str, lat: str, lon: str, key: str, *, gap: float = 5400, metres: float = 500, name: str = "block") -> DataFrame:
     """A new block after more than ``gap`` seconds or, where both have a latitude, more than ``metres``. Rows without a time come last and no time cuts them."""
-    order = [F.col(at).asc_nulls_last(), F.col(key)]
-    w = Window.partitionBy(*by).orderBy(*order)
-    late = F.coalesce(F.col(at) - F.lag(at).over(w) > gap, F.lit(False))
-    far = F.coalesce(haversine_m(F.lag(lat).over(w), F.lag(lon).over(w), F.col(lat), F.col(lon)) > metres, F.lit(False))
-    return numbered_islands(df, by, order, late | far, name)
+
+    def new(prev: Prev) -> Column:
+        late = F.coalesce(F.col(at) - prev(at) > gap, F.lit(False))
+        return late | F.coalesce(haversine_m(prev(lat), prev(lon), F.col(lat), F.col(lon)) > metres, F.lit(False))
+
+    return numbered(df, by, at, key, [at, lat, lon], new, name, nulls_last=True)
 
 
 def route_km(df: DataFrame, by: Sequence[str], order: Sequence[str], lat: str, lon: str) -> DataFrame:
@@ -54,8 +48,8 @@ def whole_route_km(df: DataFrame, order: Sequence[str], lat: str, lon: str) -> D
 
 
 def good_runs(df: DataFrame, by: Sequence[str], at: str, good: str, least: int = 2) -> DataFrame:
-    """(by, start, end, frames) of each run of ``least`` good frames or more, times to three digits."""
-    every, own = Window.partitionBy(*by).orderBy(at), Window.partitionBy(*by, good).orderBy(at)
-    runs = df.withColumn("_run", F.row_number().over(every) - F.row_number().over(own)).where(F.col(good))
+    """(by, start, end, frames) of each run of ``least`` good frames or more, times to three digits. A null is not good."""
+    rows = df.select(*by, at, F.coalesce(good, F.lit(False)).alias("_good"))
+    runs = numbered(rows, by, at, at, ["_good"], lambda prev: F.col("_good") != prev("_good"), "_run").where("_good")
     out = runs.groupBy(*by, "_run").agg(F.round(F.min(at), 3).alias("start"), F.round(F.max(at), 3).alias("end"), F.count("*").alias("frames"))
     return out.where(F.col("frames") >= least).drop("_run")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumiquarry.functions.geo import EARTH_M, degrees_apart, equirect_km, haversine_m
+
 
 def star(photos: DataFrame, *sides: DataFrame, on: str = "photo_id") -> DataFrame:
     """One row of ``photos`` with the columns of each 1:1 side, null without."""
@@ -80,17 +82,49 @@ def band_pairs(df: DataFrame, at: str, key: str, width: float, carry: Sequence[s
     return a.join(b, [*by, "_bucket"]).where((gap >= 0) & (gap <= width) & ((gap > 0) | (F.col(f"{key}_a") < F.col(f"{key}_b")))).drop("_bucket")
 
 
-def nearest_within(points: DataFrame, places: DataFrame, *, key: str, lat: str, lon: str, place_lat: str, place_lon: str, cell: float, distance: Column, limit: Column, strict: bool, order: Sequence[str], take: str) -> DataFrame:
+#: How much longer a way over the sphere can be than ``equirect_km`` says, near the poles.
+FLAT_SLACK = 1.17
+
+
+def _plane_cells(lat: Column, lon: Column, reach: float, around: bool) -> list[Column]:
+    """A point's cell of ``2 * reach`` degrees, or all cells within ``reach`` of it: two at most an axis."""
+    return [_cells(c, reach, around) for c in (lat, lon)]
+
+
+def _sphere_cells(lat: Column, lon: Column, reach: float, around: bool) -> list[Column]:
+    """The same in space, in metres: cells know no poles and no date line."""
+    y, x = F.radians(lat), F.radians(lon)
+    return [_cells(c * EARTH_M, reach, around) for c in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))]
+
+
+def _cells(c: Column, reach: float, around: bool) -> Column:
+    at = lambda v: F.floor(v / (2 * reach)).cast("long")
+    return F.explode(F.sequence(at(c - reach), at(c + reach))) if around else at(c)
+
+
+def nearest_within(points: DataFrame, places: DataFrame, *, key: str, lat: str, lon: str, place_lat: str, place_lon: str, limit: float | str, measure: str, strict: bool, order: Sequence[str], take: str, digits: int = 9) -> DataFrame:
     """(key, take): the nearest place closer than ``limit`` (or as close, unless ``strict``), the first in ``order`` on ties.
 
-    Places are bucketed in cells of ``cell`` degrees, at least the farthest limit in degrees, and sent to the nine around.
+    ``measure`` is "degrees" (in the plane), "flat" (metres by ``equirect_km``, in which places across the date line are far)
+    or "arc" (metres over the sphere), rounded to ``digits``. ``limit`` is a number or a column of ``places``. A point goes
+    to its own cell, a place to all cells within the greatest limit: two an axis of the plane, or of space for the measures
+    in metres, so that cells are right at any latitude. Nulls are near nothing.
     """
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    p = points.withColumns({"_y": at(lat), "_x": at(lon)})
-    near = places.withColumn("_dy", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))).withColumn("_dx", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])))
-    near = near.withColumns({"_y": at(place_lat) + F.col("_dy"), "_x": at(place_lon) + F.col("_dx")}).drop("_dy", "_dx")
-    pairs = p.join(near, ["_y", "_x"]).withColumn("_d", distance)
-    pairs = pairs.where(F.col("_d") < limit if strict else F.col("_d") <= limit)
+    held = places.where(F.col(place_lat).isNotNull() & F.col(place_lon).isNotNull())
+    most = held.agg(F.max(limit)).first()[0] if isinstance(limit, str) else limit
+    reach = max(float(most or 0), 1e-6) * (FLAT_SLACK if measure == "flat" else 1.0 + 1e-6)
+    ends = F.col(lat), F.col(lon), F.col(place_lat), F.col(place_lon)
+    distance = {"degrees": lambda: degrees_apart(*ends), "flat": lambda: 1000 * equirect_km(*ends), "arc": lambda: haversine_m(*ends)}[measure]()
+    cells = _plane_cells if measure == "degrees" else _sphere_cells
+    axes = ["_x", "_y", "_z"][: 2 if measure == "degrees" else 3]
+    p, near = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()), held
+    for name, own in zip(axes, cells(F.col(lat), F.col(lon), reach, False), strict=True):
+        p = p.withColumn(name, own)
+    for name, some in zip(axes, cells(F.col(place_lat), F.col(place_lon), reach, True), strict=True):
+        near = near.withColumn(name, some)
+    top = F.col(limit) if isinstance(limit, str) else F.lit(float(limit))
+    pairs = p.join(near, axes).withColumn("_d", F.round(distance, digits))
+    pairs = pairs.where(F.col("_d") < top if strict else F.col("_d") <= top)
     return pairs.groupBy(key).agg(F.min_by(take, F.struct(F.col("_d"), *order)).alias(take))
 
 

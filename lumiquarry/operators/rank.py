@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiquarry.operators.joins import hub_join
+from lumiquarry.operators.scan import running_in_groups
 from lumiquarry.session import written
 
 
@@ -23,17 +28,59 @@ def linear_percentile(value: Column, percent: float) -> Column:
 
 
 def nearest_rank(value: Column, percent: float) -> Column:
-    """The element at floor(p/100 (n - 1)) of the ascending values."""
+    """The element at floor(p/100 (n - 1)) of the ascending values. Sorts a group in one task; ``group_elements`` does not."""
     values = F.sort_array(F.collect_list(value))
     return F.try_element_at(values, (F.floor(F.lit(percent / 100) * (F.size(values) - 1)) + 1).cast("int"))
 
 
 def upper_median(value: Column) -> Column:
-    """The element at n div 2 of the ascending values."""
+    """The element at n div 2 of the ascending values. Sorts a group in one task; ``group_elements`` does not."""
     values = F.sort_array(F.collect_list(value))
     return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
+def group_elements(df: DataFrame, by: Sequence[str], value: str, places: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """(by, one column a place): elements of each group's ascending values; nulls don't count, a group of nulls has none.
+
+    A place is a function from the group's number of values to a place from 0, which may lie between two: then the element
+    is interpolated. Equal values are counted first and counts summed up in order, hot groups by segments (``scan``), so
+    that no task sees a group's values together.
+    """
+    by = list(by)
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = running_in_groups(written(per, "values"), by, "_v", "_c", "_to")
+    # The place of an element is known by its group's size alone; sizes meet the rows of large groups without a shuffle.
+    upto = written(upto.withColumn("_by", F.struct(*by)), "running")
+    size = upto.groupBy("_by").agg(F.sum("_c").alias("_n"), F.count("*").alias("_rows"))
+    both = hub_join(upto, size, "_by", "_rows", upto.count())
+    at = lambda k: F.min(F.when(F.col("_to") > k, F.col("_v")))  # noqa: E731  the value at place k from 0
+
+    def element(place: Column) -> Column:
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        return F.when(part == 0, low).otherwise(low + (high - low) * part)
+
+    found = both.groupBy("_by").agg(*[element(place(F.col("_n"))).alias(name) for name, place in places.items()])
+    groups = df.groupBy(*by).agg(F.lit(1).alias("_one")).drop("_one")
+    found = found.select(*[F.col(f"_by.{c}").alias(f"_b{k}") for k, c in enumerate(by)], *places)
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_b{k}")) for k, c in enumerate(by)])
+    return groups.join(found, on, "left").select(*by, *places)
+
+
+def linear_place(percent: float) -> Callable[[Column], Column]:
+    """Where the percentile with linear interpolation lies."""
+    return lambda n: (n - 1) * F.lit(percent / 100)
+
+
+def nearest_place(percent: float) -> Callable[[Column], Column]:
+    """The place floor(p/100 (n - 1))."""
+    return lambda n: F.floor(F.lit(percent / 100) * (n - 1))
+
+
+def upper_median_place(n: Column) -> Column:
+    """The place n div 2."""
+    return F.floor(n / 2)
+
+
 def ordinal_percent(order: Sequence[Column], by: Sequence[str] = ()) -> Column:
     """Place by n - 1 in percent, ties apart. Within groups ``by``; for a whole table see ``global_rank``."""
     w = Window.partitionBy(*by)
@@ -41,7 +88,7 @@ def ordinal_percent(order: Sequence[Column], by: Sequence[str] = ()) -> Column:
 
 
 def average_rank(value: str, by: Sequence[str] = ()) -> Column:
-    """The rank from 0 that ties share as their mean."""
+    """The rank from 0 that ties share as their mean. A group is one task's work; see ``average_percents``."""
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) - 1 + (ties - 1) / 2
 
@@ -52,15 +99,41 @@ def average_percent(value: str, by: Sequence[str] = ()) -> Column:
     return F.when(n > 1, average_rank(value, by) / (n - 1)).otherwise(1.0)
 
 
+def average_percents(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
+    """W5 in [0, 1] as a column of ``df``, 1 for a single row, in groups of which one may hold most rows. Nulls are one least value.
+
+    Equal values are counted first; counts are summed up in order, hot groups by segments, and meet their rows again by
+    ``hub_join``, so that neither a group nor a value that many rows share is one task's work.
+    """
+    by = list(by)
+    rows = df.withColumn("_at", F.struct(*by, value))
+    per = rows.groupBy("_at").agg(F.count("*").alias("_c"))
+    per = written(per.select("_at", *[F.col(f"_at.{c}").alias(c) for c in by], F.coalesce(F.col(f"_at.{value}").cast("double"), F.lit(float("-inf"))).alias("_v"), "_c"), "values")
+    upto = written(running_in_groups(per, by, "_v", "_c", "_to"), "running")
+    size = upto.withColumn("_by", F.struct(*by)).groupBy("_by").agg(F.sum("_c").alias("_n"), F.count("*").alias("_rows"))
+    both = hub_join(upto.withColumn("_by", F.struct(*by)), size, "_by", "_rows", upto.count())
+    before, n = F.col("_to") - F.col("_c"), F.col("_n")
+    place = both.select("_at", "_c", F.when(n > 1, (before + (F.col("_c") - 1) / 2) / (n - 1)).otherwise(1.0).alias(name))
+    total = per.agg(F.sum("_c")).first()[0] or 0
+    return hub_join(rows, place, "_at", "_c", total).drop("_at")
+
+
 def running_total(df: DataFrame, order: Sequence[Column], value: Column, total: str) -> DataFrame:
-    """Rows with ``total``: the sum of ``value`` over the rows up to and with this one, without a single task.
+    """Rows with ``total``: the sum of the whole numbers ``value`` over the rows up to and with this one, without a single task.
 
-    Rows are range-partitioned, summed up within their part, and written, so that parts are the same for both their
-    readers; each part is then offset by the sums of the parts before, one row a part.
+    Rows are range-partitioned and sorted once, summed up as they stream through their part, and written, so that parts are
+    the same for both their readers; each part is then offset by the sums of the parts before, one row a part.
     """
-    keyed = df.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = written(keyed.withColumn("_sum", F.sum("_value").over(w)), "ranked")
+    keyed = df.withColumn("_value", value.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = 0
+        for batch in batches:
+            sums = np.cumsum(batch.column("_value").to_numpy()) + so_far
+            so_far = int(sums[-1]) if len(sums) else so_far
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], names=[*batch.schema.names, "_sum"])
+
+    local = written(keyed.mapInArrow(summed, keyed.withColumn("_sum", F.lit(0).cast("long")).schema), "ranked")
     sums = local.groupBy("_part").agg(F.sum("_value").alias("_all"))
     before = sums.select("_part", (F.sum("_all").over(Window.orderBy("_part")) - F.col("_all")).alias("_before"))
     return local.join(F.broadcast(before), "_part").withColumn(total, F.col("_before") + F.col("_sum")).drop("_part", "_value", "_sum", "_before")

@@ -278,8 +278,8 @@ def nearest_place(spark, d):
     k = F.col("n_nationkey")
     places = table(spark, d, "nation").select(k.alias("id"), F.col("n_name").alias("place"), (34 + k * 0.004).alias("plat"), (77 + k * 0.0035).alias("plon"))
     return joins.nearest_within(
-        photos(spark, d).select("photo_id", "lat", "lon"), places, key="photo_id", lat="lat", lon="lon", place_lat="plat", place_lon="plon", cell=0.0105,
-        distance=F.round(geo.degrees_apart(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 9), limit=F.lit(0.0105), strict=True, order=["id"], take="place",
+        photos(spark, d).select("photo_id", "lat", "lon"), places, key="photo_id", lat="lat", lon="lon", place_lat="plat", place_lon="plon",
+        limit=0.0105, measure="degrees", strict=True, order=["id"], take="place",
     )
 
 
@@ -292,8 +292,8 @@ def landmark_radius(spark, d):
     k = F.col("n_nationkey")
     places = table(spark, d, "nation").select(k.alias("id"), F.col("n_name").alias("place"), (34 + k * 0.004).alias("plat"), (77 + k * 0.0035).alias("plon"), F.least(500 + k * 100, F.lit(1500)).alias("radius"))
     return joins.nearest_within(
-        photos(spark, d).select("photo_id", "lat", "lon"), places, key="photo_id", lat="lat", lon="lon", place_lat="plat", place_lon="plon", cell=0.02,
-        distance=F.round(1000 * geo.equirect_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 6), limit=F.col("radius"), strict=False, order=["id"], take="place",
+        photos(spark, d).select("photo_id", "lat", "lon"), places, key="photo_id", lat="lat", lon="lon", place_lat="plat", place_lon="plon",
+        limit="radius", measure="flat", strict=False, order=["id"], take="place", digits=6,
     )
 
 
@@ -328,8 +328,7 @@ def facet_counts(spark, d):
 @query("percentile_flavours", "SELECT event_type, quantile_cont(value, 0.95) AS linear, list_sort(list(value))[1 + floor(0.95 * (count(*) - 1))::INT] AS nearest, list_sort(list(value))[1 + (count(*) // 2)::INT] AS upper_median FROM events GROUP BY 1")
 def percentile_flavours(spark, d):
     """A5, A7, A8, A18."""
-    v = F.col("value")
-    return events(spark, d).groupBy("event_type").agg(rank.linear_percentile(v, 95).alias("linear"), rank.nearest_rank(v, 95).alias("nearest"), rank.upper_median(v).alias("upper_median"))
+    return rank.group_elements(events(spark, d), ["event_type"], "value", {"linear": rank.linear_place(95), "nearest": rank.nearest_place(95), "upper_median": rank.upper_median_place})
 
 
 @query("map_bins", f"SELECT round_even({LAT} / 0.013, 0)::BIGINT AS cell_lat, round_even({LON} / 0.013, 0)::BIGINT AS cell_lon, count(*) AS n, round(avg({LAT}), 9) AS lat, round(avg({LON}), 9) AS lon, arg_max(event_id, (ts, event_id)) AS cover FROM events GROUP BY 1, 2")
@@ -414,7 +413,8 @@ def calibrate_rank(spark, d):
 @query("average_percent", "SELECT event_id, round(CASE WHEN n > 1 THEN (r - 1 + (t - 1) / 2) / (n - 1) ELSE 1.0 END, 9) AS p FROM (SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type, value) AS t, count(*) OVER (PARTITION BY event_type) AS n FROM events)")
 def average_percent(spark, d):
     """W5."""
-    return events(spark, d).select("event_id", F.round(rank.average_percent("value", ["event_type"]), 9).alias("p"))
+    e = events(spark, d).select("event_id", "event_type", "value")
+    return rank.average_percents(e, "value", ["event_type"], "p").select("event_id", F.round("p", 9).alias("p"))
 
 
 @query("extremes", "(SELECT 'low' AS side, event_id FROM events ORDER BY value, event_id LIMIT 50) UNION ALL (SELECT 'high', event_id FROM events ORDER BY value DESC, event_id DESC LIMIT 50)")
