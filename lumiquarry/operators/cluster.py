@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,33 +14,95 @@ from pyspark.sql import functions as F
 from lumiquarry.functions.geo import KM_PER_DEG_EQUATOR, KM_PER_DEG_LAT, equirect_km
 from lumiquarry.operators.aggregate import mean_vectors
 from lumiquarry.operators.graph import connected_components
+from lumiquarry.operators.joins import hub_join
 from lumiquarry.operators.pivots import near_rows
 from lumiquarry.session import written
 
 
+#: Parts of a cell an axis, and how often parts are cut again before points are held against points.
+FINER, LEVELS = 8, 3
+
+
 def dbscan(points: DataFrame, *, by: Sequence[str] = (), key: str = "photo_id", x: str = "lat", y: str = "lon", eps: float = 0.0025, least: int = 3) -> DataFrame:
     """C4: (key, cluster) of density clusters in the plane; noise is left out.
 
     A core point has ``least`` points within ``eps``, itself included; cores within ``eps`` of each other are one cluster,
-    named by its least key; a border point goes to the least cluster that reaches it. Neighbours come from an equi-join
-    on cells of ``eps``, within each group ``by``. Rows with a null coordinate take no part.
+    named by its least key; a border point goes to the least cluster that reaches it. Rows with a null or infinite coordinate
+    or a null group take no part.
+
+    Points are put in cells whose diagonal is ``eps``. All points of a cell that holds ``least`` of them are cores of one
+    cluster, so no pairs are made within it: it is one node. Points of other cells, fewer than ``least`` a cell, are held
+    against those of the cells around. Whether two full cells touch is decided on occupied parts of them, cut finer where
+    that is open (``_touching``).
     """
     by = list(by)
-    p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
-    cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    a = p.select(*by, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = p.select(*by, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"), cell("x").alias("ox"), cell("y").alias("oy"), around.alias("d"))
-    b = b.select(*by, "b", "bx", "by_", (F.col("ox") + F.col("d.i")).alias("cx"), (F.col("oy") + F.col("d.j")).alias("cy"))
-    near = a.join(b, [*by, "cx", "cy"]).where(F.sqrt(F.pow(F.col("ax") - F.col("bx"), F.lit(2)) + F.pow(F.col("ay") - F.col("by_"), F.lit(2))) <= eps).select("a", "b")
-    cores = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a")
-    reached = near.join(cores, "a")  # from a core to any point
-    links = reached.join(cores.select(F.col("a").alias("b")), "b", "left_semi")
+    side = eps / math.sqrt(2) * (1 - 1e-9)
+    real = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))
+    kept = points.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by], real(x) & real(y)))
+    groups = [f"by{k}" for k in range(len(by))]
+    cell = [*groups, "cx", "cy"]
+    at = lambda c: F.floor(F.col(c) / side).cast("long")
+    p = kept.select(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumns({"cx": at("x"), "cy": at("y")})
+    p = written(p, "points")
+    cells = written(p.groupBy(*cell).agg(F.count("*").alias("n"), F.min("id").alias("node")).withColumn("cell", F.struct(*cell)), "cells")
+    full = cells.where(F.col("n") >= least)
+    placed = written(hub_join(p.withColumn("cell", F.struct(*cell)), cells.select("cell", "n", "node", F.col("n").alias("size")), "cell", "n", p.count()), "placed")
+    # A cell is within reach of those two away, but not of the four corners.
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4])
+    thin = placed.where(F.col("size") < least).select(*groups, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", F.explode(around).alias("d"))
+    thin = thin.select(*groups, "a", "ax", "ay", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+    other = placed.select(*cell, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"), F.when(F.col("size") >= least, F.col("node")).alias("full"))
+    near = thin.join(other, cell).where(F.sqrt(F.pow(F.col("ax") - F.col("bx"), F.lit(2)) + F.pow(F.col("ay") - F.col("by_"), F.lit(2))) <= eps)
+    # Of a full cell it is enough that some point, and how many, are near.
+    reach = written(near.groupBy("a", F.coalesce("full", "b").alias("b")).agg(F.count("*").alias("n"), F.max(F.col("full").isNotNull()).alias("full")), "reach")
+    cores = reach.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a")
+    met = reach.join(cores.withColumnRenamed("a", "core"), F.col("b") == F.col("core"), "left").where(F.col("full") | F.col("core").isNotNull()).select("a", "b")
+    links = met.join(cores, "a", "left_semi").union(_touching(placed.where(F.col("size") >= least), full, groups, side, eps))
     named = connected_components(links, "a", "b")
-    of_core = cores.join(named, cores["a"] == named["node"], "left").select("a", F.coalesce("component", "a").alias("cluster"))
-    return reached.join(of_core, "a").groupBy(F.col("b").alias(key)).agg(
-        F.coalesce(F.min(F.when(F.col("a") == F.col("b"), F.col("cluster"))), F.min("cluster")).alias("cluster")
-    )
+    cluster_of = full.select(F.col("node").alias("core")).union(cores.select(F.col("a").alias("core")))
+    cluster_of = written(cluster_of.join(named, F.col("core") == F.col("node"), "left").select("core", F.coalesce("component", "core").alias("cluster")), "clusters")
+    of_full = placed.where(F.col("size") >= least).select("id", "node", "size")
+    sizes = full.select("node", "n").join(cluster_of, F.col("node") == F.col("core")).select("node", "n", "cluster")
+    of_full = hub_join(of_full, sizes, "node", "n", p.count()).select("id", "cluster")
+    of_core = cores.join(cluster_of, F.col("a") == F.col("core")).select(F.col("a").alias("id"), "cluster")
+    border = met.join(cores, "a", "left_anti").join(cluster_of, F.col("b") == F.col("core")).groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
+    return of_full.union(of_core).union(border).withColumnRenamed("id", key)
+
+
+def _touching(points: DataFrame, full: DataFrame, groups: list[str], side: float, eps: float) -> DataFrame:
+    """(a, b): nodes of full cells of which some points are within ``eps``.
+
+    Cells are cut in FINER x FINER parts, and only what parts are occupied is known of them, so that a cell of any number of
+    points has few. Two parts of which all points must be within ``eps`` decide that cells touch; parts of which none can be
+    are done with; the points of the others are looked at again in finer parts, at last one by one, each place once.
+    """
+    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4 and (i, j) > (0, 0)])
+    one = full.select(*groups, F.col("node").alias("a"), "cx", "cy", F.explode(ahead).alias("d")).select(*groups, "a", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+    open_ = written(one.join(full.select(*groups, "cx", "cy", F.col("node").alias("b")), [*groups, "cx", "cy"]).select("a", "b"), "neighbours")
+    done, before = None, []
+    for level in range(1, LEVELS + 1):
+        size = side / FINER**level
+        part = [f"{c}{level}" for c in "xy"]
+        places = [F.floor(F.col(c) / (side / FINER**k)).cast("long").alias(f"{c}{k}") for k in range(1, level + 1) for c in "xy"]
+        occupied = written(points.select("node", *places).distinct(), "parts")
+        sided = lambda s: occupied.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}{c}") for c in [*before, *part]])  # noqa: E731, B023
+        pairs = open_.join(sided("a"), ["a", *[f"a{c}" for c in before]]).join(sided("b"), ["b", *[f"b{c}" for c in before]])
+        gap = [F.abs(F.col(f"a{c}") - F.col(f"b{c}")) for c in part]
+        least = F.hypot(*[F.greatest(F.lit(0), g - 1) * size for g in gap])
+        most = F.hypot(*[(g + 1) * size for g in gap])
+        seen = written(pairs.where(least <= eps * (1 + 1e-9)).withColumn("sure", most <= eps * (1 - 1e-9)), "touching")
+        sure = seen.where("sure").select("a", "b").distinct()
+        done = sure if done is None else done.union(sure)
+        before = [*before, *part]
+        open_ = seen.where(~F.col("sure")).join(sure, ["a", "b"], "left_anti").select("a", "b", *[f"{s}{c}" for s in "ab" for c in before])
+        if open_.isEmpty():
+            return done
+    places = [F.floor(F.col(c) / (side / FINER**k)).cast("long").alias(f"{c}{k}") for k in range(1, LEVELS + 1) for c in "xy"]
+    spots = written(points.select("node", *places, "x", "y").distinct(), "parts")
+    sided = lambda s: spots.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}{c}") for c in [*before, "x", "y"]])
+    pairs = open_.join(sided("a"), ["a", *[f"a{c}" for c in before]]).join(sided("b"), ["b", *[f"b{c}" for c in before]])
+    apart = F.sqrt(F.pow(F.col("ax") - F.col("bx"), F.lit(2)) + F.pow(F.col("ay") - F.col("by"), F.lit(2)))
+    return done.union(pairs.where(apart <= eps).select("a", "b").distinct())
 
 
 def complete_linkage(vectors: np.ndarray, distance: float, *, held: int = 1 << 25) -> np.ndarray:
