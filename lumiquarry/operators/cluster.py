@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumiquarry.functions.geo import KM_PER_DEG_EQUATOR, KM_PER_DEG_LAT, equirect_km
+from lumiquarry.functions.geo import KM_PER_DEG_EQUATOR, KM_PER_DEG_LAT
 from lumiquarry.operators.aggregate import mean_vectors
 from lumiquarry.operators.graph import connected_components
 from lumiquarry.operators.joins import hub_join
 from lumiquarry.operators.pivots import near_rows
+from lumiquarry.operators.scan import numbered
 from lumiquarry.session import written
 
+#: Groups of which it is open whether they are spread that go to every task; more are shuffled.
+BROADCAST = 10_000
+
 
 #: Parts of a cell an axis, and how often parts are cut again before points are held against points.
 FINER, LEVELS = 8, 3
@@ -228,44 +233,157 @@ def representatives(rows: DataFrame, by: Sequence[str], *, key: str = "photo_id"
     return rows.groupBy(*by).applyInPandas(pick, f"{kinds}, pick int")
 
 
-def _apart(a: pd.Series, b: pd.Series) -> float:
-    mean = np.radians((a["lat"] + b["lat"]) / 2)
-    return float(np.hypot((a["lat"] - b["lat"]) * KM_PER_DEG_LAT, (a["lon"] - b["lon"]) * KM_PER_DEG_EQUATOR * np.cos(mean)))
+def hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points (n, 2)."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+
+    def half(rows: Iterable[np.ndarray]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for p in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(half(points) + half(points[::-1]))
+
+
+def _flat_km(lat: np.ndarray, lon: np.ndarray, other_lat: np.ndarray, other_lon: np.ndarray) -> np.ndarray:
+    return np.hypot((lat - other_lat) * KM_PER_DEG_LAT, (lon - other_lon) * KM_PER_DEG_EQUATOR * np.cos(np.radians((lat + other_lat) / 2)))
+
+
+#: Degrees of longitude up to which ``equirect_km`` to a point is convex, so that its greatest values are at corners of a hull.
+CONVEX = 55.0
+
+
+def spread_beyond(rows: DataFrame, by: Sequence[str], km: float) -> DataFrame:
+    """(by): the groups of which two rows (lat, lon) lie more than ``km`` apart by ``equirect_km``. Null places are near everything.
+
+    Least and greatest coordinates decide most groups. Of the others only corners of the convex hull can be farthest apart:
+    each task keeps the corners of what it holds of a group, before anything is shuffled.
+    """
+    by = list(by)
+    placed = rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(*by, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    ends = placed.groupBy(*by).agg(*[f(c).alias(f"_{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("lat", "lon")])
+    tall = (F.col("_hi_lat") - F.col("_lo_lat")) * KM_PER_DEG_LAT
+    cosines = [F.cos(F.radians(F.col(c))) for c in ("_lo_lat", "_hi_lat")]
+    wide = (F.col("_hi_lon") - F.col("_lo_lon")) * KM_PER_DEG_EQUATOR
+    across = F.when((F.col("_lo_lat") < 0) & (F.col("_hi_lat") > 0), F.lit(1.0)).otherwise(F.greatest(*cosines))
+    far = (tall > km * (1 + 1e-9)) | (wide * F.least(*cosines) > km * (1 + 1e-9))
+    near = F.hypot(tall, wide * across) <= km * (1 - 1e-9)
+    judged = written(ends.select(*by, far.alias("_far"), near.alias("_near"), ((F.col("_hi_lon") - F.col("_lo_lon")) < CONVEX).alias("_convex")), "spread")
+    open_ = judged.where("not _far and not _near").select(*by, "_convex")
+    sure = judged.where("_far").select(*by)
+    if open_.isEmpty():
+        return sure
+    left = placed.join(F.broadcast(open_) if open_.count() <= BROADCAST else open_, by)
+    schema = left.schema
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not pdf["_convex"].iloc[0]:
+            return pdf.drop_duplicates(["lat", "lon"])
+        c = hull(pdf[["lat", "lon"]].to_numpy())
+        out = pdf.head(len(c)).copy()
+        out["lat"], out["lon"] = c[:, 0], c[:, 1]
+        return out
+
+    def reduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for _, own in pdf.groupby(by, sort=False):
+                yield corners(own)[schema.names]
+
+    def farther(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = corners(pdf)
+        lat, lon = c["lat"].to_numpy(), c["lon"].to_numpy()
+        hit = any((_flat_km(lat[k], lon[k], lat[k + 1 :], lon[k + 1 :]) > km).any() for k in range(len(lat)))
+        return pdf[by].head(int(hit))
+
+    return sure.union(left.mapInPandas(reduced, schema).groupBy(*by).applyInPandas(farther, sure.schema))
+
+
+def _number(c: str, df: DataFrame) -> Column:
+    """A time or number as a double that orders alike."""
+    return F.col(c).cast("timestamp").cast("double") if df.schema[c].dataType.typeName().startswith(("timestamp", "date")) else F.col(c).cast("double")
 
 
 def numbered_per_day(visits: DataFrame, *, by: Sequence[str] = ("day",), km: float = 2.0) -> DataFrame:
     """W14 within days: (visit_id, name): where two visits of one name and day lie over ``km`` apart, all of that name but the earliest get their number by arrival.
 
-    The greatest distance is looked for between pairs of one name and day only; a null place is near everything.
+    A null place is near everything; rows without a name or day keep their name. Places by arrival are counted in segments
+    where a name and day hold more than a task's share of the rows (``scan``).
     """
     keys = [*by, "name"]
-    v = visits.select("visit_id", *keys, "lat", "lon", "arrived_at")
-    other = v.select(*keys, F.col("visit_id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    far = equirect_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) > km
-    apart = v.join(other, keys).where((F.col("visit_id") < F.col("_id")) & far).select(*keys).distinct().withColumn("_far", F.lit(True))
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy("arrived_at", "visit_id"))
-    rows = v.join(apart, keys, "left").withColumn("_at", at)
-    return rows.select("visit_id", F.when(F.col("_far") & (F.col("_at") > 1), F.concat("name", F.lit(" ("), F.col("_at").cast("string"), F.lit(")"))).otherwise(F.col("name")).alias("name"))
+    v = visits.select("visit_id", *keys, "lat", "lon", _number("arrived_at", visits).alias("_at"))
+    apart = written(spread_beyond(v, keys, km), "apart").withColumn("_far", F.lit(True))
+    rows = v.join(apart, keys, "left")
+    alone = rows.where(F.col("_far").isNull()).select("visit_id", "name")
+    told = numbered(rows.where("_far"), keys, "_at", "visit_id", ["visit_id"], lambda prev: prev("visit_id").isNotNull(), "_place")
+    named = F.when(F.col("_place") > 0, F.concat("name", F.lit(" ("), (F.col("_place") + 1).cast("string"), F.lit(")"))).otherwise(F.col("name"))
+    return alone.union(told.select("visit_id", named.alias("name")))
+
+
+class Heads:
+    """Places no two of which are within ``km``, in the order in which they came, by rows of latitude and columns as wide as ``km`` there."""
+
+    def __init__(self, km: float):
+        self.km, self.step, self.count = km, km / KM_PER_DEG_LAT, 0
+        self.rows: dict[int, dict[int, list[tuple[int, float, float]]]] = {}
+
+    def width(self, row: int) -> float:
+        """Degrees of longitude that ``km`` is at most between a place in ``row`` and one in it or beside it."""
+        edge = min(89.9999, (max(abs(row), abs(row + 1)) + 1) * self.step)
+        return self.km / (KM_PER_DEG_EQUATOR * math.cos(math.radians(edge)))
+
+    def of(self, lat: float | None, lon: float | None) -> int:
+        """The number, from 0, of the first head within ``km``; the place is a new head where there is none. A missing place is near nothing."""
+        if lat is not None and lon is not None:
+            row, best = math.floor(lat / self.step), None
+            for r in (row - 1, row, row + 1):
+                if r in self.rows:
+                    col = math.floor(lon / self.width(r))
+                    for c in (col - 1, col, col + 1):
+                        for k, y, x in self.rows[r].get(c, ()):
+                            if (best is None or k < best) and math.hypot((lat - y) * KM_PER_DEG_LAT, (lon - x) * KM_PER_DEG_EQUATOR * math.cos(math.radians((lat + y) / 2))) <= self.km:
+                                best = k
+            if best is not None:
+                return best
+            self.rows.setdefault(row, {}).setdefault(math.floor(lon / self.width(row)), []).append((self.count, lat, lon))
+        self.count += 1
+        return self.count - 1
 
 
 def numbered_places(visits: DataFrame, *, km: float = 2.0) -> DataFrame:
-    """(visit_id, name): places of one name that lie apart get numbers by arrival, a place that is near an earlier one its number."""
-    based = visits.withColumn("base", F.regexp_replace("name", r"\s*\(\d+\)$", ""))
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["arrived_at", "visit_id"], ignore_index=True)
-        heads: list[int] = []
-        of = []
-        for k in range(len(pdf)):
-            hit = next((h for h, head in enumerate(heads) if _apart(pdf.loc[k], pdf.loc[head]) <= km), None)
-            if hit is None:
-                heads.append(k)
-                hit = len(heads) - 1
-            of.append(hit)
-        name = [pdf.loc[k, "base"] if of[k] == 0 else f"{pdf.loc[k, 'base']} ({of[k] + 1})" for k in range(len(pdf))]
-        return pd.DataFrame({"visit_id": pdf["visit_id"], "name": name})
-
-    return based.select("visit_id", "base", "lat", "lon", "arrived_at").groupBy("base").applyInPandas(number, "visit_id long, name string")
+    """(visit_id, name): places of one name that lie apart get numbers by arrival, a place that is near an earlier one its number.
+
+    Visits at one place share its number, so each place of a name goes once, at its first arrival, past the heads so far,
+    which lie in a grid: a task holds the heads of one name. Numbers come back to the visits by ``hub_join``. A missing place
+    is near nothing; visits without a name keep none.
+    """
+    spot = F.when(F.col("lat").isNull() | F.col("lon").isNull(), F.col("visit_id"))
+    rows = visits.select("visit_id", F.regexp_replace("name", r"\s*\(\d+\)$", "").alias("base"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), _number("arrived_at", visits).alias("at"), spot.alias("spot"))
+    rows = rows.withColumn("where", F.struct("base", "lat", "lon", "spot"))
+    first = rows.groupBy("where").agg(F.min(F.struct(F.col("at").isNull().alias("late"), "at", "visit_id")).alias("came"), F.count("*").alias("n"))
+    dealt = first.select("where", "n", "came", F.col("where.base").alias("base"), F.col("where.lat").alias("lat"), F.col("where.lon").alias("lon"))
+    dealt = dealt.where(F.col("base").isNotNull()).repartition("base").sortWithinPartitions("base", "came")
+    schema = dealt.select("where", "n", F.lit(0).cast("long").alias("place")).schema
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heads = None, Heads(km)
+        for batch in batches:
+            place = []
+            for base, lat, lon in zip(*(batch.column(c).to_pylist() for c in ("base", "lat", "lon")), strict=True):
+                if base != now:
+                    now, heads = base, Heads(km)
+                place.append(heads.of(lat, lon))
+            yield pa.RecordBatch.from_arrays([batch.column("where"), batch.column("n"), pa.array(place, pa.int64())], names=schema.names)
+
+    placed = written(dealt.mapInArrow(number, schema), "places")
+    rows = written(rows, "visits")
+    named = hub_join(rows.where(F.col("base").isNotNull()), placed, "where", "n", rows.count())
+    told = named.select("visit_id", F.when(F.col("place") > 0, F.concat("base", F.lit(" ("), (F.col("place") + 1).cast("string"), F.lit(")"))).otherwise(F.col("base")).alias("name"))
+    return told.union(rows.where(F.col("base").isNull()).select("visit_id", F.col("base").alias("name")))
 
 
 # The words that make a name a landmark's.

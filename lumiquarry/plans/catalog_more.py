@@ -123,12 +123,16 @@ def pattern_stories(spark, d):
     return stories.pattern_stories(p, tags, {"Looking": ["view"], "Trouble": ["err"]})
 
 
-@query("numbered_places")
+@query("numbered_places", """WITH RECURSIVE v AS (SELECT event_id, 'Place' || (user_id % 9) AS base, 34 + (event_id % 97) * 0.001 AS lat, 77 + (event_id % 89) * 0.001 AS lon, row_number() OVER (PARTITION BY user_id % 9 ORDER BY ts, event_id) AS i FROM events),
+ g AS (SELECT DISTINCT base, 0::BIGINT AS i, []::STRUCT(lat DOUBLE, lon DOUBLE)[] AS heads, NULL::BIGINT AS event_id, 0::BIGINT AS hit FROM v
+       UNION ALL SELECT base, i, CASE WHEN hit > len(heads) THEN list_append(heads, {'lat': lat, 'lon': lon}) ELSE heads END, event_id, hit
+       FROM (SELECT v.*, g.heads, coalesce(nullif(list_position(list_transform(g.heads, lambda h: sqrt(((h.lat - v.lat) * 111.0) ** 2 + ((h.lon - v.lon) * 111.32 * cos(radians((h.lat + v.lat) / 2))) ** 2) <= 2), true), 0), len(g.heads) + 1)::BIGINT AS hit
+             FROM g JOIN v ON v.base = g.base AND v.i = g.i + 1))
+ SELECT event_id AS visit_id, CASE WHEN hit > 1 THEN base || ' (' || hit || ')' ELSE base END AS name FROM g WHERE i > 0""")
 def numbered_places(spark, d):
-    """W14."""
-    k = F.col("n_nationkey")
-    rows = table(spark, d, "nation").select(k.cast("long").alias("visit_id"), F.concat(F.lit("Place"), (k % 3).cast("string")).alias("name"), (34 + k % 5 * 0.02).alias("lat"), F.lit(77.0).alias("lon"), k.alias("arrived_at"))
-    return cluster.numbered_places(rows)
+    """Every event as a visit."""
+    p = photos(spark, d).select(F.col("photo_id").alias("visit_id"), F.concat(F.lit("Place"), (F.col("user_id") % 9).cast("string")).alias("name"), "lat", "lon", F.col("taken_at").alias("arrived_at"))
+    return cluster.numbered_places(p)
 
 
 @query("numbered_per_day", """WITH v AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, 'Place' || (user_id % 9) AS name, 34 + (event_id % 97) * 0.001 AS lat, 77 + (event_id % 89) * 0.001 AS lon, ts FROM events),
