@@ -7,6 +7,7 @@ pivot those ranges of two tiles lie more than the wanted angle apart, no pair of
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from lumiquarry.session import written
 
 #: Rows that pivots are chosen from, pivots, and rows of a tile.
 SAMPLE, PIVOTS, TILE = 2048, 64, 1024
+#: Rows up to which all tiles meet.
+SMALL = 4096
 #: Room for rounding in an angle.
 SLACK = 1e-6
 
@@ -139,37 +142,50 @@ def tile_pairs(ranges: DataFrame, angle: float, *, by: Sequence[str]) -> DataFra
     return both.select(*by, F.col("a_tile").alias("a"), F.col("b_tile").alias("b"))
 
 
-def near_rows(rows: DataFrame, cosine: float, *, by: Sequence[str] = (), key: str = "id", vector: str = "v", look: str | None = None, alike: float = 0.93, size: int = TILE) -> DataFrame:
+def near_rows(rows: DataFrame, cosine: float, *, by: Sequence[str] = (), key: str = "id", vector: str = "v", look: str | None = None, alike: float = 0.93, size: int = TILE, small: int = SMALL) -> DataFrame:
     """(a, b, similarity), a < b, of unit vectors in one group ``by`` with a dot product of ``cosine`` or more.
 
     With ``look`` (unit vectors or null) that of the looks must be ``alike`` or more where both tiles have all of them. Rows
-    whose vector is zero, null or not finite have no direction and are in no pair. A task multiplies two tiles; a row is
+    whose vector is zero, null or not finite have no direction and are in no pair, nor are rows of a null group. A task multiplies two tiles; a row is
     copied once for each tile that its own may meet, which in clustered vectors is few and in vectors without any structure
-    all of them.
+    all of them. Tables of up to ``small`` rows, a few tiles, are dealt to tiles by hash and all of these meet: pivots
+    would take longer than they spare. Pairs are the same.
     """
     by = list(by)
     whole = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
-    rows = rows.where(F.col(vector).isNotNull() & ~F.isnan(whole) & (whole > 0.5))
-    pivots = chosen_pivots(rows, vector, key)
-    if not len(pivots):
-        pivots = np.zeros((1, 1))
-    angle = float(np.arccos(np.clip(cosine, -1, 1)))
-    tiles = tiled(rows, pivots, by=by, key=key, vector=vector, size=size)
-    pairs = written(tile_pairs(written(bounds(tiles, pivots, by=by, vector=vector), "bounds"), angle, by=by).select("a", "b"), "tilepairs")
-    base = tiles.select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.col(look) if look else F.lit(None).cast("array<double>")).alias("look"), "tile")
-    side = lambda own, other: base.join(pairs.withColumnRenamed(own, "tile"), "tile").select(F.col("tile" if own == "a" else other).alias("i"), F.col(other if own == "a" else "tile").alias("j"), "tile", "id", "v", "look")
-    dealt = side("a", "b").union(side("b", "a").where(F.col("i") != F.col("j")))
+    rows = rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by], F.col(vector).isNotNull() & ~F.isnan(whole) & (whole > 0.5)))
+    base = lambda df, *more: df.select(*by, F.col(key).alias("id"), F.col(vector).alias("v"), (F.col(look) if look else F.lit(None).cast("array<double>")).alias("look"), *more)
+    n = rows.limit(small + 1).count()
+    if n <= small:
+        parts = max(1, -(-n // size))
+        tile, other = F.pmod(F.xxhash64(key), F.lit(parts)), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        dealt = base(rows, tile.cast("long").alias("tile"), other.alias("other")).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
+    else:
+        pivots = chosen_pivots(rows, vector, key)
+        tiles = base(tiled(rows, pivots, by=by, key=key, vector=vector, size=size), "cell", "tile")
+        angle = float(np.arccos(np.clip(cosine, -1, 1)))
+        pairs = written(tile_pairs(written(bounds(tiles, pivots, by=by, vector="v"), "bounds"), angle, by=by).select("a", "b"), "tilepairs")
+        side = lambda own, to: tiles.join(pairs.select(F.col(own).alias("tile"), F.col(to).alias("other")), "tile").withColumns({"i": F.col("tile" if own == "a" else "other"), "j": F.col("other" if own == "a" else "tile")})
+        dealt = side("a", "b").union(side("b", "a").where(F.col("i") != F.col("j")))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         a, b = pdf[pdf["tile"] == i], pdf[pdf["tile"] == j]
-        near = np.stack(a["v"]) @ np.stack(b["v"]).T
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64"})
+        near = matrix(a["v"]) @ matrix(b["v"]).T
         ok = near >= cosine
         if ok.any() and a["look"].notna().all() and b["look"].notna().all():
-            ok &= np.stack(a["look"]) @ np.stack(b["look"]).T >= alike
+            ok &= matrix(a["look"]) @ matrix(b["look"]).T >= alike
         x, y = np.nonzero(ok)
         one, two = a["id"].to_numpy()[x], b["id"].to_numpy()[y]
         keep = one < two if i == j else one != two
         return pd.DataFrame({"a": np.minimum(one, two)[keep], "b": np.maximum(one, two)[keep], "similarity": near[x, y][keep]})
 
-    return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, similarity double")
+    return dealt.groupBy(*by, "i", "j").applyInPandas(compare, "a long, b long, similarity double")
+
+
+def matrix(column: pd.Series) -> np.ndarray:
+    if column.map(len).nunique() > 1:
+        raise ValueError("vectors of different lengths")
+    return np.stack(column)

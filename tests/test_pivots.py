@@ -26,6 +26,12 @@ def brute(v, cut, library=lambda k: "a"):
     return {(a, b) for a, b in zip(*np.nonzero(g >= cut), strict=True) if a < b and library(a) == library(b)}
 
 
+@pytest.fixture(params=[0, 4096], autouse=True)
+def small(request, monkeypatch):
+    """With pivots, and as small tables are dealt."""
+    monkeypatch.setattr(pivots.near_rows, "__kwdefaults__", pivots.near_rows.__kwdefaults__ | {"small": request.param})
+
+
 @pytest.mark.parametrize("dims,cut", [(3, 0.9), (12, 0.8), (40, 0.3)])
 def test_pairs_are_all_pairs(spark, dims, cut):
     v = clustered(dims, 700, 12, dims, 0.25)
