@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumiquarry.functions.vec import dot
+
 # Weights, gates and limits of the scoring rules.
 AP_WEIGHT, NIMA_WEIGHT = 0.6, 0.4
 UNDER_LUMA, OVER_LUMA, OVER_CLIPPED, UNDER_CLIPPED = 0.32, 0.78, 0.07, 0.10
@@ -88,3 +92,9 @@ def stage_seconds(photos: Column, gpu: bool = False) -> Column:
     """The planned seconds of indexing, scoring, embedding, tagging and story building."""
     costs = {False: (0.03, 0.12, 0.9, 0.5, 0.02), True: (0.03, 0.08, 0.12, 0.08, 0.02)}[gpu]
     return photos * F.lit(sum(costs))
+
+
+def prompt_quality(vector: Column, good: Sequence[float], bad: Sequence[float]) -> Column:
+    """How much more a unit vector is like the prompt of a good picture than like that of a bad one; 0 to 1, null of a null vector."""
+    like = lambda words: dot(vector, F.array(*[F.lit(float(x)) for x in words]))
+    return softmax_first(like(good), like(bad))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from lumiquarry.functions import faces, geo, scores, texts, vec
 from lumiquarry.operators import aggregate, cluster, islands, joins, rank
-from lumiquarry.plans import export, stories, taste
+from lumiquarry.plans import export, places, stories, taste
 from lumiquarry.plans.catalog import LAT, LON, SECONDS, VISITS, events, photos, visits, with_vectors
 from lumiquarry.plans.registry import query
 from lumiquarry.session import table
+from lumiquarry.sources import pictures, side_files
 
 
 @query("photo_cards", "SELECT event_id AS id, '/api/thumb/' || event_type || '-' || event_id AS thumb_url, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS taken_at, CASE WHEN event_id % 4 > 0 THEN value END AS iqa FROM events")
@@ -225,3 +226,60 @@ def mean_vectors(spark, d):
     """A13."""
     out = aggregate.mean_vectors(table(spark, d, "embeddings"), ["label"], "embedding")
     return out.select("label", "n", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round(F.get("centroid", F.lit(63)), 6).alias("last"))
+
+
+@query("geocode_order", f"""WITH p AS (SELECT event_id, {LAT} AS lat, {LON} AS lon, round_even({LAT}, 3) AS la, round_even({LON}, 3) AS lo FROM events),
+ c AS (SELECT la, lo, CASE WHEN count(*) FILTER (event_id % 3 = 0) = count(*) THEN NULL ELSE 'cached' END AS name FROM p WHERE event_id % 7 = 0 GROUP BY 1, 2),
+ f AS (SELECT la, lo, arg_min(lat, event_id) AS lat, arg_min(lon, event_id) AS lon FROM p GROUP BY 1, 2),
+ m AS (SELECT n_name AS name, 34 + n_nationkey * 0.004 AS plat, 77 + n_nationkey * 0.0035 AS plon, CASE WHEN n_nationkey % 4 = 0 THEN 1500 ELSE least(300 + n_nationkey * 100, 1500) END AS radius FROM nation),
+ n AS (SELECT la, lo, arg_min(name, (round(d, 9), name)) AS mark FROM (SELECT la, lo, name, radius, 1000 * sqrt(((lat - plat) * 111.0) ** 2 + ((lon - plon) * 111.32 * cos(radians((lat + plat) / 2))) ** 2) AS d FROM f, m) WHERE round(d, 9) <= radius GROUP BY 1, 2)
+ SELECT event_id, CASE WHEN c.la IS NOT NULL THEN coalesce(c.name, 'Unknown location') WHEN mark IS NOT NULL THEN mark WHEN round(p.lat * 1000)::BIGINT % 3 = 0 THEN 'Unknown location' ELSE 'Cell ' || round(p.lat * 1000)::BIGINT END AS display_name,
+        CASE WHEN c.la IS NOT NULL THEN 'cache' WHEN mark IS NOT NULL THEN 'landmark' ELSE 'look-up' END AS source
+ FROM p LEFT JOIN c USING (la, lo) LEFT JOIN n USING (la, lo)""")
+def geocode_order(spark, d):
+    """Names from the cache, landmarks, then a look-up that fails for every third row of latitude."""
+    p = photos(spark, d).select(F.col("photo_id").alias("event_id"), "lat", "lon")
+    at = [texts.geo_key(F.col("lat")).alias("lat_round"), texts.geo_key(F.col("lon")).alias("lon_round")]
+    cache = p.where("event_id % 7 = 0").groupBy(*at).agg(F.when(F.count_if(F.col("event_id") % 3 == 0) < F.count("*"), "cached").alias("display_name"))
+    k = F.col("n_nationkey")
+    marks = table(spark, d, "nation").select(F.col("n_name").alias("name"), (34 + k * 0.004).alias("lat"), (77 + k * 0.0035).alias("lon"), F.when(k % 4 != 0, F.least(300 + k * 100, F.lit(1500))).cast("double").alias("radius_m"))
+    row = F.round(F.col("lat") * 1000).cast("long")
+    answer = F.when(row % 3 != 0, F.to_json(F.struct(F.concat(F.lit("Cell "), row.cast("string")).alias("name"))))
+    return places.resolved(p, cache, marks, lambda asked: asked.select("lat_round", "lon_round", answer.alias("payload")), key="event_id")[0]
+
+
+@query("prompt_quality", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT vec_id, list_sum(v) / 8 AS a, (list_sum(v[1:32]) - list_sum(v[33:64])) / 8 AS b, sqrt(list_dot_product(v, v)) AS n FROM e)
+ SELECT vec_id, round(1 / (1 + exp(-((a / n * 112.33 - 16.55) - (b / n * 112.33 - 16.55)))), 9) AS quality FROM s""")
+def prompt_quality(spark, d):
+    """The good prompt likes all numbers, the bad one the first half."""
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", F.round(scores.prompt_quality(vec.unit(F.col("embedding")), [1 / 8] * 64, [1 / 8] * 32 + [-1 / 8] * 32), 9).alias("quality"))
+
+
+@query("recap_images", f"""WITH p AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, ts, CASE WHEN event_id % 3 = 0 THEN 0.6 * value + 0.4 * (event_id % 10) WHEN event_id % 3 = 1 THEN value / 9 ELSE greatest(0, 1 - (event_id % 150) * 0.01) END AS score FROM events),
+ r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, event_id) AS k, greatest(1, 40 // (SELECT count(DISTINCT day) FROM p)) AS q FROM p),
+ l AS (SELECT *, row_number() OVER (ORDER BY score DESC, event_id) AS pos FROM r WHERE k > q), t AS (SELECT day, event_id, ts FROM r WHERE k <= q UNION ALL SELECT day, event_id, ts FROM l WHERE pos <= 40 - (SELECT count(*) FROM r WHERE k <= q))
+ SELECT day, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) - 1 AS place, event_id AS photo_id, CASE WHEN day[10] IN ('1', '3', '5') THEN 'On ' || day ELSE '' END AS caption FROM t""")
+def recap_images(spark, d):
+    """Forty pictures of all days, with the captions of some."""
+    i = F.col("photo_id")
+    p = photos(spark, d)
+    items = p.select("day", "photo_id", (i % 150).alias("rank"), "taken_at", F.when(i % 3 == 0, (i % 10).cast("double")).alias("nima"), F.col("ap25"), F.when(i % 3 == 1, F.col("ap25") / 9).alias("iqa"))
+    files = p.select("day").distinct().where("substring(day, 10, 1) IN ('1', '3', '5')").select("day", F.to_json(F.struct(F.concat(F.lit("On "), F.col("day")).alias("caption"))).alias("text"))
+    return export.recap_images(items, side_files.captions(files)).select("day", "place", "photo_id", "caption")
+
+
+@query("picture_measures", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: 5 * least(50, greatest(0, round((x::DOUBLE * 4 + 1) * 25.5)))::DOUBLE) AS p FROM embeddings),
+ x AS (SELECT vec_id, p, i // 8 AS r, i % 8 AS c FROM e, range(64) v(i)),
+ l AS (SELECT vec_id, p[8 * r + c + 1] AS g, p[8 * (CASE r WHEN 0 THEN 1 ELSE r - 1 END) + c + 1] + p[8 * (CASE r WHEN 7 THEN 6 ELSE r + 1 END) + c + 1]
+        + p[8 * r + (CASE c WHEN 0 THEN 1 ELSE c - 1 END) + 1] + p[8 * r + (CASE c WHEN 7 THEN 6 ELSE c + 1 END) + 1] - 4 * p[8 * r + c + 1] AS lap FROM x),
+ s AS (SELECT vec_id, var_pop(lap) AS sharpness, avg(g) / 255 AS m, stddev_pop(g) AS sd, avg((g < 8)::INT) AS low, avg((g > 247)::INT) AS high, quantile_cont(g, 0.05) / 255 AS p05, quantile_cont(g, 0.95) / 255 AS p95 FROM l GROUP BY 1)
+ SELECT vec_id, round(sharpness, 5) AS sharpness, round(greatest(0, (1 - 2 * abs(m - 0.5)) * (1 - low - high) * (0.5 + 0.5 * least(sd / 127.5, 1))), 6) AS exposure, round(m, 6) AS luma_mean, round(sd / 255, 6) AS luma_std,
+        round(low + high, 6) AS clipped, round(low, 6) AS clipped_low, round(high, 6) AS clipped_high, round(p05, 6) AS p05, round(p95, 6) AS p95, m < 0.3 AS low_light FROM s""")
+def picture_measures(spark, d):
+    """M6: each vector as a grey picture of eight by eight."""
+    step = F.transform("embedding", lambda x: (5 * F.least(F.lit(50), F.greatest(F.lit(0), F.round((x.cast("double") * 4 + 1) * 25.5)))).cast("int"))
+    code = F.transform(step, lambda x: F.lpad(F.hex(x), 2, "0"))
+    frames = table(spark, d, "embeddings").select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(F.transform(code, lambda h: F.concat(h, h, h)), "")).alias("pixels"))
+    m = pictures.measured(frames, "vec_id")
+    return m.select("vec_id", F.round("sharpness", 5).alias("sharpness"), *[F.round(c, 6).alias(c) for c in m.columns[2:-1]], "low_light")

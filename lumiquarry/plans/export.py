@@ -11,10 +11,12 @@ import zipfile
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiquarry.functions.scores import blend
 from lumiquarry.functions.texts import clean_name, ranked_name
+from lumiquarry.operators.rank import quota_then_best
 from lumiquarry.sources.media import RAW
 
 # Stars of a verdict.
@@ -76,6 +78,22 @@ def rating_plan(photos: DataFrame, existing: DataFrame, force: bool = False) ->
     return rows.select("photo_id", "path", "verdict", "new_rating", "target", "is_sidecar", "existing_rating", action.alias("action"), reason.alias("reason"))
 
 
+def recap_images(items: DataFrame, captions: DataFrame, most: int = 40) -> DataFrame:
+    """(day, place, photo_id, taken_at, caption, hashtags): the pictures of a recap in their order, with their day's caption.
+
+    ``items``: day, photo_id, rank, taken_at, nima, ap25, iqa. Each day has max(1, most div days) of its best, the rest are the
+    best of what is left, ``most`` in all while days are fewer. A picture's score is the blend of nima and ap25, or iqa, or
+    1 less a hundredth of its rank. Within a day they go by time (nulls first). ``captions`` (day, caption, hashtags) is
+    joined by day; a day without one has an empty caption. Items without a day are left out.
+    """
+    score = F.coalesce(blend(F.col("ap25"), F.col("nima")), F.col("iqa").cast("double"), F.greatest(F.lit(0.0), 1 - F.col("rank") * 0.01))
+    rows = items.where(F.col("day").isNotNull()).select("day", "photo_id", "taken_at", score.alias("_score"))
+    taken = quota_then_best(rows, "day", F.col("_score"), "photo_id", most)
+    placed = taken.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy("taken_at", "photo_id")) - 1)  # most rows in all
+    said = captions.groupBy("day").agg(F.first("caption").alias("caption"), F.first("hashtags").alias("hashtags"))
+    return placed.join(said, "day", "left").select("day", "place", "photo_id", "taken_at", F.coalesce("caption", F.lit("")).alias("caption"), F.coalesce("hashtags", F.array().cast("array<string>")).alias("hashtags"))
+
+
 def recap_html(title: str, period: str, facts: dict[str, object], days: Iterable[dict], route: str | None = None) -> str:
     """One page without outside references. A day is {title, subtitle, caption, images}, images are data URIs (40 in all at most are asked for by the caller's quota)."""
     esc = html.escape

@@ -128,6 +128,12 @@ def inferred(files: DataFrame, model: Callable[[list[bytes]], list], schema: str
     return files.select(key, content).mapInPandas(run, f"{key} string, {schema}")
 
 
+def faces_of(found: DataFrame, key: str = "path", faces: str = "faces") -> DataFrame:
+    """(key, face_index, and the fields of a face) of what a face model found (``inferred``): a row a face, none of a picture without any."""
+    rows = found.select(key, F.posexplode(faces).alias("face_index", "_face"))
+    return rows.select(key, "face_index", "_face.*")
+
+
 def top_tags(logits: DataFrame, thresholds: DataFrame, dropped: list[str], n: int = 15) -> DataFrame:
     """(photo_id, tags): classes over their thresholds, trimmed and lower case, without the dropped ones, the first ``n`` by class number. ``logits``: photo_id, logits (array); ``thresholds``: class, tag, threshold."""
     rows = logits.select("photo_id", F.posexplode("logits").alias("class", "x")).join(F.broadcast(thresholds), "class")
