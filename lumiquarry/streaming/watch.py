@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 STAGES = ("index", "video", "classical", "embed", "tag", "story")
 
@@ -20,26 +20,43 @@ def candidates(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(k, "path", "left").where(F.col("_mtime").isNull() | (F.abs(F.col("mtime") - F.col("_mtime")) > 1e-6)).drop("_mtime")
 
 
-def debounced(polls: DataFrame) -> DataFrame:
-    """(poll, path) of a stream of polls (poll, path, size, mtime): a path comes out when two polls in a row agree on it.
+#: The state store that state with a time to live needs, and the setting that names it.
+STORE_KEY, STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    A path that a poll misses is forgotten: the state holds the number of the poll that saw it last. The state keeps three
-    numbers for every path ever seen: polls carry no time by which it could be removed.
-    """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("poll")
-        last = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples():
-            if last is not None and last == (r.poll - 1, r.size, r.mtime):
-                out.append(r.poll)
-            last = (r.poll, r.size, r.mtime)
-        state.update(last)
-        yield pd.DataFrame({"poll": pd.Series(out, dtype="int64"), "path": [key[0]] * len(out)})
+class _Debounce(StatefulProcessor):
+    """Of each path its last poll, size and time; given up when nothing comes for the time to live."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "poll long, size long, mtime double", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        last, out = self.seen.get() if self.seen.exists() else None, []
+        for poll, size, mtime in sorted(x for pdf in rows for x in zip(pdf["poll"].tolist(), pdf["size"].tolist(), pdf["mtime"].tolist(), strict=True)):
+            if last is not None and tuple(last) == (poll - 1, size, mtime):
+                out.append(poll)
+            last = (poll, size, mtime)
+        self.seen.update(last)
+        yield pd.DataFrame({"poll": pd.Series(out, dtype="int64"), "path": pd.Series([key[0]] * len(out), dtype="object")})
 
+    def close(self) -> None:
+        pass
+
+
+def debounced(polls: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """(poll, path) of a stream of polls (poll, path, size, mtime): a path comes out when two polls in a row agree on it.
+
+    A path that a poll misses is forgotten: the state holds the number of the poll that saw it last. State of a path that has
+    not been seen for ``ttl_ms`` is removed, so that files that vanish leave nothing; keep it above the time between two
+    polls. It needs the state store STORE, set where the session is made.
+    """
+    if polls.sparkSession.conf.get(STORE_KEY, None) != STORE:
+        raise ValueError(f"{STORE_KEY} must be {STORE}")
     polls = polls.select("poll", "path", "size", "mtime")
-    return polls.groupBy("path").applyInPandasWithState(step, "poll long, path string", "poll long, size long, mtime double", "append", GroupStateTimeout.NoTimeout)
+    return polls.groupBy("path").transformWithStateInPandas(_Debounce(ttl_ms), "poll long, path string", "append", "processingTime")
 
 
 def each_batch(stream: DataFrame, index: Callable[[DataFrame], int], stages: Iterable[Callable[[], None]], checkpoint: str) -> StreamingQuery:

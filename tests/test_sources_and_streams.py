@@ -93,7 +93,16 @@ def test_watch_candidates(spark):
     assert {r["path"] for r in watch.candidates(files, known).collect()} == {"b", "c"}
 
 
-def test_debounce(spark, tmp_path):
+@pytest.fixture
+def only_data(spark):
+    """State that expires by the clock has a batch to run at any time: these streams run one where there is data, and so come to an end."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_debounce(spark, tmp_path, only_data):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "poll long, path string, size long, mtime double"
     polls = [[("a", 1, 1.0), ("b", 1, 1.0)], [("a", 1, 1.0), ("b", 2, 1.0)], [("b", 2, 1.0)], [("a", 1, 1.0)], [("a", 1, 1.0)]]
@@ -109,6 +118,37 @@ def test_debounce(spark, tmp_path):
     assert got == {(1, "a"), (2, "b"), (4, "a")}
 
 
+def test_the_state_of_vanished_paths_goes(spark, tmp_path, only_data):
+    """Forty paths are polled once, one stays: after their time to live the state has one row."""
+    import time
+
+    source, schema = str(tmp_path / "in"), "poll long, path string, size long, mtime double"
+    os.makedirs(source)
+    q = watch.debounced(spark.readStream.schema(schema).parquet(source), ttl_ms=3000).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).start()
+    sizes = []
+    try:
+        for k in range(6):
+            rows = [(k, "stays", 1, 1.0)] + [(k, f"gone{n}", 1, 1.0) for n in range(40 if k == 0 else 0)]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+            q.processAllAvailable()
+            sizes.append(next(p["stateOperators"][0]["numRowsTotal"] for p in reversed([json.loads(x.json) for x in q.recentProgress]) if p["numInputRows"]))
+            if k == 1:
+                time.sleep(4)
+    finally:
+        q.stop()
+    assert sizes[0] >= 41 > 10 > sizes[-1]
+
+
+def test_debounce_needs_its_store(spark):
+    was = spark.conf.get(watch.STORE_KEY)
+    spark.conf.set(watch.STORE_KEY, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        with pytest.raises(ValueError, match="stateStore"):
+            watch.debounced(spark.createDataFrame([], "poll long, path string, size long, mtime double"))
+    finally:
+        spark.conf.set(watch.STORE_KEY, was)
+
+
 def test_stages_and_progress():
     ran = []
     stages = {s: (lambda s=s: ran.append(s)) for s in watch.STAGES}
