@@ -753,7 +753,14 @@ def dbscan_day(spark, d):
     return cluster.dbscan(p, by=["day"], eps=0.0252)
 
 
-@query("mmr_reps")
+@query("mmr_reps", """WITH RECURSIVE e AS (SELECT label AS scene, vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-6)) AS v,
+        0.5 * ((vec_id * 37 % 101) / 101) + 0.3 * least((vec_id % 300)::DOUBLE, 1) + 0.2 * 0.5 AS q FROM embeddings),
+ n AS (SELECT scene, CASE WHEN count(*) >= 60 THEN 15 WHEN count(*) >= 30 THEN 10 WHEN count(*) >= 15 THEN 6 WHEN count(*) >= 8 THEN 3 ELSE greatest(1, count(*) // 3) END AS most FROM e GROUP BY 1),
+ s AS (SELECT a.scene, a.vec_id AS a, b.vec_id AS b, a.q, list_dot_product(a.v, b.v) AS sim FROM e a JOIN e b ON a.scene = b.scene),
+ g AS (SELECT scene, 0 AS pick, arg_max(vec_id, (q, -vec_id)) AS photo_id, [arg_max(vec_id, (q, -vec_id))] AS chosen FROM e GROUP BY 1
+       UNION ALL SELECT g.scene, g.pick + 1, p.a, list_append(g.chosen, p.a) FROM g JOIN n ON n.scene = g.scene AND g.pick + 1 < n.most,
+       LATERAL (SELECT a FROM s WHERE s.scene = g.scene AND list_contains(g.chosen, s.b) AND NOT list_contains(g.chosen, s.a) GROUP BY a, q HAVING max(sim) < 0.88 ORDER BY 0.45 * q - 0.55 * max(sim) DESC, a LIMIT 1) p)
+ SELECT scene, photo_id, pick FROM g""")
 def mmr_reps(spark, d):
     """Representatives of each label's vectors."""
     e = table(spark, d, "embeddings").select(F.col("label").alias("scene"), F.col("vec_id").alias("photo_id"), vec.unit(F.col("embedding"), floor=1e-6).alias("v"), ((F.col("vec_id") * 37 % 101) / 101).alias("iqa"), (F.col("vec_id") % 300).cast("double").alias("blur"), F.lit(1.0).alias("p95"), F.lit(0.5).alias("face"))

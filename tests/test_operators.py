@@ -200,6 +200,10 @@ def test_stories(spark):
     request = stories.parse("Best photos of me and Alice at Leh, golden hour top 5", [(4, "Alice"), (9, None)], ["Leh", "Nubra"], ["hot"])
     assert request.persons == [4] and request.places == ["Leh"] and request.hour == "golden hour" and request.best and request.most == 5 and request.tags == ["hot"] * ("hot" in "photos")
     assert stories.parse("rooftop with us", [(4, None), (9, None), (2, None)], [], []).persons == [4, 9]
+    said = ["p9 and P4 near NUBRA", "candid", "me together", "i", None, "stop me", "top 99 sunset then morning", "TOP  7 favourites", "top 0", "top 123", "p44", "rooftop"]
+    got = stories.requests(spark.createDataFrame([(x,) for x in said], "sentence string"), [(4, "Alice"), (9, "")], ["Leh", "Nubra", ""], []).drop("places", "tags").collect()
+    want = [([4, 9], None, 0.0, False, 24), ([], None, 0.1, False, 24), ([4], None, 0.0, False, 24), ([4], None, 0.0, False, 24), ([], None, 0.0, False, 24), ([4], None, 0.3, True, 24), ([], "sunset", 0.3, True, 48), ([], None, 0.3, True, 7), ([], None, 0.3, True, 1), ([], None, 0.3, True, 24), ([], None, 0.0, False, 24), ([], None, 0.3, True, 24)]
+    assert [tuple(r)[1:] for r in got] == want
     links = spark.createDataFrame([(k, p) for k in range(8) for p in ((1, 2) if k < 4 else (1,))] + [(20, 3)], "photo_id long, person_id long")
     photos = spark.createDataFrame([(k, k) for k in range(30)], "photo_id long, taken_at int")
     got = stories.people_stories(photos, links).groupBy("story").count().collect()
