@@ -57,14 +57,57 @@ def test_only_texts_and_training_labels_matter(spark):
     assert all((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in got)
 
 
+def trained_with_vectors(rows, label, seed=7):
+    """The same descent, step by step on dense means, keeping vectors and output layer apart."""
+    share = (label.sum() + 0.5) / (len(label) + 1)
+    bias = np.array([0.0, np.log(share / (1 - share))])
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / q.DIM, 1 / q.DIM, (1 << q.BITS, q.DIM)).astype(np.float32).astype(float)
+    out = rng.uniform(-1, 1, (2, q.DIM)).astype(np.float32).astype(float)
+    past, past_out, past_bias = 1e-6, 1e-4, 1e-2
+    for _ in range(q.EPOCHS):
+        for i in rng.permutation(len(rows)):
+            bucket, part = rows[i]
+            mean = sum(p * vectors[b] for b, p in zip(bucket, part, strict=True))
+            e = np.exp(out @ mean + bias)
+            off = e / e.sum() - np.eye(2)[int(label[i])]
+            step = np.outer(part, off @ out)
+            past += (step**2).sum()
+            grad = np.outer(off, mean)
+            vectors[bucket] -= q.RATE * step / np.sqrt(past)
+            past_out += (grad**2).mean()
+            out -= q.RATE / 10 * grad / np.sqrt(past_out)
+            past_bias += (off**2).mean()
+            bias -= q.RATE / 10 * off / np.sqrt(past_bias)
+    return vectors, out, bias
+
+
 def test_the_fold_equals_scoring_with_vectors():
+    """What a bucket adds to the logit is its vector in the output layer: the softmax over the mean of vectors gives the same."""
     r = np.random.default_rng(0)
-    rows = [(np.unique(r.integers(0, 50, 9)).astype(np.uint32), None) for _ in range(60)]
-    rows = [(b, np.full(len(b), 1 / len(b), np.float32)) for b, _ in rows]
+    rows = [np.unique(r.integers(0, 50, 9)).astype(np.uint32) for _ in range(60)]
+    rows = [(b, np.full(len(b), 1 / len(b), np.float32)) for b in rows]
     label = np.array([int(b.min() < 5) for b, _ in rows])
     w, bias = q.train(rows, label)
-    right = np.mean([(w[b] @ p + bias > 0) == y for (b, p), y in zip(rows, label, strict=True)])
-    assert right > 0.8
+    vectors, out, two = trained_with_vectors(rows, label)
+    for b, p in rows:
+        e = np.exp(out @ (p @ vectors[b]) + two)
+        assert 1 / (1 + np.exp(-(w[b] @ p + bias))) == pytest.approx(e[1] / e.sum(), abs=2e-3)
+    assert np.mean([(w[b] @ p + bias > 0) == y for (b, p), y in zip(rows, label, strict=True)]) > 0.8
+
+
+def test_scores_are_the_mean_weight_of_all_features(spark):
+    """Against each feature of each text looked up by itself."""
+    texts = ["good words here", "", "bad### text###", "a", "naïve 🙂 Ärger Ärger", "one two " * 500, None]
+    docs = spark.createDataFrame([(k, t, 9.0) for k, t in enumerate(texts)], "doc_id long, text string, score double")
+    weights, bias = np.random.default_rng(3).normal(size=1 << q.BITS).astype(np.float32), 0.25
+    got = {r["doc_id"]: r["score"] for r in q.scored(docs, (weights, bias)).collect()}
+    for k, t in enumerate(texts):
+        data, offsets = q.utf8(pa.array([t or ""]))
+        own = [float(weights[b]) for bucket, _ in q.features(data, offsets) for b in bucket]
+        assert len(own) == sum(len(x) for x in plain_features(t or ""))
+        z = (sum(own) / len(own) if own else 0.0) + bias
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
 
 
 def test_edges(spark, edge_docs, no_docs):
