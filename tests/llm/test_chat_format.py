@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from lumiquarry.llm import chat_format as m
 
-SAYINGS = st.text(st.sampled_from(list("\\<>/ tunrpa#\n\x00\u00e9\U0001f642") + ["<turn ", "</turn>", "<part ", "<part image 0>", "\\"]), max_size=12)
+SAYINGS = st.lists(st.sampled_from([*"\\<>/ tunrpa#\n\x00\u00e9\U0001f642", "<turn ", "</turn>", "<part ", "<part image 0>"]), max_size=12).map("".join)
 
 
 @given(st.lists(st.tuples(SAYINGS, SAYINGS), max_size=5))

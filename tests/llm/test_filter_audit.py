@@ -20,6 +20,7 @@ def fails(text):
 
 
 def brute(docs, labels):
+    labels = [x for x in labels if x[0] is not None]
     good, toxic = {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
     rows = []
     for i, text, lang in docs:
