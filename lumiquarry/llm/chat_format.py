@@ -22,9 +22,9 @@ from lumiquarry.session import table, written
 
 #: Marks of the template. Texts may hold none of them unescaped.
 OPEN, OPENED, CLOSE, PART, PARTED = "<turn ", ">", "</turn>", "<part ", ">"
-#: What a backslash goes before: itself, each mark's beginning, and in a role also what ends the mark.
+#: What a backslash goes before: itself and each mark's beginning; in a role, which a ">" ends, every such character.
 ESCAPED = re.compile(r"\\|<turn |</turn>|<part ")
-ESCAPED_ROLE = re.compile(r"\\|<turn |</turn>|<part |>")
+ESCAPED_ROLE = re.compile(r"[\\<>]")
 #: In formatted text, from left to right: an escaped character, or a mark.
 TOKEN = re.compile(r"\\(.)|<turn ((?:\\.|[^\\>])*)>|</turn>|<part (image|audio|document) (\d+)>", re.S)
 

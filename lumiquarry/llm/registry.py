@@ -113,11 +113,11 @@ SELECT part, filter_order, step, letter, kept::BIGINT AS kept, removed::BIGINT A
        toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM a
 """
 
-#: The template's marks are 6 + role + 1 characters before a text and 7 after it; a backslash and each mark cost one more.
+#: The template's marks are 6 + role + 1 characters before a text and 7 after it; a backslash and each mark cost one more, in a role every backslash and angle bracket.
 OP13 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
-e AS (SELECT *, len(regexp_extract_all(text, '\\|<turn |</turn>|<part ')) + length(text) AS size, length(role) + len(regexp_extract_all(role, '\\|<turn |</turn>|<part |>')) AS head FROM c)
+e AS (SELECT *, len(regexp_extract_all(text, '\\|<turn |</turn>|<part ')) + length(text) AS size, length(role) + len(regexp_extract_all(role, '[\\<>]')) AS head FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(size + head + 14)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
