@@ -49,3 +49,17 @@ def test_stages_bear_edges(spark, edge_docs, no_docs):
             docs = stage(spark, docs, SF)
             assert docs.columns == frame.columns
         assert cp.STAGES[-1][1](spark, docs, SF).count() <= frame.count()
+
+
+def test_run_bears_empty_tables(spark, tmp_path):
+    """Without labels every text stays, without a benchmark none is contaminated, and without documents there are no rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    for name, rows in (("some", docs), ("none", docs.where("false"))):
+        for table, df in (("documents", rows), ("labels", labels), ("benchmark", benchmark)):
+            df.write.parquet(str(tmp_path / name / f"{table}.parquet"))
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = {i for i, (_, c, _) in classes(texts, 5, 80).items() if i == c}
+    assert {r["doc_id"] for r in cp.run(spark, str(tmp_path / "some")).collect()} == want
+    assert cp.run(spark, str(tmp_path / "none")).count() == 0
