@@ -67,7 +67,7 @@ def rows(spark, tmp_path, files, told):
 def test_photos(spark, tmp_path):
     exif = tiff("<", *FULL)
     files = {
-        "full.jpg": jpeg((0xE0, b"JFIF\0"), (0xE1, b"Exif\0\0" + exif)), "big.jpg": jpeg((0xE1, b"http://ns.adobe.com/xap"), (0xE1, b"Exif\0\0" + tiff(">", *FULL))),
+        "full.jpg": jpeg((0xE0, b"JFIF\0"), (0xE1, b"Exif\0\0" + exif)), "big.jpg": jpeg((0xE1, b"another kind of segment"), (0xE1, b"Exif\0\0" + tiff(">", *FULL))),
         "plain.jpg": jpeg(), "raw.dng": exif, "second.jpg": jpeg((0xE1, b"Exif\0\0" + tiff(">", [(0x0110, "Two")], [(0x9003, "no time"), (0x9004, "2023-01-02 03:04:05")], [(2, ((10, 1), (0, 0), (0, 1)))]))),
         "broken.jpg": jpeg((0xE1, b"Exif\0\0" + exif[:60])), "cut.jpg": jpeg((0xE1, b"Exif\0\0" + exif))[:40], "text.jpg": b"not a picture at all", "empty.jpg": b"",
         "loop.dng": b"II*\0\x08\0\0\0\xff\xff" + b"\0" * 40,
