@@ -39,6 +39,12 @@ def upper_median(value: Column) -> Column:
     return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
+def interpolated(low: Column, high: Column, part: Column) -> Column:
+    """``low * (1 - part) + high * part``, of which the first product and the sum are rounded once, as the SQL engine does: between neighbouring doubles other ways come out on the other one."""
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low.cast("double"), (1 - part).cast("double"), (high * part).cast("double")).cast("double")
+    return F.when(part == 0, low).when(low.isNotNull() & high.isNotNull(), fused)
+
+
 def group_elements(df: DataFrame, by: Sequence[str], value: str, places: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
     """(by, one column a place): elements of each group's ascending values; nulls don't count, a group of nulls has none.
 
@@ -56,8 +62,9 @@ def group_elements(df: DataFrame, by: Sequence[str], value: str, places: Mapping
     at = lambda k: F.min(F.when(F.col("_to") > k, F.col("_v")))  # noqa: E731  the value at place k from 0
 
     def element(place: Column) -> Column:
-        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
-        return F.when(part == 0, low).otherwise(low + (high - low) * part)
+        if both.select(place.alias("place")).schema["place"].dataType.typeName() != "double":
+            return at(place)
+        return interpolated(at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place)))
 
     found = both.groupBy("_by").agg(*[element(place(F.col("_n"))).alias(name) for name, place in places.items()])
     groups = df.groupBy(*by).agg(F.lit(1).alias("_one")).drop("_one")
@@ -156,7 +163,7 @@ def whole_percentile(df: DataFrame, value: Column, percent: float, name: str = "
     ends = upto.join(F.broadcast(upto.agg(F.sum("_c").alias("_n"))), F.lit(True)).withColumn("_at", place)
     at = lambda k: F.min(F.when(F.col("_to") > k, F.col("_v")))  # noqa: E731  the value at place k from 0
     low, high, part = at(F.floor("_at")), at(F.ceil("_at")), F.max(F.col("_at") - F.floor("_at"))
-    return ends.agg((low + (high - low) * part).alias(name))
+    return ends.agg(interpolated(low, high, part).alias(name))
 
 
 def agreement(df: DataFrame, order: Sequence[Column], key: str, liked: DataFrame) -> DataFrame:

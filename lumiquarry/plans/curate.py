@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiquarry.functions.scores import AP_WEIGHT, NIMA_WEIGHT, blend, taste_weight
-from lumiquarry.operators.rank import average_percent, linear_percentile, top_per_group, whole_percentile
+from lumiquarry.operators.rank import average_percent, group_elements, linear_place, top_per_group, whole_percentile
 
 
 def library_floor(photos: DataFrame, percent: float, *, ap_weight: float = AP_WEIGHT, nima_weight: float = NIMA_WEIGHT) -> DataFrame:
@@ -34,7 +34,7 @@ def curate(
     if not by:
         df = df.withColumn("_scope", F.lit(0))
     if by:
-        cuts = df.groupBy(*scopes).agg(F.count("*").alias("_n"), linear_percentile(F.col("combined"), percent).alias("_cut"))
+        cuts = df.groupBy(*scopes).agg(F.count("*").alias("_n")).join(group_elements(df, scopes, "combined", {"_cut": linear_place(percent)}), scopes)
     else:  # one scope may be the whole library
         cuts = df.groupBy("_scope").agg(F.count("*").alias("_n")).join(whole_percentile(df, F.col("combined"), percent, "_cut"), F.lit(True))
     cut = F.when(F.col("_n") > max(1, min_keep), F.col("_cut")).otherwise(F.lit(float("-inf")))
