@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,12 @@ def unit(a: Column, *, add: float = 0.0, floor: float = 0.0) -> Column:
         size = F.greatest(norm(a) + F.lit(add), F.lit(floor))
     else:
         size = F.when(norm(a) > 0, norm(a)).otherwise(1.0)
-    return F.transform(a, lambda x: x.cast("double") / size)
+    return once(size, lambda s: F.transform(a, lambda x: x.cast("double") / s))
+
+
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with ``value`` worked once a row: inside the function of an array it would be worked for each element."""
+    return F.transform(F.array(value), of)[0]
 
 
 def cosine(a: Column, b: Column, *, add: float = 1e-9) -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lumiquarry.operators.joins import hub_join
 from lumiquarry.session import written
 
+#: Edges that a task gathers before it turns them into stars.
+HELD = 1 << 20
+
 
 def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """The least of the numbers 0 to n - 1 that each reaches over the edges u[i] - v[i]: roots hang on lesser ones, then paths are halved."""
@@ -27,20 +30,31 @@ def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 
 def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's edges (u, v) as stars: an edge from each node but the least of every component within the task."""
-    t = pa.Table.from_batches(got) if (got := [b for b in batches if b.num_rows]) else None
-    if t is None:
-        return
-    node, code = np.unique(np.concatenate([t["u"].to_numpy(), t["v"].to_numpy()]), return_inverse=True)
-    up = roots(code[: t.num_rows], code[t.num_rows :], len(node))
-    rest = np.flatnonzero(up != np.arange(len(node)))
-    yield pa.RecordBatch.from_arrays([pa.array(node[rest], t.schema.field("u").type), pa.array(node[up[rest]], t.schema.field("v").type)], names=["u", "v"])
+    """The task's edges (u, v) as stars: an edge from each node but the least of every component within the task. HELD edges are gathered, then turned into stars."""
+    held, n = [], 0
+
+    def stars() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        node, code = np.unique(np.concatenate([t["u"].to_numpy(), t["v"].to_numpy()]), return_inverse=True)
+        up = roots(code[: t.num_rows], code[t.num_rows :], len(node))
+        rest = np.flatnonzero(up != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[rest], t.schema.field("u").type), pa.array(node[up[rest]], t.schema.field("v").type)], names=["u", "v"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+            if n > HELD + held[0].num_rows:
+                held = [stars()]
+                n = held[0].num_rows
+    if held:
+        yield stars()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, component): for every node of an edge between two different nodes, the smallest node it reaches.
 
-    Each task first turns the edges it holds into stars. Then large-star hangs each larger neighbour on the smallest
+    Each task first turns the edges it reads into stars, before any is shuffled. Then large-star hangs each larger neighbour on the smallest
     neighbour, small-star each smaller one; the trees flatten in about log(n) rounds. Minima are pre-aggregated before the
     shuffle and joined back by ``hub_join``: a node with more edges than a task's share is broadcast, so a hub's edges
     stay where they are read. Every half round is written to the shared folder. Null ends, loops and repeated edges add
@@ -53,7 +67,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         e = written(e.mapInArrow(contracted, e.schema).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "components")
         return e, (seen.get["n"], seen.get["sum"])
 
-    e, seen = settled(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))))
+    e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
+    e, seen = settled(e.mapInArrow(contracted, e.schema))
     for _ in range(rounds):
         n = seen[0]
         if not n:

@@ -10,9 +10,8 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiquarry.session import written
@@ -21,6 +20,8 @@ from lumiquarry.session import written
 SAMPLE, PIVOTS, TILE = 2048, 64, 1024
 #: Rows up to which all tiles meet.
 SMALL = 4096
+#: Blocks that all rows make up, rows of a block at most, and products that a task holds at once.
+BLOCKS, WIDEST, HELD = 24, 32_768, 1 << 22
 #: Room for rounding in an angle.
 SLACK = 1e-6
 
@@ -142,13 +143,23 @@ def tile_pairs(ranges: DataFrame, angle: float, *, by: Sequence[str]) -> DataFra
     return both.select(*by, F.col("a_tile").alias("a"), F.col("b_tile").alias("b"))
 
 
+def blocks(tiles: DataFrame, *, by: Sequence[str] = (), size: int = TILE) -> DataFrame:
+    """(by, tile, block): tiles in order, gathered to blocks that BLOCKS of hold all rows, of no more than WIDEST rows and a tile, and numbered within a group."""
+    by = list(by)
+    count = written(tiles.groupBy(*by, "tile").agg(F.count("*").alias("n")), "tilecounts")
+    most = min(max(size, -(-(count.agg(F.sum("n")).first()[0] or 0) // BLOCKS)), max(size, WIDEST))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("tile")) - F.col("n")
+    return written(count.select(*by, "tile", F.floor(before / most).cast("long").alias("block")), "blocks")
+
+
 def near_rows(rows: DataFrame, cosine: float, *, by: Sequence[str] = (), key: str = "id", vector: str = "v", look: str | None = None, alike: float = 0.93, size: int = TILE, small: int = SMALL) -> DataFrame:
     """(a, b, similarity), a < b, of unit vectors in one group ``by`` with a dot product of ``cosine`` or more.
 
-    With ``look`` (unit vectors or null) that of the looks must be ``alike`` or more where both tiles have all of them. Rows
-    whose vector is zero, null or not finite have no direction and are in no pair, nor are rows of a null group. A task multiplies two tiles; a row is
-    copied once for each tile that its own may meet, which in clustered vectors is few and in vectors without any structure
-    all of them. Tables of up to ``small`` rows, a few tiles, are dealt to tiles by hash and all of these meet: pivots
+    With ``look`` (unit vectors or null) that of the looks must be ``alike`` or more where both rows have one. Rows
+    whose vector is zero, null or not finite have no direction and are in no pair, nor are rows of a null group. Tiles in
+    order make up ``blocks``, and two blocks meet in one task, with those of their tiles that may meet one of the other: a
+    row is copied once for each block that it may meet, so that what is shuffled grows with the rows and not with their
+    square. Tables of up to ``small`` rows, a few tiles, are dealt to tiles by hash and all of these meet: pivots
     would take longer than they spare. Pairs are the same.
     """
     by = list(by)
@@ -159,33 +170,85 @@ def near_rows(rows: DataFrame, cosine: float, *, by: Sequence[str] = (), key: st
     if n <= small:
         parts = max(1, -(-n // size))
         tile, other = F.pmod(F.xxhash64(key), F.lit(parts)), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-        dealt = base(rows, tile.cast("long").alias("tile"), other.alias("other")).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
+        dealt = base(rows, tile.cast("long").alias("tile"), other.alias("other")).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).withColumn("home", F.col("tile") == F.col("i"))
     else:
         pivots = chosen_pivots(rows, vector, key)
         tiles = base(tiled(rows, pivots, by=by, key=key, vector=vector, size=size), "cell", "tile")
         angle = float(np.arccos(np.clip(cosine, -1, 1)))
-        pairs = written(tile_pairs(written(bounds(tiles, pivots, by=by, vector="v"), "bounds"), angle, by=by).select("a", "b"), "tilepairs")
-        side = lambda own, to: tiles.join(pairs.select(F.col(own).alias("tile"), F.col(to).alias("other")), "tile").withColumns({"i": F.col("tile" if own == "a" else "other"), "j": F.col("other" if own == "a" else "tile")})
-        dealt = side("a", "b").union(side("b", "a").where(F.col("i") != F.col("j")))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        a, b = pdf[pdf["tile"] == i], pdf[pdf["tile"] == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64"})
-        near = matrix(a["v"]) @ matrix(b["v"]).T
+        pairs = tile_pairs(written(bounds(tiles, pivots, by=by, vector="v"), "bounds"), angle, by=by).select("a", "b")
+        block = blocks(tiles, by=by, size=size)
+        of = lambda s: block.select(F.col("tile").alias(s), F.col("block").alias(f"{s}_block"))
+        met = pairs.join(of("a"), "a").join(of("b"), "b")
+        i, j = F.least("a_block", "b_block").alias("i"), F.greatest("a_block", "b_block").alias("j")
+        ends = [met.select(F.col(s).alias("tile"), i, j, (F.col(f"{s}_block") == F.least("a_block", "b_block")).alias("home")) for s in "ab"]
+        dealt = tiles.join(written(ends[0].union(ends[1]).distinct(), "tilepairs"), "tile")
+    order = [*by, "i", "j"]
+    dealt = dealt.select(*order, "home", "id", "v", "look").repartition(*order).sortWithinPartitions(*order, F.desc("home"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, parts = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, v, look_ = batch.column("id").to_numpy(), stacked(batch.column("v")), _looks(batch.column("look"))
+            at = list(zip(*(batch.column(c).to_pylist() for c in order), strict=True))
+            home = batch.column("home").to_numpy(zero_copy_only=False)
+            begin = 0
+            for end in range(1, len(at) + 1):
+                if end < len(at) and at[end] == at[begin] and home[end] == home[begin]:
+                    continue
+                if at[begin] != now:
+                    if now and now[-1] == now[-2]:
+                        yield from _hits(own or _joined(parts), None, cosine, alike)
+                    now, own, parts = at[begin], None, []
+                cut = (ids[begin:end], v[begin:end], look_[0][begin:end], look_[1][begin:end])
+                if home[begin]:
+                    parts.append(cut)
+                elif parts or own:
+                    own = own or _joined(parts)
+                    yield from _hits(cut, own, cosine, alike)
+                begin = end
+        if now and now[-1] == now[-2]:
+            yield from _hits(own or _joined(parts), None, cosine, alike)
+
+    return dealt.mapInArrow(compare, "a long, b long, similarity double")
+
+
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _looks(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The looks as a matrix, zeros where there is none, and which rows have one."""
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    own = stacked(column.drop_null())
+    out = np.zeros((len(column), own.shape[1]))
+    out[there] = own
+    return out, there
+
+
+def _joined(parts: list[Rows]) -> Rows:
+    ids, v, look, there = zip(*parts, strict=True)
+    wide = max(x.shape[1] for x in look)
+    return np.concatenate(ids), np.concatenate(v), np.concatenate([x if x.shape[1] == wide else np.zeros((len(x), wide)) for x in look]), np.concatenate(there)
+
+
+def _hits(one: Rows, other: Rows | None, cosine: float, alike: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of rows of ``one`` and ``other``, or within ``one``, some rows at a time."""
+    begin, n = 0, len(one[0])
+    while begin < n:
+        ids, v, look, there = (x[begin:] for x in one) if other is None else other
+        step = max(1, HELD // max(1, len(ids)))
+        a_ids, a_v, a_look, a_there = (x[begin : begin + step] for x in one)
+        near = a_v @ v.T
         ok = near >= cosine
-        if ok.any() and a["look"].notna().all() and b["look"].notna().all():
-            ok &= matrix(a["look"]) @ matrix(b["look"]).T >= alike
-        x, y = np.nonzero(ok)
-        one, two = a["id"].to_numpy()[x], b["id"].to_numpy()[y]
-        keep = one < two if i == j else one != two
-        return pd.DataFrame({"a": np.minimum(one, two)[keep], "b": np.maximum(one, two)[keep], "similarity": near[x, y][keep]})
-
-    return dealt.groupBy(*by, "i", "j").applyInPandas(compare, "a long, b long, similarity double")
-
-
-def matrix(column: pd.Series) -> np.ndarray:
-    if column.map(len).nunique() > 1:
-        raise ValueError("vectors of different lengths")
-    return np.stack(column)
+        if other is None:
+            ok[:, : len(a_ids)] = np.triu(ok[:, : len(a_ids)], 1)
+        x, y = np.divmod(np.flatnonzero(ok), len(ids))
+        both = a_there[x] & there[y]
+        if both.any():
+            keep = ~both
+            keep[both] = np.einsum("ij,ij->i", a_look[x[both]], look[y[both]]) >= alike
+            x, y = x[keep], y[keep]
+        p, q = a_ids[x], ids[y]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64()), pa.array(near[x, y])], names=["a", "b", "similarity"])
+        begin += step

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumiquarry.functions.vec import unit
+from lumiquarry.functions.vec import once, unit
 from lumiquarry.operators.aggregate import exact_duplicates
 from lumiquarry.operators.graph import connected_components
 from lumiquarry.operators.pivots import TILE, near_rows
@@ -34,7 +34,7 @@ def near_pairs(photos: DataFrame, threshold: float = 0.97, *, key: str = "photo_
 
 def _centred(v):
     mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(v)
-    return F.transform(v, lambda x: x.cast("double") - mean)
+    return once(mean, lambda m: F.transform(v, lambda x: x.cast("double") - m))
 
 
 def near_groups(photos: DataFrame, pairs: DataFrame, *, key: str = "photo_id") -> DataFrame:

@@ -1,9 +1,11 @@
-"""What only shows on larger tables: neighbouring doubles at a percentile."""
+"""What only shows on larger tables: neighbouring doubles at a percentile, copies of rows, work in one task."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumiquarry.operators import rank
+from lumiquarry.operators import pivots, rank
 from lumiquarry.plans import curate
 
 
@@ -15,3 +17,22 @@ def test_percentiles_between_neighbouring_doubles_are_those_of_sql(spark, values
     assert rank.group_elements(p, ["day"], "ap25", {"x": rank.linear_place(percent)}).first()["x"] == want
     kept = curate.curate(p, p, by=["day"], percent=percent, ap_weight=1.0, nima_weight=0.0)
     assert kept.count() == sum(v >= want for v in values)
+
+
+@pytest.mark.parametrize("size", [64, 1024])
+def test_a_row_is_copied_once_a_block_however_small_tiles_are(spark, size, monkeypatch):
+    """Vectors without structure: all tiles meet, and a row goes to some BLOCKS tasks, not to one for each tile."""
+    r = np.random.default_rng(3)
+    v = r.normal(size=(1500, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    monkeypatch.setattr(pivots, "BLOCKS", 5)
+    sent = []
+    real = pivots.written
+    monkeypatch.setattr(pivots, "written", lambda df, what: sent.append((what, out := real(df, what))) or out)
+    got = {(x["a"], x["b"]) for x in pivots.near_rows(rows, 0.4, size=size, small=0).collect()}
+    near = v @ v.T >= 0.4
+    assert got == {(a, b) for a, b in zip(*np.nonzero(near), strict=True) if a < b}
+    tiles, dealt = (next(df for what, df in sent if what == name) for name in ("tiles", "tilepairs"))
+    copies = dealt.join(tiles.groupBy("tile").count(), "tile").agg(F.sum("count")).first()[0] / 1500
+    assert copies <= 6
