@@ -167,9 +167,8 @@ def complete_linkage(vectors: np.ndarray, distance: float, *, held: int = 1 << 2
 def persons(faces: DataFrame, *, key: str = "face_id", photo: str = "photo_id", vector: str = "embedding", distance: float = 0.55, merge: float = 0.65, least: int = 2) -> DataFrame:
     """(key, person): complete linkage of faces, then of the clusters' centroids, keeping persons on ``least`` photos; a person is named by its least key.
 
-    No cluster leaves a component of the graph of pairs within its distance: faces are linked per component of pairs within
-    ``distance``, the centroids of what comes of it per component of pairs within ``merge``. Pairs are found tile by tile
-    (``pivots``); a component is worked in one task, in memory linear in its rows. Null and zero vectors take no part.
+    Faces are linked from their pairs within ``distance``, the centroids of what comes of it from theirs within ``merge``.
+    Pairs are found tile by tile (``pivots``), clusters merged in rounds (``linked``). Null and zero vectors take no part.
     """
     from lumiquarry.functions.vec import unit
 
@@ -183,18 +182,65 @@ def persons(faces: DataFrame, *, key: str = "face_id", photo: str = "photo_id",
     return of_face.join(name, "merged").select(F.col("id").alias(key), "person")
 
 
-def linked(rows: DataFrame, distance: float) -> DataFrame:
-    """(id, cluster): complete linkage of unit vectors (id, v) within ``distance``; a cluster is named by its least id."""
-    pairs = near_rows(rows, 1 - distance)
-    block = rows.join(connected_components(pairs, "a", "b").withColumnRenamed("node", "id"), "id", "left")
+#: Edges between clusters that one task may hold.
+LOCAL = 1 << 20
+
+
+def merges_of(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+    """(a, b): the merges that the rounds of ``linked`` make of the edges (a, b, s), a < b."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, n = code[: len(a)], code[len(a) :], len(nodes)
+    made = []
+    while len(a):
+        order = np.lexsort((b, a, -s))
+        a, b, s = a[order], b[order], s[order]
+        place, best = np.arange(len(a)), np.full(n, len(a))
+        np.minimum.at(best, a, place)
+        np.minimum.at(best, b, place)
+        pick = (best[a] == place) & (best[b] == place)
+        made.append((a[pick], b[pick]))
+        to, parts = np.arange(n), np.ones(n, np.int64)
+        to[b[pick]], parts[a[pick]] = a[pick], 2
+        a, b = np.minimum(to[a], to[b]), np.maximum(to[a], to[b])
+        key = np.where(a < b, a * n + b, -1)
+        order = np.argsort(key, kind="stable")
+        order = order[np.searchsorted(key[order], 0) :]
+        key, start, count = np.unique(key[order], return_index=True, return_counts=True)
+        s = np.minimum.reduceat(s[order], start) if len(key) else s[:0]
+        a, b = key // n, key % n
+        whole = count == parts[a] * parts[b]
+        a, b, s = a[whole], b[whole], s[whole]
+    x, y = (np.concatenate(m) if made else np.zeros(0, np.int64) for m in (zip(*made, strict=True) if made else ((), ())))
+    return pd.DataFrame({"a": nodes[x], "b": nodes[y]})
+
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        label = complete_linkage(np.stack(pdf["v"]), distance)
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["id"].to_numpy()[label]})
+def linked(rows: DataFrame, distance: float) -> DataFrame:
+    """(id, cluster): complete linkage of unit vectors (id, v) within ``distance``; a cluster is named by its least id.
 
-    alone = block.where(F.col("component").isNull()).select("id", F.col("id").alias("cluster"))
-    return alone.unionByName(block.where(F.col("component").isNotNull()).groupBy("component").applyInPandas(link, "id long, cluster long"))
+    Two clusters may merge while all pairs between them are within ``distance``: clusters are nodes, an edge holds the least
+    likeness of such a pair, and edges that miss a pair are dropped. In a round all clusters that are nearest to each other
+    merge at once, which complete linkage lets them do in any order; no task holds a component. Ties go to the lesser ids.
+    Equal vectors go as one. Once LOCAL edges are left, a number that does not grow with the rows, one task does the rest.
+    """
+    same = written(rows.groupBy("v").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")), "vectors")
+    e = written(near_rows(same.select("id", "v"), 1 - distance).select("a", "b", F.col("similarity").alias("s")), "likenesses")
+    merges = None
+    while e.count() > LOCAL:
+        ends = e.select("a", "b", "s", F.explode(F.array("a", "b")).alias("node"))
+        best = ends.groupBy("node").agg(F.max(F.struct("s", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("e"))
+        now = written(best.groupBy((-F.col("e.a")).alias("a"), (-F.col("e.b")).alias("b")).agg(F.count("*").alias("n")).where("n = 2").select("a", "b"), "merges")
+        merges = now if merges is None else merges.union(now)
+        to = now.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("to"))
+        for end in ("a", "b"):
+            e = e.join(to.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")), end, "left")
+        a, b = F.coalesce("a_to", "a"), F.coalesce("b_to", "b")
+        parts = F.when(F.col("a_to").isNull(), 1).otherwise(2) * F.when(F.col("b_to").isNull(), 1).otherwise(2)
+        e = e.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "s", parts.alias("parts")).where("a < b")
+        e = written(e.groupBy("a", "b").agg(F.min("s").alias("s"), F.max("parts").alias("parts"), F.count("*").alias("n")).where("n = parts").select("a", "b", "s"), "likenesses")
+    rest = e.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: merges_of(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["s"].to_numpy()), "a long, b long")
+    names = connected_components(rest if merges is None else merges.union(rest), "a", "b")
+    told = same.select("id", "ids").join(names.withColumnRenamed("node", "id"), "id", "left").select("ids", F.coalesce("component", "id").alias("cluster"))
+    return told.select(F.explode("ids").alias("id"), "cluster")
 
 
 # Picks by scene size, weights of quality, gain and likeness, the likeness that rules a photo out.

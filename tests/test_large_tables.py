@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumiquarry.operators import pivots, rank
+from lumiquarry.operators import cluster, pivots, rank
 from lumiquarry.plans import curate
 
 
@@ -36,3 +36,16 @@ def test_a_row_is_copied_once_a_block_however_small_tiles_are(spark, size, monke
     tiles, dealt = (next(df for what, df in sent if what == name) for name in ("tiles", "tilepairs"))
     copies = dealt.join(tiles.groupBy("tile").count(), "tile").agg(F.sum("count")).first()[0] / 1500
     assert copies <= 6
+
+
+@pytest.mark.parametrize("local", [0, 1 << 20])
+def test_linkage_of_one_component_is_no_task_of_its_own(spark, local, monkeypatch):
+    """All rows hang together; clusters are those of the chain of nearest neighbours, which no longer runs."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(160, 6))
+    v = np.concatenate([v, v[:20]]) / np.linalg.norm(np.concatenate([v, v[:20]]), axis=1, keepdims=True)
+    want = cluster.complete_linkage(v, 0.6)
+    monkeypatch.setattr(cluster, "LOCAL", local)
+    monkeypatch.delattr(cluster, "complete_linkage")
+    got = cluster.linked(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>"), 0.6)
+    assert {x["id"]: x["cluster"] for x in got.collect()} == dict(enumerate(want.tolist()))
