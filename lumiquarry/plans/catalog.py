@@ -235,8 +235,8 @@ def bursts(spark, d):
     place = lambda c: F.when(i % 5 == 0, F.col(c)).alias(c)
     none = F.array().cast("array<array<double>>")
     faces = F.when(i % 3 == 0, none).otherwise(F.array(F.array(*[F.when(i % 2 == k, 1.0).otherwise(0.0) for k in (0, 1)]))).alias("faces")
-    p = with_vectors(spark, d).select("photo_id", "at", place("lat"), place("lon"), "v", faces, F.col("nima").alias("iqa"), "blur")
-    return moments.burst_members(p, moments.burst_edges(p, similar=-0.05))
+    p = with_vectors(spark, d, unit=False).select("photo_id", "at", place("lat"), place("lon"), "v", faces, F.col("nima").alias("iqa"), "blur")
+    return moments.burst_members(p, moments.burst_links(p, similar=-0.05))
 
 
 @query("burst_members", BURSTS)

@@ -9,6 +9,7 @@ from lumiquarry.functions.geo import degrees_apart
 from lumiquarry.functions.vec import dot
 from lumiquarry.operators.graph import connected_components
 from lumiquarry.operators.joins import band_pairs, shares_identity
+from lumiquarry.operators.sweep import band_links
 
 # Seconds, degrees, similarity.
 SECONDS, DEGREES, SIMILAR = 12, 0.0002, 0.96
@@ -22,6 +23,11 @@ def burst_edges(photos: DataFrame, *, seconds: float = SECONDS, similar: float =
     return pairs.select(F.col("photo_id_a").alias("a"), F.col("photo_id_b").alias("b"))
 
 
+def burst_links(photos: DataFrame, *, seconds: float = SECONDS, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): links with the components of ``burst_edges``, a forest of each window instead of every pair; ``v`` need not be of unit length."""
+    return band_links(photos, at="at", key="photo_id", width=seconds, similar=similar, degrees=DEGREES)
+
+
 def burst_members(photos: DataFrame, edges: DataFrame) -> DataFrame:
     """(moment_id, photo_id, rank): components of two or more, the best first. ``photos``: photo_id, at, iqa, blur."""
     members = connected_components(edges, "a", "b").select(F.col("node").alias("photo_id"), F.col("component").alias("moment_id"))
