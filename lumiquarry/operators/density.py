@@ -1,7 +1,7 @@
 """Density clusters of unit vectors from the spanning tree of mutual reachability, in blocks of any size.
 
-No task holds a block's distances. Exact nearest neighbours come from tiles of rows (``pivots``): a task holds one tile and
-streams the tiles that can matter past it, nearest first. The neighbours' edges are reduced to a spanning forest, and
+No task holds a block's distances. Exact nearest neighbours come from tiles of rows (``pivots``): a task holds some tiles and
+streams the tiles that can matter past them, nearest first. The neighbours' edges are reduced to a spanning forest, and
 Boruvka rounds, in which each tree takes its shortest way out over the same tiles, make it one tree. What one task holds of
 a block is that tree: two keys and a length a row, no vector.
 """
@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from lumiquarry.operators.aggregate import mean_vectors
 from lumiquarry.operators.graph import roots
-from lumiquarry.operators.pivots import SLACK, TILE, bounds, chosen_pivots, stacked, tiled
+from lumiquarry.operators.pivots import SLACK, TILE, blocks, bounds, chosen_pivots, stacked, tiled
 from lumiquarry.session import written
 
 #: Neighbours a row has in the first graph, at least; blocks of up to DENSE rows are worked whole, in one task each.
 NEIGHBOURS, DENSE = 10, 1024
+#: Blocks that all rows make up when they look for neighbours, and rows of a block at most.
+PARTS, WIDEST = 16, 65_536
 #: Edges that a task gathers before it leaves out those of no forest.
 THINNED = 1 << 18
 #: No row's key.
@@ -148,66 +150,107 @@ def met(home: DataFrame, other: DataFrame, pairs: DataFrame, k: int) -> DataFram
 
     Both have tile, id, v (unit), tree, core and cap; reach is the greater of the distance and both cores, and less than the
     cap of ``home``. ``pairs`` says which tiles of ``other`` (b) a tile of ``home`` (a) needs, and the least distance (low)
-    they can have: a task holds one tile of ``home``, takes the others nearest first, and multiplies none that is farther
-    than all it has found.
+    they can have. Tiles of ``home`` make up PARTS ``blocks`` (of WIDEST rows at most), and a row of ``other`` goes once to
+    each block that needs it: what is shuffled grows with the rows and not with their square. A task holds a block, takes the
+    other tiles nearest first, each after the list of the tiles that need it, and multiplies none that is farther than all
+    such a tile has found.
     """
-    columns = ["tile", "id", "v", "tree", "core", "cap"]
-    own = home.select(F.col("tile").alias("a"), F.lit(0).alias("far"), F.lit(0.0).alias("low"), *columns)
-    rest = other.join(pairs.select("a", F.col("b").alias("tile"), "low"), "tile").select("a", F.lit(1).alias("far"), "low", *columns)
-    dealt = own.union(rest).repartition("a").sortWithinPartitions("a", "far", "low", "tile")
+    block = blocks(home.select("tile"), parts=PARTS, widest=WIDEST)
+    block = block.select("tile", F.col("block").cast("int").alias("block"))
+    parts = (block.agg(F.max("block")).first()[0] or 0) + 1
+    first = F.min("low").over(Window.partitionBy("block", "b"))
+    heads = written(pairs.select("a", "b", "low").join(block.withColumnRenamed("tile", "a"), "a").select("block", "a", "b", "low").withColumn("first", first), "heads")
+    none = lambda *names: [F.lit(None).cast(home.schema[c].dataType).alias(c) for c in names]
+    no_head = [F.lit(None).cast(home.schema["tile"].dataType).alias("a"), F.lit(None).cast("double").alias("least")]
+    columns = ["id", "v", "tree", "core", "cap"]
+    own = home.select("tile", *columns).join(block, "tile").select("block", F.lit(0).alias("far"), F.lit(0.0).alias("low"), "tile", F.lit(False).alias("row"), *no_head, *columns)
+    lists = heads.select("block", F.lit(1).alias("far"), F.col("first").alias("low"), F.col("b").alias("tile"), F.lit(False).alias("row"), "a", F.col("low").alias("least"), *none(*columns))
+    wanted = heads.select("block", F.col("b").alias("tile"), F.col("first").alias("low")).distinct()
+    rest = other.select("tile", *columns).join(wanted, "tile").select("block", F.lit(1).alias("far"), "low", "tile", F.lit(True).alias("row"), *no_head, *columns)
+    order = ["block", "far", "low", "tile", "row"]
+    dealt = own.union(lists).union(rest).repartitionById(parts, "block").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, ids, v, tree, core, best, near = (None, [], None, None, None, None, None, None)
+        now, held, tiles, want, last = None, {}, {}, [], None
 
-        def found() -> pa.RecordBatch:
+        def found() -> Iterator[pa.RecordBatch]:
             settle()
-            order = np.argsort(best, axis=1, kind="stable")
-            reach, who = np.take_along_axis(best, order, 1), np.take_along_axis(near, order, 1)
-            keep = who != NOBODY
-            offsets = pa.array(np.concatenate([[0], np.cumsum(keep.sum(axis=1))]), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(who[keep])), pa.ListArray.from_arrays(offsets, pa.array(reach[keep]))], names=["id", "near", "reach"])
+            for t in tiles.values():
+                keep = t.near != NOBODY
+                offsets = pa.array(np.concatenate([[0], np.cumsum(keep.sum(axis=1))]), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(t.ids), pa.ListArray.from_arrays(offsets, pa.array(t.near[keep])), pa.ListArray.from_arrays(offsets, pa.array(t.best[keep]))], names=["id", "near", "reach"])
 
         def settle() -> None:
-            nonlocal parts, ids, v, tree, core, best, near
-            if parts:
-                ids, v, tree, core, cap = (np.concatenate([p[x] for p in parts]) for x in range(5))
-                best, near, parts = np.repeat(cap[:, None], k, axis=1), np.full((len(ids), k), NOBODY), []
+            for name, parts in held.items():
+                tiles[name] = Home(k, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+            held.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, far, low, tile = (batch.column(c).to_pylist() for c in ("a", "far", "low", "tile"))
+            at = list(zip(*(batch.column(c).to_pylist() for c in order), strict=True))
             begin = 0
-            for end in range(1, len(a) + 1):
-                if end < len(a) and end - begin < TILE and (a[end], far[end], tile[end]) == (a[begin], far[begin], tile[begin]):
+            for end in range(1, len(at) + 1):
+                if end < len(at) and end - begin < TILE and at[end] == at[begin]:
                     continue
-                if now != (a[begin],):
-                    if now:
-                        yield found()
-                    now, parts = (a[begin],), []
-                if far[begin]:
+                block_, far, _, tile, row = at[begin]
+                cut = batch.slice(begin, end - begin)
+                if block_ != now:
+                    if now is not None:
+                        yield from found()
+                    now, tiles = block_, {}
+                if not far:
+                    held.setdefault(tile, []).append((cut.column("id").to_numpy(), stacked(cut.column("v")), *(cut.column(c).to_numpy() for c in ("tree", "core", "cap"))))
+                elif not row:
                     settle()
-                if not far[begin] or low[begin] <= best[:, -1].max() + SLACK:
-                    cut = batch.slice(begin, end - begin)
-                    rows = (cut.column("id").to_numpy(), stacked(cut.column("v")), *(cut.column(c).to_numpy() for c in ("tree", "core", "cap")))
-                    if not far[begin]:
-                        parts.append(rows)
-                    else:
-                        reach = np.maximum(np.maximum(np.sqrt(np.maximum(2 - 2 * (v @ rows[1].T), 0)), core[:, None]), rows[3])
-                        reach[tree[:, None] == rows[2]] = np.inf
-                        who = np.where(np.isfinite(reach), rows[0], NOBODY)
-                        both, who = np.hstack([best, reach]), np.hstack([near, who])
-                        at = np.argpartition(both, k - 1, axis=1)[:, :k]
-                        best, near = np.take_along_axis(both, at, 1), np.take_along_axis(who, at, 1)
-                        order = np.argsort(best, axis=1, kind="stable")
-                        best, near = np.take_along_axis(best, order, 1), np.take_along_axis(near, order, 1)
+                    want = (want if last == at[begin] else []) + list(zip(cut.column("a").to_pylist(), cut.column("least").to_pylist(), strict=True))
+                    last = at[begin]
+                else:
+                    rows = None
+                    for a, least in want:
+                        if least <= tiles[a].best[:, -1].max() + SLACK:
+                            rows = rows or (cut.column("id").to_numpy(), stacked(cut.column("v")), cut.column("tree").to_numpy(), cut.column("core").to_numpy())
+                            tiles[a].take(*rows)
                 begin = end
-        if now:
-            yield found()
+        if now is not None:
+            yield from found()
 
     return dealt.mapInArrow(run, "id long, near array<long>, reach array<double>")
 
 
+class Home:
+    """The rows of a tile and the ``k`` nearest of other trees found for each so far, nearest first."""
+
+    def __init__(self, k: int, ids: np.ndarray, v: np.ndarray, tree: np.ndarray, core: np.ndarray, cap: np.ndarray) -> None:
+        self.ids, self.v, self.tree, self.core = ids, v, tree, core
+        self.best, self.near = np.repeat(cap[:, None], k, axis=1), np.full((len(ids), k), NOBODY)
+
+    def take(self, ids: np.ndarray, v: np.ndarray, tree: np.ndarray, core: np.ndarray) -> None:
+        """Holds other rows against the tile's; only rows that one of them is nearer to are sorted again."""
+        reach = self.v @ v.T
+        reach *= -2
+        reach += 2
+        np.maximum(reach, 0, out=reach)
+        np.sqrt(reach, out=reach)
+        np.maximum(reach, self.core[:, None], out=reach)
+        np.maximum(reach, core, out=reach)
+        nearer = reach < self.best[:, -1:]
+        if np.isin(tree, self.tree).any():
+            nearer &= self.tree[:, None] != tree
+        x = np.flatnonzero(nearer.any(axis=1))
+        if not len(x):
+            return
+        reach, k = np.where(nearer[x], reach[x], np.inf), self.best.shape[1]
+        if reach.shape[1] > k:
+            at = np.argpartition(reach, k - 1, axis=1)[:, :k]
+            reach, who = np.take_along_axis(reach, at, 1), ids[at]
+        else:
+            who = np.broadcast_to(ids, reach.shape)
+        best, near = np.hstack([self.best[x], reach]), np.hstack([self.near[x], np.where(np.isfinite(reach), who, NOBODY)])
+        order = np.argsort(best, axis=1, kind="stable")[:, :k]
+        self.best[x], self.near[x] = np.take_along_axis(best, order, 1), np.take_along_axis(near, order, 1)
+
+
 def tile_ranges(ranges: DataFrame, by: str) -> DataFrame:
     """(a, b, low, high) of all pairs of tiles of a block: no rows of theirs are nearer than ``low`` or farther than ``high``, by every pivot."""
     side = lambda s: ranges.select(by, *[F.col(c).alias(f"{s}_{c}") for c in ("tile", "lo", "hi")])

@@ -143,11 +143,11 @@ def tile_pairs(ranges: DataFrame, angle: float, *, by: Sequence[str]) -> DataFra
     return both.select(*by, F.col("a_tile").alias("a"), F.col("b_tile").alias("b"))
 
 
-def blocks(tiles: DataFrame, *, by: Sequence[str] = (), size: int = TILE) -> DataFrame:
-    """(by, tile, block): tiles in order, gathered to blocks that BLOCKS of hold all rows, of no more than WIDEST rows and a tile, and numbered within a group."""
+def blocks(tiles: DataFrame, *, by: Sequence[str] = (), size: int = TILE, parts: int | None = None, widest: int | None = None) -> DataFrame:
+    """(by, tile, block): tiles in order, gathered to blocks that ``parts`` (BLOCKS) of hold all rows, of no more than ``widest`` (WIDEST) rows and a tile, and numbered within a group."""
     by = list(by)
     count = written(tiles.groupBy(*by, "tile").agg(F.count("*").alias("n")), "tilecounts")
-    most = min(max(size, -(-(count.agg(F.sum("n")).first()[0] or 0) // BLOCKS)), max(size, WIDEST))
+    most = min(max(size, -(-(count.agg(F.sum("n")).first()[0] or 0) // (parts or BLOCKS))), max(size, widest or WIDEST))
     before = F.sum("n").over(Window.partitionBy(*by).orderBy("tile")) - F.col("n")
     return written(count.select(*by, "tile", F.floor(before / most).cast("long").alias("block")), "blocks")
 

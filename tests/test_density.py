@@ -114,3 +114,23 @@ def test_persons_are_linkage_twice(spark):
     df = held(spark, v).select(F.col("photo_id").alias("face_id"), F.floor(F.col("photo_id") / 2).alias("photo_id"), F.col("v").alias("embedding"))
     got = {r["face_id"]: r["person"] for r in cluster.persons(df, distance=0.5, merge=0.6).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("by", [None, "block"])
+def test_a_row_is_sent_once_a_block_of_tiles(spark, by, monkeypatch):
+    """Vectors without structure: every tile needs all others, and a row goes to some PARTS tasks, not to one for each tile."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(1200, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    monkeypatch.setattr(density, "PARTS", 4)
+    sent = []
+    real = density.written
+    monkeypatch.setattr(density, "written", lambda df, what: sent.append((what, out := real(df, what))) or out)
+    rows = spark.createDataFrame([(k, k % 2, x.tolist()) for k, x in enumerate(v)], "photo_id long, block long, v array<double>")
+    got = {x["photo_id"]: x["cluster"] for x in density.density_clusters(rows, by, dense=50, size=32).collect()}
+    assert len(got) == 1200
+    heads = next(df for what, df in sent if what == "heads").select("block", "b").distinct()
+    tiles = heads.select("b").distinct().count()
+    assert tiles > 30 and heads.count() / tiles <= 6
+    whole = density.density_clusters(rows, by, dense=2000).collect()
+    assert got == {x["photo_id"]: x["cluster"] for x in whole}
