@@ -35,6 +35,8 @@ from lumiquarry.session import table, written
 TILE, TILE_GRAMS, COLUMNS = 512, 1 << 20, 4096
 #: Signatures a task gathers before it packs them.
 FLUSH = 1 << 20
+#: Bytes of a batch that a task hands on at once: the JVM holds each whole, beside its heap, and Python a second time while it is sent.
+HANDED = 1 << 20
 #: Ranges of the hash in which a set's n-grams are counted, each up to 255.
 BUCKETS = 64
 #: Sets of more n-grams are also counted in ranges of about 12 n-grams: in BUCKETS ranges, large sets are alike by chance.
@@ -155,6 +157,13 @@ def unsqueezed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sig << np.uint64(16), node.view(np.int64)
 
 
+def handed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in slices of about HANDED bytes, or of one row."""
+    step = max(1, batch.num_rows * HANDED // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def vertices(digests: list[bytes]) -> np.ndarray:
     """The first 48 bits of digests: the vertex in signatures and edges. Two sets that share them merely share a block."""
     return np.frombuffer(b"".join(x[:6] + b"\0\0" for x in digests), np.int64)
@@ -212,19 +221,26 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
     def packed(sigs: list, nodes: list) -> Iterator[pa.RecordBatch]:
         if not sigs:
             return
-        sig, node, place = runs(np.concatenate(sigs), np.concatenate(nodes))
+        both = np.concatenate(sigs), np.concatenate(nodes)
+        sigs.clear()
+        nodes.clear()
+        sig, node, place = runs(*both)
+        del both
         edges, keep = stars(node, place, LOCAL_GROUP)
         starred = sig[place[:-1][np.diff(place) > LOCAL_GROUP]]
         sig, node = sig[keep], node[keep]
         part = own_part(sig)  # ascending, as sig is
         cut = np.searchsorted(part, np.arange(parts + 1))
         pairs = squeezed(sig, node)
+        del sig, node, part, keep
         full = np.flatnonzero(np.diff(cut))
-        yield rows(part=full.astype(np.int32), sigs=[pairs[cut[p] : cut[p + 1]].tobytes() for p in full])
+        each = max(1, len(full) * HANDED // pairs.nbytes)
+        for at in range(0, len(full), each):
+            yield rows(part=full[at : at + each].astype(np.int32), sigs=[pairs[cut[p] : cut[p + 1]].tobytes() for p in full[at : at + each]])
         if len(starred):
-            yield rows(part=own_part(starred).astype(np.int32), sig=starred.view(np.int64))
+            yield from handed(rows(part=own_part(starred).astype(np.int32), sig=starred.view(np.int64)))
         if len(edges):
-            yield rows(part=(mix(edges[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int32), u=edges[:, 0], v=edges[:, 1])
+            yield from handed(rows(part=(mix(edges[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int32), u=edges[:, 0], v=edges[:, 1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, seen, held, dealt = [], [], set(), 0, 0
@@ -267,10 +283,10 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
             marked = np.isin(sig[place[:-1]] >> np.uint64(16), np.concatenate(starred).view(np.uint64) >> np.uint64(16))
             edges, keep = stars(node, place, GROUP, marked)
             if len(edges):
-                yield rows(u=edges[:, 0], v=edges[:, 1])
+                yield from handed(rows(u=edges[:, 0], v=edges[:, 1]))
             keep &= np.repeat((np.diff(place) > 1) & (np.diff(place) <= GROUP) & ~marked, np.diff(place))
             if keep.any():
-                yield rows(sig=sig[keep].view(np.int64), v=node[keep])
+                yield from handed(rows(sig=sig[keep].view(np.int64), v=node[keep]))
 
     return docs.mapInArrow(tidy(run), FOUND).repartition(parts, "part").mapInArrow(tidy(meet), FOUND)
 
@@ -517,14 +533,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vertices(b.column("digest").to_pylist()))], names=[*b.schema.names, "node"])
 
-    numbered = vertex.mapInArrow(tidy(node), "digest binary, rep long, copies long, n int, counts binary, fine binary, node long")
+    # Written, as are large pairs below: a task of two Python steps takes two workers, which an executor keeps beside its heap until they have been idle for long.
+    numbered = written(vertex.mapInArrow(tidy(node), "digest binary, rep long, copies long, n int, counts binary, fine binary, node long"), "vertices")
     shared = found.where("sig is not null").select("sig", F.col("v").alias("node")).join(numbered.select("node", "n", "counts"), "node")
     pairs = shared.repartition(parts, "sig").mapInArrow(tidy(near_pairs(bounds)), "u long, v long, fine boolean")
     pairs = written(pairs.union(found.where("u is not null").select("u", "v", F.lit(False).alias("fine"))).distinct(), "pairs")
     # Vertices that share 48 bits are two rows here: any of their pairs that passes keeps the edge.
     fine = numbered.where("fine is not null").select("node", "n", "fine")
     large = pairs.where("fine").join(fine.toDF("u", "nu", "fu"), "u").join(fine.toDF("v", "nv", "fv"), "v")
-    large = large.select("u", "v", "nu", "nv", "fu", "fv").mapInArrow(tidy(fine_pairs(bounds)), "u long, v long")
+    large = written(large.select("u", "v", "nu", "nv", "fu", "fv").mapInArrow(tidy(fine_pairs(bounds)), "u long, v long"), "large")
     blocks = connected_components(pairs.where("not fine").select("u", "v").union(large), "u", "v")
     members = written(numbered.join(blocks, "node").select("digest", "rep", "copies", "n", F.col("component").alias("block")), "blocks")
     sent = id_filter(members.select("rep"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumiquarry.llm import ngram_join as nj
@@ -132,3 +133,54 @@ def test_stars_of_one_task_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 7), "doc_id long, text string")
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in nj.jaccard_components(df, size=4, percent=85).collect()}
     assert got == brute(docs, 4, 85)
+
+
+PYTHON = ("MapInArrow", "FlatMapGroupsInPandas", "MapInPandas", "PythonMapInArrow")
+
+
+def python_steps(node, above=0):
+    """The most Python steps that one task of a physical plan runs, one upon the other."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return python_steps(node.initialPlan(), above)
+    here = 0 if "Exchange" in name else above + (name in PYTHON)
+    return max([here, *(python_steps(node.children().apply(k), here) for k in range(node.children().length()))])
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_no_task_takes_two_workers(spark, copies, links, monkeypatch):
+    """Each Python step of a task has a worker of its own, and idle ones stay in an executor's memory."""
+    from lumiquarry.operators import graph
+
+    seen, written = [], nj.written
+
+    def noted(df, what):
+        seen.append((what, python_steps(df._jdf.queryExecution().executedPlan())))
+        return written(df, what)
+
+    monkeypatch.setattr(nj, "written", noted)
+    monkeypatch.setattr(graph, "written", noted)
+    df = nj.jaccard_components(spark.createDataFrame(copies, "doc_id long, text string"), size=4, percent=60, links=links)
+    seen.append(("classes", python_steps(df._jdf.queryExecution().executedPlan())))
+    assert max(n for _, n in seen) == 1, seen
+
+
+def test_batches_are_handed_on_in_small_slices():
+    """Whatever a task has gathered, no batch of many rows is larger than about a megabyte."""
+
+    class Steps(list):
+        def mapInArrow(self, run, _):
+            self.append(run)
+            return self
+
+        def repartition(self, *_):
+            return self
+
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10**6, 400)) for _ in range(1200)]
+    first, second = nj.signed(Steps(), 5, nj.Bounds(80), 40)
+    made = list(first(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(2400)), pa.array([f"{t}{x}" for t in texts for x in ("", " more")])], names=["id", "text"])])))
+    blobs = [b for b in made if b.column("sigs").null_count < b.num_rows]
+    assert sum(b.nbytes for b in blobs) > 2 << 20 and max(b.nbytes for b in blobs) < 1.2 * (1 << 20)
+    near = list(second(iter(made)))
+    assert sum(b.num_rows for b in near) >= 2400 and max(b.nbytes for b in near) < 1.2 * (1 << 20)
