@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lumiquarry.llm.quality import fold
-from lumiquarry.llm.textbytes import LOWER, NOT_SPACE, hashes, mix, pieces, tidy, utf8, words
+from lumiquarry.llm.textbytes import LOWER, NOT_SPACE, hashes, mix, pieces, spread, tidy, utf8, words
 from lumiquarry.session import table, written
 
 #: Words whose counts are broadcast; classes of one word, of WIDTH words, of bands; slots of a class.
@@ -35,6 +35,8 @@ CLASSES = SINGLE + FULL + BANDS + 1
 #: Rows of the classes' table, and of the slots' at most, as powers of two: indices of 16 bits are sorted by radix.
 BITS, INNER = 14, 16
 RATE, STEP = 0.15, 8192
+#: Rows of a group that are added one of all groups at a time; those beyond come by a sum of the group.
+DEEP = 16
 #: Rows of a table in a block, and tasks' blocks that are averaged at once.
 BLOCK, FAN = 2048, 16
 END = np.uint64(0x5851F42D4C957F2D)
@@ -88,6 +90,31 @@ def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarr
     return z
 
 
+def row_sums(g: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, the sum of each one's rows of ``g``, and how many those are; keys of many rows come first.
+
+    Most groups have one row or few, and a call of numpy's a group costs more than its rows: so the first rows of all
+    groups are taken at once, then the second ones, and so on.
+    """
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    n = np.diff(np.append(first, len(order)))
+    depth = np.minimum(n, DEEP + 1)
+    by = np.argsort((DEEP + 1 - depth).astype(np.uint16), kind="stable")
+    first, n = first[by], n[by]
+    above = len(n) - np.cumsum(np.bincount(depth, minlength=DEEP + 2))  # groups of more than so many rows
+    out = g.take(order[first], axis=0)
+    for k in range(1, DEEP):
+        if not above[k]:
+            break
+        out[: above[k]] += g.take(order[first[: above[k]] + k], axis=0)
+    if m := above[DEEP]:
+        rest = n[:m] - DEEP
+        out[:m] += np.add.reduceat(g.take(order[spread(first[:m] + DEEP, rest)], axis=0), np.cumsum(rest) - rest, axis=0)
+    return key[first].astype(np.intp), out, n
+
+
 class Words:
     """The broadcast words: ascending hashes with count, class and slot; bias and smoothed size of each class and slot.
 
@@ -118,16 +145,29 @@ class Words:
             self.slot_bias = np.where(whole[:, None] > 0, np.log(mass / whole[:, None]), 0).astype(np.float32)
         order = np.argsort(h)
         self.hash, self.count, self.kind, self.slot = h[order], count[order], kind[order].astype(np.int32), slot[order].astype(np.int32)
+        # Where words of each leading bits of a hash begin, about one word each.
+        self.shift = np.uint64(64 - max(1, len(h).bit_length()))
+        self.begin = np.searchsorted(self.hash, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
 
     @staticmethod
     def hashed(h: np.ndarray) -> np.ndarray:
         return (mix(h) % np.uint64(WIDTH)).astype(np.int32)
 
+    def place(self, token: np.ndarray) -> np.ndarray:
+        """Where each token is among the words, if anywhere: the first word not below it, or the last one."""
+        at = np.minimum(self.begin[token >> self.shift], len(self.hash) - 1)
+        live = np.flatnonzero(self.hash[at] < token)
+        while len(live):  # past the lesser words of the same leading bits
+            at[live] += 1
+            live = live[at[live] < len(self.hash)]
+            live = live[self.hash[at[live]] < token[live]]
+        return np.minimum(at, len(self.hash) - 1)
+
     def look(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The class and slot of each token, and its count, -1 where it is not among the broadcast words."""
         if not len(self.hash):
             return np.full(len(token), CLASSES - 1, np.int32), self.hashed(token), np.full(len(token), -1)
-        at = np.minimum(np.searchsorted(self.hash, token), len(self.hash) - 1)
+        at = self.place(token)
         held = self.hash[at] == token
         return np.where(held, self.kind[at], CLASSES - 1).astype(np.int32), np.where(held, self.slot[at], self.hashed(token)), np.where(held, self.count[at], -1)
 
@@ -155,7 +195,7 @@ class Model:
             out[at : at + self.step] = self._step(0, words_.bias, table_rows(x, BITS), y, learn)
             many = np.flatnonzero(y >= SINGLE)  # a class of one word has one slot
             if len(many):
-                out[at + many] += self._step(1, words_.slot_bias[y[many]], table_rows(x[:, many], self.bits, y[many]), z[many], learn)
+                out[at + many] += self._step(1, words_.slot_bias.take(y[many], axis=0), table_rows(x[:, many], self.bits, y[many]), z[many], learn)
         return out
 
     def _step(self, which: int, bias: np.ndarray, rows: np.ndarray, y: np.ndarray, learn: bool) -> np.ndarray:
@@ -165,16 +205,13 @@ class Model:
         log = np.log(np.maximum(g[at, y], 1e-30))
         if learn:
             g[at, y] -= 1
-            across = np.ascontiguousarray(g.T)
             past, met = self.past[which], self.met[which]
             for r in rows:
-                order = np.argsort(r, kind="stable")
-                r = r[order]
-                first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                step, r = np.add.reduceat(across.take(order, axis=1), first, axis=1).T, r[first]
+                r, step, n = row_sums(g, r)
                 past[r] += np.einsum("ij,ij->i", step, step) / step.shape[1]
-                table_[r] -= step * (RATE / np.sqrt(past[r]))[:, None]
-                met[r] += np.diff(np.append(first, len(order)))
+                step *= (RATE / np.sqrt(past[r]))[:, None]
+                table_[r] = table_.take(r, axis=0) - step
+                met[r] += n
         return log
 
 

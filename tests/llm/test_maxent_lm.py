@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -58,6 +59,52 @@ def test_the_model_is_a_distribution():
     assert np.allclose(w.mass[-1], 2.5 * np.bincount(lm.Words.hashed(rare), minlength=lm.WIDTH) + 0.5)
 
 
+def test_row_sums_against_a_loop():
+    """Groups of one row, of as many as are added at a time, and of more; whole numbers, so that sums are exact."""
+    r = np.random.default_rng(2)
+    sizes = [1, 1, 2, lm.DEEP - 1, lm.DEEP, lm.DEEP + 1, 5, 300, 1]
+    for key in (r.permutation(np.repeat([9, 0, 4, 65535, 7, 3, 2, 1, 500], sizes)), np.array([6]), np.zeros(40, int), np.arange(70)):
+        key = key.astype(np.uint16)
+        g = r.integers(-9, 9, (len(key), lm.WIDTH)).astype(np.float32)
+        keys, sums, n = lm.row_sums(g, key)
+        assert sorted(keys.tolist()) == sorted(set(key.tolist()))
+        for k, total, count in zip(keys, sums, n, strict=True):
+            assert count == (key == k).sum() and (total == g[key == k].sum(axis=0)).all()
+
+
+def test_words_are_found_among_others_of_like_hashes():
+    """Against a dictionary: crowded leading bits, hashes beside the words', the least and the largest."""
+    r = np.random.default_rng(4)
+    near = (1 << 40) + np.arange(0, 600, 2)
+    far = r.integers(-(2**63), 2**63 - 1, 400)
+    every = np.unique(np.concatenate([near, far, [0, -1]])).astype(np.int64)  # -1 is the largest without a sign
+    for held in (every, every[:1], near.astype(np.int64), every[every != -1]):
+        w = lm.Words([(int(h), k + 1) for k, h in enumerate(held)], 10, len(held), np.zeros((2, lm.WIDTH), np.int64))
+        asked = np.concatenate([every, near + 1, r.integers(-(2**63), 2**63 - 1, 400)]).astype(np.int64)
+        count = {int(h): k + 1 for k, h in enumerate(held)}
+        assert w.look(asked.view(np.uint64))[2].tolist() == [count.get(int(h), -1) for h in asked]
+
+
+def test_learning_costs_few_scorings():
+    """Summing gradients by row took nearly all of the query's CPU; a learning step cost some six scoring ones, and costs three."""
+    r = np.random.default_rng(5)
+    token = lm.mix(r.integers(0, 4000, 20 * lm.STEP).astype(np.uint64))
+    h, c = np.unique(token, return_counts=True)
+    slots = np.stack([np.bincount(lm.Words.hashed(h), c, lm.WIDTH), np.bincount(lm.Words.hashed(h), minlength=lm.WIDTH)])
+    w = lm.Words(list(zip(h.view(np.int64).tolist(), c.tolist(), strict=True)), len(token), len(h), slots)
+    kind, slot, _ = w.look(token)
+    feature = lm.contexts(token, np.array([0, len(token)]))
+    model = lm.Model(lm.INNER, lm.STEP).begin()
+
+    def seconds(learn):
+        began = time.process_time()
+        model.steps(w, feature, kind, slot, learn=learn)
+        return time.process_time() - began
+
+    took = [(seconds(True), seconds(False)) for _ in range(6)]
+    assert min(a for a, _ in took) < 4.5 * min(b for _, b in took)
+
+
 def brute_scores(docs, step):
     """The model's scores of one task's rows, learned from dictionaries a token at a time; feature rows and slots are the operator's."""
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs]
