@@ -5,7 +5,9 @@
    at most D = (a + b)(1 - s)/(1 + s) n-grams. The hash range is cut into more than D bins, so linked sets agree on all
    of some bin. A bin's content is its signature; sets of similar sizes share one binning. A common passage fills a bin
    alone so rarely that it makes no large group by itself, unlike a single common n-gram. Tasks pack signatures into
-   blobs. Pairs that share one must also pass a bound on part sizes: counted in BUCKETS ranges of the hash, two sets
+   blobs. Linked sets agree on more bins than one: a set leaves signatures of very many sets out as long as its other
+   bins still hold one of those, so that a common passage does not bring together what else has nothing in common.
+   Pairs that share a signature must also pass a bound on part sizes: counted in BUCKETS ranges of the hash, two sets
    differ at least by the sum of the differences of their counts, and pairs beyond D go.
 3. Vertices that such pairs connect form blocks. Blocks are cut into tiles; for each pair of tiles the incidence matrices
    are multiplied in slices of columns that both hold, overlap counts are accumulated, and pairs below the bound that
@@ -41,9 +43,11 @@ HANDED = 1 << 20
 BUCKETS = 64
 #: Sets of more n-grams are also counted in ranges of about 12 n-grams: in BUCKETS ranges, large sets are alike by chance.
 FINE = 1000
-#: Vertices of one signature beyond which a task, or the signature's own task, joins them in a star instead of comparing counts.
-#: A signature that any task has starred is starred as a whole: that task sends one vertex for all, which may be far from what its others link with.
-LOCAL_GROUP, GROUP = 256, 4096
+#: Vertices of one signature up to which all their pairs are listed, and beyond which it is left out by each vertex that can spare it.
+#: If more than GROUP cannot, they are joined in a star instead of comparing counts.
+LOCAL_GROUP, GROUP = 32, 4096
+#: Where a signature holds its size class, and the class that marks those of a set's first hashes, which cannot be spared.
+CLASS_AT, FIRST_HASHES = 16, 255
 #: Bits of the filter that says whose texts are read again: its size is fixed, so it can be broadcast; more members mean more texts read in vain.
 FILTER = 26
 PREFIX_TAG = np.uint64(0xA24BAED4963EE407)
@@ -88,11 +92,19 @@ class Bounds:
 
     def signatures(self, flat: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signature, row) such that any two linked rows with different sets share one. Rows are ascending hashes flat[place[i]:place[i + 1]]."""
+        return self.spared(flat, place)[:2]
+
+    def spared(self, flat: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signature, row, spare): ``signatures``, and of each row its size class and, in the binnings of this class and those above, how many
+        signatures it may leave out: linked rows still share one if each leaves out no more, and leaves out what the other does unless it keeps all.
+        """
         n = np.diff(place)
         own = np.searchsorted(self.lo, n, "right") - 1
         top = np.searchsorted(self.lo, n * 100 // self.percent, "right") - 1
-        sigs, rows, lean = [], [], np.zeros(len(n), bool)
-        for up in range(int((top - own).max(initial=0)) + 1):
+        sigs, rows = [], []
+        spare = np.full((len(n), int((top - own).max(initial=0)) + 2), -1, np.int32)
+        spare[:, 0] = own
+        for up in range(spare.shape[1] - 1):
             of = np.flatnonzero((n > 0) & (own + up <= top) & (self.apart[np.maximum(own + up, 0)] > 0))
             if not len(of):
                 continue
@@ -105,20 +117,26 @@ class Bounds:
             new[1:] = (bin_[1:] != bin_[:-1]) | (inst[1:] != inst[:-1])
             at = np.flatnonzero(new)
             inst = inst[at]
-            sig = mix(np.add.reduceat(mix(s), at) + mix(bin_[at] * np.uint64(1 << 20) + k[inst].astype(np.uint64)))
+            sig = of_class(mix(np.add.reduceat(mix(s), at) + mix(bin_[at] * np.uint64(1 << 20) + k[inst].astype(np.uint64))), k[inst])
             rich = np.diff(np.append(at, len(s))) >= self.least[k][inst]
             sig, inst = sig[rich], inst[rich]
             sigs.append(sig)
             rows.append(of[inst])
-            lean[of] |= bins - np.bincount(inst, minlength=len(of)) > self.slack[k]
-        # Two rows that both have more poor bins might agree on poor bins alone: those also share one of their first hashes.
-        if len(of := np.flatnonzero(lean)):
-            size = n[of] + (-self.percent * n[of]) // 100 + 1
-            sigs.append(mix(flat[spread(place[of], size)] ^ PREFIX_TAG))
-            rows.append(np.repeat(of, size))
+            spare[of, up + 1] = self.slack[k] - bins + np.bincount(inst, minlength=len(of))
+            # Two rows that both have more poor bins might agree on poor bins alone: those also share one of their first hashes.
+            if (lean := spare[of, up + 1] < 0).any():
+                of, k = of[lean], k[lean].astype(np.uint64)
+                size = n[of] + (-self.percent * n[of]) // 100 + 1
+                sigs.append(of_class(mix(flat[spread(place[of], size)] ^ PREFIX_TAG ^ mix(np.repeat(k, size))), np.array(FIRST_HASHES)))
+                rows.append(np.repeat(of, size))
         if not sigs:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(sigs), np.concatenate(rows)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), spare
+        return np.concatenate(sigs), np.concatenate(rows), spare
+
+
+def of_class(sig: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The signatures with the size class in them, among the bits that ``squeezed`` leaves."""
+    return (sig & ~np.uint64(255 << CLASS_AT)) | (k.astype(np.uint64) << np.uint64(CLASS_AT))
 
 
 def grams(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,19 +160,26 @@ def runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig, node, np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig)) if len(sig) else np.zeros(1, np.int64)
 
 
-def squeezed(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Twelve bytes a pair: the high 48 bits of each. Signatures that agree so far are taken as one, which only adds candidates."""
-    out = np.empty((len(sig), 6), np.uint16)
-    for k in range(3):
-        out[:, k] = sig >> np.uint64(48 - 16 * k)
-        out[:, 3 + k] = node >> np.int64(32 - 16 * k)
-    return out
+def squeezed(sig: np.ndarray, node: np.ndarray) -> bytes:
+    """About ten bytes a pair: of the high 48 bits of ascending signatures the steps, in as many bytes as the largest needs, and 48 bits of a node.
+
+    Signatures that agree so far are taken as one, which only adds candidates.
+    """
+    high = sig >> np.uint64(16)
+    step = np.diff(high, prepend=high[:1])
+    wide = max(1, -(-int(step.max()).bit_length() // 8))
+    pairs = np.concatenate([x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - w :] for x, w in ((step, wide), (node, 6))], axis=1)
+    return (int(high[0]) << 16 | wide).to_bytes(8, "big") + pairs.tobytes()
 
 
 def unsqueezed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.frombuffer(blob, np.uint16).reshape(-1, 6).astype(np.uint64)
-    sig, node = ((pairs[:, k] << np.uint64(32)) | (pairs[:, k + 1] << np.uint64(16)) | pairs[:, k + 2] for k in (0, 3))
-    return sig << np.uint64(16), node.view(np.int64)
+    head = int.from_bytes(blob[:8], "big")
+    wide = head & 0xFFFF
+    pairs = np.frombuffer(blob, np.uint8, offset=8).reshape(-1, wide + 6)
+    step, node = np.zeros((len(pairs), 8), np.uint8), np.zeros((len(pairs), 8), np.uint8)
+    step[:, 8 - wide :], node[:, 2:] = pairs[:, :wide], pairs[:, wide:]
+    high = np.cumsum(step.view(">u8").ravel().astype(np.uint64), dtype=np.uint64) + np.uint64(head >> 16)
+    return high << np.uint64(16), node.view(">u8").ravel().astype(np.int64)
 
 
 def handed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -169,18 +194,7 @@ def vertices(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(x[:6] + b"\0\0" for x in digests), np.int64)
 
 
-def stars(node: np.ndarray, place: np.ndarray, size: int, marked: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (first, other) within groups of more than ``size`` nodes or ``marked`` ones, and which entries are left: all but the others."""
-    n = np.diff(place)
-    big = np.flatnonzero((n > size) | marked)
-    other = spread(place[big] + 1, n[big] - 1)
-    keep = np.ones(len(node), bool)
-    keep[other] = False
-    edges = np.stack([np.repeat(node[place[big]], n[big] - 1), node[other]], axis=1)
-    return np.unique(edges, axis=0) if len(edges) else edges, keep
-
-
-FOUND = "part int, sigs binary, id long, n int, digest binary, counts binary, fine binary, sig long, u long, v long"
+FOUND = "part int, sigs binary, id long, n int, digest binary, counts binary, fine binary, spare array<int>, sig long, node long, hot boolean, u long, v long"
 
 
 def counts(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -205,14 +219,15 @@ def apart_at_least(a: bytes, b: bytes) -> int:
 
 
 def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
-    """Rows of three kinds: a document's id, n, digest and counts; a signature and one of the nodes that share it; an edge (u, v).
+    """Rows of three kinds: a document's id, n, digest, counts and spare; a signature, one of the nodes that share it, and whether it is hot: beyond
+    GROUP; the only two nodes (u, v) of a signature.
 
-    Between the two steps, a row of a signature alone says that a task has joined its nodes in a star.
+    Of rows with one digest some have spare.
     """
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
-        kinds = {"part": pa.int32(), "sigs": pa.binary(), "id": pa.int64(), "n": pa.int32(), "digest": pa.binary(), "counts": pa.binary(), "fine": pa.binary(), "sig": pa.int64(), "u": pa.int64(), "v": pa.int64()}
+        kinds = {"part": pa.int32(), "sigs": pa.binary(), "id": pa.int64(), "n": pa.int32(), "digest": pa.binary(), "counts": pa.binary(), "fine": pa.binary(), "spare": pa.list_(pa.int32()), "sig": pa.int64(), "node": pa.int64(), "hot": pa.bool_(), "u": pa.int64(), "v": pa.int64()}
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
     def own_part(sig: np.ndarray) -> np.ndarray:
@@ -224,23 +239,14 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
         both = np.concatenate(sigs), np.concatenate(nodes)
         sigs.clear()
         nodes.clear()
-        sig, node, place = runs(*both)
+        sig, node, _ = runs(*both)
         del both
-        edges, keep = stars(node, place, LOCAL_GROUP)
-        starred = sig[place[:-1][np.diff(place) > LOCAL_GROUP]]
-        sig, node = sig[keep], node[keep]
         part = own_part(sig)  # ascending, as sig is
         cut = np.searchsorted(part, np.arange(parts + 1))
-        pairs = squeezed(sig, node)
-        del sig, node, part, keep
         full = np.flatnonzero(np.diff(cut))
-        each = max(1, len(full) * HANDED // pairs.nbytes)
+        each = max(1, len(full) * HANDED // (12 * len(sig)))
         for at in range(0, len(full), each):
-            yield rows(part=full[at : at + each].astype(np.int32), sigs=[pairs[cut[p] : cut[p + 1]].tobytes() for p in full[at : at + each]])
-        if len(starred):
-            yield from handed(rows(part=own_part(starred).astype(np.int32), sig=starred.view(np.int64)))
-        if len(edges):
-            yield from handed(rows(part=(mix(edges[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int32), u=edges[:, 0], v=edges[:, 1]))
+            yield rows(part=full[at : at + each].astype(np.int32), sigs=[squeezed(sig[cut[p] : cut[p + 1]], node[cut[p] : cut[p + 1]]) for p in full[at : at + each]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, seen, held, dealt = [], [], set(), 0, 0
@@ -249,7 +255,6 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
             flat, place = grams(batch, size)
             marks = [digest(flat[a:b]) if b > a else None for a, b in zip(place[:-1], place[1:], strict=True)]
             id_ = batch.column("id")
-            yield rows(part=(dealt + np.arange(len(marks))) % parts, id=id_, n=np.diff(place).astype(np.int32), digest=marks, counts=[x.tobytes() for x in counts(flat, place)], fine=[fine_counts(flat[a:b]) for a, b in zip(place[:-1], place[1:], strict=True)])
             fresh = []
             for k, (m, i) in enumerate(zip(marks, id_.to_pylist(), strict=True)):
                 if m and i is not None and m not in seen:
@@ -257,7 +262,9 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
                     fresh.append(k)
             fresh = np.array(fresh, np.int64)
             count = np.diff(place)[fresh]
-            sig, row = bounds.signatures(flat[spread(place[fresh], count)] if len(fresh) else flat[:0], np.concatenate([[0], np.cumsum(count)]).astype(np.int64))
+            sig, row, spare = bounds.spared(flat[spread(place[fresh], count)] if len(fresh) else flat[:0], np.concatenate([[0], np.cumsum(count)]).astype(np.int64))
+            spares = dict(zip(fresh.tolist(), spare.tolist(), strict=True))
+            yield rows(part=(dealt + np.arange(len(marks))) % parts, id=id_, n=np.diff(place).astype(np.int32), digest=marks, counts=[x.tobytes() for x in counts(flat, place)], fine=[fine_counts(flat[a:b]) for a, b in zip(place[:-1], place[1:], strict=True)], spare=[spares.get(k) for k in range(len(marks))])
             if len(sig):
                 sigs.append(sig)
                 nodes.append(vertices([marks[k] for k in fresh])[row])
@@ -268,40 +275,66 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
         yield from packed(sigs, nodes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, starred = [], [np.zeros(0, np.int64)]
+        blobs = []
         for batch in batches:
-            sigs, marks = batch.column("sigs"), batch.column("sig")
+            sigs = batch.column("sigs")
             blobs += [x.as_py() for x in sigs.drop_null()]
-            starred.append(marks.drop_null().to_numpy())
-            rest = batch.filter(pc.and_(sigs.is_null(), marks.is_null()))
+            rest = batch.filter(sigs.is_null())
             if rest.num_rows:
                 yield rest
         if blobs:
-            pairs = unsqueezed(b"".join(blobs))
+            pairs = [np.concatenate(x) for x in zip(*map(unsqueezed, blobs), strict=True)]
             del blobs
             sig, node, place = runs(*pairs)
-            marked = np.isin(sig[place[:-1]] >> np.uint64(16), np.concatenate(starred).view(np.uint64) >> np.uint64(16))
-            edges, keep = stars(node, place, GROUP, marked)
-            if len(edges):
-                yield from handed(rows(u=edges[:, 0], v=edges[:, 1]))
-            keep &= np.repeat((np.diff(place) > 1) & (np.diff(place) <= GROUP) & ~marked, np.diff(place))
-            if keep.any():
-                yield from handed(rows(sig=sig[keep].view(np.int64), v=node[keep]))
+            del pairs
+            size = np.diff(place)
+            if len(two := place[:-1][size == 2]):
+                two = np.unique(np.stack([node[two], node[two + 1]], axis=1), axis=0)
+                yield from handed(rows(u=two[:, 0], v=two[:, 1]))
+            size = np.repeat(size, size)
+            if (keep := size > 2).any():
+                yield from handed(rows(sig=sig[keep].view(np.int64), node=node[keep], hot=size[keep] > GROUP))
 
     return docs.mapInArrow(tidy(run), FOUND).repartition(parts, "part").mapInArrow(tidy(meet), FOUND)
 
 
-def near_pairs(bounds: Bounds):
-    """Of rows (sig, node, n, counts), those of one signature in one task: edges (u, v, fine) of nodes that share one and pass the bounds on sizes.
-
-    Edges are a spanning forest, but for pairs of large sets in small groups, which are all there, for their fine counts.
-    """
+def passing(bounds: Bounds):
+    """Whether the sets i and j, by their sizes ``n`` and counts ``c``, may link."""
 
     def passes(n: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         most = (n[i] + n[j]) * (100 - bounds.percent) // (100 + bounds.percent)
         apart = np.concatenate([np.abs(c[i[k : k + 65536]] - c[j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
         return (apart <= most) & (np.minimum(n[i], n[j]) * 100 >= bounds.percent * np.maximum(n[i], n[j]))
 
+    return passes
+
+
+def counted(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+
+
+def lone_pairs(bounds: Bounds):
+    """Of rows (u, v, nu, nv, cu, cv) the edges (u, v, fine) that pass the bounds on sizes."""
+    passes = passing(bounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.concatenate([b.column("nu").to_numpy(), b.column("nv").to_numpy()]).astype(np.int64)
+            at = np.arange(b.num_rows)
+            ok = passes(n, np.concatenate([counted(b.column("cu")), counted(b.column("cv"))]), at, at + b.num_rows)
+            large = np.minimum(n[: b.num_rows], n[b.num_rows :]) > FINE
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(large)], names=["u", "v", "fine"]).filter(pa.array(ok))
+
+    return run
+
+
+def near_pairs(bounds: Bounds):
+    """Of rows (sig, node, n, counts), those of one signature in one task: edges (u, v, fine) of nodes that share one and pass the bounds on sizes.
+
+    Edges are a spanning forest, but for pairs of large sets in small groups, which are all there, for their fine counts.
+    """
+    passes = passing(bounds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -311,9 +344,9 @@ def near_pairs(bounds: Bounds):
         sig, at, place = runs(t["sig"].to_numpy(), at)
         _, first = np.unique(t["node"].to_numpy(), return_index=True)
         n = t["n"].to_numpy()[first].astype(np.int64)
-        c = np.frombuffer(b"".join(t["counts"].take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        c = counted(t["counts"].take(pa.array(first)))
         size, pairs = np.diff(place), []
-        for g in range(2, min(33, int(size.max()) + 1)):
+        for g in range(2, min(LOCAL_GROUP, int(size.max())) + 1):
             of = at[spread(place[:-1][size == g], np.full((size == g).sum(), g))].reshape(-1, g)
             i, j = np.triu_indices(g, 1)
             pairs.append(np.stack([of[:, i].ravel(), of[:, j].ravel()], axis=1))
@@ -338,7 +371,7 @@ def near_pairs(bounds: Bounds):
             if a != b:
                 root[max(a, b)] = min(a, b)
                 edges.append((a, b))
-        for k in np.flatnonzero(size >= 33):
+        for k in np.flatnonzero(size > LOCAL_GROUP):
             own = at[place[k] : place[k + 1]]
             top = np.array([find(x) for x in own])
             for x in range(len(own)):  # against all nodes after it that are not yet connected with it
@@ -357,6 +390,21 @@ def near_pairs(bounds: Bounds):
     return run
 
 
+def unspared(hot: DataFrame, vertex: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of hot signatures (sig, node) those that ``vertex`` (node, spare) cannot leave out: (sig, node) to be compared, and edges (u, v) of stars.
+
+    A vertex leaves all its hot signatures of a binning out or none. If one of two linked vertices leaves them out, they agree on another of
+    its bins, as it can spare those; if neither does, they share what they shared.
+    """
+    hot = hot.withColumn("k", F.shiftright("sig", CLASS_AT).bitwiseAND(255).cast("int"))
+    spare = F.coalesce(F.get("spare", F.col("k") - F.get("spare", F.lit(0)) + 1), F.lit(-1))
+    kept = hot.groupBy("node", "k").agg(F.count("*").alias("n")).join(vertex, "node").where((F.col("k") == FIRST_HASHES) | (F.col("n") >= spare))
+    hot = written(hot.join(kept.select("node", "k"), ["node", "k"], "left_semi").select("sig", "node"), "hot")
+    of = hot.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("u"))
+    both = hot.join(of.where("n > 1"), "sig")
+    return both.where(F.col("n") <= GROUP).select("sig", "node"), both.where((F.col("n") > GROUP) & (F.col("u") < F.col("node"))).select("u", F.col("node").alias("v"))
+
+
 def fine_pairs(bounds: Bounds):
     """Of rows (u, v, nu, nv, fu, fv) the pairs (u, v) whose fine counts do not rule a link out."""
 
@@ -459,16 +507,15 @@ def products(sets: DataFrame, bounds: Bounds) -> DataFrame:
 
 
 def spanned(sets: DataFrame, bounds: Bounds) -> DataFrame:
-    """Edges (u, v) that connect what the links of ``sets`` (block, rep, copies, grams) connect, without all pairs of a class.
+    """Edges (u, v) that connect what the links of ``sets`` (block, rep, copies, grams, mine, tiles) connect, without all pairs of a class.
 
     1. Each tile alone. 2. In blocks of several tiles, one set of each class of each tile, against each other. 3. Whatever
     is not in the block's largest class by then, against all sets of the block. What is never compared is within that
     class, where further links connect nothing new.
     """
-    own = written(tiled(sets), "tiles")
     edges = lambda df, what: written(products(df, bounds).where("v is not null"), what)
-    found = edges(own.withColumn("meets", F.array("mine")), "links")
-    large = own.where("tiles > 1")
+    found = edges(sets.withColumn("meets", F.array("mine")), "links")
+    large = sets.where("tiles > 1")
     if large.isEmpty():
         return found
 
@@ -526,18 +573,23 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = written(signed(base, size, bounds, parts), "ngrams")
-    sets = found.where("n is not null").select("id", "n", "digest", "counts", "fine")
-    vertex = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine"))
+    sets = found.where("n is not null").select("id", "n", "digest")
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "counts", "fine", "spare")]
+    vertex = found.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *first)
 
     def node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vertices(b.column("digest").to_pylist()))], names=[*b.schema.names, "node"])
 
     # Written, as are large pairs below: a task of two Python steps takes two workers, which an executor keeps beside its heap until they have been idle for long.
-    numbered = written(vertex.mapInArrow(tidy(node), "digest binary, rep long, copies long, n int, counts binary, fine binary, node long"), "vertices")
-    shared = found.where("sig is not null").select("sig", F.col("v").alias("node")).join(numbered.select("node", "n", "counts"), "node")
+    numbered = written(vertex.mapInArrow(tidy(node), "digest binary, rep long, copies long, n int, counts binary, fine binary, spare array<int>, node long"), "vertices")
+    few, star = unspared(found.where("hot").select("sig", "node"), numbered.select("node", "spare"))
+    shared = found.where("not hot").select("sig", "node").union(few).join(numbered.select("node", "n", "counts"), "node")
     pairs = shared.repartition(parts, "sig").mapInArrow(tidy(near_pairs(bounds)), "u long, v long, fine boolean")
-    pairs = written(pairs.union(found.where("u is not null").select("u", "v", F.lit(False).alias("fine"))).distinct(), "pairs")
+    by_node = numbered.select("node", "n", "counts")
+    lone = found.where("u is not null").select("u", "v").distinct().join(by_node.toDF("u", "nu", "cu"), "u").join(by_node.toDF("v", "nv", "cv"), "v")
+    pairs = pairs.union(lone.mapInArrow(tidy(lone_pairs(bounds)), "u long, v long, fine boolean"))
+    pairs = written(pairs.union(star.withColumn("fine", F.lit(False))).distinct(), "pairs")
     # Vertices that share 48 bits are two rows here: any of their pairs that passes keeps the edge.
     fine = numbered.where("fine is not null").select("node", "n", "fine")
     large = pairs.where("fine").join(fine.toDF("u", "nu", "fu"), "u").join(fine.toDF("v", "nv", "fv"), "v")
@@ -554,14 +606,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([digest(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["rep", "digest", "grams"])
 
     texts = base.where("id is not null").withColumn("bit", id_bit("id")).mapInArrow(tidy(sets_of), "rep long, digest binary, grams binary")
-    if links:  # the tiles are counted on the narrow members, so that texts are read again once
-        tiles = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"))
-        own = texts.join(members.join(tiles, "block"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
-        own = own.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("meets", F.sequence(F.lit(0), F.col("tiles") - 1))
-        done = written(products(own, bounds), "links")
+    # The tiles are counted on the narrow members, so that texts are read again once and n-grams are written once.
+    tiles = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"))
+    own = texts.join(members.join(tiles, "block").drop("n"), ["rep", "digest"]).dropDuplicates(["rep", "digest"]).drop("digest")
+    own = own.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    if links:
+        done = written(products(own.withColumn("meets", F.sequence(F.lit(0), F.col("tiles") - 1)), bounds), "links")
     else:
-        own = texts.join(members, ["rep", "digest"]).dropDuplicates(["rep", "digest"]).select("block", "rep", "copies", "grams")
-        done = spanned(written(own, "sets"), bounds)
+        done = spanned(written(own, "tiles"), bounds)
     classes = connected_components(done.where("v is not null"), "u", "v").select(F.col("node").alias("rep"), "component")
     degree = (done if links else done.withColumn("links", F.lit(None).cast("long"))).where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     by_set = vertex.join(classes, "rep", "left").join(degree, "rep", "left").select(
@@ -579,7 +631,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
 
     Of rows that repeat the standing id, all stay; rows with a null id stay.
     """
-    classes = jaccard_components(docs, id_col=id_col, **how)
+    classes = jaccard_components(docs, id_col=id_col, links=False, **how)
     dropped = written(classes.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "dropped")
     sent = id_filter(dropped)
     mark = "_bit"
@@ -602,4 +654,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: classes by 4-word shingles and a similarity of 0.85. See ``jaccard_components`` for nulls and repeats."""
-    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85, links=False).select("doc_id", "n_shingles", "component_id")

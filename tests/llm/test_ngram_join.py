@@ -184,3 +184,74 @@ def test_batches_are_handed_on_in_small_slices():
     assert sum(b.nbytes for b in blobs) > 2 << 20 and max(b.nbytes for b in blobs) < 1.2 * (1 << 20)
     near = list(second(iter(made)))
     assert sum(b.num_rows for b in near) >= 2400 and max(b.nbytes for b in near) < 1.2 * (1 << 20)
+
+
+def test_pairs_of_signatures_and_nodes_come_back():
+    r = np.random.default_rng(2)
+    for n, high in ((1, 64), (7, 64), (5000, 64), (5000, 44)):
+        sig, node = np.sort(r.integers(0, 2**high, n, dtype=np.uint64)), r.integers(0, 2**48, n)
+        got = nj.unsqueezed(nj.squeezed(sig, node))
+        assert (got[0] == sig & ~np.uint64(0xFFFF)).all() and (got[1] == node).all()
+    assert len(nj.squeezed(sig, node)) < 11 * n
+
+
+def test_what_is_spared_leaves_a_signature():
+    """Linked sets share more signatures of the larger one's binning than either may leave out, or both may leave out none and share a first hash."""
+    r = np.random.default_rng(6)
+    pairs = 0
+    for percent in (60, 80, 85):
+        bounds = nj.Bounds(percent)
+        for _ in range(300):
+            n = int(r.integers(5, 600))
+            a = r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+            off = int((1 - percent / 100) * n)
+            a, b = np.unique(a), np.unique(np.concatenate([a[off // 2 :], r.integers(0, 2**63, off // 2, dtype=np.uint64) * np.uint64(2)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < percent * len(np.union1d(a, b)) or set(a) == set(b):
+                continue
+            sig, row, spare = bounds.spared(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            k = spare[:, 0].max()
+            mine = [set(sig[row == i]) for i in (0, 1)]
+            shared = [int(s) >> nj.CLASS_AT & 255 for s in mine[0] & mine[1]]
+            may = [spare[i, k - spare[i, 0] + 1] for i in (0, 1)]
+            assert shared.count(k) > max(may) if max(may) >= 0 else nj.FIRST_HASHES in shared
+            pairs += max(may) > 0
+    assert pairs > 100
+
+
+def test_a_common_passage_makes_no_block(spark, monkeypatch):
+    """300 texts with one passage of 40 words, of 20 of them a near copy, and 30 near copies of one text: links as by brute force, no block of strangers."""
+    monkeypatch.setattr(nj, "GROUP", 8)
+    blocks, written = [], nj.written
+
+    def noted(df, what):
+        out = written(df, what)
+        blocks.extend(r["rep"] for r in (out.select("rep").collect() if what == "blocks" else ()))
+        return out
+
+    monkeypatch.setattr(nj, "written", noted)
+    r = random.Random(12)
+    passage, own = [f"common{x}" for x in range(40)], [[f"w{r.randrange(10**9)}" for _ in range(120)] for _ in range(300)]
+    texts = [w[: (at := r.randrange(120))] + passage + w[at:] for w in own]
+    texts += [[*t[:50], "other", *t[51:]] for t in texts[:20]] + [[*texts[0], f"more{x}"] for x in range(30)]
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = nj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), links=False).collect()
+    want = brute(docs, 5, 80)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == {i: x[:2] for i, x in want.items()}
+    assert len(blocks) < 100  # 70 of them linked
+
+
+def test_near_copies_are_not_sent_to_all_tiles(spark, monkeypatch):
+    """What keep_one sends to products grows with a group of near copies, not with the square of its tiles."""
+    monkeypatch.setattr(nj, "TILE", 4)
+    sent, products = [], nj.products
+
+    def noted(sets, bounds):
+        sent.append(sum(len(r["meets"]) for r in sets.select("meets").collect()))
+        return products(sets, bounds)
+
+    monkeypatch.setattr(nj, "products", noted)
+    docs = [(k, " ".join([*(f"w{x}" for x in range(200)), f"own{k}"])) for k in range(128)]
+    kept = nj.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in kept] == [0]
+    assert sum(sent) < 4 * len(docs), sent
