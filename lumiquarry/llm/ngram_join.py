@@ -5,7 +5,7 @@
    at most D = (a + b)(1 - s)/(1 + s) n-grams. The hash range is cut into more than D bins, so linked sets agree on all
    of some bin. A bin's content is its signature; sets of similar sizes share one binning. A common passage fills a bin
    alone so rarely that it makes no large group by itself, unlike a single common n-gram. Tasks pack signatures into
-   blobs. Linked sets agree on more bins than one: a set leaves signatures of very many sets out as long as its other
+   blobs. Linked sets agree on more bins than one: a set leaves signatures of many sets out as long as its other
    bins still hold one of those, so that a common passage does not bring together what else has nothing in common.
    Pairs that share a signature must also pass a bound on part sizes: counted in BUCKETS ranges of the hash, two sets
    differ at least by the sum of the differences of their counts, and pairs beyond D go.
@@ -219,8 +219,8 @@ def apart_at_least(a: bytes, b: bytes) -> int:
 
 
 def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
-    """Rows of three kinds: a document's id, n, digest, counts and spare; a signature, one of the nodes that share it, and whether it is hot: beyond
-    GROUP; the only two nodes (u, v) of a signature.
+    """Rows of three kinds: a document's id, n, digest, counts and spare; a signature, one of the nodes that share it, and whether it is hot: of more
+    than LOCAL_GROUP; the only two nodes (u, v) of a signature.
 
     Of rows with one digest some have spare.
     """
@@ -293,7 +293,7 @@ def signed(docs: DataFrame, size: int, bounds: Bounds, parts: int) -> DataFrame:
                 yield from handed(rows(u=two[:, 0], v=two[:, 1]))
             size = np.repeat(size, size)
             if (keep := size > 2).any():
-                yield from handed(rows(sig=sig[keep].view(np.int64), node=node[keep], hot=size[keep] > GROUP))
+                yield from handed(rows(sig=sig[keep].view(np.int64), node=node[keep], hot=size[keep] > LOCAL_GROUP))
 
     return docs.mapInArrow(tidy(run), FOUND).repartition(parts, "part").mapInArrow(tidy(meet), FOUND)
 

@@ -221,6 +221,7 @@ def test_what_is_spared_leaves_a_signature():
 
 def test_a_common_passage_makes_no_block(spark, monkeypatch):
     """300 texts with one passage of 40 words, of 20 of them a near copy, and 30 near copies of one text: links as by brute force, no block of strangers."""
+    monkeypatch.setattr(nj, "LOCAL_GROUP", 4)
     monkeypatch.setattr(nj, "GROUP", 8)
     blocks, written = [], nj.written
 
